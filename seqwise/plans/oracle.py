@@ -131,4 +131,7 @@ ORACLE: dict[str, str] = {
 
 
 def all_oracles() -> dict[str, str]:
-    return dict(ORACLE)
+    from seqwise.plans.oracle_tables import ORACLE_TABLES
+    out = dict(ORACLE)
+    out.update(ORACLE_TABLES)
+    return out
