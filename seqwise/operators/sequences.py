@@ -19,6 +19,10 @@ from seqwise.operators.vocab import encode_dynamic
 SERVING_FEATURES = ["event_name", "device_os", "channel", "traffic_source", "category"]
 
 
+def _field(name: str):
+    return lambda x: x[name]
+
+
 def serving_windows(events: DataFrame, vocab: DataFrame, n: int = WINDOW_SIZE) -> DataFrame:
     """Per user: 5 dynamic-ID arrays of length n (0-padded on the left), the
     padding mask (true on padding), the event count and the raw tail
@@ -31,7 +35,7 @@ def serving_windows(events: DataFrame, vocab: DataFrame, n: int = WINDOW_SIZE) -
         F.col("event_name").alias("raw_name"), F.col("session_id").alias("raw_session")))).alias("_ev"))
     size = F.size("_ev")
     pad = F.array_repeat(F.lit(0), F.lit(n) - size)
-    cols = [F.concat(pad, F.transform("_ev", lambda x, f=f: x[f])).alias(f"seq_{f}") for f in SERVING_FEATURES]
+    cols = [F.concat(pad, F.transform("_ev", _field(f))).alias(f"seq_{f}") for f in SERVING_FEATURES]
     return g.select(
         "muid", *cols,
         F.concat(F.array_repeat(F.lit(True), F.lit(n) - size),

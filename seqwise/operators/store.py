@@ -24,7 +24,7 @@ def to_store_rows(features: DataFrame, version: int, computed_at: str) -> DataFr
     """User feature rows -> store rows (user_id, features struct, version, computed_at)."""
     return features.select(
         F.col("muid").alias("user_id"),
-        F.struct(*[F.col(c).cast(FEATURE_STRUCT[c].dataType) for c in FEATURE_FIELDS]).alias("features"),
+        F.struct(*[F.col(c).cast(FEATURE_STRUCT[c].dataType).alias(c) for c in FEATURE_FIELDS]).alias("features"),
         F.lit(version).alias("feature_version"),
         F.lit(computed_at).cast("timestamp_ntz").alias("computed_at"))
 

@@ -96,6 +96,20 @@ w AS (
       AS target_inactivity,
     least(event_name_id, 19) AS target_recommended_action,
     {PERIOD.format(h='hour(event_time)')} AS target_active_period
+  FROM wf WHERE n_prev = {size}),
+wu AS (
+  SELECT muid, event_id,
+    n_pur / {float(size)} AS pr, n_atc / {float(size)} AS ar, n_scr / {float(size)} AS sr,
+    n_types / 7.0 AS ut,
+    least(ln(1 + (t_last - t_first) / 1e6 / {float(size - 1)}) / 15.0, 1.0) AS td,
+    least(n_sess / 5.0, 1.0) AS sc,
+    CASE WHEN event_name = 'purchase' THEN 1.0 ELSE 0.0 END AS target_purchase,
+    CASE WHEN t - t_last > {churn_us} THEN 1.0 ELSE 0.0 END AS target_churn,
+    event_name_id AS target_next_event, channel_id AS target_channel,
+    ({size} - n_scr) / {float(size)} AS target_engagement,
+    least(greatest((t_last - t_first) / 3600000000.0, 0.01) / {float(size)}, 1.0) AS target_inactivity,
+    least(event_name_id, 19) AS target_recommended_action,
+    {PERIOD.format(h='hour(event_time)')} AS target_active_period
   FROM wf WHERE n_prev = {size})"""
 
 
@@ -132,6 +146,8 @@ ORACLE: dict[str, str] = {
 
 def all_oracles() -> dict[str, str]:
     from seqwise.plans.oracle_tables import ORACLE_TABLES
+    from seqwise.plans.oracle_serving import ORACLE_SERVING
     out = dict(ORACLE)
     out.update(ORACLE_TABLES)
+    out.update(ORACLE_SERVING)
     return out
