@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqwise.functions.columns import argmax0, sigmoid
-from seqwise.operators.aggregates import class_weights, with_stats_row
+from seqwise.operators.aggregates import with_stats_row
 
 TASK_WEIGHTS_FOCAL = {"purchase": 3.0, "churn": 2.5, "next_event": 3.0, "channel": 1.0,
                       "engagement": 1.5, "inactivity": 1.0, "action": 2.0, "period": 2.0}
@@ -69,57 +69,63 @@ def _log_softmax(logits: Column) -> Column:
     return F.transform(logits, lambda v: v - lse)
 
 
-def cross_entropy(scored: DataFrame, logits: str, target: str, num_classes: int,
-                  smoothing: float = 0.0, weights: DataFrame | None = None) -> DataFrame:
-    """PyTorch-compatible mean cross-entropy with optional class weights and
-    label smoothing: (1-e) * sum(w_y * nll) / sum(w_y) + e/C * sum(-sum_c w_c
-    logp_c) / sum(w_y). ``weights``: (cls, weight) rows, C of them (broadcast)."""
+def class_weight_vector(target: str, num_classes: int) -> Column:
+    """Aggregate expression: the clamped class weights as an array of C values
+    (absent class -> 1.0; labels >= C count in the total only)."""
+    counts = F.array(*[F.count_if(F.col(target) == c) for c in range(num_classes)])
+    total = F.count(F.lit(1))
+    return F.transform(counts, lambda n: F.when(n == 0, F.lit(1.0)).otherwise(
+        F.least(F.greatest(total / (F.lit(float(num_classes)) * n), F.lit(0.1)), F.lit(10.0))))
+
+
+def ce_sums(logits: str, target: str, num_classes: int, wvec: Column | None) -> tuple:
+    """Row-level terms (w_y, w_y * nll, smooth) of the weighted, smoothed CE."""
     lp = _log_softmax(F.col(logits))
-    if weights is None:
-        wvec = F.array_repeat(F.lit(1.0), num_classes)
-        base = scored
-    else:
-        one = weights.agg(F.sort_array(F.collect_list(F.struct("cls", "weight"))).alias("_w")) \
-                     .select(F.transform("_w", lambda s: s["weight"]).alias("_wvec"))
-        base = with_stats_row(scored, one)
-        wvec = F.col("_wvec")
+    wvec = F.array_repeat(F.lit(1.0), num_classes) if wvec is None else wvec
     y = F.col(target)
     w_y = F.element_at(wvec, y + 1)
     nll = -F.element_at(lp, y + 1)
     smooth = -F.aggregate(F.zip_with(lp, wvec, lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
-    t = base.select(w_y.alias("w_y"), (w_y * nll).alias("wnll"), smooth.alias("smooth"))
-    sw = F.sum("w_y")
-    return t.agg(((F.lit(1.0 - smoothing) * F.sum("wnll") / sw)
-                  + F.lit(smoothing / num_classes) * F.sum("smooth") / sw).alias("loss"))
+    return w_y, w_y * nll, smooth
+
+
+def ce_loss(terms: tuple, num_classes: int, smoothing: float) -> Column:
+    """PyTorch mean CE with class weights and label smoothing:
+    (1-e) * sum(w_y * nll) / sum(w_y) + e/C * sum(-sum_c w_c logp_c) / sum(w_y)."""
+    w_y, wnll, smooth = terms
+    sw = F.sum(w_y)
+    return (F.lit(1.0 - smoothing) * F.sum(wnll) / sw
+            + F.lit(smoothing / num_classes) * F.sum(smooth) / sw)
+
+
+HEADS = {  # name: (logits, target, classes, smoothing, weighted)
+    "next_event": ("p_next_event", "target_next_event", 7, 0.1, True),
+    "channel": ("p_channel", "target_channel", 3, 0.05, True),
+    "action": ("p_action", "target_recommended_action", 20, 0.1, False),
+    "period": ("p_active_period", "target_active_period", 4, 0.1, True),
+}
 
 
 def losses(scored: DataFrame) -> DataFrame:
-    """All head losses of both training set-ups plus the two weighted totals.
-
-    Class weights (next event, channel, period) come from the scored labels."""
-    ce = {
-        "next_event": cross_entropy(scored, "p_next_event", "target_next_event", 7, 0.1,
-                                    class_weights(scored, "target_next_event", 7)),
-        "channel": cross_entropy(scored, "p_channel", "target_channel", 3, 0.05,
-                                 class_weights(scored, "target_channel", 3)),
-        "action": cross_entropy(scored, "p_action", "target_recommended_action", 20, 0.1),
-        "period": cross_entropy(scored, "p_active_period", "target_active_period", 4, 0.1,
-                                class_weights(scored, "target_active_period", 4)),
-        "next_event_plain": cross_entropy(scored, "p_next_event", "target_next_event", 7),
-        "channel_plain": cross_entropy(scored, "p_channel", "target_channel", 3),
-        "action_plain": cross_entropy(scored, "p_action", "target_recommended_action", 20),
-        "period_plain": cross_entropy(scored, "p_active_period", "target_active_period", 4),
-    }
-    base = scored.agg(
+    """All head losses of both training set-ups plus the two weighted totals,
+    in two passes: one one-row aggregate for the class-weight vectors, one
+    aggregate for every loss sum."""
+    wv = scored.agg(*[class_weight_vector(t, c).alias(f"_wv_{h}")
+                      for h, (_, t, c, _, weighted) in HEADS.items() if weighted])
+    base = with_stats_row(scored, wv)
+    aggs = [
         F.avg(focal_terms("p_purchase", "target_purchase")).alias("focal_purchase"),
         F.avg(focal_terms("p_churn", "target_churn")).alias("focal_churn"),
         F.avg(bce_terms("p_purchase", "target_purchase")).alias("bce_purchase"),
         F.avg(bce_terms("p_churn", "target_churn")).alias("bce_churn"),
         F.avg(F.pow(F.col("p_engagement") - F.col("target_engagement"), 2)).alias("mse_engagement"),
         F.avg(F.pow(F.col("p_inactivity") - F.col("target_inactivity"), 2)).alias("mse_inactivity"),
-    )
-    for k, df in ce.items():
-        base = with_stats_row(base, df.select(F.col("loss").alias(f"ce_{k}")))
+    ]
+    for h, (lg, t, c, eps, weighted) in HEADS.items():
+        w = F.col(f"_wv_{h}") if weighted else None
+        aggs.append(ce_loss(ce_sums(lg, t, c, w), c, eps).alias(f"ce_{h}"))
+        aggs.append(ce_loss(ce_sums(lg, t, c, None), c, 0.0).alias(f"ce_{h}_plain"))
+    base = base.agg(*aggs)
     fw, bw = TASK_WEIGHTS_FOCAL, TASK_WEIGHTS_BCE
     total_focal = (fw["purchase"] * F.col("focal_purchase") + fw["churn"] * F.col("focal_churn")
                    + fw["next_event"] * F.col("ce_next_event") + fw["channel"] * F.col("ce_channel")

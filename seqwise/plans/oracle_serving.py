@@ -270,4 +270,14 @@ ORACLE_SERVING: dict[str, str] = {
     "FBK-2": f"""WITH {EV}, {PL}, {OUTCOME} SELECT predicted_next_event AS predicted_action, count(*) AS n,
         round(sum(reward), 9) AS reward_sum, round(avg(reward), 9) AS reward_mean
         FROM rw WHERE reward IS NOT NULL GROUP BY 1""",
+    "STR-1": f"WITH {EV} SELECT event_id, muid, session_id, event_name, event_time, device_os, channel, "
+             "traffic_source, category, product_id, page_url FROM ev",
+    "STR-2": f"WITH {EV} SELECT event_id, muid, session_id, event_name, event_time, device_os, channel, "
+             "traffic_source, category, product_id, page_url FROM ev",
+    "STR-3": f"""WITH {EV}, {PL} SELECT prediction_id, user_id, model_version, window_events, purchase_probability,
+        churn_risk, predicted_next_event, round(engagement_score, 9) AS engagement_score, inactivity_risk FROM pl""",
+    "STR-4": f"WITH {EV} {user_features_sql()}",
+    "STR-5": f"""WITH {EV} SELECT epoch_us(date_trunc('hour', event_time)) AS hour_start_us, count(*) AS n_events
+        FROM ev GROUP BY 1""",
 }
+

@@ -21,5 +21,5 @@ def query(name: str):
 
 def all_queries() -> dict[str, QueryFn]:
     # Importing the modules registers their queries.
-    from seqwise.plans import q_serving, q_tables, q_windows  # noqa: F401
+    from seqwise.plans import q_serving, q_streaming, q_tables, q_windows  # noqa: F401
     return dict(QUERIES)
