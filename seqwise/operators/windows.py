@@ -23,6 +23,7 @@ US_PER_HOUR = 3_600_000_000
 SEQ_FEATURES = ["event_name", "device_os", "channel", "category", "hour", "traffic_source"]
 NUMERIC_FEATURES = ["purchase_ratio", "atc_ratio", "scroll_ratio", "unique_types",
                     "avg_time_delta", "session_count_norm"]
+LAST_EVENT_FEATURES = ["last_event_name_id", "last_channel_id", "last_hour_id"]
 TARGETS = ["target_purchase", "target_churn", "target_next_event", "target_channel",
            "target_engagement", "target_inactivity", "target_recommended_action",
            "target_active_period"]
@@ -73,6 +74,9 @@ def _window_columns(size: int, churn_hours: float, sequences: bool):
                 F.greatest(span_us / F.lit(float(US_PER_HOUR)), F.lit(0.01)) / F.lit(float(size)),
                 F.lit(1.0)),
         }
+        cols["last_event_name_id"] = F.lag("event_name_id", 1).over(w)
+        cols["last_channel_id"] = F.lag("channel_id", 1).over(w)
+        cols["last_hour_id"] = F.lag("hour_id", 1).over(w)
         if sequences:
             cols["_seq"] = F.collect_list(F.struct(
                 "event_name_id", "device_os_id", "channel_id", "category_id", "hour_id",
@@ -118,7 +122,8 @@ def sliding_windows(events: DataFrame, size: int = WINDOW_SIZE, churn_hours: flo
             F.transform(s, lambda x: x["traffic_source_id"]).alias("seq_traffic_source"),
             F.array_repeat(F.lit(False), size).alias("padding_mask"),
         ]
-    return out.select("muid", "event_id", "event_time", *NUMERIC_FEATURES, *labels, *seq_cols)
+    return out.select("muid", "event_id", "event_time", *NUMERIC_FEATURES, *LAST_EVENT_FEATURES,
+                      *labels, *seq_cols)
 
 
 def event_gaps(events: DataFrame, rows_per_split: int = DEFAULT_ROWS_PER_SPLIT, hot="auto") -> DataFrame:

@@ -114,7 +114,7 @@ ORACLE_TABLES: dict[str, str] = {
         event_id, event_name, channel FROM ev""",
     "SRC-9": f"WITH {EV} SELECT {ALL_EV} FROM ev",
     "DQ-1": f"WITH {EV} SELECT event_id, muid, {_reject_events()} AS reject_reason FROM ev",
-    "DQ-2": f"""WITH {EV} SELECT CAST(event_time AS DATE) AS batch_day, count(*) AS n_events,
+    "DQ-2": f"""WITH {EV} SELECT strftime(event_time, '%Y-%m-%d') AS batch_day, count(*) AS n_events,
         count(*) BETWEEN 1 AND 1000 AS valid FROM ev GROUP BY 1""",
     "DQ-3": f"WITH {USERS} SELECT id, {_reject_users()} AS reject_reason FROM users",
     "DQ-4": f"WITH {EV} SELECT CAST(event_id AS VARCHAR) AS event_id, muid, epoch_us(event_time) AS event_time_us FROM ev",

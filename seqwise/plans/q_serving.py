@@ -293,7 +293,7 @@ def met_8(spark, sf_dir):
 @query("AGG-12")
 def agg_12(spark, sf_dir):
     j = _log_with_outcome(spark, sf_dir).withColumn("actual_event_name", F.col("actual"))
-    return A.log_counts(j)
+    return A.log_counts(j).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
 # ------------------------------------------------------------------ feedback
@@ -306,3 +306,31 @@ def fbk_1(spark, sf_dir):
 @query("FBK-2")
 def fbk_2(spark, sf_dir):
     return _r9_all(FB.reward_by_action(_log_with_outcome(spark, sf_dir)))
+
+
+# ------------------------------------------------------------------ training
+@query("TRN-1")
+def trn_1(spark, sf_dir):
+    """Fit the 8 heads on the user-level training split, score the validation
+    split; output the decoded predictions with their targets."""
+    from seqwise.operators.sampling import split_by_user
+    from seqwise.operators.training import fit_heads, predict_heads
+    from seqwise.operators.windows import TARGETS
+    w = split_by_user(sliding_windows(ev(spark, sf_dir, TRAIN_COLUMNS + ["event_id"])), 15, seed=42)
+    models = fit_heads(w.where(F.col("split") == "train"))
+    val = predict_heads(models, w.where(F.col("split") == "val"), ["muid", "event_id", *TARGETS])
+    return SC.decode_predictions(val, EVENT_NAMES, CHANNELS).select(
+        "muid", "event_id", *TARGETS, "purchase_probability", "churn_risk", "next_event", "preferred_channel",
+        "engagement_score", "inactivity_risk", "recommended_action", "active_time")
+
+
+@query("TRN-1-eval")
+def trn_1_eval(spark, sf_dir):
+    """Validation metrics of the fitted heads (MET-1 on TRN-1)."""
+    from seqwise.operators.sampling import split_by_user
+    from seqwise.operators.training import fit_heads, predict_heads
+    from seqwise.operators.windows import TARGETS
+    w = split_by_user(sliding_windows(ev(spark, sf_dir, TRAIN_COLUMNS + ["event_id"])), 15, seed=42)
+    models = fit_heads(w.where(F.col("split") == "train"))
+    val = predict_heads(models, w.where(F.col("split") == "val"), ["muid", "event_id", *TARGETS])
+    return M.evaluate(val)

@@ -96,7 +96,8 @@ def dq_1(spark, sf_dir):
 
 @query("DQ-2")
 def dq_2(spark, sf_dir):
-    e = ev(spark, sf_dir, ["event_id", "event_time"]).withColumn("batch_day", F.to_date("event_time"))
+    e = ev(spark, sf_dir, ["event_id", "event_time"]).withColumn(
+        "batch_day", F.date_format("event_time", "yyyy-MM-dd"))
     return Q.validate_batches(e, "batch_day")
 
 
