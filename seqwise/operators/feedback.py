@@ -37,17 +37,23 @@ def next_event_after(preds: DataFrame, events: DataFrame, key: str = "user_id",
         hot = hot_key_splits(events.select(F.col("muid").alias("_k"),
                                            epoch_us(events, "event_time").alias("_t")),
                              "_k", "_t", rows_per_split)
+    # "Nearest event after" is evaluated as a running frame over the reversed
+    # order (last non-null over all preceding rows), which Spark computes
+    # incrementally; a frame reaching to unbounded following would be
+    # recomputed for every row (quadratic in the user's size).
+    rev = [F.col(c).desc() for c in order]
     if hot is None:
-        w = Window.partitionBy("_k").orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
-        ans = u.withColumn("_nx", F.first("_ev", ignorenulls=True).over(w)).where(F.col("_tag") == 1)
+        w = Window.partitionBy("_k").orderBy(*rev).rowsBetween(Window.unboundedPreceding, -1)
+        ans = u.withColumn("_nx", F.last("_ev", ignorenulls=True).over(w)).where(F.col("_tag") == 1)
     else:
         sp = assign_splits(u, "_k", "_t", hot)
-        w = Window.partitionBy("_k", "_s").orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
-        local = sp.withColumn("_nx", F.first("_ev", ignorenulls=True).over(w))
+        w = Window.partitionBy("_k", "_s").orderBy(*rev).rowsBetween(Window.unboundedPreceding, -1)
+        local = sp.withColumn("_nx", F.last("_ev", ignorenulls=True).over(w))
         firsts = (sp.where(F.col("_tag") == 0).groupBy("_k", "_s")
                   .agg(F.min_by("_ev", F.struct("_t", "_ev.actual_event_id")).alias("_f")))
-        nxt = firsts.select("_k", "_s", F.first("_f", ignorenulls=True).over(
-            Window.partitionBy("_k").orderBy("_s").rowsBetween(1, Window.unboundedFollowing)).alias("_later"))
+        nxt = firsts.select("_k", "_s", F.last("_f", ignorenulls=True).over(
+            Window.partitionBy("_k").orderBy(F.col("_s").desc())
+            .rowsBetween(Window.unboundedPreceding, -1)).alias("_later"))
         ans = (local.where(F.col("_tag") == 1).join(nxt, ["_k", "_s"], "left")
                .withColumn("_nx", F.coalesce("_nx", "_later")))
     ans = ans.select(F.col("_oid").alias("prediction_id"), F.col("_nx.actual_event_id"),

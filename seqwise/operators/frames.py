@@ -45,8 +45,12 @@ def hot_key_splits(df: DataFrame, key: str, t_col: str, rows_per_split: int,
              .where(F.col("_n") > rows_per_split)
              .select(key, F.ceil(F.col("_n") / F.lit(rows_per_split)).cast("long").alias("_nb"),
                      "_t0", "_t1"))
+    # Persist the (tiny) hot-key table so the size check and the join share it;
+    # if an executor is lost it is recomputed from lineage.
+    stats = stats.persist()
     n_hot = stats.count()
     if n_hot == 0:
+        stats.unpersist()
         return None
     return F.broadcast(stats) if n_hot <= broadcast_max_rows else stats
 

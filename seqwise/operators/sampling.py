@@ -59,7 +59,7 @@ def user_positions(events: DataFrame, key: str = "muid", order=("event_time", "e
     w = Window.partitionBy(key, "_s").orderBy(*order)
     return (sp.join(offs, [key, "_s"])
             .withColumn("position", (F.row_number().over(w) + F.col("_off")).cast("long"))
-            .drop("_s", "_nb", "_off", t_col))
+            .select(*events.columns, "position"))
 
 
 def paginate(df: DataFrame, order: str, limit: int, offset: int = 0) -> DataFrame:
