@@ -43,9 +43,8 @@ def encode_events(df: DataFrame) -> DataFrame:
     )
 
 
-def _window_columns(size: int, churn_hours: float, sequences: bool):
-    churn_us = int(round(churn_hours * US_PER_HOUR))
-
+def _window_columns(size: int, sequences: bool):
+    """Frame aggregates over the previous ``size`` rows, each computed once."""
     def make(w: WindowSpec) -> dict[str, Column]:
         wb = w.rowsBetween(-size, -1)
         en = F.col("event_name")
@@ -53,30 +52,20 @@ def _window_columns(size: int, churn_hours: float, sequences: bool):
         def n_of(cond: Column) -> Column:
             return F.sum(F.when(cond, 1).otherwise(0)).over(wb)
 
-        t_first = F.min("_t").over(wb)
-        t_last = F.max("_t").over(wb)
-        span_us = t_last - t_first
-        mean_gap_s = (span_us / F.lit(1e6) / F.lit(size - 1)) if size > 1 else F.lit(0.0)
-        n_scroll = n_of(en == "scroll")
-        sessions = (F.size(F.collect_set("session_id").over(wb))
-                    + F.max(F.col("session_id").isNull().cast("int")).over(wb))
         cols = {
             "_n_prev": F.count(F.lit(1)).over(wb),
-            "purchase_ratio": n_of(en == "purchase") / F.lit(float(size)),
-            "atc_ratio": n_of(en == "add_to_cart") / F.lit(float(size)),
-            "scroll_ratio": n_scroll / F.lit(float(size)),
-            "unique_types": F.size(F.collect_set(en).over(wb)) / F.lit(float(UNIQUE_TYPES_DIVISOR)),
-            "avg_time_delta": F.least(F.log1p(mean_gap_s) / F.lit(15.0), F.lit(1.0)),
-            "session_count_norm": F.least(sessions / F.lit(5.0), F.lit(1.0)),
-            "target_churn": F.when(F.col("_t") - t_last > F.lit(churn_us), 1.0).otherwise(0.0),
-            "target_engagement": (F.lit(size) - n_scroll) / F.lit(float(size)),
-            "target_inactivity": F.least(
-                F.greatest(span_us / F.lit(float(US_PER_HOUR)), F.lit(0.01)) / F.lit(float(size)),
-                F.lit(1.0)),
+            "_n_purchase": n_of(en == "purchase"),
+            "_n_atc": n_of(en == "add_to_cart"),
+            "_n_scroll": n_of(en == "scroll"),
+            "_n_types": F.size(F.collect_set(en).over(wb)),
+            "_n_sessions": (F.size(F.collect_set("session_id").over(wb))
+                            + F.max(F.col("session_id").isNull().cast("int")).over(wb)),
+            "_t_first": F.min("_t").over(wb),
+            "_t_last": F.max("_t").over(wb),
+            "last_event_name_id": F.lag("event_name_id", 1).over(w),
+            "last_channel_id": F.lag("channel_id", 1).over(w),
+            "last_hour_id": F.lag("hour_id", 1).over(w),
         }
-        cols["last_event_name_id"] = F.lag("event_name_id", 1).over(w)
-        cols["last_channel_id"] = F.lag("channel_id", 1).over(w)
-        cols["last_hour_id"] = F.lag("hour_id", 1).over(w)
         if sequences:
             cols["_seq"] = F.collect_list(F.struct(
                 "event_name_id", "device_os_id", "channel_id", "category_id", "hour_id",
@@ -86,6 +75,26 @@ def _window_columns(size: int, churn_hours: float, sequences: bool):
     return make
 
 
+def _features(size: int, churn_hours: float) -> list[Column]:
+    """Window features and frame-based labels from the frame aggregates."""
+    churn_us = int(round(churn_hours * US_PER_HOUR))
+    span_us = F.col("_t_last") - F.col("_t_first")
+    mean_gap_s = (span_us / F.lit(1e6) / F.lit(size - 1)) if size > 1 else F.lit(0.0)
+    fsize = F.lit(float(size))
+    return [
+        (F.col("_n_purchase") / fsize).alias("purchase_ratio"),
+        (F.col("_n_atc") / fsize).alias("atc_ratio"),
+        (F.col("_n_scroll") / fsize).alias("scroll_ratio"),
+        (F.col("_n_types") / F.lit(float(UNIQUE_TYPES_DIVISOR))).alias("unique_types"),
+        F.least(F.log1p(mean_gap_s) / F.lit(15.0), F.lit(1.0)).alias("avg_time_delta"),
+        F.least(F.col("_n_sessions") / F.lit(5.0), F.lit(1.0)).alias("session_count_norm"),
+        F.when(F.col("_t") - F.col("_t_last") > F.lit(churn_us), 1.0).otherwise(0.0).alias("target_churn"),
+        ((F.lit(size) - F.col("_n_scroll")) / fsize).alias("target_engagement"),
+        F.least(F.greatest(span_us / F.lit(float(US_PER_HOUR)), F.lit(0.01)) / fsize,
+                F.lit(1.0)).alias("target_inactivity"),
+    ]
+
+
 def sliding_windows(events: DataFrame, size: int = WINDOW_SIZE, churn_hours: float = CHURN_HOURS,
                     sequences: bool = False, rows_per_split: int = DEFAULT_ROWS_PER_SPLIT,
                     hot="auto") -> DataFrame:
@@ -96,10 +105,9 @@ def sliding_windows(events: DataFrame, size: int = WINDOW_SIZE, churn_hours: flo
     Users with fewer than ``size + 1`` events give no window."""
     df = encode_events(events.where(F.col("muid").isNotNull() & F.col("event_time").isNotNull()))
     df = df.withColumn("_t", epoch_us(df, "event_time"))
-    out = bounded_window(df, "muid", ORDER, "_t", size, 0,
-                         _window_columns(size, churn_hours, sequences),
+    out = bounded_window(df, "muid", ORDER, "_t", size, 0, _window_columns(size, sequences),
                          rows_per_split=rows_per_split, hot=hot)
-    out = out.where(F.col("_n_prev") == size)
+    out = out.where(F.col("_n_prev") == size).select("*", *_features(size, churn_hours))
     labels = [
         F.when(F.col("event_name") == "purchase", 1.0).otherwise(0.0).alias("target_purchase"),
         F.col("target_churn"),
