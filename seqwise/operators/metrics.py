@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqwise.functions.columns import argmax0, sigmoid
-from seqwise.operators.aggregates import with_stats_row
 
 TASK_WEIGHTS_FOCAL = {"purchase": 3.0, "churn": 2.5, "next_event": 3.0, "channel": 1.0,
                       "engagement": 1.5, "inactivity": 1.0, "action": 2.0, "period": 2.0}
@@ -63,10 +62,12 @@ def focal_terms(x: str, y: str, alpha: float = FOCAL_ALPHA, gamma: float = FOCAL
     return F.lit(alpha) * F.pow(F.lit(1.0) - F.exp(-bce), F.lit(gamma)) * bce
 
 
-def _log_softmax(logits: Column) -> Column:
-    m = F.array_max(logits)
-    lse = F.log(F.aggregate(logits, F.lit(0.0), lambda acc, v: acc + F.exp(v - m))) + m
-    return F.transform(logits, lambda v: v - lse)
+def log_softmax_terms(logits: str, num_classes: int) -> list[Column]:
+    """log p_c for c < C as plain (codegen) expressions of the array elements."""
+    el = [F.col(logits)[c] for c in range(num_classes)]
+    m = F.greatest(*el) if num_classes > 1 else el[0]
+    lse = m + F.log(sum((F.exp(x - m) for x in el[1:]), F.exp(el[0] - m)))
+    return [x - lse for x in el]
 
 
 def class_weight_vector(target: str, num_classes: int) -> Column:
@@ -78,24 +79,54 @@ def class_weight_vector(target: str, num_classes: int) -> Column:
         F.least(F.greatest(total / (F.lit(float(num_classes)) * n), F.lit(0.1)), F.lit(10.0))))
 
 
-def ce_sums(logits: str, target: str, num_classes: int, wvec: Column | None) -> tuple:
-    """Row-level terms (w_y, w_y * nll, smooth) of the weighted, smoothed CE."""
-    lp = _log_softmax(F.col(logits))
-    wvec = F.array_repeat(F.lit(1.0), num_classes) if wvec is None else wvec
-    y = F.col(target)
-    w_y = F.element_at(wvec, y + 1)
-    nll = -F.element_at(lp, y + 1)
-    smooth = -F.aggregate(F.zip_with(lp, wvec, lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
-    return w_y, w_y * nll, smooth
+def with_log_softmax(df: DataFrame, logits: str, num_classes: int, out: str) -> DataFrame:
+    """Project log p_c once per row: max, then log-sum-exp, then the C terms,
+    as separate columns so expression size stays linear in C."""
+    el = [F.col(logits)[c] for c in range(num_classes)]
+    m = F.col(f"{out}_m")
+    lse = F.col(f"{out}_lse")
+    return (df.withColumn(f"{out}_m", F.greatest(*el) if num_classes > 1 else el[0])
+            .withColumn(f"{out}_lse", m + F.log(sum((F.exp(x - m) for x in el[1:]), F.exp(el[0] - m))))
+            .withColumn(out, F.array(*[x - lse for x in el])))
 
 
-def ce_loss(terms: tuple, num_classes: int, smoothing: float) -> Column:
-    """PyTorch mean CE with class weights and label smoothing:
-    (1-e) * sum(w_y * nll) / sum(w_y) + e/C * sum(-sum_c w_c logp_c) / sum(w_y)."""
-    w_y, wnll, smooth = terms
-    sw = F.sum(w_y)
-    return (F.lit(1.0 - smoothing) * F.sum(wnll) / sw
-            + F.lit(smoothing / num_classes) * F.sum(smooth) / sw)
+def ce_partials(name: str, lp_col: str, target: str, num_classes: int) -> list[Column]:
+    """Per-class partial sums of one pass: n_c, sum of -log p_y over rows of
+    class c, and sum of log p_c over all rows (``lp_col``: log-softmax array)."""
+    lp = [F.col(lp_col)[c] for c in range(num_classes)]
+    y = F.col(target)
+    out = []
+    for c in range(num_classes):
+        out.append(F.count_if(y == c).alias(f"_{name}_n{c}"))
+        out.append(F.sum(F.when(y == c, -lp[c])).alias(f"_{name}_nll{c}"))
+        out.append(F.sum(lp[c]).alias(f"_{name}_lp{c}"))
+    return out
+
+
+def ce_from_partials(name: str, num_classes: int, smoothing: float, weighted: bool) -> Column:
+    """PyTorch mean CE with class weights and label smoothing from the partials:
+    (1-e) * sum_c w_c NLL_c / sum_c w_c n_c + e/C * (-sum_c w_c LP_c) / sum_c w_c n_c,
+    with w_c = clamp(N / (C n_c), 0.1, 10), 1.0 for an absent class."""
+    n = [F.col(f"_{name}_n{c}") for c in range(num_classes)]
+    total = F.col("_n")
+    if weighted:
+        w = [F.when(x == 0, F.lit(1.0)).otherwise(
+            F.least(F.greatest(total / (F.lit(float(num_classes)) * x), F.lit(0.1)), F.lit(10.0))) for x in n]
+    else:
+        w = [F.lit(1.0)] * num_classes
+    sw = sum((w[c] * n[c] for c in range(1, num_classes)), w[0] * n[0])
+    nll = sum((w[c] * F.coalesce(F.col(f"_{name}_nll{c}"), F.lit(0.0)) for c in range(1, num_classes)),
+              w[0] * F.coalesce(F.col(f"_{name}_nll0"), F.lit(0.0)))
+    smooth = -sum((w[c] * F.col(f"_{name}_lp{c}") for c in range(1, num_classes)), w[0] * F.col(f"_{name}_lp0"))
+    return F.lit(1.0 - smoothing) * nll / sw + F.lit(smoothing / num_classes) * smooth / sw
+
+
+def ce_loss_frame(df: DataFrame, logits: str, target: str, num_classes: int, smoothing: float = 0.0,
+                  weighted: bool = False) -> DataFrame:
+    """One-row frame with the loss of one head (class weights from the same rows)."""
+    agg = with_log_softmax(df, logits, num_classes, "_lp").agg(
+        F.count(F.lit(1)).alias("_n"), *ce_partials("h", "_lp", target, num_classes))
+    return agg.select(ce_from_partials("h", num_classes, smoothing, weighted).alias("loss"))
 
 
 HEADS = {  # name: (logits, target, classes, smoothing, weighted)
@@ -108,12 +139,10 @@ HEADS = {  # name: (logits, target, classes, smoothing, weighted)
 
 def losses(scored: DataFrame) -> DataFrame:
     """All head losses of both training set-ups plus the two weighted totals,
-    in two passes: one one-row aggregate for the class-weight vectors, one
-    aggregate for every loss sum."""
-    wv = scored.agg(*[class_weight_vector(t, c).alias(f"_wv_{h}")
-                      for h, (_, t, c, _, weighted) in HEADS.items() if weighted])
-    base = with_stats_row(scored, wv)
+    in ONE aggregate pass: class weights depend only on class counts, so the
+    weighted sums are recombined from per-class partial sums afterwards."""
     aggs = [
+        F.count(F.lit(1)).alias("_n"),
         F.avg(focal_terms("p_purchase", "target_purchase")).alias("focal_purchase"),
         F.avg(focal_terms("p_churn", "target_churn")).alias("focal_churn"),
         F.avg(bce_terms("p_purchase", "target_purchase")).alias("bce_purchase"),
@@ -121,11 +150,17 @@ def losses(scored: DataFrame) -> DataFrame:
         F.avg(F.pow(F.col("p_engagement") - F.col("target_engagement"), 2)).alias("mse_engagement"),
         F.avg(F.pow(F.col("p_inactivity") - F.col("target_inactivity"), 2)).alias("mse_inactivity"),
     ]
-    for h, (lg, t, c, eps, weighted) in HEADS.items():
-        w = F.col(f"_wv_{h}") if weighted else None
-        aggs.append(ce_loss(ce_sums(lg, t, c, w), c, eps).alias(f"ce_{h}"))
-        aggs.append(ce_loss(ce_sums(lg, t, c, None), c, 0.0).alias(f"ce_{h}_plain"))
-    base = base.agg(*aggs)
+    x = scored
+    for h, (lg, t, c, _, _) in HEADS.items():
+        x = with_log_softmax(x, lg, c, f"_lp_{h}")
+        aggs += ce_partials(h, f"_lp_{h}", t, c)
+    part = x.agg(*aggs)
+    ce = []
+    for h, (_, _, c, eps, weighted) in HEADS.items():
+        ce.append(ce_from_partials(h, c, eps, weighted).alias(f"ce_{h}"))
+        ce.append(ce_from_partials(h, c, 0.0, False).alias(f"ce_{h}_plain"))
+    base = part.select("focal_purchase", "focal_churn", "bce_purchase", "bce_churn", "mse_engagement",
+                       "mse_inactivity", *ce)
     fw, bw = TASK_WEIGHTS_FOCAL, TASK_WEIGHTS_BCE
     total_focal = (fw["purchase"] * F.col("focal_purchase") + fw["churn"] * F.col("focal_churn")
                    + fw["next_event"] * F.col("ce_next_event") + fw["channel"] * F.col("ce_channel")

@@ -279,5 +279,7 @@ ORACLE_SERVING: dict[str, str] = {
     "STR-4": f"WITH {EV} {user_features_sql()}",
     "STR-5": f"""WITH {EV} SELECT epoch_us(date_trunc('hour', event_time)) AS hour_start_us, count(*) AS n_events
         FROM ev GROUP BY 1""",
+    "SRT-4": f"""WITH {EV}, {PL} SELECT prediction_id, user_id, predicted_next_event FROM (
+        SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, prediction_id DESC) AS rk
+        FROM pl) WHERE rk <= 5""",
 }
-

@@ -334,3 +334,11 @@ def trn_1_eval(spark, sf_dir):
     models = fit_heads(w.where(F.col("split") == "train"))
     val = predict_heads(models, w.where(F.col("split") == "val"), ["muid", "event_id", *TARGETS])
     return M.evaluate(val)
+
+
+@query("SRT-4")
+def srt_4(spark, sf_dir):
+    """Newest 5 prediction logs of every user."""
+    log = _log(spark, sf_dir)
+    top = A.newest_events(log, 5, key="user_id", time_col="created_at", tie="prediction_id")
+    return top.select("prediction_id", "user_id", "predicted_next_event")

@@ -125,9 +125,12 @@ def test_cross_entropy_matches_reference_formula(spark):
     y = rng.integers(0, 4, 50)
     w = np.array([0.5, 2.0, 1.0, 3.0])
     df = spark.createDataFrame([(list(map(float, l)), int(t)) for l, t in zip(logits, y)], "lg array<double>, y int")
-    wv = F.array(*[F.lit(float(x)) for x in w])
-    got = df.agg(M.ce_loss(M.ce_sums("lg", "y", 4, wv), 4, 0.1).alias("l")).first().l
+    counts = np.bincount(y, minlength=4)
+    w = np.where(counts == 0, 1.0, np.clip(len(y) / (4 * np.maximum(counts, 1)), 0.1, 10.0))
+    got = M.ce_loss_frame(df, "lg", "y", 4, 0.1, weighted=True).first().loss
     assert math.isclose(got, _torch_ce(logits, y, w, 0.1), rel_tol=1e-9)
+    plain = M.ce_loss_frame(df, "lg", "y", 4).first().loss
+    assert math.isclose(plain, _torch_ce(logits, y, np.ones(4), 0.0), rel_tol=1e-9)
 
 
 def test_focal_loss(spark):
