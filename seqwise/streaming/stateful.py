@@ -14,6 +14,16 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from seqwise.functions.columns import epoch_us
 
+ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def use_rocksdb_state(spark) -> None:
+    """transformWithState needs the RocksDB state store (column families);
+    the provider is fixed in a query's checkpoint when it first starts."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    if spark.conf.get(key, None) != ROCKSDB_PROVIDER:
+        spark.conf.set(key, ROCKSDB_PROVIDER)
+
 BUFFER_OUTPUT = ("prediction_id long, user_id long, model_version string, window_events int, "
                  "purchase_probability double, churn_risk double, predicted_next_event string, "
                  "engagement_score double, inactivity_risk double")
@@ -62,7 +72,8 @@ class LastEventsBuffer(StatefulProcessor):
 
 
 def buffer_predictions(events: DataFrame, size: int = 20) -> DataFrame:
-    """Streaming (or batch) events -> one prediction per event."""
+    """Streaming events -> one prediction per event."""
+    use_rocksdb_state(events.sparkSession)
     # (input column names must not start with "_": such names reach pandas renamed)
     ev = events.select("muid", "event_id", "event_name", epoch_us(events, "event_time").alias("t_us"))
     return ev.groupBy("muid").transformWithStateInPandas(
@@ -146,6 +157,7 @@ FEEDBACK_INPUT = "kind string, muid long, t long, id long, name string"
 
 def feedback_stream(feed: DataFrame, delay: str = "1 hour") -> DataFrame:
     """``feed``: rows (kind 'event'|'prediction', muid, t epoch us, id, name)."""
+    use_rocksdb_state(feed.sparkSession)
     x = feed.select(F.col("muid"), F.col("t").alias("t_us"),
                     F.when(F.col("kind") == "event", 0).otherwise(1).alias("tag"),
                     F.col("id").alias("rid"), F.col("name").alias("rname"),
