@@ -27,14 +27,19 @@ def with_month(df: DataFrame, time_col: str = "event_time") -> DataFrame:
     return df.withColumn("event_month", month_of(time_col))
 
 
-def append_events(df: DataFrame, path: str, chunk_rows: int = DATA_CHUNK_ROWS) -> None:
+def append_events(df: DataFrame, path: str, chunk_rows: int = DATA_CHUNK_ROWS, mode: str = "append") -> None:
     """Append into a month-partitioned table; files hold at most ``chunk_rows``.
     Rows are clustered by month first so each task writes few partitions."""
     (with_month(df).repartition("event_month")
-     .write.mode("append").option("maxRecordsPerFile", chunk_rows)
+     .write.mode(mode).option("maxRecordsPerFile", chunk_rows)
      .partitionBy("event_month").parquet(path))
 
 
+def batch_folder(table: str, batch_id: int, name: str = "ingest_batch") -> str:
+    """Folder of one micro-batch: rewriting it on a retry keeps the sink exactly-once."""
+    return f"{table.rstrip('/')}/{name}={batch_id:012d}"
+
+
 def append_rows(df: DataFrame, path: str, chunk_rows: int = DATA_CHUNK_ROWS) -> None:
     df.write.mode("append").option("maxRecordsPerFile", chunk_rows).parquet(path)
 

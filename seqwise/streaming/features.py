@@ -68,7 +68,9 @@ def state_to_features(state: DataFrame, as_of: str) -> DataFrame:
 
 def feature_upkeep_stream(spark: SparkSession, events_stream: DataFrame, state_root: str, checkpoint: str) -> None:
     def sink(batch: DataFrame, batch_id: int) -> None:
-        prev_path = _latest(spark, state_root)
+        # Merge onto the newest version *before* this batch, so a retried batch
+        # (even one whose version was fully written) is applied exactly once.
+        prev_path = _latest(spark, state_root, before=batch_id)
         prev = spark.read.parquet(prev_path) if prev_path else None
         merge_state(prev, batch_partials(batch)).write.mode("overwrite").parquet(
             os.path.join(state_root, f"v={batch_id:09d}"))
@@ -78,14 +80,16 @@ def feature_upkeep_stream(spark: SparkSession, events_stream: DataFrame, state_r
     q.awaitTermination()
 
 
-def _latest(spark: SparkSession, root: str) -> str | None:
+def _latest(spark: SparkSession, root: str, before: int | None = None) -> str | None:
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(root)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(path):
         return None
     done = sorted(str(st.getPath()) for st in fs.listStatus(path)
-                  if st.isDirectory() and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")))
+                  if st.isDirectory() and st.getPath().getName().startswith("v=")
+                  and (before is None or int(st.getPath().getName()[2:]) < before)
+                  and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")))
     return done[-1] if done else None
 
 

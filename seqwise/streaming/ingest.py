@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seqwise.operators.quality import split_valid
-from seqwise.sources.sinks import append_events, from_stream_records
+from seqwise.sources.sinks import append_events, batch_folder, from_stream_records
 
 STREAM_TIME = "_stream_ts"
 
@@ -33,9 +33,11 @@ def ingest_stream(spark: SparkSession, records: DataFrame, event_schema: T.Struc
     stats = {"batches": 0, "accepted": 0, "rejected": 0}
 
     def sink(batch: DataFrame, batch_id: int) -> None:
+        # foreachBatch may re-run a batch after a failure: each batch owns one
+        # folder and overwrites it, so a retry never duplicates rows.
         valid, bad = split_valid(batch)
-        append_events(valid, table)
-        bad.write.mode("append").parquet(rejects)
+        append_events(valid, batch_folder(table, batch_id), mode="overwrite")
+        bad.write.mode("overwrite").parquet(batch_folder(rejects, batch_id))
         stats["batches"] += 1
 
     q = (ev.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
@@ -55,8 +57,8 @@ def hourly_counts_stream(records: DataFrame, event_schema: T.StructType, table:
               .agg(F.count(F.lit(1)).alias("n_events")))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        (batch.select(F.col("w.start").alias("hour_start"), "n_events", F.lit(batch_id).alias("batch_id"))
-         .write.mode("append").parquet(table))
+        (batch.select(F.col("w.start").alias("hour_start"), "n_events")
+         .write.mode("overwrite").parquet(batch_folder(table, batch_id, "batch_id")))
 
     q = (counts.writeStream.outputMode("update").foreachBatch(sink)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
