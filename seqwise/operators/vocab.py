@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from seqwise.functions.columns import epoch_us
 from seqwise.functions.constants import DYNAMIC_FEATURES, DYNAMIC_RESERVED, STATIC_VOCABS
 from seqwise.operators.util import broadcast_checked
 
@@ -21,13 +22,20 @@ def _long_form(events: DataFrame, features: list[str]) -> DataFrame:
 
 
 def build_vocab(events: DataFrame, features: list[str] = DYNAMIC_FEATURES) -> DataFrame:
-    """Dynamic vocabulary table. The unpivot + group by (feature, value) is a
-    partial aggregate; the ranking window then runs over distinct values only."""
+    """Dynamic vocabulary table.
+
+    First appearance = smallest (event_time, event_id). A minimum over a struct
+    would force a sort-based aggregate over every unpivoted row, so it is done
+    as two hash aggregates: the earliest time per (feature, value), then the
+    smallest event id among only the rows at that time (joined against the
+    distinct-value table, whose size is counted before it is broadcast)."""
     present = [c for c in features if c in events.columns]
-    first = (_long_form(events, present).where(F.col("value").isNotNull())
-             .groupBy("feature", "value")
-             .agg(F.min(F.struct("event_time", "event_id")).alias("_first")))
-    w = Window.partitionBy("feature").orderBy("_first", "value")
+    lf = _long_form(events, present).where(F.col("value").isNotNull())
+    lf = lf.withColumn("_t", epoch_us(lf, "event_time")).select("feature", "value", "_t", "event_id")
+    first_t = lf.groupBy("feature", "value").agg(F.min("_t").alias("_t"))
+    at_first = lf.join(broadcast_checked(first_t), ["feature", "value", "_t"], "left_semi")
+    first = at_first.groupBy("feature", "value").agg(F.min("_t").alias("_t"), F.min("event_id").alias("_id"))
+    w = Window.partitionBy("feature").orderBy("_t", "_id", "value")
     learned = first.select("feature", "value",
                            (F.row_number().over(w) + F.lit(len(DYNAMIC_RESERVED) - 1)).cast("int").alias("id"))
     return learned.unionByName(reserved_rows(events.sparkSession, features))

@@ -175,7 +175,7 @@ def sto_3(spark, sf_dir):
                                "engagement_score", "inactivity_risk").alias("predictions"),
                       F.to_date("created_at").alias("day"))
     path = scratch_path(spark, "prediction_log")
-    rows.repartition("day").write.mode("append").partitionBy("day").parquet(path)
+    rows.write.mode("append").option("maxRecordsPerFile", 50_000).partitionBy("day").parquet(path)
     back = spark.read.parquet(path)
     return back.select("prediction_id", "user_id", "model_version",
                        F.col("predictions.predicted_next_event").alias("predicted_next_event"),

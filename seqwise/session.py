@@ -59,3 +59,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="seqwise-ckpt-", dir=os.environ.get("SEQWISE_SCRATCH", "/tmp"))
     sc.setCheckpointDir(path)
     return path
+
+
+def cluster_conf(input_bytes: int, partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Settings for a cluster run over ``input_bytes`` of input.
+
+    Shuffle partitions are sized so a partition holds about ``partition_bytes``
+    (AQE coalesces small ones and splits skewed join partitions at run time);
+    scan splits use the same size. Hot users in windows are handled by the
+    operators themselves (see operators.frames)."""
+    shuffle = max(200, int(input_bytes // partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(shuffle),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.streaming.stateStore.providerClass":
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    }
