@@ -66,9 +66,9 @@ def str_3(spark, sf_dir):
 @query("STR-4")
 def str_4(spark, sf_dir):
     schema, rec = _feed(spark, sf_dir)
-    root = scratch_path(spark, "feature_state")
-    SF.feature_upkeep_stream(spark, SI.decode(rec, schema), root, scratch_path(spark, "ckpt"))
-    return SF.read_features(spark, root, AS_OF)
+    table = scratch_path(spark, "feature_changelog")
+    SF.feature_upkeep_stream(spark, SI.decode(rec, schema), table, scratch_path(spark, "ckpt"))
+    return SF.read_features(spark, table, AS_OF)
 
 
 @query("STR-5")

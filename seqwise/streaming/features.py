@@ -1,97 +1,55 @@
 """Continuously maintained user features.
 
-Each micro-batch is pre-aggregated per user (partial aggregates), then merged
-into the previous version of the feature-state table: counts add, distinct
-sets union, newest time takes the max, channel counts add per value. The new
-version is written under the batch id, so a retried batch rewrites the same
-version (idempotent) and readers take the newest complete version."""
+The per-user aggregate lives in Spark's streaming state (RocksDB, incremental
+checkpoints): each micro-batch only touches the users it contains. Update mode
+emits just those users' current features; the sink writes them into the
+batch's own folder of a changelog table (rewritten on a retry, so exactly
+once), and readers take the newest row per user (a partial-aggregated
+``max_by``), which is the upsert of STO-1 applied at read time. Work per batch
+is proportional to the users in the batch, not to the size of the store."""
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqwise.functions.columns import epoch_us, floor_days
+from seqwise.sources.sinks import batch_folder
+from seqwise.streaming.stateful import use_rocksdb_state
 
-STATE_COLS = ["muid", "total_events", "purchase_count", "categories", "sessions", "last_t", "channel_counts"]
+FEATURE_COLS = ["total_events", "purchase_count", "unique_categories", "session_count",
+                "last_event_time", "preferred_channel"]
 
 
-def batch_partials(batch: DataFrame) -> DataFrame:
-    ch = batch.where(F.col("channel").isNotNull()).groupBy("muid", "channel").agg(F.count(F.lit(1)).alias("c"))
-    ch = ch.groupBy("muid").agg(F.map_from_entries(F.collect_list(F.struct("channel", "c"))).alias("channel_counts"))
-    main = batch.groupBy("muid").agg(
+def running_features(events: DataFrame) -> DataFrame:
+    """Streaming per-user aggregate (distinct counts via set sizes: streaming
+    aggregation has no count(distinct))."""
+    return events.groupBy("muid").agg(
         F.count(F.lit(1)).alias("total_events"),
         F.count_if(F.col("event_name") == "purchase").alias("purchase_count"),
-        F.collect_set("category").alias("categories"),
-        F.collect_set("session_id").alias("sessions"),
-        F.max(epoch_us(batch, "event_time")).alias("last_t"))
-    return main.join(ch, "muid", "left").withColumn(
-        "channel_counts", F.coalesce("channel_counts", F.create_map().cast("map<string,bigint>")))
-
-
-def merge_state(prev: DataFrame | None, part: DataFrame) -> DataFrame:
-    if prev is None:
-        return part.select(*STATE_COLS)
-    a, b = prev.alias("a"), part.alias("b")
-    j = a.join(b, "muid", "full_outer")
-
-    def add(c):
-        return F.coalesce(F.col(f"a.{c}"), F.lit(0)) + F.coalesce(F.col(f"b.{c}"), F.lit(0))
-
-    def union(c):
-        return F.array_union(F.coalesce(F.col(f"a.{c}"), F.array()), F.coalesce(F.col(f"b.{c}"), F.array()))
+        F.size(F.collect_set("category")).cast("long").alias("unique_categories"),
+        F.size(F.collect_set("session_id")).cast("long").alias("session_count"),
+        F.max("event_time").alias("last_event_time"),
+        F.mode("channel", True).alias("preferred_channel"))
 
-    empty = F.create_map().cast("map<string,bigint>")
-    counts = F.map_zip_with(F.coalesce(F.col("a.channel_counts"), empty),
-                            F.coalesce(F.col("b.channel_counts"), empty),
-                            lambda k, x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0)))
-    return j.select("muid", add("total_events").alias("total_events"), add("purchase_count").alias("purchase_count"),
-                    union("categories").alias("categories"), union("sessions").alias("sessions"),
-                    F.greatest(F.col("a.last_t"), F.col("b.last_t")).alias("last_t"),
-                    counts.alias("channel_counts"))
 
+def feature_upkeep_stream(spark: SparkSession, events_stream: DataFrame, table: str, checkpoint: str) -> None:
+    use_rocksdb_state(spark)
 
-def state_to_features(state: DataFrame, as_of: str) -> DataFrame:
-    """Feature columns from the merged state (mode: most events, ties -> smallest)."""
-    s = state.withColumn("_asof", F.lit(as_of).cast("timestamp_ntz"))
-    entries = F.array_sort(F.map_entries("channel_counts"), lambda x, y: F.when(
-        x["value"] > y["value"], -1).when(x["value"] < y["value"], 1).when(
-        x["key"] < y["key"], -1).when(x["key"] > y["key"], 1).otherwise(0))
-    return s.select("muid", "total_events", "purchase_count",
-                    F.size("categories").cast("long").alias("unique_categories"),
-                    F.size("sessions").cast("long").alias("session_count"),
-                    floor_days(epoch_us(s, "_asof") - F.col("last_t")).alias("days_since_active"),
-                    F.element_at(entries, 1)["key"].alias("preferred_channel"))
-
-
-def feature_upkeep_stream(spark: SparkSession, events_stream: DataFrame, state_root: str, checkpoint: str) -> None:
     def sink(batch: DataFrame, batch_id: int) -> None:
-        # Merge onto the newest version *before* this batch, so a retried batch
-        # (even one whose version was fully written) is applied exactly once.
-        prev_path = _latest(spark, state_root, before=batch_id)
-        prev = spark.read.parquet(prev_path) if prev_path else None
-        merge_state(prev, batch_partials(batch)).write.mode("overwrite").parquet(
-            os.path.join(state_root, f"v={batch_id:09d}"))
+        batch.write.mode("overwrite").parquet(batch_folder(table, batch_id, "batch_id"))
 
-    q = (events_stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
+    q = (running_features(events_stream).writeStream.outputMode("update").foreachBatch(sink)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
 
 
-def _latest(spark: SparkSession, root: str, before: int | None = None) -> str | None:
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    done = sorted(str(st.getPath()) for st in fs.listStatus(path)
-                  if st.isDirectory() and st.getPath().getName().startswith("v=")
-                  and (before is None or int(st.getPath().getName()[2:]) < before)
-                  and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")))
-    return done[-1] if done else None
-
-
-def read_features(spark: SparkSession, state_root: str, as_of: str) -> DataFrame:
-    return state_to_features(spark.read.parquet(_latest(spark, state_root)), as_of)
+def read_features(spark: SparkSession, table: str, as_of: str) -> DataFrame:
+    """Newest row per user from the changelog, with days since last activity."""
+    log = spark.read.parquet(table)
+    latest = log.groupBy("muid").agg(F.max_by(F.struct(*FEATURE_COLS), "batch_id").alias("_r"))
+    cur = latest.select("muid", *[F.col(f"_r.{c}").alias(c) for c in FEATURE_COLS])
+    cur = cur.withColumn("_asof", F.lit(as_of).cast(cur.schema["last_event_time"].dataType))
+    return cur.select("muid", "total_events", "purchase_count", "unique_categories", "session_count",
+                      floor_days(epoch_us(cur, "_asof") - epoch_us(cur, "last_event_time")).alias("days_since_active"),
+                      "preferred_channel")
