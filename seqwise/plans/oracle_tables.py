@@ -122,7 +122,8 @@ ORACLE_TABLES: dict[str, str] = {
     "DQ-6": f"WITH {EV} SELECT count(*) FILTER (WHERE muid IS NULL) AS null_muid, count(*) AS n FROM ev",
     "PRJ-1": f"""WITH {EV} SELECT event_id, {_norm('category')} AS category_norm,
         {_norm('traffic_source')} AS traffic_source_norm FROM ev""",
-    "PRJ-2": f"WITH {EV} SELECT event_id, hour(event_time) AS hour, hour(event_time) + 1 AS hour_enc FROM ev",
+    "PRJ-2": f"""WITH {EV} SELECT event_id, CAST(hour(event_time) AS INTEGER) AS hour,
+        CAST(hour(event_time) + 1 AS INTEGER) AS hour_enc FROM ev""",
     "PRJ-3": f"WITH {EV} SELECT event_id, {PERIOD.format(h='hour(event_time)')} AS period FROM ev",
     "PRJ-4": f"WITH {EV} SELECT event_id, muid, event_name FROM ev WHERE muid = 7",
     "PRJ-5": f"""WITH {EV} SELECT event_id, muid, event_name FROM ev
