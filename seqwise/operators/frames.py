@@ -3,17 +3,16 @@
 A window partitioned by user puts every event of a user into one task. With one
 user holding a large share of all rows that task would never finish, so users
 above ``rows_per_split`` rows are cut into time ranges ("splits") of about that
-many rows. Expressions whose frame stays within ``[-before, +after]`` rows are
-evaluated per (user, split); only the rows whose frame crosses a split boundary
-("edge rows") are evaluated again in a second window over a small carrier set:
-the first/last ``before + after`` rows of every split of a hot user.
-
-Why the carrier set is enough: a head edge row (fewer than ``before`` earlier
-rows in its split) finds its earlier neighbours among the last ``before`` rows
-of earlier splits and its later neighbours among the first ``before + after``
-rows of its own split; tail edge rows are symmetric. So the second window sees
-every row any edge row's frame contains, and it is at most
-``2 * (before + after)`` rows per split.
+many rows, and the window runs per (user, split).
+
+Rows near a split boundary need neighbours from the next split over. Those
+neighbours ("halo rows") are found before the window, from a small pre-pass:
+per split only the last ``before`` and first ``after`` rows can ever be needed
+(a partial top-k before any shuffle), and one boundary marker per split picks,
+over that small candidate table, exactly the ``before`` rows preceding and the
+``after`` rows following the boundary. The halo rows are added to the input of
+their target split and dropped after the window, so every row's frame is
+complete and the events are shuffled once, on (user, split).
 
 Users at or below the threshold keep the plain plan: one hash exchange on the
 user key, one sort, one Window node.
@@ -56,16 +55,21 @@ def hot_key_splits(df: DataFrame, key: str, t_col: str, rows_per_split: int,
 
 
 def assign_splits(df: DataFrame, key: str, t_col: str, hot: DataFrame | None) -> DataFrame:
-    """Add ``_s`` (split number, monotone in time) and ``_nb`` (splits of the key)."""
+    """Add ``_s`` (split number, monotone in time), ``_nb`` (splits of the key)
+    and, for hot keys, ``_t0`` / ``_w`` (first time, split width). Integer
+    arithmetic, so boundaries ``_t0 + k * _w`` agree exactly with ``_s``."""
     if hot is None:
-        return df.withColumn("_s", F.lit(0).cast("long")).withColumn("_nb", F.lit(1).cast("long"))
-    j = df.join(hot, key, "left")
-    width = F.floor((F.col("_t1") - F.col("_t0")) / F.col("_nb")) + F.lit(1)
+        return (df.withColumn("_s", F.lit(0).cast("long")).withColumn("_nb", F.lit(1).cast("long"))
+                .withColumn("_t0", F.lit(None).cast("long")).withColumn("_w", F.lit(None).cast("long")))
+    j = df.join(hot_widths(hot), key, "left")
     split = F.when(F.col("_nb").isNull(), F.lit(0)).otherwise(
-        F.least(F.floor((F.col(t_col) - F.col("_t0")) / width), F.col("_nb") - 1))
+        F.least(F.expr(f"(`{t_col}` - _t0) div _w"), F.col("_nb") - 1))
     return (j.withColumn("_s", split.cast("long"))
-             .withColumn("_nb", F.coalesce(F.col("_nb"), F.lit(1)).cast("long"))
-             .drop("_t0", "_t1"))
+             .withColumn("_nb", F.coalesce(F.col("_nb"), F.lit(1)).cast("long")))
+
+
+def hot_widths(hot: DataFrame) -> DataFrame:
+    return hot.select("*", (F.expr("(_t1 - _t0) div _nb") + F.lit(1)).alias("_w")).drop("_t1")
 
 
 def bounded_window(df: DataFrame, key: str, order: list, t_col: str, before: int, after: int,
@@ -86,23 +90,61 @@ def bounded_window(df: DataFrame, key: str, order: list, t_col: str, before: int
         return df.select(*base_cols, *[c.alias(n) for n, c in cols.items()])
 
     names = list(make_cols(Window.partitionBy(key).orderBy(*order)).keys())
+    order_names = [c for c in order]
+    if not all(isinstance(c, str) for c in order_names):
+        raise TypeError("order must be column names")
     sp = assign_splits(df, key, t_col, hot)
+    halo = _halo_rows(sp, hot, key, order_names, t_col, base_cols, before, after)
+    sp = sp.select(*base_cols, "_s", F.lit(False).alias("_halo"))
+    u = sp.unionByName(halo) if halo is not None else sp
     wk = Window.partitionBy(key, "_s").orderBy(*order)
-    one = F.lit(1)
-    head_edge = ((F.col("_s") > 0) & F.lag(one, before).over(wk).isNull()) if before > 0 else F.lit(False)
-    tail_edge = ((F.col("_s") < F.col("_nb") - 1) & F.lead(one, after).over(wk).isNull()) \
-        if after > 0 else F.lit(False)
-    reach = before + after
-    carrier = (((F.col("_s") > 0) & F.lag(one, reach).over(wk).isNull())
-               | ((F.col("_s") < F.col("_nb") - 1) & F.lead(one, reach).over(wk).isNull()))
-    cols_k = make_cols(wk)
-    marked = sp.select(*base_cols, "_s", "_nb", head_edge.alias("_he"), tail_edge.alias("_te"),
-                       carrier.alias("_c"), *[c.alias(n) for n, c in cols_k.items()])
-    main = marked.where(~(F.col("_he") | F.col("_te"))).select(*base_cols, *names)
-    wu = Window.partitionBy(key).orderBy(*order)
-    cols_u = make_cols(wu)
-    edges = (marked.where(F.col("_c")).select(*base_cols, "_he", "_te")
-             .select(*base_cols, "_he", "_te", *[c.alias(n) for n, c in cols_u.items()])
-             .where(F.col("_he") | F.col("_te"))
-             .select(*base_cols, *names))
-    return main.unionByName(edges)
+    cols = make_cols(wk)
+    out = u.select(*base_cols, "_halo", *[c.alias(n) for n, c in cols.items()])
+    return out.where(~F.col("_halo")).select(*base_cols, *names)
+
+
+def _halo_rows(sp: DataFrame, hot: DataFrame, key: str, order: list[str], t_col: str,
+               base_cols: list[str], before: int, after: int) -> DataFrame | None:
+    """Rows each split of a hot key needs from other splits, tagged with the
+    target split. Small: at most ``before + after`` rows per split boundary."""
+    if before <= 0 and after <= 0:
+        return None
+    hot_rows = sp.where(F.col("_nb") > 1)
+    cands = []
+    if before > 0:  # last `before` rows of every split but the last
+        wd = Window.partitionBy(key, "_s").orderBy(*[F.col(c).desc() for c in order])
+        cands.append(hot_rows.withColumn("_rk", F.row_number().over(wd)).where(F.col("_rk") <= before)
+                     .where(F.col("_s") < F.col("_nb") - 1).drop("_rk"))
+    if after > 0:  # first `after` rows of every split but the first
+        wa = Window.partitionBy(key, "_s").orderBy(*order)
+        cands.append(hot_rows.withColumn("_rk", F.row_number().over(wa)).where(F.col("_rk") <= after)
+                     .where(F.col("_s") > 0).drop("_rk"))
+    cand = cands[0] if len(cands) == 1 else cands[0].unionByName(cands[1]).dropDuplicates([key, *order])
+    cand = cand.select(key, F.col(t_col).alias("_mt"), F.lit(1).alias("_tag"),
+                       *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)],
+                       F.struct(*base_cols).alias("_row"), F.lit(None).cast("long").alias("_b"))
+    # One marker per boundary b (start of split b), sorting before rows at that time.
+    hw = hot_widths(hot)
+    marks = hw.select(key, "_t0", "_w", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_nb") - 1)).alias("_b"))
+    marks = marks.select(key, (F.col("_t0") + F.col("_b") * F.col("_w")).alias("_mt"), F.lit(0).alias("_tag"),
+                         *[F.lit(None).cast(cand.schema[f"_o{i}"].dataType).alias(f"_o{i}")
+                           for i in range(len(order))],
+                         F.lit(None).cast(cand.schema["_row"].dataType).alias("_row"), "_b")
+    seq = Window.partitionBy(key).orderBy("_mt", "_tag", *[f"_o{i}" for i in range(len(order))])
+    # Position key: candidate number k -> 2k, a marker after k candidates ->
+    # 2k + 1, so range frames over it count candidates only, never markers.
+    m = cand.unionByName(marks).withColumn(
+        "_k", F.sum("_tag").over(seq.rowsBetween(Window.unboundedPreceding, 0)))
+    m = m.withColumn("_pos", F.when(F.col("_tag") == 1, F.col("_k") * 2).otherwise(F.col("_k") * 2 + 1))
+    by_pos = Window.partitionBy(key).orderBy("_pos")
+    picks = []
+    if before > 0:
+        picks.append(F.struct(F.col("_b").alias("_target"), F.collect_list("_row").over(
+            by_pos.rangeBetween(-(2 * before - 1), -1)).alias("_rows")))
+    if after > 0:
+        picks.append(F.struct((F.col("_b") - 1).alias("_target"), F.collect_list("_row").over(
+            by_pos.rangeBetween(1, 2 * after - 1)).alias("_rows")))
+    per_mark = m.select("_tag", F.array(*picks).alias("_p")).where(F.col("_tag") == 0)
+    flat = per_mark.select(F.explode("_p").alias("_p")).select(
+        F.col("_p._target").alias("_s"), F.explode("_p._rows").alias("_r"))
+    return flat.select(*[F.col(f"_r.{c}").alias(c) for c in base_cols], "_s", F.lit(True).alias("_halo"))

@@ -32,3 +32,15 @@ def test_window_features_one_exchange(spark):
     from __spark_entry__ import queries
     p = _plan(queries()["window_features"](spark, SF01))
     assert p.count("Exchange hashpartitioning") == 1
+
+
+def test_split_path_shuffles_events_once(spark):
+    from seqwise.operators.windows import sliding_windows
+    from seqwise.sources import TRAIN_COLUMNS, load_events
+    e = load_events(spark, SF01, TRAIN_COLUMNS + ["event_id"])
+    p = _plan(sliding_windows(e, rows_per_split=7))
+    # exactly one exchange keyed by (user, split) over the events + halo rows
+    assert p.count("Exchange hashpartitioning(muid") >= 1
+    lines = [l for l in p.splitlines() if "Exchange hashpartitioning(muid" in l and "_s#" in l]
+    full = [l for l in lines if "ENSURE_REQUIREMENTS" in l]
+    assert "WindowGroupLimit" in p and len(full) == 2  # events+halo, and the small candidate pre-pass
