@@ -52,6 +52,16 @@ def fit_heads(train: DataFrame, max_iter: int = 50, reg: float = 1e-3) -> dict:
     feat = _features(train)
     t = feat.transform(train).select("features", *BINARY_HEADS.values(), *REGRESSION_HEADS.values(),
                                       *[v[0] for v in CLASS_HEADS.values()])
+    # Eight fits read the same rows: compute the windows once (memory and disk,
+    # recomputed from lineage if an executor is lost); released after the fits.
+    t = t.persist()
+    try:
+        return _fit_all(feat, t, max_iter, reg)
+    finally:
+        t.unpersist()
+
+
+def _fit_all(feat, t: DataFrame, max_iter: int, reg: float) -> dict:
     models = {"_features": feat}
     for out, target in BINARY_HEADS.items():
         models[out] = LogisticRegression(featuresCol="features", labelCol=target, maxIter=max_iter,

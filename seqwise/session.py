@@ -56,6 +56,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(current)
         return current
+    if not sc.master.startswith("local"):
+        # A machine-local folder is not shared by the executors of a cluster.
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on HDFS or an object store)")
     path = tempfile.mkdtemp(prefix="seqwise-ckpt-", dir=os.environ.get("SEQWISE_SCRATCH", "/tmp"))
     sc.setCheckpointDir(path)
     return path

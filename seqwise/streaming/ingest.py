@@ -35,9 +35,13 @@ def ingest_stream(spark: SparkSession, records: DataFrame, event_schema: T.Struc
     def sink(batch: DataFrame, batch_id: int) -> None:
         # foreachBatch may re-run a batch after a failure: each batch owns one
         # folder and overwrites it, so a retry never duplicates rows.
-        valid, bad = split_valid(batch)
-        append_events(valid, batch_folder(table, batch_id), mode="overwrite")
-        bad.write.mode("overwrite").parquet(batch_folder(rejects, batch_id))
+        batch = batch.persist()  # read the micro-batch once for both outputs
+        try:
+            valid, bad = split_valid(batch)
+            append_events(valid, batch_folder(table, batch_id), mode="overwrite")
+            bad.write.mode("overwrite").parquet(batch_folder(rejects, batch_id))
+        finally:
+            batch.unpersist()
         stats["batches"] += 1
 
     q = (ev.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
