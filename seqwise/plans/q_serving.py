@@ -185,11 +185,24 @@ def sto_3(spark, sf_dir):
 
 @query("STO-4")
 def sto_4(spark, sf_dir):
-    j = _log_with_outcome(spark, sf_dir)
-    j = j.withColumn("actual_outcome", F.when(F.col("actual").isNotNull(), F.struct(
-        F.col("actual").alias("event_name"), F.col("actual_event_id").alias("event_id"))))
-    return j.select("prediction_id", F.col("actual_outcome.event_name").alias("actual_event_name"),
-                    F.col("actual_outcome.event_id").alias("actual_event_id"))
+    """Log predictions by day, attach the actual outcome, and rewrite only the
+    day partitions whose rows got an outcome (dynamic partition overwrite)."""
+    from seqwise.sources.sinks import overwrite_partitions
+    path = scratch_path(spark, "prediction_log_outcomes")
+    j = _log_with_outcome(spark, sf_dir).withColumn("day", F.date_format("created_at", "yyyy-MM-dd"))
+    base = j.select("prediction_id", "user_id", "model_version", "predicted_next_event", "day",
+                    F.lit(None).cast("struct<event_name:string,event_id:bigint>").alias("actual_outcome"))
+    base.write.mode("overwrite").partitionBy("day").parquet(path)
+    resolved = j.where(F.col("actual").isNotNull())
+    touched = resolved.select("day").distinct()
+    upd = j.join(touched, "day", "left_semi").select(
+        "prediction_id", "user_id", "model_version", "predicted_next_event", "day",
+        F.when(F.col("actual").isNotNull(), F.struct(
+            F.col("actual").alias("event_name"), F.col("actual_event_id").alias("event_id"))).alias("actual_outcome"))
+    overwrite_partitions(upd, path, "day")
+    back = spark.read.parquet(path)
+    return back.select("prediction_id", F.col("actual_outcome.event_name").alias("actual_event_name"),
+                       F.col("actual_outcome.event_id").alias("actual_event_id"))
 
 
 @query("SRC-10")

@@ -69,3 +69,28 @@ def from_stream_records(records: DataFrame, schema: T.StructType) -> DataFrame:
     """Decode JSON record values back into typed rows."""
     parsed = records.select(F.from_json("value", schema, JSON_TIME_OPTIONS).alias("r"))
     return parsed.select("r.*")
+
+
+def write_stream_records(records: DataFrame, path: str | None = None, kafka_servers: str | None = None,
+                         topic: str = EVENT_TOPIC) -> None:
+    """Publish keyed records: to Kafka when servers are given (the connector must
+    be on the classpath), else as JSON files under ``path``."""
+    if kafka_servers:
+        (records.select("key", "value").write.format("kafka")
+         .option("kafka.bootstrap.servers", kafka_servers).option("topic", topic).save())
+    else:
+        records.write.mode("append").json(path)
+
+
+def overwrite_partitions(df: DataFrame, path: str, partition_col: str) -> None:
+    """Rewrite only the partitions present in ``df`` (dynamic partition overwrite)."""
+    spark = df.sparkSession
+    old = spark.conf.get("spark.sql.sources.partitionOverwriteMode", None)
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        df.write.mode("overwrite").partitionBy(partition_col).parquet(path)
+    finally:
+        if old is None:
+            spark.conf.unset("spark.sql.sources.partitionOverwriteMode")
+        else:
+            spark.conf.set("spark.sql.sources.partitionOverwriteMode", old)
