@@ -79,27 +79,30 @@ def class_weight_vector(target: str, num_classes: int) -> Column:
         F.least(F.greatest(total / (F.lit(float(num_classes)) * n), F.lit(0.1)), F.lit(10.0))))
 
 
+# The loss expressions below are written as SQL text: the same plan as the
+# DataFrame-function form, but one JVM parse per expression instead of
+# thousands of driver round trips for ~100 aggregate columns.
+
 def with_log_softmax(df: DataFrame, logits: str, num_classes: int, out: str) -> DataFrame:
     """Project log p_c once per row: max, then log-sum-exp, then the C terms,
     as separate columns so expression size stays linear in C."""
-    el = [F.col(logits)[c] for c in range(num_classes)]
-    m = F.col(f"{out}_m")
-    lse = F.col(f"{out}_lse")
-    return (df.withColumn(f"{out}_m", F.greatest(*el) if num_classes > 1 else el[0])
-            .withColumn(f"{out}_lse", m + F.log(sum((F.exp(x - m) for x in el[1:]), F.exp(el[0] - m))))
-            .withColumn(out, F.array(*[x - lse for x in el])))
+    el = [f"`{logits}`[{c}]" for c in range(num_classes)]
+    mx = f"greatest({', '.join(el)})" if num_classes > 1 else el[0]
+    lse = f"`{out}_m` + ln({' + '.join(f'exp({x} - `{out}_m`)' for x in el)})"
+    terms = ", ".join(f"{x} - `{out}_lse`" for x in el)
+    return (df.withColumn(f"{out}_m", F.expr(mx))
+            .withColumn(f"{out}_lse", F.expr(lse))
+            .withColumn(out, F.expr(f"array({terms})")))
 
 
 def ce_partials(name: str, lp_col: str, target: str, num_classes: int) -> list[Column]:
     """Per-class partial sums of one pass: n_c, sum of -log p_y over rows of
     class c, and sum of log p_c over all rows (``lp_col``: log-softmax array)."""
-    lp = [F.col(lp_col)[c] for c in range(num_classes)]
-    y = F.col(target)
     out = []
     for c in range(num_classes):
-        out.append(F.count_if(y == c).alias(f"_{name}_n{c}"))
-        out.append(F.sum(F.when(y == c, -lp[c])).alias(f"_{name}_nll{c}"))
-        out.append(F.sum(lp[c]).alias(f"_{name}_lp{c}"))
+        out.append(F.expr(f"count_if(`{target}` = {c})").alias(f"_{name}_n{c}"))
+        out.append(F.expr(f"sum(CASE WHEN `{target}` = {c} THEN -`{lp_col}`[{c}] END)").alias(f"_{name}_nll{c}"))
+        out.append(F.expr(f"sum(`{lp_col}`[{c}])").alias(f"_{name}_lp{c}"))
     return out
 
 
@@ -107,18 +110,17 @@ def ce_from_partials(name: str, num_classes: int, smoothing: float, weighted: bo
     """PyTorch mean CE with class weights and label smoothing from the partials:
     (1-e) * sum_c w_c NLL_c / sum_c w_c n_c + e/C * (-sum_c w_c LP_c) / sum_c w_c n_c,
     with w_c = clamp(N / (C n_c), 0.1, 10), 1.0 for an absent class."""
-    n = [F.col(f"_{name}_n{c}") for c in range(num_classes)]
-    total = F.col("_n")
+    C = num_classes
+    n = [f"_{name}_n{c}" for c in range(C)]
     if weighted:
-        w = [F.when(x == 0, F.lit(1.0)).otherwise(
-            F.least(F.greatest(total / (F.lit(float(num_classes)) * x), F.lit(0.1)), F.lit(10.0))) for x in n]
+        w = [f"(CASE WHEN {x} = 0 THEN 1.0D ELSE least(greatest(_n / ({float(C)}D * {x}), 0.1D), 10.0D) END)"
+             for x in n]
     else:
-        w = [F.lit(1.0)] * num_classes
-    sw = sum((w[c] * n[c] for c in range(1, num_classes)), w[0] * n[0])
-    nll = sum((w[c] * F.coalesce(F.col(f"_{name}_nll{c}"), F.lit(0.0)) for c in range(1, num_classes)),
-              w[0] * F.coalesce(F.col(f"_{name}_nll0"), F.lit(0.0)))
-    smooth = -sum((w[c] * F.col(f"_{name}_lp{c}") for c in range(1, num_classes)), w[0] * F.col(f"_{name}_lp0"))
-    return F.lit(1.0 - smoothing) * nll / sw + F.lit(smoothing / num_classes) * smooth / sw
+        w = ["1.0D"] * C
+    sw = " + ".join(f"{w[c]} * {n[c]}" for c in range(C))
+    nll = " + ".join(f"{w[c]} * coalesce(_{name}_nll{c}, 0.0D)" for c in range(C))
+    smooth = " + ".join(f"{w[c]} * _{name}_lp{c}" for c in range(C))
+    return F.expr(f"{1.0 - smoothing}D * ({nll}) / ({sw}) + {smoothing / C}D * (-({smooth})) / ({sw})")
 
 
 def ce_loss_frame(df: DataFrame, logits: str, target: str, num_classes: int, smoothing: float = 0.0,
