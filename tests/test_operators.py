@@ -109,7 +109,7 @@ def test_reward_order(spark):
     assert got == [1.0, -2.0, 0.5, 0.5, -0.1, 1.0, None]
 
 
-def _torch_ce(logits, y, w, eps):
+def _pytorch_ce(logits, y, w, eps):
     """NumPy restatement of mean CE with class weights and label smoothing."""
     lp = logits - logits.max(1, keepdims=True)
     lp = lp - np.log(np.exp(lp).sum(1, keepdims=True))
@@ -119,7 +119,7 @@ def _torch_ce(logits, y, w, eps):
     return (1 - eps) * nll + eps / logits.shape[1] * smooth
 
 
-def test_cross_entropy_matches_reference_formula(spark):
+def test_cross_entropy_matches_pytorch_formula(spark):
     rng = np.random.default_rng(3)
     logits = rng.normal(size=(50, 4))
     y = rng.integers(0, 4, 50)
@@ -128,9 +128,9 @@ def test_cross_entropy_matches_reference_formula(spark):
     counts = np.bincount(y, minlength=4)
     w = np.where(counts == 0, 1.0, np.clip(len(y) / (4 * np.maximum(counts, 1)), 0.1, 10.0))
     got = M.ce_loss_frame(df, "lg", "y", 4, 0.1, weighted=True).first().loss
-    assert math.isclose(got, _torch_ce(logits, y, w, 0.1), rel_tol=1e-9)
+    assert math.isclose(got, _pytorch_ce(logits, y, w, 0.1), rel_tol=1e-9)
     plain = M.ce_loss_frame(df, "lg", "y", 4).first().loss
-    assert math.isclose(plain, _torch_ce(logits, y, np.ones(4), 0.0), rel_tol=1e-9)
+    assert math.isclose(plain, _pytorch_ce(logits, y, np.ones(4), 0.0), rel_tol=1e-9)
 
 
 def test_focal_loss(spark):
