@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,16 +30,6 @@ BUFFER_OUTPUT = ("prediction_id long, user_id long, model_version string, window
                  "engagement_score double, inactivity_risk double")
 
 
-def rule_scores(names: list[str]) -> tuple:
-    """Rule-based scores of a window (same rules as the batch scorer)."""
-    n = len(names)
-    cart = "add_to_cart" in names
-    if n and names[-1] == "purchase":
-        return 2.0, 60.0, "pageview", n * 0.15, float(10 - n)
-    nxt = "purchase" if cart else ("add_to_cart" if n > 2 else "viewcontent")
-    return min(95.0, n * 5.0 + (40.0 if cart else 0.0)), max(5.0, 80.0 - n * 10.0), nxt, n * 0.15, float(10 - n)
-
-
 class LastEventsBuffer(StatefulProcessor):
     """Keeps the newest ``size`` events of a user; on every arriving event emits
     the rule-based prediction over the newest ``size`` events up to it. Rows of
@@ -51,21 +42,34 @@ class LastEventsBuffer(StatefulProcessor):
         self.buf = handle.getListState("buf", "t long, event_id long, event_name string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["t_us", "event_id"])
-        buf = sorted(self.buf.get()) if self.buf.exists() else []
+        new = pd.concat(list(rows), ignore_index=True)[["t_us", "event_id", "event_name"]]
+        old = pd.DataFrame(list(self.buf.get()) if self.buf.exists() else [],
+                           columns=["t_us", "event_id", "event_name"])
+        seq = (pd.concat([old.assign(_new=False), new.assign(_new=True)], ignore_index=True)
+               .sort_values(["t_us", "event_id"], kind="stable").reset_index(drop=True))
+        # Rolling window of the newest `size` events up to each row (vectorised).
+        n = np.minimum(np.arange(1, len(seq) + 1), self.size)
+        cart = (seq["event_name"] == "add_to_cart").astype(int).rolling(self.size, min_periods=1).max() > 0
+        lp = (seq["event_name"] == "purchase").to_numpy()
+        cart = cart.to_numpy()
+        purchase = np.where(lp, 2.0, np.minimum(95.0, n * 5.0 + np.where(cart, 40.0, 0.0)))
+        churn = np.where(lp, 60.0, np.maximum(5.0, 80.0 - n * 10.0))
+        nxt = np.where(lp, "pageview", np.where(cart, "purchase", np.where(n > 2, "add_to_cart", "viewcontent")))
         muid = int(key[0])
-        out = []
-        for t, eid, name in zip(pdf["t_us"], pdf["event_id"], pdf["event_name"]):
-            buf.append((int(t), int(eid), name))
-            buf.sort()
-            buf = buf[-self.size:]
-            window = [b[2] for b in buf if (b[0], b[1]) <= (int(t), int(eid))][-self.size:]
-            p, c, nxt, eng, ina = rule_scores(window)
-            out.append((int(eid), muid, f"v{muid % 2}", len(window), p, c, nxt, eng, ina))
-        self.buf.put(buf)
-        yield pd.DataFrame(out, columns=["prediction_id", "user_id", "model_version", "window_events",
-                                         "purchase_probability", "churn_risk", "predicted_next_event",
-                                         "engagement_score", "inactivity_risk"])
+        m = seq["_new"].to_numpy()
+        out = pd.DataFrame({
+            "prediction_id": seq["event_id"].to_numpy()[m].astype("int64"),
+            "user_id": np.full(m.sum(), muid, dtype="int64"),
+            "model_version": f"v{muid % 2}",
+            "window_events": n[m].astype("int32"),
+            "purchase_probability": purchase[m], "churn_risk": churn[m],
+            "predicted_next_event": nxt[m],
+            "engagement_score": n[m] * 0.15, "inactivity_risk": (10 - n[m]).astype(float),
+        })
+        tail = seq.tail(self.size)
+        self.buf.put([(int(t), int(e), str(x)) for t, e, x in
+                      zip(tail["t_us"], tail["event_id"], tail["event_name"])])
+        yield out
 
     def close(self) -> None:
         pass
