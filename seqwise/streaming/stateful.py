@@ -113,29 +113,41 @@ class FeedbackProcessor(StatefulProcessor):
         return pd.DataFrame(rows, columns=["prediction_id", "predicted_next_event", "actual", "reward"])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["t_us", "tag", "rid"])
-        pending = sorted(self.pending.get()) if self.pending.exists() else []
-        out = []
-        for t, tag, rid, name in zip(pdf["t_us"], pdf["tag"], pdf["rid"], pdf["rname"]):
-            t = int(t)
-            if tag == 0:  # event: resolves every prediction strictly before it
-                still = []
-                for pt, pid, pred in pending:
-                    if pt < t:
-                        actual = name if t - pt <= WEEK_US else "churn"
-                        out.append((pid, pred, actual, reward_of(pred, actual)))
-                        self.handle.deleteTimer((pt + WEEK_US) // 1000 + 1)
-                    else:
-                        still.append((pt, pid, pred))
-                pending = still
-            else:  # prediction: wait; a timer fires once the watermark passes +168 h
-                pending.append((t, int(rid), name))
-                self.handle.registerTimer((t + WEEK_US) // 1000 + 1)
-        if pending:
-            self.pending.put(pending)
+        pdf = pd.concat(list(rows), ignore_index=True)
+        events = (pdf[pdf["tag"] == 0][["t_us", "rid", "rname"]]
+                  .rename(columns={"t_us": "et", "rid": "eid", "rname": "ename"})
+                  .sort_values(["et", "eid"], kind="stable"))
+        old = pd.DataFrame(list(self.pending.get()) if self.pending.exists() else [],
+                           columns=["t_us", "rid", "rname"]).assign(_old=True)
+        new = pdf[pdf["tag"] == 1][["t_us", "rid", "rname"]].assign(_old=False)
+        preds = pd.concat([old, new], ignore_index=True)
+        preds["t_us"] = preds["t_us"].astype("int64")
+        preds = preds.sort_values(["t_us", "rid"], kind="stable")
+        if len(events):
+            # first event strictly after each prediction
+            events["et"] = events["et"].astype("int64")
+            m = pd.merge_asof(preds, events, left_on="t_us", right_on="et", direction="forward",
+                              allow_exact_matches=False)
+        else:
+            m = preds.assign(et=np.nan, eid=np.nan, ename=None)
+        done = m[m["et"].notna()]
+        still = m[m["et"].isna()]
+        for pt in done.loc[done["_old"], "t_us"]:
+            self.handle.deleteTimer((int(pt) + WEEK_US) // 1000 + 1)
+        for pt in still.loc[~still["_old"], "t_us"]:
+            self.handle.registerTimer((int(pt) + WEEK_US) // 1000 + 1)
+        if len(still):
+            self.pending.put([(int(t), int(r), str(n)) for t, r, n in
+                              zip(still["t_us"], still["rid"], still["rname"])])
         else:
             self.pending.clear()
-        yield self._emit(out)
+        actual = np.where(done["et"].to_numpy() - done["t_us"].to_numpy() <= WEEK_US,
+                          done["ename"].to_numpy(), "churn")
+        pred = done["rname"].to_numpy()
+        reward = np.where(pred == actual, 1.0, np.where(actual == "churn", -2.0, np.where(
+            np.isin(actual, ["purchase", "checkout"]), 0.5, -0.1)))
+        yield pd.DataFrame({"prediction_id": done["rid"].astype("int64").to_numpy(),
+                            "predicted_next_event": pred, "actual": actual, "reward": reward})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         wm_us = timerValues.getCurrentWatermarkInMs() * 1000
