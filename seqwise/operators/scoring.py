@@ -150,3 +150,22 @@ def onnx_scorer_factory(model_path: str, input_map: dict[str, str] | None = None
                                  for k, v in outs.items()})
         return score
     return factory
+
+
+def predict_batch(history: DataFrame, recent: DataFrame, vocab: DataFrame, event_names: list[str],
+                  channels: list[str], scorer_factory: Callable[[], Callable] = feature_scorer,
+                  model_version: str = "v1") -> DataFrame:
+    """Batch prediction for every user: request-time events merged with the
+    stored history (one row per event id), the newest 20 as the serving
+    window, serving-side features, the scorer, decoded fields, one log row per
+    user."""
+    from seqwise.operators.sampling import merge_recent
+    from seqwise.operators.sequences import serving_features, serving_windows
+    merged = merge_recent(history, recent)
+    sw = serving_windows(merged, vocab)
+    scored = score_windows(serving_features(sw), scorer_factory, keep=["muid", "n_events"])
+    d = decode_predictions(scored, event_names, channels)
+    return d.select(F.col("muid").alias("user_id"), F.lit(model_version).alias("model_version"),
+                    F.col("n_events").alias("window_events"), "purchase_probability", "churn_risk",
+                    "next_event", "preferred_channel", "engagement_score", "inactivity_risk",
+                    "recommended_action", "active_time")

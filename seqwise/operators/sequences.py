@@ -61,7 +61,7 @@ def serving_features(sw: DataFrame) -> DataFrame:
         return F.when(n > 0, _count_name(names, name) / n).otherwise(F.lit(0.0))
 
     return sw.select(
-        "muid",
+        "muid", "n_events",
         ratio("purchase").alias("purchase_ratio"),
         ratio("add_to_cart").alias("atc_ratio"),
         ratio("scroll").alias("scroll_ratio"),

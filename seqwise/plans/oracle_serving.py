@@ -282,4 +282,23 @@ ORACLE_SERVING: dict[str, str] = {
     "SRT-4": f"""WITH {EV}, {PL} SELECT prediction_id, user_id, predicted_next_event FROM (
         SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, prediction_id DESC) AS rk
         FROM pl) WHERE rk <= 5""",
+    "predict_batch": f"""WITH {EV}, {TAIL},
+        u AS (SELECT muid, count(*) AS n,
+          count(*) FILTER (WHERE event_name = 'purchase') / count(*) AS pr,
+          count(*) FILTER (WHERE event_name = 'add_to_cart') / count(*) AS ar,
+          count(*) FILTER (WHERE event_name = 'scroll') / count(*) AS sr,
+          count(DISTINCT event_name) / 10.0 AS ut, 0.5 AS td, 1.0 AS sc FROM tail GROUP BY muid),
+        s AS (SELECT muid, n, pr * 10.0 - 1.0 AS p_purchase, sr * 4.0 - 2.0 AS p_churn,
+          [0.0::DOUBLE, sr, ar, ut, 0.1::DOUBLE, 0.1::DOUBLE, pr] AS p_next_event,
+          [0.0::DOUBLE, sc, 1.0 - sc] AS p_channel, 1.0 - sr AS p_engagement, td AS p_inactivity,
+          list_concat([0.0::DOUBLE, sr, ar, ut, 0.1::DOUBLE, 0.1::DOUBLE, pr],
+                      list_transform(range(13), lambda x: 0.0::DOUBLE)) AS p_action,
+          [td, 0.5::DOUBLE, ut, 0.5::DOUBLE] AS p_active_period FROM u)
+        SELECT muid AS user_id, 'v1' AS model_version, CAST(n AS INTEGER) AS window_events,
+          round({sig('p_purchase')}, 9) AS purchase_probability, round({sig('p_churn')}, 9) AS churn_risk,
+          round(p_engagement, 9) AS engagement_score, round(p_inactivity, 9) AS inactivity_risk,
+          {_name(EVENT_NAMES, am('p_next_event'))} AS next_event,
+          {_name(CHANNELS, am('p_channel'))} AS preferred_channel,
+          'action_' || CAST({am('p_action')} AS VARCHAR) AS recommended_action,
+          'period_' || CAST({am('p_active_period')} AS VARCHAR) AS active_time FROM s""",
 }

@@ -355,3 +355,18 @@ def srt_4(spark, sf_dir):
     log = _log(spark, sf_dir)
     top = A.newest_events(log, 5, key="user_id", time_col="created_at", tie="prediction_id")
     return top.select("prediction_id", "user_id", "predicted_next_event")
+
+
+@query("predict_batch")
+def predict_batch_q(spark, sf_dir):
+    """Batch form of the prediction entry point: request events (each user's
+    newest 5) merged with history (all but the newest 3), serving window,
+    scorer, decoded fields."""
+    e = ev(spark, sf_dir)
+    recent = A.newest_events(e, 5)
+    history = e.join(A.newest_events(e, 3).select("event_id"), "event_id", "left_anti")
+    p = SC.predict_batch(history, recent, build_vocab(e), EVENT_NAMES, CHANNELS)
+    return p.select("user_id", "model_version", "window_events",
+                    *[r9(c).alias(c) for c in ["purchase_probability", "churn_risk", "engagement_score",
+                                               "inactivity_risk"]],
+                    "next_event", "preferred_channel", "recommended_action", "active_time")
