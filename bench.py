@@ -14,8 +14,11 @@ import time
 ROOT = os.path.dirname(os.path.abspath(__file__))
 sys.path.insert(0, ROOT)
 
-HEADLINE = ["window_features", "WIN-2", "LBL-8", "SEQ-1", "AGG-2", "VOC-3", "SRT-2",
-            "JOI-4", "FBK-1", "SCO-3", "MET-5", "STO-1"]
+# Training-set build (windows, sequences, labels), feature ETL and documents,
+# vocabularies, ranking, as-of join and rewards, scoring and losses, store
+# upsert, batch prediction.
+HEADLINE = ["window_features", "WIN-2", "LBL-8", "SEQ-1", "AGG-1", "AGG-2", "VOC-3", "SRT-2",
+            "JOI-4", "FBK-1", "SCO-3", "MET-5", "STO-1", "predict_batch"]
 
 
 def main() -> None:
