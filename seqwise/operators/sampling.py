@@ -68,8 +68,13 @@ def paginate(df: DataFrame, order: str, limit: int, offset: int = 0) -> DataFram
 
 def merge_recent(history: DataFrame, recent: DataFrame, key: str = "event_id") -> DataFrame:
     """Union request-time events with stored history, one row per event id
-    (request copy wins). Dedup is a grouped aggregate: partial per task."""
-    tagged = (history.withColumn("_pri", F.lit(0)).unionByName(recent.withColumn("_pri", F.lit(1))))
+    (the request copy wins). The stored history is keyed already, so only the
+    recent rows are deduplicated (a small partial aggregate) and the history
+    loses the ids they replace through an anti join against the recent ids,
+    broadcast after a size check: the history itself is never shuffled."""
+    from seqwise.operators.util import broadcast_checked
     cols = [c for c in history.columns if c != key]
-    best = tagged.groupBy(key).agg(F.max_by(F.struct(*cols), F.col("_pri")).alias("_r"))
-    return best.select(key, *[F.col(f"_r.{c}").alias(c) for c in cols])
+    rec = (recent.groupBy(key).agg(F.max_by(F.struct(*cols), F.col(cols[0])).alias("_r"))
+           .select(key, *[F.col(f"_r.{c}").alias(c) for c in cols]))
+    kept = history.join(broadcast_checked(rec.select(key)), key, "left_anti")
+    return kept.select(key, *cols).unionByName(rec)
