@@ -26,8 +26,11 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     from seqwise.session import build_session
     from seqwise.plans.registry import all_queries
+    extra = {}
+    if os.environ.get("BENCH_EVENT_LOG"):  # stage/task times without the UI
+        extra = {"spark.eventLog.enabled": "true", "spark.eventLog.dir": os.environ["BENCH_EVENT_LOG"]}
     spark = build_session(master=f"local[{cpus}]", shuffle_partitions=int(cpus),
-                          app_name="seqwise-bench")
+                          app_name="seqwise-bench", extra=extra)
     qs = all_queries()
     names = [n for n in (sys.argv[1:] or HEADLINE) if n in qs]
 

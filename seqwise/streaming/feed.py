@@ -45,6 +45,14 @@ def write_record_feed(events: DataFrame, folder: str, chunks: int = 6) -> int:
     return write_chunked(event_records(events), folder, "_feed_time", chunks)
 
 
-def read_record_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1) -> DataFrame:
+def read_record_stream(spark: SparkSession, folder: str | None = None, files_per_trigger: int = 1,
+                       kafka_servers: str | None = None, topic: str = EVENT_TOPIC) -> DataFrame:
+    """Keyed records as a stream: from Kafka when servers are given (the
+    connector must be on the classpath), else from JSON record files."""
+    if kafka_servers:
+        return (spark.readStream.format("kafka").option("kafka.bootstrap.servers", kafka_servers)
+                .option("subscribe", topic).load()
+                .select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"),
+                        F.col("topic")))
     return (spark.readStream.schema(RECORD_SCHEMA).option("maxFilesPerTrigger", files_per_trigger)
             .json(folder).select("key", "value", "topic"))
