@@ -49,3 +49,22 @@ def test_feature_upkeep_retry_is_idempotent(spark):
     got = SF.read_features(spark, table, "2024-02-01 00:00:00")
     exp = user_features(e, "2024-02-01 00:00:00").drop("last_event_time").select(*got.columns)
     assert got.exceptAll(exp).count() == 0 and exp.exceptAll(got).count() == 0
+
+
+def test_dedup_ingest_drops_and_counts_late_rows(spark):
+    from seqwise.plans import q_streaming as QS
+    from seqwise.sources import load_events
+    from seqwise.sources.events import EVENT_COLUMNS
+    from seqwise.sources.sinks import scratch_path
+    from seqwise.streaming import ingest as SI
+    from conftest import SF001
+    early = F.lit("2024-01-05").cast("timestamp_ntz")
+    schema, rec = QS._feed(spark, SF001, extra=lambda e: e.where(F.col("event_time") < early))
+    table = scratch_path(spark, "t")
+    stats = SI.ingest_stream(spark, rec, schema, table, scratch_path(spark, "r"), scratch_path(spark, "c"),
+                             dedup_delay="2 days")
+    e = load_events(spark, SF001)
+    n_redelivered = e.where(F.col("event_time") < early).count()
+    assert stats["late_dropped"] == n_redelivered > 0
+    got = spark.read.parquet(table).select(*EVENT_COLUMNS)
+    assert got.count() == e.count() and got.exceptAll(e.select(*EVENT_COLUMNS)).count() == 0
