@@ -23,9 +23,11 @@ def sample_users(events: DataFrame, n: int, seed: int = 42, key: str = "muid") -
 
     Distinct users is a partial aggregate; the top-n is TakeOrderedAndProject
     (each task keeps n); the chosen set has at most n rows, so it is broadcast."""
+    from seqwise.operators.util import BROADCAST_MAX_ROWS
     users = events.select(key).distinct()
     chosen = users.orderBy(md5_order_key(key, seed), key).limit(n)
-    return events.join(F.broadcast(chosen), key, "left_semi")
+    # the chosen set has at most n rows: broadcast when n is within the limit
+    return events.join(F.broadcast(chosen) if n <= BROADCAST_MAX_ROWS else chosen, key, "left_semi")
 
 
 def split_by_user(df: DataFrame, val_pct: int = 15, seed: int = 42, key: str = "muid") -> DataFrame:
