@@ -4,7 +4,7 @@ sorting, sampling and aggregates."""
 from __future__ import annotations
 
 from seqwise.functions.constants import DYNAMIC_FEATURES, EVENT_MAX_LEN, USER_MAX_LEN
-from seqwise.plans.oracle import ENC, EV, PERIOD, _norm, _static, windows_sql
+from seqwise.plans.oracle import EV, PERIOD, _norm, _static, windows_sql
 
 TRAIN = "muid, event_name, event_time, device_os, channel, category, traffic_source, session_id"
 ALL_EV = ("event_id, muid, session_id, event_name, event_time, device_os, channel, traffic_source, "

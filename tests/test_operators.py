@@ -2,7 +2,6 @@ import datetime as dt
 import math
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from conftest import SF01
 from helpers import T0, ev, frame

@@ -1,7 +1,6 @@
 import tempfile
 
 import pytest
-from pyspark.sql import functions as F
 
 from conftest import SF001
 from seqwise.sources import read_events, read_users
