@@ -301,4 +301,5 @@ ORACLE_SERVING: dict[str, str] = {
           {_name(CHANNELS, am('p_channel'))} AS preferred_channel,
           'action_' || CAST({am('p_action')} AS VARCHAR) AS recommended_action,
           'period_' || CAST({am('p_active_period')} AS VARCHAR) AS active_time FROM s""",
+    "STR-5-total": "SELECT count(*) AS events_ingested_total FROM events",
 }

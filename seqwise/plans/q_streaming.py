@@ -98,3 +98,11 @@ def str_6(spark, sf_dir):
          .option("checkpointLocation", scratch_path(spark, "ckpt")).trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(out)
+
+
+@query("STR-5-total")
+def str_5_total(spark, sf_dir):
+    schema, rec = _feed(spark, sf_dir)
+    table = scratch_path(spark, "ingest_total")
+    SI.total_count_stream(rec, schema, table, scratch_path(spark, "ckpt"))
+    return SI.read_total_count(spark, table)

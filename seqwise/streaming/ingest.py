@@ -74,3 +74,20 @@ def hourly_counts_stream(records: DataFrame, event_schema: T.StructType, table:
 def read_hourly_counts(spark: SparkSession, table: str) -> DataFrame:
     t = spark.read.parquet(table)
     return t.groupBy("hour_start").agg(F.max_by("n_events", "batch_id").alias("n_events"))
+
+
+def total_count_stream(records: DataFrame, event_schema: T.StructType, table: str, checkpoint: str) -> None:
+    """Global ingest counter: one row of state, rewritten per micro-batch."""
+    counts = decode(records, event_schema).agg(F.count(F.lit(1)).alias("events_ingested_total"))
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(batch_folder(table, batch_id, "batch_id"))
+
+    q = (counts.writeStream.outputMode("complete").foreachBatch(sink)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
+def read_total_count(spark: SparkSession, table: str) -> DataFrame:
+    t = spark.read.parquet(table)
+    return t.agg(F.max_by("events_ingested_total", "batch_id").alias("events_ingested_total"))
