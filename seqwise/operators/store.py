@@ -69,3 +69,12 @@ def lookup_features(requests: DataFrame, cache: DataFrame, store: DataFrame, as_
     return j.select("user_id", src.alias("source"),
                     F.when(fresh, F.col("_cf")).otherwise(F.col("_sf")).alias("features"),
                     (~fresh & F.col("_sf").isNotNull()).alias("write_back"))
+
+
+def write_back_cache(cache: DataFrame, lookups: DataFrame, as_of: str) -> DataFrame:
+    """Write-through: store hits of a lookup replace/insert the cache rows of
+    their users, stamped ``computed_at = as_of`` (anti join + union, keyed)."""
+    fresh = (lookups.where(F.col("write_back"))
+             .select("user_id", "features", F.lit(as_of).cast("timestamp_ntz").alias("computed_at")))
+    kept = cache.join(fresh.select("user_id"), "user_id", "left_anti")
+    return kept.select("user_id", "features", "computed_at").unionByName(fresh)

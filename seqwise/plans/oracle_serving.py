@@ -302,4 +302,6 @@ ORACLE_SERVING: dict[str, str] = {
           'action_' || CAST({am('p_action')} AS VARCHAR) AS recommended_action,
           'period_' || CAST({am('p_active_period')} AS VARCHAR) AS active_time FROM s""",
     "STR-5-total": "SELECT count(*) AS events_ingested_total FROM events",
+    "JOI-3-writeback": f"""WITH {EV}, {STORE}
+        SELECT user_id, total_events, (3590 + user_id % 20) >= 3600 AS written_back FROM store""",
 }

@@ -138,6 +138,18 @@ def joi_3(spark, sf_dir):
     return out.select("user_id", "source", F.col("features.total_events").alias("total_events"), "write_back")
 
 
+@query("JOI-3-writeback")
+def joi_3_writeback(spark, sf_dir):
+    """The cache after writing back the store hits of the JOI-3 lookup."""
+    store = _store_v2(spark, sf_dir)
+    cache = store.withColumn("computed_at", F.lit(AS_OF).cast("timestamp_ntz")
+                             - F.make_interval(secs=(F.lit(3590) + F.col("user_id") % 20).cast("int")))
+    requests = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("user_id"))
+    new_cache = ST.write_back_cache(cache, ST.lookup_features(requests, cache, store, AS_OF), AS_OF)
+    return new_cache.select("user_id", F.col("features.total_events").alias("total_events"),
+                            (F.col("computed_at") == F.lit(AS_OF).cast("timestamp_ntz")).alias("written_back"))
+
+
 @query("JOI-4")
 def joi_4(spark, sf_dir):
     e = ev(spark, sf_dir, ["event_id", "muid", "event_name", "event_time"])
