@@ -32,6 +32,14 @@ DEFAULT_ROWS_PER_SPLIT = 2_000_000
 HOT_BROADCAST_MAX_ROWS = 200_000
 
 
+def configured_rows_per_split(df: DataFrame, default: int) -> int:
+    """``seqwise.rowsPerSplit`` from the session overrides the code default
+    (only when the caller kept the default)."""
+    if default != DEFAULT_ROWS_PER_SPLIT:
+        return default
+    return int(df.sparkSession.conf.get("seqwise.rowsPerSplit", str(default)))
+
+
 def hot_key_splits(df: DataFrame, key: str, t_col: str, rows_per_split: int,
                    broadcast_max_rows: int = HOT_BROADCAST_MAX_ROWS) -> DataFrame | None:
     """Per hot key: number of splits and time range, or None when no key is hot.
@@ -83,6 +91,7 @@ def bounded_window(df: DataFrame, key: str, order: list, t_col: str, before: int
     column) and must only use frames / offsets within ``[-before, +after]``."""
     base_cols = df.columns
     if isinstance(hot, str):
+        rows_per_split = configured_rows_per_split(df, rows_per_split)
         hot = hot_key_splits(df, key, t_col, rows_per_split)
     if hot is None:
         w = Window.partitionBy(key).orderBy(*order)
