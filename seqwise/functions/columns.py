@@ -12,8 +12,10 @@ _EPOCH_NTZ = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
 
 
 def epoch_us(df: DataFrame, name: str) -> Column:
-    """Microseconds since the epoch, independent of the session time zone for
-    TIMESTAMP_NTZ (wall clock taken as UTC) and exact for TIMESTAMP."""
+    """Microseconds since the epoch. TIMESTAMP_NTZ wall clock is read as UTC:
+    the difference is taken under the session time zone, which the engine pins
+    to UTC (``session.pin_utc``), so no daylight-saving shift can enter.
+    TIMESTAMP values are exact."""
     dt = df.schema[name].dataType
     if isinstance(dt, T.TimestampNTZType):
         return F.expr(f"timestampdiff(MICROSECOND, {_EPOCH_NTZ}, `{name}`)")
