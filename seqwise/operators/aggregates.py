@@ -86,10 +86,12 @@ def describe(df: DataFrame, col: str, approx: bool = False, accuracy: int = 1000
 
 
 def with_stats_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row statistics frame to every row: an
-    equi-join on a constant key against a broadcast of exactly one row."""
-    return (df.withColumn("_one", F.lit(1))
-            .join(F.broadcast(one_row.withColumn("_one", F.lit(1))), "_one").drop("_one"))
+    """Attach the columns of a one-row statistics frame to every row as an
+    uncorrelated scalar subquery (computed once, no join): the columns are
+    packed into one struct so the statistics run a single time."""
+    cols = one_row.columns
+    packed = one_row.select(F.struct(*cols).alias("_stats")).scalar()
+    return df.select("*", *[packed[c].alias(c) for c in cols])
 
 
 def histogram(df: DataFrame, col: str, bins: int = 50, crop_q: float = 0.99) -> DataFrame:

@@ -44,3 +44,20 @@ def test_split_path_shuffles_events_once(spark):
     lines = [l for l in p.splitlines() if "Exchange hashpartitioning(muid" in l and "_s#" in l]
     full = [l for l in lines if "ENSURE_REQUIREMENTS" in l]
     assert "WindowGroupLimit" in p and len(full) == 2  # events+halo, and the small candidate pre-pass
+
+
+def test_no_cartesian_or_row_python_in_any_batch_query(spark):
+    """Every registered batch query: no cross products, no nested-loop joins,
+    no row-at-a-time Python UDFs (only Arrow-batched mapInPandas)."""
+    from __spark_entry__ import queries
+    from conftest import SF001
+    bad = {}
+    for name, fn in queries().items():
+        if name.startswith(("STR-", "TRN-")):
+            continue  # streams run when built; MLlib fits are not SQL plans
+        p = _plan(fn(spark, SF001))
+        found = [op for op in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython",
+                               "ArrowEvalPython") if op in p]
+        if found:
+            bad[name] = found
+    assert bad == {}
