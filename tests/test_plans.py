@@ -58,6 +58,8 @@ def test_no_cartesian_or_row_python_in_any_batch_query(spark):
         p = _plan(fn(spark, SF001))
         found = [op for op in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython",
                                "ArrowEvalPython") if op in p]
+        # column pruning: columns the event/user model never uses are never read
+        found += [c for c in ("value:double", "c_acctbal", "c_mktsegment") if c in p]
         if found:
             bad[name] = found
     assert bad == {}
