@@ -21,6 +21,7 @@ user key, one sort, one Window node.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -30,6 +31,26 @@ DEFAULT_ROWS_PER_SPLIT = 2_000_000
 # Hot-user statistics are broadcast only up to this many users (a few MB);
 # beyond it they are joined with a shuffle (AQE splits skewed join partitions).
 HOT_BROADCAST_MAX_ROWS = 200_000
+# Time resolution used to balance splits: fine buckets per expected split, and
+# a cap on buckets per user. The bucket -> split map is broadcast up to
+# BUCKET_BROADCAST_MAX_ROWS rows.
+FINE_BUCKETS_PER_SPLIT = 64
+MAX_FINE_BUCKETS = 1 << 20
+BUCKET_BROADCAST_MAX_ROWS = 1_000_000
+
+
+SUB_BUCKETS = 1024  # a heavy fine bucket is cut into this many sub-buckets
+
+
+@dataclass
+class HotSplits:
+    """Split plan of the hot keys. ``users`` (key, _t0, _fw, _nb); ``heavy``
+    (key, _f, _fw2): fine buckets cut into sub-buckets; ``buckets`` (key, _f,
+    _f2, _s, _start): (bucket, sub-bucket) -> split, count balanced."""
+    users: DataFrame
+    heavy: DataFrame
+    buckets: DataFrame
+    broadcast: bool
 
 
 def configured_rows_per_split(df: DataFrame, default: int) -> int:
@@ -40,50 +61,109 @@ def configured_rows_per_split(df: DataFrame, default: int) -> int:
     return int(df.sparkSession.conf.get("seqwise.rowsPerSplit", str(default)))
 
 
-def hot_key_splits(df: DataFrame, key: str, t_col: str, rows_per_split: int,
-                   broadcast_max_rows: int = HOT_BROADCAST_MAX_ROWS) -> DataFrame | None:
-    """Per hot key: number of splits and time range, or None when no key is hot.
+def _count_persisted(df: DataFrame) -> tuple[DataFrame, int]:
+    df = df.persist()  # shared by the size check and the join; lineage if lost
+    return df, df.count()
+
+
+def _maybe_broadcast(df: DataFrame, small: bool) -> DataFrame:
+    return F.broadcast(df) if small else df
+
+
+def _fine(key: str, t_col: str) -> Column:
+    return F.expr(f"(`{t_col}` - _t0) div _fw").alias("_f")
 
-    The per-key count is a partial (map-side combined) aggregate, so counting a
-    hot key costs no skew. One small action decides whether the split path is
-    needed and whether the statistics may be broadcast."""
+
+def _sub(t_col: str) -> Column:
+    return F.when(F.col("_fw2").isNull(), F.lit(0).cast("long")).otherwise(
+        F.expr(f"(`{t_col}` - _t0 - _f * _fw) div _fw2")).alias("_f2")
+
+
+def hot_key_splits(df: DataFrame, key: str, t_col: str, rows_per_split: int,
+                   broadcast_max_rows: int = HOT_BROADCAST_MAX_ROWS) -> HotSplits | None:
+    """Split plan for keys with more than ``rows_per_split`` rows, or None.
+
+    1. Per key count and time range: a partial (map-side) aggregate, so a hot
+       key costs no skew; one small action decides whether splitting is needed.
+    2. For hot keys only, a histogram over fine time buckets; buckets holding
+       more than a quarter of a split get a second histogram over sub-buckets.
+       Both are partial aggregates. A running count over (bucket, sub-bucket)
+       starts a new split every ``rows_per_split`` rows, so splits hold about
+       that many rows even when a key's events come in bursts (only rows with
+       the very same timestamp can never be separated)."""
     stats = (df.groupBy(key)
              .agg(F.count(F.lit(1)).alias("_n"), F.min(t_col).alias("_t0"), F.max(t_col).alias("_t1"))
-             .where(F.col("_n") > rows_per_split)
-             .select(key, F.ceil(F.col("_n") / F.lit(rows_per_split)).cast("long").alias("_nb"),
-                     "_t0", "_t1"))
-    # Persist the (tiny) hot-key table so the size check and the join share it;
-    # if an executor is lost it is recomputed from lineage.
-    stats = stats.persist()
-    n_hot = stats.count()
+             .where(F.col("_n") > rows_per_split))
+    n_fine = F.least(F.ceil(F.col("_n") / F.lit(rows_per_split)) * FINE_BUCKETS_PER_SPLIT,
+                     F.lit(MAX_FINE_BUCKETS)).cast("long")
+    stats = stats.select(key, "_t0", ((F.expr("(_t1 - _t0)") / n_fine).cast("long") + 1).alias("_fw"))
+    stats, n_hot = _count_persisted(stats)
     if n_hot == 0:
         stats.unpersist()
         return None
-    return F.broadcast(stats) if n_hot <= broadcast_max_rows else stats
-
-
-def assign_splits(df: DataFrame, key: str, t_col: str, hot: DataFrame | None) -> DataFrame:
-    """Add ``_s`` (split number, monotone in time), ``_nb`` (splits of the key)
-    and, for hot keys, ``_t0`` / ``_w`` (first time, split width). Integer
-    arithmetic, so boundaries ``_t0 + k * _w`` agree exactly with ``_s``."""
+    hs = _maybe_broadcast(stats, n_hot <= broadcast_max_rows)
+    rows = df.select(key, t_col).join(hs, key).select(key, t_col, "_t0", "_fw", _fine(key, t_col))
+    fine = rows.groupBy(key, "_f").agg(F.count(F.lit(1)).alias("_c"))
+    heavy, n_heavy = _count_persisted(
+        fine.where(F.col("_c") > max(rows_per_split // 4, 1)).join(hs, key)
+        .select(key, "_f", (F.col("_fw") / F.lit(SUB_BUCKETS)).cast("long").alias("_q"))
+        .select(key, "_f", (F.col("_q") + 1).alias("_fw2")))
+    hv = _maybe_broadcast(heavy, n_heavy <= BUCKET_BROADCAST_MAX_ROWS)
+    light = fine.join(hv.select(key, "_f"), [key, "_f"], "left_anti").select(
+        key, "_f", F.lit(0).cast("long").alias("_f2"), "_c")
+    sub = (rows.join(hv, [key, "_f"]).select(key, "_f", _sub(t_col))
+           .groupBy(key, "_f", "_f2").agg(F.count(F.lit(1)).alias("_c")))
+    allb = light.unionByName(sub).join(hs, key)
+    w = Window.partitionBy(key).orderBy("_f", "_f2")
+    before = F.coalesce(F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    b = allb.join(heavy.select(key, "_f", "_fw2"), [key, "_f"], "left").select(
+        key, "_t0", "_fw", "_f", "_f2", (before / F.lit(rows_per_split)).cast("long").alias("_s"),
+        (F.col("_t0") + F.col("_f") * F.col("_fw") + F.coalesce(F.col("_f2") * F.col("_fw2"), F.lit(0)))
+        .alias("_start"))
+    b = b.withColumn("_nb", F.max("_s").over(Window.partitionBy(key)) + 1)
+    b, n_b = _count_persisted(b)
+    small = n_b <= BUCKET_BROADCAST_MAX_ROWS
+    users = _maybe_broadcast(b.select(key, "_t0", "_fw", "_nb").distinct(), small)
+    return HotSplits(users=users, heavy=hv, buckets=_maybe_broadcast(b.select(key, "_f", "_f2", "_s", "_start"), small),
+                     broadcast=small)
+
+
+def assign_splits(df: DataFrame, key: str, t_col: str, hot: HotSplits | None) -> DataFrame:
+    """Add ``_s`` (split number, monotone in time) and ``_nb`` (splits of the
+    key); 0 and 1 for keys that are not hot."""
     if hot is None:
-        return (df.withColumn("_s", F.lit(0).cast("long")).withColumn("_nb", F.lit(1).cast("long"))
-                .withColumn("_t0", F.lit(None).cast("long")).withColumn("_w", F.lit(None).cast("long")))
-    j = df.join(hot_widths(hot), key, "left")
-    split = F.when(F.col("_nb").isNull(), F.lit(0)).otherwise(
-        F.least(F.expr(f"(`{t_col}` - _t0) div _w"), F.col("_nb") - 1))
-    return (j.withColumn("_s", split.cast("long"))
-             .withColumn("_nb", F.coalesce(F.col("_nb"), F.lit(1)).cast("long")))
-
-
-def hot_widths(hot: DataFrame) -> DataFrame:
-    return hot.select("*", (F.expr("(_t1 - _t0) div _nb") + F.lit(1)).alias("_w")).drop("_t1")
+        return df.withColumn("_s", F.lit(0).cast("long")).withColumn("_nb", F.lit(1).cast("long"))
+    j = df.join(hot.users, key, "left")
+
+    def locate(x: DataFrame, how: str) -> DataFrame:
+        x = x.withColumn("_f", F.expr(f"(`{t_col}` - _t0) div _fw"))
+        x = x.join(hot.heavy, [key, "_f"], "left").withColumn("_f2", _sub(t_col))
+        return x.join(hot.buckets.select(key, "_f", "_f2", "_s"), [key, "_f", "_f2"], how)
+
+    if hot.broadcast:
+        j = locate(j, "left")
+        return (j.withColumn("_s", F.coalesce(F.col("_s"), F.lit(0)).cast("long"))
+                 .withColumn("_nb", F.coalesce(F.col("_nb"), F.lit(1)).cast("long"))
+                 .drop("_f", "_f2", "_fw2", "_t0", "_fw"))
+    # Large maps: only hot rows take the shuffled joins on (key, bucket), which
+    # spread a hot key over many partitions.
+    cold = (j.where(F.col("_t0").isNull()).drop("_t0", "_fw", "_nb")
+            .withColumn("_s", F.lit(0).cast("long")).withColumn("_nb", F.lit(1).cast("long")))
+    warm = (locate(j.where(F.col("_t0").isNotNull()), "inner").drop("_f", "_f2", "_fw2", "_t0", "_fw")
+            .withColumn("_s", F.col("_s").cast("long")).withColumn("_nb", F.col("_nb").cast("long")))
+    return cold.unionByName(warm)
+
+
+def split_starts(hot: HotSplits, key: str) -> DataFrame:
+    """Start time of every split after the first: (key, _b, _mt)."""
+    return (hot.buckets.where(F.col("_s") > 0).groupBy(key, "_s").agg(F.min("_start").alias("_mt"))
+            .select(key, F.col("_s").alias("_b"), "_mt"))
 
 
 def bounded_window(df: DataFrame, key: str, order: list, t_col: str, before: int, after: int,
                    make_cols: Callable[[WindowSpec], dict[str, Column]],
                    rows_per_split: int = DEFAULT_ROWS_PER_SPLIT,
-                   hot: DataFrame | None | str = "auto") -> DataFrame:
+                   hot: HotSplits | None | str = "auto") -> DataFrame:
     """Return ``df`` plus the columns of ``make_cols(window)``.
 
     ``make_cols`` gets a WindowSpec partitioned by the key and ordered by
@@ -133,9 +213,8 @@ def _halo_rows(sp: DataFrame, hot: DataFrame, key: str, order: list[str], t_col:
                        *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)],
                        F.struct(*base_cols).alias("_row"), F.lit(None).cast("long").alias("_b"))
     # One marker per boundary b (start of split b), sorting before rows at that time.
-    hw = hot_widths(hot)
-    marks = hw.select(key, "_t0", "_w", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_nb") - 1)).alias("_b"))
-    marks = marks.select(key, (F.col("_t0") + F.col("_b") * F.col("_w")).alias("_mt"), F.lit(0).alias("_tag"),
+    marks = split_starts(hot, key)
+    marks = marks.select(key, "_mt", F.lit(0).alias("_tag"),
                          *[F.lit(None).cast(cand.schema[f"_o{i}"].dataType).alias(f"_o{i}")
                            for i in range(len(order))],
                          F.lit(None).cast(cand.schema["_row"].dataType).alias("_row"), "_b")

@@ -24,8 +24,34 @@ def _same(a, b):
 def test_hot_user_is_split_and_exact(spark):
     e = _skewed(spark)
     hot = hot_key_splits(e.withColumn("_t", epoch_us(e, "event_time")), "muid", "_t", 500)
-    rows = {r.muid: r._nb for r in hot.collect()}
+    rows = {r.muid: r._nb for r in hot.users.collect()}
     assert rows == {0: 7}  # ~3,334 rows of user 0 -> 7 splits of <= 500 on average
     assert _same(sliding_windows(e, hot=None), sliding_windows(e, rows_per_split=500))
     v = build_vocab(e)
     assert _same(future_labels(e, v, 5, hot=None), future_labels(e, v, 5, rows_per_split=500))
+
+
+def _bursty(spark):
+    """User 0 holds a third of the events; half of them fall into one hour."""
+    e = _skewed(spark)
+    burst = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz") + F.make_interval(
+        secs=(F.col("event_id") % 3600).cast("int"))
+    return e.withColumn("event_time", F.when((F.col("muid") == 0) & (F.col("event_id") % 2 == 0), burst)
+                        .otherwise(F.col("event_time")))
+
+
+def test_bursty_hot_user_gets_balanced_splits(spark):
+    from seqwise.operators.frames import assign_splits
+    e = _bursty(spark).withColumn("_t", F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', event_time)"))
+    hot = hot_key_splits(e, "muid", "_t", 500)
+    sizes = [r["count"] for r in assign_splits(e, "muid", "_t", hot).where("muid = 0").groupBy("_s").count().collect()]
+    assert len(sizes) >= 6 and max(sizes) <= 2 * 500  # equal-width time splits would put ~1,700 in one
+    b = _bursty(spark)
+    assert _same(sliding_windows(b, hot=None), sliding_windows(b, rows_per_split=500))
+
+
+def test_unbroadcast_bucket_map_path(spark, monkeypatch):
+    import seqwise.operators.frames as FR
+    monkeypatch.setattr(FR, "BUCKET_BROADCAST_MAX_ROWS", 0)
+    e = _skewed(spark)
+    assert _same(sliding_windows(e, hot=None), sliding_windows(e, rows_per_split=500))
