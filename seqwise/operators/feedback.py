@@ -34,9 +34,8 @@ def next_event_after(preds: DataFrame, events: DataFrame, key: str = "user_id",
     u = ev.unionByName(pr)
     order = ["_t", "_tag", "_oid"]
     if isinstance(hot, str):
-        hot = hot_key_splits(events.select(F.col("muid").alias("_k"),
-                                           epoch_us(events, "event_time").alias("_t")),
-                             "_k", "_t", rows_per_split)
+        # the split plan covers every row that gets a split: events and predictions
+        hot = hot_key_splits(u.select("_k", "_t"), "_k", "_t", rows_per_split)
     # "Nearest event after" is evaluated as a running frame over the reversed
     # order (last non-null over all preceding rows), which Spark computes
     # incrementally; a frame reaching to unbounded following would be

@@ -3,6 +3,8 @@ import math
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from conftest import SF01
 from helpers import T0, ev, frame
 from seqwise.operators import aggregates as A
@@ -148,3 +150,11 @@ def test_decode_first_max_and_unknown(spark):
     r = SC.decode_predictions(df, ["<PAD>", "scroll", "add_to_cart"], ["<PAD>", "browser"]).first()
     assert r.next_event == "scroll" and r.preferred_channel == "unknown"
     assert r.purchase_probability == 0.5 and r.recommended_action == "action_1" and r.active_time == "period_0"
+
+
+def test_asof_split_path_with_predictions_between_events(spark):
+    """Predictions at times where no event happened still find the next event."""
+    e = load_events(spark, SF01).select("event_id", "muid", "event_name", "event_time")
+    preds = (SC.prediction_log(e, hot=None)
+             .withColumn("created_at", F.col("created_at") + F.make_interval(secs=F.lit(1.5))))
+    assert _same(FB.next_event_after(preds, e, hot=None), FB.next_event_after(preds, e, rows_per_split=9))
