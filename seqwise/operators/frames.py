@@ -130,7 +130,8 @@ def hot_key_splits(df: DataFrame, key: str, t_col: str, rows_per_split: int,
 
 def assign_splits(df: DataFrame, key: str, t_col: str, hot: HotSplits | None) -> DataFrame:
     """Add ``_s`` (split number, monotone in time) and ``_nb`` (splits of the
-    key); 0 and 1 for keys that are not hot."""
+    key); 0 and 1 for keys that are not hot. ``hot`` must come from
+    ``hot_key_splits`` over the same rows (every row's bucket is in the plan)."""
     if hot is None:
         return df.withColumn("_s", F.lit(0).cast("long")).withColumn("_nb", F.lit(1).cast("long"))
     j = df.join(hot.users, key, "left")
@@ -142,6 +143,10 @@ def assign_splits(df: DataFrame, key: str, t_col: str, hot: HotSplits | None) ->
 
     if hot.broadcast:
         j = locate(j, "left")
+        # A hot row must find its bucket: the plan has to be built from the
+        # same rows. Fail loudly rather than put the row into a wrong split.
+        j = j.withColumn("_s", F.when(F.col("_t0").isNotNull() & F.col("_s").isNull(), F.raise_error(
+            F.lit("split plan does not cover a row of a hot key"))).otherwise(F.col("_s")))
         return (j.withColumn("_s", F.coalesce(F.col("_s"), F.lit(0)).cast("long"))
                  .withColumn("_nb", F.coalesce(F.col("_nb"), F.lit(1)).cast("long"))
                  .drop("_f", "_f2", "_fw2", "_t0", "_fw"))
