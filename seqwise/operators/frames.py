@@ -141,12 +141,12 @@ def assign_splits(df: DataFrame, key: str, t_col: str, hot: HotSplits | None) ->
         x = x.join(hot.heavy, [key, "_f"], "left").withColumn("_f2", _sub(t_col))
         return x.join(hot.buckets.select(key, "_f", "_f2", "_s"), [key, "_f", "_f2"], how)
 
+    # A hot row must find its bucket: the plan has to be built from the same
+    # rows. Fail loudly rather than put the row into a wrong split or drop it.
+    covered = F.when(F.col("_t0").isNotNull() & F.col("_s").isNull(), F.raise_error(
+        F.lit("split plan does not cover a row of a hot key"))).otherwise(F.col("_s"))
     if hot.broadcast:
-        j = locate(j, "left")
-        # A hot row must find its bucket: the plan has to be built from the
-        # same rows. Fail loudly rather than put the row into a wrong split.
-        j = j.withColumn("_s", F.when(F.col("_t0").isNotNull() & F.col("_s").isNull(), F.raise_error(
-            F.lit("split plan does not cover a row of a hot key"))).otherwise(F.col("_s")))
+        j = locate(j, "left").withColumn("_s", covered)
         return (j.withColumn("_s", F.coalesce(F.col("_s"), F.lit(0)).cast("long"))
                  .withColumn("_nb", F.coalesce(F.col("_nb"), F.lit(1)).cast("long"))
                  .drop("_f", "_f2", "_fw2", "_t0", "_fw"))
@@ -154,7 +154,8 @@ def assign_splits(df: DataFrame, key: str, t_col: str, hot: HotSplits | None) ->
     # spread a hot key over many partitions.
     cold = (j.where(F.col("_t0").isNull()).drop("_t0", "_fw", "_nb")
             .withColumn("_s", F.lit(0).cast("long")).withColumn("_nb", F.lit(1).cast("long")))
-    warm = (locate(j.where(F.col("_t0").isNotNull()), "inner").drop("_f", "_f2", "_fw2", "_t0", "_fw")
+    warm = (locate(j.where(F.col("_t0").isNotNull()), "left").withColumn("_s", covered)
+            .drop("_f", "_f2", "_fw2", "_t0", "_fw")
             .withColumn("_s", F.col("_s").cast("long")).withColumn("_nb", F.col("_nb").cast("long")))
     return cold.unionByName(warm)
 
