@@ -103,17 +103,22 @@ def hot_key_splits(df: DataFrame, key: str, t_col: str, rows_per_split: int,
         return None
     hs = _maybe_broadcast(stats, n_hot <= broadcast_max_rows)
     rows = df.select(key, t_col).join(hs, key).select(key, t_col, "_t0", "_fw", _fine(key, t_col))
-    fine = rows.groupBy(key, "_f").agg(F.count(F.lit(1)).alias("_c"))
+    # The histogram is small (at most one row per fine bucket); persisted, the
+    # heavy-bucket check and the split assignment read it without a rescan.
+    fine = rows.groupBy(key, "_f").agg(F.count(F.lit(1)).alias("_c")).persist()
     heavy, n_heavy = _count_persisted(
         fine.where(F.col("_c") > max(rows_per_split // 4, 1)).join(hs, key)
         .select(key, "_f", (F.col("_fw") / F.lit(SUB_BUCKETS)).cast("long").alias("_q"))
         .select(key, "_f", (F.col("_q") + 1).alias("_fw2")))
     hv = _maybe_broadcast(heavy, n_heavy <= BUCKET_BROADCAST_MAX_ROWS)
-    light = fine.join(hv.select(key, "_f"), [key, "_f"], "left_anti").select(
-        key, "_f", F.lit(0).cast("long").alias("_f2"), "_c")
-    sub = (rows.join(hv, [key, "_f"]).select(key, "_f", _sub(t_col))
-           .groupBy(key, "_f", "_f2").agg(F.count(F.lit(1)).alias("_c")))
-    allb = light.unionByName(sub).join(hs, key)
+    if n_heavy == 0:  # no bursts: the fine histogram alone balances the splits
+        allb = fine.select(key, "_f", F.lit(0).cast("long").alias("_f2"), "_c").join(hs, key)
+    else:
+        light = fine.join(hv.select(key, "_f"), [key, "_f"], "left_anti").select(
+            key, "_f", F.lit(0).cast("long").alias("_f2"), "_c")
+        sub = (rows.join(hv, [key, "_f"]).select(key, "_f", _sub(t_col))
+               .groupBy(key, "_f", "_f2").agg(F.count(F.lit(1)).alias("_c")))
+        allb = light.unionByName(sub).join(hs, key)
     w = Window.partitionBy(key).orderBy("_f", "_f2")
     before = F.coalesce(F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     b = allb.join(heavy.select(key, "_f", "_fw2"), [key, "_f"], "left").select(
