@@ -26,7 +26,7 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
                 "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     )
     extra = dict(extra or {})
-    if "spark.checkpoint.dir" not in extra:
+    if "spark.checkpoint.dir" not in extra and master.startswith("local"):
         # Local runs only: a cluster names its shared folder itself.
         extra["spark.checkpoint.dir"] = tempfile.mkdtemp(
             prefix="seqwise-ckpt-", dir=os.environ.get("SEQWISE_SCRATCH", "/tmp"))
