@@ -145,9 +145,9 @@ def onnx_scorer_factory(model_path: str, input_map: dict[str, str] | None = None
 
         def score(pdf: pd.DataFrame) -> pd.DataFrame:
             feeds = {"numeric_features": pdf[NUMERIC_FEATURES].to_numpy(np.float32)}
-            outs = dict(zip(names, sess.run(None, feeds)))
+            outs = {k: np.asarray(v, dtype="float64") for k, v in zip(names, sess.run(None, feeds))}
             return pd.DataFrame({k: (list(v) if v.ndim > 1 and v.shape[1] > 1 else v.reshape(-1))
-                                 for k, v in outs.items()})
+                                 for k, v in outs.items()})[OUTPUTS]
         return score
     return factory
 
