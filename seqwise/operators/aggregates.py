@@ -94,10 +94,16 @@ def with_stats_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return df.select("*", *[packed[c].alias(c) for c in cols])
 
 
-def histogram(df: DataFrame, col: str, bins: int = 50, crop_q: float = 0.99) -> DataFrame:
-    """Equal-width histogram over [min, max] with the crop quantile alongside."""
+def histogram(df: DataFrame, col: str, bins: int = 50, crop_q: float = 0.99, approx: bool = False,
+              accuracy: int = 10000) -> DataFrame:
+    """Equal-width histogram over [min, max] with the crop quantile alongside.
+
+    The exact quantile keeps a value->count map (fine for depths and counts);
+    ``approx`` uses a bounded sketch for high-cardinality columns."""
+    crop = (F.percentile_approx(col, crop_q, accuracy).cast("double") if approx
+            else F.percentile(col, F.lit(crop_q)))
     stats = df.agg(F.min(col).cast("double").alias("_lo"), F.max(col).cast("double").alias("_hi"),
-                   F.percentile(col, F.lit(crop_q)).alias("crop_value"))
+                   crop.alias("crop_value"))
     j = with_stats_row(df.select(col), stats)
     width = (F.col("_hi") - F.col("_lo")) / F.lit(bins)
     b = F.when(width == 0, F.lit(0)).otherwise(
