@@ -22,6 +22,7 @@ def next_event_after(preds: DataFrame, events: DataFrame, key: str = "user_id",
     before predictions so "after" is strict. Hot users: the union is cut into
     time splits; predictions without an answer inside their split take the
     first event of the next non-empty split (a small per-split table)."""
+    events = events.where(F.col("muid").isNotNull() & F.col("event_time").isNotNull())
     ev = events.select(F.col("muid").alias("_k"), epoch_us(events, "event_time").alias("_t"),
                        F.lit(0).alias("_tag"),
                        F.struct(F.col("event_id").alias("actual_event_id"),

@@ -17,6 +17,7 @@ ORDER = ["event_time", "event_id"]
 
 def future_labels(events: DataFrame, vocab: DataFrame, horizon: int = 5,
                   rows_per_split: int = DEFAULT_ROWS_PER_SPLIT, hot="auto") -> DataFrame:
+    events = events.where(F.col("muid").isNotNull() & F.col("event_time").isNotNull())
     df = events.withColumn("_t", epoch_us(events, "event_time"))
 
     def make(w):

@@ -74,6 +74,7 @@ def prediction_log(events: DataFrame, size: int = 20, rows_per_split: int = DEFA
     events up to it (batch twin of the streaming buffer). prediction_id =
     event_id of the triggering event, created_at = its time, model_version =
     'v' || (muid % 2)."""
+    events = events.where(F.col("muid").isNotNull() & F.col("event_time").isNotNull())
     df = events.withColumn("_t", epoch_us(events, "event_time"))
 
     def make(w):

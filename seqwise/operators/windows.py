@@ -136,6 +136,7 @@ def sliding_windows(events: DataFrame, size: int = WINDOW_SIZE, churn_hours: flo
 
 def event_gaps(events: DataFrame, rows_per_split: int = DEFAULT_ROWS_PER_SPLIT, hot="auto") -> DataFrame:
     """Gap in seconds to the previous event of the same user (null for the first)."""
+    events = events.where(F.col("muid").isNotNull() & F.col("event_time").isNotNull())
     df = events.withColumn("_t", epoch_us(events, "event_time"))
 
     def make(w):
