@@ -42,7 +42,15 @@ def user_features(events: DataFrame, as_of: str, approx: bool = False) -> DataFr
     ts_type = events.schema["event_time"].dataType.simpleString()
     as_of_col = F.lit(as_of).cast(ts_type)
     last = F.max("event_time")
-    d = _distinct(approx)
+    # Exact distinct counts as sizes of per-user sets (nulls ignored, as in
+    # count(distinct)): partial sets per task, one shuffle, no row expansion.
+    # With two count(distinct) next to mode(), Spark would expand every row
+    # three times, shuffle twice and finish with a sort-based aggregate.
+    if approx:
+        d = _distinct(True)
+    else:
+        def d(c):
+            return F.size(F.collect_set(c)).cast("long")
     agg = events.groupBy("muid").agg(
         F.count(F.lit(1)).alias("total_events"),
         F.count_if(F.col("event_name") == "purchase").alias("purchase_count"),
