@@ -22,10 +22,18 @@ def _distinct(approx: bool):
     return (lambda c: F.approx_count_distinct(c, APPROX_RSD)) if approx else (lambda c: F.count_distinct(c))
 
 
+def _set_size(c: str):
+    """Exact per-group distinct count as the size of the group's set (nulls
+    ignored, like count(distinct)): partial sets per task, one shuffle, no
+    row expansion (several count(distinct) make Spark expand every row and
+    shuffle twice)."""
+    return F.size(F.collect_set(c)).cast("long")
+
+
 def etl_user_features(events: DataFrame, approx: bool = False) -> DataFrame:
     """Distributed per-user features: event count, distinct devices, distinct
     categories, newest event time."""
-    d = _distinct(approx)
+    d = _distinct(True) if approx else _set_size
     return events.groupBy("muid").agg(
         F.count("event_id").alias("total_events"),
         d("device_os").alias("distinct_devices"),
@@ -42,15 +50,7 @@ def user_features(events: DataFrame, as_of: str, approx: bool = False) -> DataFr
     ts_type = events.schema["event_time"].dataType.simpleString()
     as_of_col = F.lit(as_of).cast(ts_type)
     last = F.max("event_time")
-    # Exact distinct counts as sizes of per-user sets (nulls ignored, as in
-    # count(distinct)): partial sets per task, one shuffle, no row expansion.
-    # With two count(distinct) next to mode(), Spark would expand every row
-    # three times, shuffle twice and finish with a sort-based aggregate.
-    if approx:
-        d = _distinct(True)
-    else:
-        def d(c):
-            return F.size(F.collect_set(c)).cast("long")
+    d = _distinct(True) if approx else _set_size
     agg = events.groupBy("muid").agg(
         F.count(F.lit(1)).alias("total_events"),
         F.count_if(F.col("event_name") == "purchase").alias("purchase_count"),
