@@ -152,6 +152,35 @@ def class_weights(df: DataFrame, label: str, num_classes: int) -> DataFrame:
                     F.least(F.greatest(raw, F.lit(0.1)), F.lit(10.0)).alias("weight"))
 
 
+def class_weights_many(df: DataFrame, heads: dict[str, tuple[str, int]]) -> DataFrame:
+    """``class_weights`` for several heads ({head: (label, C)}) in ONE pass:
+    one aggregate of per-class counts, then one row per (head, class)."""
+    aggs = [F.count(F.lit(1)).alias("_total")]
+    for h, (label, c) in heads.items():
+        aggs += [F.count_if(F.col(label) == k).alias(f"_{h}_{k}") for k in range(c)]
+    one = df.agg(*aggs)
+    rows = []
+    for h, (label, c) in heads.items():
+        for k in range(c):
+            n = F.col(f"_{h}_{k}")
+            w = F.when(n == 0, F.lit(1.0)).otherwise(
+                F.least(F.greatest(F.col("_total") / (F.lit(float(c)) * n), F.lit(0.1)), F.lit(10.0)))
+            rows.append(F.struct(F.lit(h).alias("head"), F.lit(k).alias("cls"), n.cast("long").alias("n"),
+                                 w.alias("weight")))
+    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def positive_rates(df: DataFrame, labels: list[str]) -> DataFrame:
+    """``positive_rate`` for several labels in one pass (one row per label)."""
+    aggs = [F.count(F.lit(1)).alias("_n")]
+    aggs += [F.count_if(F.col(l) > 0.5).alias(f"_p_{l}") for l in labels]
+    one = df.agg(*aggs)
+    rows = [F.struct(F.col(f"_p_{l}").alias("positives"), F.col("_n").alias("n"),
+                     (F.col(f"_p_{l}") / F.greatest(F.col("_n"), F.lit(1))).alias("rate"),
+                     F.lit(l).alias("label")) for l in labels]
+    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
 def positive_rate(df: DataFrame, label: str) -> DataFrame:
     return df.agg(F.count_if(F.col(label) > 0.5).alias("positives"),
                   F.count(F.lit(1)).alias("n"),

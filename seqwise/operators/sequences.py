@@ -51,52 +51,59 @@ def _count_name(arr, name):
     return F.size(F.filter(arr, lambda x: x == F.lit(name)))
 
 
-def serving_features(sw: DataFrame) -> DataFrame:
-    """Serving-side window features (ratios over the actual count, distinct/10,
-    constants for time and sessions, zeros when empty)."""
+def _serving_exprs(size: int = WINDOW_SIZE) -> list:
+    """Serving-side features (ratios over the actual count, distinct/10,
+    constants for time and sessions, zeros when empty), in FEATURE order."""
     n = F.col("n_events")
     names = F.col("tail_names")
 
     def ratio(name):
         return F.when(n > 0, _count_name(names, name) / n).otherwise(F.lit(0.0))
 
-    return sw.select(
-        "muid", "n_events",
-        ratio("purchase").alias("purchase_ratio"),
-        ratio("add_to_cart").alias("atc_ratio"),
-        ratio("scroll").alias("scroll_ratio"),
-        F.when(n > 0, F.size(F.array_distinct(names)) / F.lit(float(SERVING_UNIQUE_TYPES_DIVISOR)))
-        .otherwise(F.lit(0.0)).alias("unique_types"),
-        F.when(n > 0, F.lit(SERVING_TIME_DELTA_CONST)).otherwise(F.lit(0.0)).alias("avg_time_delta"),
-        F.when(n > 0, F.lit(SERVING_SESSION_CONST)).otherwise(F.lit(0.0)).alias("session_count_norm"),
-    )
+    return [ratio("purchase"), ratio("add_to_cart"), ratio("scroll"),
+            F.when(n > 0, F.size(F.array_distinct(names)) / F.lit(float(SERVING_UNIQUE_TYPES_DIVISOR)))
+            .otherwise(F.lit(0.0)),
+            F.when(n > 0, F.lit(SERVING_TIME_DELTA_CONST)).otherwise(F.lit(0.0)),
+            F.when(n > 0, F.lit(SERVING_SESSION_CONST)).otherwise(F.lit(0.0))]
 
 
-def training_features_of_tail(sw: DataFrame, size: int = WINDOW_SIZE) -> DataFrame:
-    """The training formulas applied to the same tail events."""
+def _training_exprs(size: int = WINDOW_SIZE) -> list:
+    """The training formulas applied to the same tail events, in FEATURE order."""
     names = F.col("tail_names")
     t = F.col("tail_t")
     n = F.col("n_events")
     span_s = (F.element_at(t, -1) - F.element_at(t, 1)) / F.lit(1e6)
     mean_gap = F.when(n > 1, span_s / (n - 1)).otherwise(F.lit(0.0))
-    return sw.select(
-        "muid",
-        (_count_name(names, "purchase") / F.lit(float(size))).alias("purchase_ratio"),
-        (_count_name(names, "add_to_cart") / F.lit(float(size))).alias("atc_ratio"),
-        (_count_name(names, "scroll") / F.lit(float(size))).alias("scroll_ratio"),
-        (F.size(F.array_distinct(names)) / F.lit(float(UNIQUE_TYPES_DIVISOR))).alias("unique_types"),
-        F.least(F.log1p(mean_gap) / F.lit(15.0), F.lit(1.0)).alias("avg_time_delta"),
-        F.least(F.size(F.array_distinct("tail_sessions")) / F.lit(5.0), F.lit(1.0)).alias("session_count_norm"),
-    )
+    return [_count_name(names, "purchase") / F.lit(float(size)),
+            _count_name(names, "add_to_cart") / F.lit(float(size)),
+            _count_name(names, "scroll") / F.lit(float(size)),
+            F.size(F.array_distinct(names)) / F.lit(float(UNIQUE_TYPES_DIVISOR)),
+            F.least(F.log1p(mean_gap) / F.lit(15.0), F.lit(1.0)),
+            F.least(F.size(F.array_distinct("tail_sessions")) / F.lit(5.0), F.lit(1.0))]
+
+
+FEATURES = ["purchase_ratio", "atc_ratio", "scroll_ratio", "unique_types", "avg_time_delta",
+            "session_count_norm"]
+
+
+def serving_features(sw: DataFrame) -> DataFrame:
+    """Serving-side window features per user (with ``n_events``)."""
+    return sw.select("muid", "n_events", *[e.alias(f) for e, f in zip(_serving_exprs(), FEATURES)])
+
+
+def training_features_of_tail(sw: DataFrame, size: int = WINDOW_SIZE) -> DataFrame:
+    """The training formulas applied to the same tail events."""
+    return sw.select("muid", *[e.alias(f) for e, f in zip(_training_exprs(size), FEATURES)])
 
 
 def skew_report(sw: DataFrame) -> DataFrame:
     """Mean absolute difference serving vs training, per feature (one row each)."""
     feats = ["purchase_ratio", "atc_ratio", "scroll_ratio", "unique_types", "avg_time_delta",
              "session_count_norm"]
-    s = serving_features(sw).select("muid", *[F.col(f).alias(f"s_{f}") for f in feats])
-    t = training_features_of_tail(sw).select("muid", *[F.col(f).alias(f"t_{f}") for f in feats])
-    j = s.join(t, "muid")  # both sides are keyed by muid from the same aggregate
+    # both variants are projections of the same rows: one select, no self-join
+    sv = dict(zip(FEATURES, _serving_exprs()))
+    tv = dict(zip(FEATURES, _training_exprs()))
+    j = sw.select(*[sv[f].alias(f"s_{f}") for f in feats], *[tv[f].alias(f"t_{f}") for f in feats])
     one = j.agg(*[F.avg(F.abs(F.col(f"s_{f}") - F.col(f"t_{f}"))).alias(f) for f in feats],
                 F.count(F.lit(1)).alias("users"))
     stack = ", ".join(f"'{f}', `{f}`" for f in feats)

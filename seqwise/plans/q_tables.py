@@ -318,10 +318,8 @@ def agg_8(spark, sf_dir):
 
 def _class_weight_rows(spark, sf_dir):
     w = sliding_windows(ev(spark, sf_dir, TRAIN_COLUMNS + ["event_id"]))
-    parts = [A.class_weights(w, "target_next_event", 7).withColumn("head", F.lit("next_event")),
-             A.class_weights(w, "target_channel", 3).withColumn("head", F.lit("channel")),
-             A.class_weights(w, "target_active_period", 4).withColumn("head", F.lit("period"))]
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    out = A.class_weights_many(w, {"next_event": ("target_next_event", 7), "channel": ("target_channel", 3),
+                                   "period": ("target_active_period", 4)})
     return out.select("head", "cls", "n", r9("weight").alias("weight"))
 
 
@@ -331,9 +329,9 @@ query("AGG-9")(_class_weight_rows)
 @query("AGG-10")
 def agg_10(spark, sf_dir):
     w = sliding_windows(ev(spark, sf_dir, TRAIN_COLUMNS + ["event_id"]))
-    p = A.positive_rate(w, "target_purchase").withColumn("label", F.lit("purchase"))
-    c = A.positive_rate(w, "target_churn").withColumn("label", F.lit("churn"))
-    return p.unionByName(c).withColumn("rate", r9("rate"))
+    out = A.positive_rates(w, ["target_purchase", "target_churn"])
+    out = out.withColumn("label", F.regexp_replace("label", "^target_", ""))
+    return out.withColumn("rate", r9("rate"))
 
 
 @query("AGG-11")
