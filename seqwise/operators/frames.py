@@ -2,8 +2,10 @@
 
 A window partitioned by user puts every event of a user into one task. With one
 user holding a large share of all rows that task would never finish, so users
-above ``rows_per_split`` rows are cut into time ranges ("splits") of about that
-many rows, and the window runs per (user, split).
+above ``rows_per_split`` rows are cut into consecutive time ranges ("splits")
+holding about that many rows each — balanced by counting, from a histogram of
+the user's events over fine time buckets, so bursts are split as well — and the
+window runs per (user, split).
 
 Rows near a split boundary need neighbours from the next split over. Those
 neighbours ("halo rows") are found before the window, from a small pre-pass:
