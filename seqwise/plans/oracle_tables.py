@@ -160,6 +160,8 @@ ORACLE_TABLES: dict[str, str] = {
         SELECT event_id, muid FROM ev WHERE muid IN (SELECT muid FROM chosen)""",
     "SMP-2": f"""{windows_sql()} SELECT muid, event_id,
         CASE WHEN {MD5_BUCKET.format(k='muid')} < 15 THEN 'val' ELSE 'train' END AS split FROM w""",
+    "SMP-2-row": f"""{windows_sql()} SELECT muid, event_id,
+        CASE WHEN {MD5_BUCKET.format(k='event_id')} < 15 THEN 'val' ELSE 'train' END AS split FROM w""",
     "AGG-1": f"WITH {EV} {AGG1}",
     "AGG-2": f"WITH {EV} {user_features_sql()}",
     "AGG-3": f"""WITH {EV}, {USERS}, top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY muid

@@ -263,6 +263,13 @@ def smp_2(spark, sf_dir):
     return S.split_by_user(w.select("muid", "event_id"), 15, seed=42)
 
 
+@query("SMP-2-row")
+def smp_2_row(spark, sf_dir):
+    """Row-level 85/15 split of the windows (per window, md5 of its event id)."""
+    w = sliding_windows(ev(spark, sf_dir, TRAIN_COLUMNS + ["event_id"]))
+    return S.split_by_row(w.select("muid", "event_id"), 15, seed=42)
+
+
 # ------------------------------------------------------------------ aggregates
 @query("AGG-1")
 def agg_1(spark, sf_dir):
