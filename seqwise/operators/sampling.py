@@ -30,14 +30,26 @@ def sample_users(events: DataFrame, n: int, seed: int = 42, key: str = "muid") -
     return events.join(F.broadcast(chosen) if n <= BROADCAST_MAX_ROWS else chosen, key, "left_semi")
 
 
+def _split(df: DataFrame, key: str, val_pct: int, seed: int) -> DataFrame:
+    """'val' for md5 bucket < val_pct, else 'train'; the validation side is never
+    empty: when no key falls below the threshold, the key(s) with the smallest
+    bucket go to validation (global minimum as a scalar subquery, no join)."""
+    from seqwise.operators.aggregates import with_stats_row
+    b = df.withColumn("_bucket", md5_bucket(key, seed))
+    b = with_stats_row(b, b.agg(F.min("_bucket").alias("_min_bucket")))
+    val = (F.col("_bucket") < val_pct) | ((F.col("_min_bucket") >= val_pct) & (F.col("_bucket") == F.col("_min_bucket")))
+    return b.withColumn("split", F.when(val, "val").otherwise("train")).drop("_bucket", "_min_bucket")
+
+
 def split_by_user(df: DataFrame, val_pct: int = 15, seed: int = 42, key: str = "muid") -> DataFrame:
-    """Adds ``split`` = 'val' for md5 bucket < val_pct, else 'train'. User level,
-    so overlapping windows of one user never straddle the split."""
-    return df.withColumn("split", F.when(md5_bucket(key, seed) < val_pct, "val").otherwise("train"))
+    """Adds ``split`` ('train' / 'val', about val_pct % of users in 'val'). User
+    level, so overlapping windows of one user never straddle the split."""
+    return _split(df, key, val_pct, seed)
 
 
 def split_by_row(df: DataFrame, val_pct: int = 15, seed: int = 42, row_key: str = "event_id") -> DataFrame:
-    return df.withColumn("split", F.when(md5_bucket(row_key, seed) < val_pct, "val").otherwise("train"))
+    """Row-level variant (the original per-row split)."""
+    return _split(df, row_key, val_pct, seed)
 
 
 def user_positions(events: DataFrame, key: str = "muid", order=("event_time", "event_id"),

@@ -158,3 +158,14 @@ def test_asof_split_path_with_predictions_between_events(spark):
     preds = (SC.prediction_log(e, hot=None)
              .withColumn("created_at", F.col("created_at") + F.make_interval(secs=F.lit(1.5))))
     assert _same(FB.next_event_after(preds, e, hot=None), FB.next_event_after(preds, e, rows_per_split=9))
+
+
+def test_split_validation_never_empty(spark):
+    from seqwise.operators.sampling import md5_bucket, split_by_user
+    df = spark.range(40).withColumnRenamed("id", "muid")
+    b = {r.muid: r.b for r in df.select("muid", md5_bucket("muid", 42).alias("b")).collect()}
+    # choose users that all have bucket >= 15, so the plain rule gives no validation user
+    users = [u for u, x in b.items() if x >= 15][:3]
+    got = split_by_user(spark.createDataFrame([(u,) for u in users], "muid long")).collect()
+    vals = [r.muid for r in got if r.split == "val"]
+    assert vals == [min(users, key=lambda u: b[u])]
