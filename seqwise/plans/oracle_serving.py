@@ -4,10 +4,14 @@ scoring, metrics and feedback."""
 from __future__ import annotations
 
 from seqwise.functions.constants import CHANNELS, EVENT_NAMES
-from seqwise.plans.oracle import EV, PERIOD, windows_sql
+from seqwise.plans.oracle import EV, PERIOD, _static as _static_vocab, windows_sql
 from seqwise.plans.oracle_tables import USERS, user_features_sql, vocab_ctes
 
 AS_OF = "2024-02-01 00:00:00"
+
+
+def _static_ev(col: str) -> str:
+    return _static_vocab("event_name", col)
 CUTOFF = "2024-01-20 00:00:00"
 WEEK_US = 168 * 3_600_000_000
 
@@ -274,8 +278,15 @@ ORACLE_SERVING: dict[str, str] = {
              "traffic_source, category, product_id, page_url FROM ev",
     "STR-2": f"WITH {EV} SELECT event_id, muid, session_id, event_name, event_time, device_os, channel, "
              "traffic_source, category, product_id, page_url FROM ev",
-    "STR-3": f"""WITH {EV}, {PL} SELECT prediction_id, user_id, model_version, window_events, purchase_probability,
-        churn_risk, predicted_next_event, round(engagement_score, 9) AS engagement_score, inactivity_risk FROM pl""",
+    "STR-3": f"""WITH {EV}, {PL},
+        wid AS (SELECT event_id,
+          repeat('0,', CAST(20 - count(*) OVER f AS INTEGER))
+            || string_agg(CAST({_static_ev('event_name')} AS VARCHAR), ',') OVER f AS window_event_ids
+          FROM ev WINDOW f AS (PARTITION BY muid ORDER BY event_time, event_id
+                               ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
+        SELECT prediction_id, user_id, model_version, window_events, purchase_probability,
+        churn_risk, predicted_next_event, round(engagement_score, 9) AS engagement_score, inactivity_risk,
+        window_event_ids FROM pl JOIN wid ON wid.event_id = pl.prediction_id""",
     "STR-4": f"WITH {EV} {user_features_sql()}",
     "STR-5": f"""WITH {EV} SELECT epoch_us(date_trunc('hour', event_time)) AS hour_start_us, count(*) AS n_events
         FROM ev GROUP BY 1""",

@@ -60,7 +60,7 @@ def str_3(spark, sf_dir):
     p = spark.read.parquet(out)
     return p.select("prediction_id", "user_id", "model_version", "window_events", "purchase_probability",
                     "churn_risk", "predicted_next_event", r9("engagement_score").alias("engagement_score"),
-                    "inactivity_risk")
+                    "inactivity_risk", "window_event_ids")
 
 
 @query("STR-4")

@@ -27,7 +27,7 @@ def use_rocksdb_state(spark) -> None:
 
 BUFFER_OUTPUT = ("prediction_id long, user_id long, model_version string, window_events int, "
                  "purchase_probability double, churn_risk double, predicted_next_event string, "
-                 "engagement_score double, inactivity_risk double")
+                 "engagement_score double, inactivity_risk double, window_event_ids string")
 
 
 class LastEventsBuffer(StatefulProcessor):
@@ -36,7 +36,9 @@ class LastEventsBuffer(StatefulProcessor):
     a micro-batch are applied in event-time order."""
 
     def __init__(self, size: int = 20):
+        from seqwise.functions.constants import EVENT_NAMES
         self.size = size
+        self.ids = {name: i for i, name in enumerate(EVENT_NAMES)}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.buf = handle.getListState("buf", "t long, event_id long, event_name string")
@@ -57,6 +59,13 @@ class LastEventsBuffer(StatefulProcessor):
         nxt = np.where(lp, "pageview", np.where(cart, "purchase", np.where(n > 2, "add_to_cart", "viewcontent")))
         muid = int(key[0])
         m = seq["_new"].to_numpy()
+        # the padded window itself: static event ids of the newest `size`
+        # events up to each new row, left-padded with 0
+        ids = seq["event_name"].map(self.ids).fillna(0).astype(int).to_numpy()
+        windows = []
+        for i in np.flatnonzero(m):
+            w = ids[max(0, i - self.size + 1):i + 1].tolist()
+            windows.append(",".join(map(str, [0] * (self.size - len(w)) + w)))
         out = pd.DataFrame({
             "prediction_id": seq["event_id"].to_numpy()[m].astype("int64"),
             "user_id": np.full(m.sum(), muid, dtype="int64"),
@@ -65,6 +74,7 @@ class LastEventsBuffer(StatefulProcessor):
             "purchase_probability": purchase[m], "churn_risk": churn[m],
             "predicted_next_event": nxt[m],
             "engagement_score": n[m] * 0.15, "inactivity_risk": (10 - n[m]).astype(float),
+            "window_event_ids": windows,
         })
         tail = seq.tail(self.size)
         self.buf.put([(int(t), int(e), str(x)) for t, e, x in
