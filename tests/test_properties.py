@@ -38,3 +38,17 @@ def test_windows_equal_rules(spark, rows):
         for k, e in exp.items():
             for c, v in e.items():
                 assert math.isclose(got[k][c], v, rel_tol=1e-9, abs_tol=1e-12), (kw, k, c)
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(rows=event_sets(), horizon=st.integers(1, 6))
+def test_future_labels_equal_rules(spark, rows, horizon):
+    from seqwise.operators.labels import future_labels
+    from seqwise.operators.vocab import build_vocab
+    from test_labels import brute_future
+    df = frame(spark, rows)
+    vocab = build_vocab(df)
+    exp = brute_future(rows, [(r.feature, r.value, r.id) for r in vocab.collect()], horizon)
+    for kw in ({"hot": None}, {"rows_per_split": 10}):
+        got = {r.event_id: tuple(r)[2:] for r in future_labels(df, vocab, horizon=horizon, **kw).collect()}
+        assert got == exp, kw
