@@ -52,3 +52,25 @@ def test_future_labels_equal_rules(spark, rows, horizon):
     for kw in ({"hot": None}, {"rows_per_split": 10}):
         got = {r.event_id: tuple(r)[2:] for r in future_labels(df, vocab, horizon=horizon, **kw).collect()}
         assert got == exp, kw
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(rows=event_sets(), data=st.data())
+def test_next_event_after_equal_rules(spark, rows, data):
+    from seqwise.operators.feedback import next_event_after
+    n = data.draw(st.integers(1, 30))
+    preds = []
+    for pid in range(n):
+        r = rows[data.draw(st.integers(0, len(rows) - 1))]
+        shift = data.draw(st.sampled_from([0, 1, -1, 3600]))
+        preds.append((10_000 + pid, r[1], r[4] + dt.timedelta(seconds=shift)))
+    exp = {}
+    for pid, u, t in preds:
+        later = sorted((e[4], e[0], e[3]) for e in rows if e[1] == u and e[4] > t)
+        exp[pid] = (later[0][1], later[0][2]) if later else (None, None)
+    pdf = spark.createDataFrame(preds, "prediction_id long, user_id long, created_at timestamp_ntz")
+    evs = frame(spark, rows)
+    for kw in ({"hot": None}, {"rows_per_split": 10}):
+        got = {r.prediction_id: (r.actual_event_id, r.actual_event_name)
+               for r in next_event_after(pdf, evs, **kw).collect()}
+        assert got == exp, kw
