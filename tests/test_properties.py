@@ -74,3 +74,34 @@ def test_next_event_after_equal_rules(spark, rows, data):
         got = {r.prediction_id: (r.actual_event_id, r.actual_event_name)
                for r in next_event_after(pdf, evs, **kw).collect()}
         assert got == exp, kw
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(rows=event_sets())
+def test_positions_and_features_equal_rules(spark, rows):
+    from collections import Counter
+    from seqwise.operators.aggregates import user_features
+    from seqwise.operators.sampling import user_positions
+    df = frame(spark, rows)
+    by_user = {}
+    for r in rows:
+        by_user.setdefault(r[1], []).append(r)
+    pos = {}
+    for evs in by_user.values():
+        for i, e in enumerate(sorted(evs, key=lambda x: (x[4], x[0]))):
+            pos[e[0]] = i + 1
+    for kw in ({"hot": None}, {"rows_per_split": 10}):
+        got = {r.event_id: r.position for r in user_positions(df.select("event_id", "muid", "event_time"), **kw).collect()}
+        assert got == pos, kw
+    as_of = dt.datetime(2024, 3, 1, 12, 0, 0)
+    exp = {}
+    for u, evs in by_user.items():
+        chans = Counter(e[6] for e in evs if e[6] is not None)
+        top = max(chans.values()) if chans else None
+        last = max(e[4] for e in evs)
+        exp[u] = (len(evs), sum(e[3] == "purchase" for e in evs), len({e[8] for e in evs if e[8] is not None}),
+                  len({e[2] for e in evs if e[2] is not None}), math.floor((as_of - last).total_seconds() / 86400),
+                  min(k for k, v in chans.items() if v == top) if chans else None)
+    got = {r.muid: (r.total_events, r.purchase_count, r.unique_categories, r.session_count, r.days_since_active,
+                    r.preferred_channel) for r in user_features(df, "2024-03-01 12:00:00").collect()}
+    assert got == exp
