@@ -105,3 +105,25 @@ def test_positions_and_features_equal_rules(spark, rows):
     got = {r.muid: (r.total_events, r.purchase_count, r.unique_categories, r.session_count, r.days_since_active,
                     r.preferred_channel) for r in user_features(df, "2024-03-01 12:00:00").collect()}
     assert got == exp
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(rows=event_sets())
+def test_serving_windows_equal_rules(spark, rows):
+    from seqwise.operators.sequences import serving_windows
+    from seqwise.operators.vocab import build_vocab
+    df = frame(spark, rows)
+    vocab = build_vocab(df)
+    ids = {(r.feature, r.value): r.id for r in vocab.collect()}
+    by_user = {}
+    for r in rows:
+        by_user.setdefault(r[1], []).append(r)
+    exp = {}
+    for u, evs in by_user.items():
+        tail = sorted(evs, key=lambda x: (x[4], x[0]))[-20:]
+        pad = 20 - len(tail)
+        exp[u] = ([0] * pad + [ids.get(("event_name", e[3]), 1) for e in tail],
+                  [0] * pad + [ids.get(("channel", e[6]), 1) if e[6] is not None else 1 for e in tail],
+                  [True] * pad + [False] * len(tail))
+    got = {r.muid: (r.seq_event_name, r.seq_channel, r.padding_mask) for r in serving_windows(df, vocab).collect()}
+    assert got == exp
