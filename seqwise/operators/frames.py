@@ -130,7 +130,9 @@ def hot_key_splits(df: DataFrame, key: str, t_col: str, rows_per_split: int,
     b = b.withColumn("_nb", F.max("_s").over(Window.partitionBy(key)) + 1)
     b, n_b = _count_persisted(b)
     small = n_b <= BUCKET_BROADCAST_MAX_ROWS
-    users = _maybe_broadcast(b.select(key, "_t0", "_fw", "_nb").distinct(), small)
+    # one row per hot user: broadcast on the hot-user count checked above, so
+    # the join on the user key never sends a hot user's rows to one task
+    users = _maybe_broadcast(b.select(key, "_t0", "_fw", "_nb").distinct(), n_hot <= broadcast_max_rows)
     return HotSplits(users=users, heavy=hv, buckets=_maybe_broadcast(b.select(key, "_f", "_f2", "_s", "_start"), small),
                      broadcast=small)
 
