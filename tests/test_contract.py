@@ -6,9 +6,12 @@ ROWS_ONLY = {"STR-6", "TRN-1", "TRN-1-eval"}  # stateful timers / iterative fits
 
 
 def test_oracles_match_queries():
-    q, o = E.queries(), E.oracle_sql()
+    from seqwise.plans.oracle import all_oracles
+    from seqwise.plans.registry import all_queries
+    q, o = all_queries(), all_oracles()
     assert set(o) <= set(q)
     assert set(q) - set(o) == ROWS_ONLY
+    assert set(q) <= set(E.queries()) and set(o) <= set(E.oracle_sql()) <= set(E.queries())
 
 
 def test_every_survey_id_is_registered():
