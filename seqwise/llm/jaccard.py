@@ -4,7 +4,7 @@ Texts are sets of word shingles; two link when
 100 * |intersection| >= percent * |union|. Exact, in these steps:
 
 1. Sets. One pass over whole texts gives every document its set's size, a
-   128-bit key of the set (copies share it) and its *tokens*: the shingles'
+   key of the set (copies share it) and its *tokens*: the shingles'
    hash range is cut into m parts and each part's content is one token. Linked
    sets of at most M shingles differ in at most (1-t)/(1+t) * 2M shingles, so
    with one part more than that some part is equal: linked sets share a token.
@@ -15,21 +15,25 @@ Texts are sets of word shingles; two link when
 2. Candidates. Tokens that two different sets share are kept (partial minimum
    and maximum of set keys, so copies cost one row a task); sets without such a
    token have no link. Only candidates' shingles are computed again and kept.
-3. Groups. Candidates are partitioned by their least shared token and cut into
-   groups of about ``GROUP`` similar sets. The token-group matrix holds which
-   group has which token; group pairs that share a token can hold links.
-4. Comparison. A task has two groups. A query set's overlap with the other
-   group's union of shingles bounds its overlap with every member; if it is
-   less than t of the query the group stays closed. Opened groups are compared
-   exactly. A task returns a spanning forest of its links, not all pairs.
-5. First each group meets itself and, per token, the token's least group. The
-   components of those links tell which group pairs are settled: pairs whose
-   sets already lie in one component are never compared. The rest is compared,
-   whatever its number: no cap on candidates, partners or rounds.
-
-Memory of a task: two groups of at most a few times ``GROUP`` sets. Groups of
-copies and near copies of any size are spread over tasks and need a number of
-group pairs that only grows with what is not yet linked.
+3. Families. Candidates get the least of their shared tokens, passed on twice
+   along shared tokens so that sets with common tokens meet, and families are
+   dealt into lanes of at most about ``LANE`` shingles.
+4. Comparison. A task has a lane, its sets partitioned into groups of ``GROUP``
+   similar sets (neighbours by least token), and the query sets that share a
+   token with the lane. The token-group matrix says which group's union holds
+   which shingle; one look-up bounds a query's overlap with every group. Only
+   groups that can hold a link are opened, and compared exactly, and only if
+   they hold a set that the query is not linked with yet. A task returns a
+   spanning forest of its links, not all pairs.
+5. First each lane meets itself and, per token, its sets query the token's
+   least lane. Pairs that share a token but not a component after that are the
+   unsettled ones: the set of the smaller component queries the lane of the
+   other. All of them are compared, whatever their number: no cap on
+   candidates, partners or queries.
+
+Memory of a task: a lane and at most about ``QUERIES`` queries. Groups of
+copies and near copies of any size are spread over lanes, and the queries grow
+with what the first round leaves unlinked, not with a group's square.
 
 Defined results: null, empty and wordless texts are empty sets, size 0, linked
 with nothing; texts with fewer words than a shingle are one shingle; null ids
@@ -49,6 +53,8 @@ from seqwise.llm.components import components
 from seqwise.llm.words import mix64, shingle_set
 
 GROUP = 64
+LANE = 1 << 19            # shingles of a lane; a set counts as 128 at least
+QUERIES = 2_048           # query sets that meet one lane in one task
 BROADCAST_ROWS = 500_000  # narrow lookup tables up to this many rows are broadcast
 
 
@@ -83,6 +89,7 @@ def set_tokens(s: np.ndarray, percent: int) -> np.ndarray:
 
 def _sets(shingle: int, percent: int):
     def run(batches):
+        seen = set()  # copies within a task give their tokens once
         for b in batches:
             for i in range(0, b.num_rows, 500):
                 part = b.slice(i, 500)
@@ -92,7 +99,9 @@ def _sets(shingle: int, percent: int):
                     n.append(len(s))
                     k1.append(int(mix64(s).sum().view(np.int64)) if len(s) else None)
                     k2.append(int(mix64(s + np.uint64(77)).sum().view(np.int64)) if len(s) else None)
-                    tokens.append(set_tokens(s, percent).view(np.int64) if len(s) else np.empty(0, np.int64))
+                    fresh = len(s) > 0 and (k1[-1], k2[-1]) not in seen
+                    seen.add((k1[-1], k2[-1]))
+                    tokens.append(set_tokens(s, percent).view(np.int64) if fresh else np.empty(0, np.int64))
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in tokens])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("rk"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()),
@@ -135,59 +144,129 @@ def forest(n: int, pairs) -> list[tuple[int, int]]:
     return kept
 
 
-class Group:
-    """Sets of a group, its union of shingles, and each set as places in it."""
+class Lane:
+    """Sets in groups of ``GROUP``, with their token-group matrix."""
 
     def __init__(self, sets: list[np.ndarray]) -> None:
-        self.sets = sets
+        self.sizes = np.array([len(x) for x in sets])
         flat = np.concatenate(sets)
-        self.union, self.places = np.unique(flat, return_inverse=True)
-        self.sizes = np.array([len(s) for s in sets])
-        self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
-
-    def links(self, query: np.ndarray, percent: int) -> np.ndarray:
-        """Members that link with the query; none is looked at if the query's
-        overlap with the union rules all of them out."""
-        at = np.minimum(np.searchsorted(self.union, query), len(self.union) - 1)
-        inside = at[self.union[at] == query]
-        if 100 * len(inside) < percent * len(query):
-            return np.empty(0, dtype=np.int64)
-        mark = np.zeros(len(self.union), dtype=np.int64)
-        mark[inside] = 1
-        common = np.add.reduceat(mark[self.places], self.starts)
-        return np.flatnonzero(100 * common >= percent * (self.sizes + len(query) - common))
-
-
-def _compare(percent: int):
+        self.tokens, self.places = np.unique(flat, return_inverse=True)
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.groups = -(-len(sets) // GROUP)
+        # the matrix by rows: for each token the groups whose union has it
+        of = np.repeat(np.arange(len(sets)) // GROUP, self.sizes)
+        cells = np.unique(self.places.astype(np.int64) * self.groups + of)
+        self.row = np.searchsorted(cells, np.arange(len(self.tokens) + 1) * self.groups)
+        self.group = cells % self.groups
+
+    def overlaps(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the query's shingles, and how many each group's union has."""
+        at = np.minimum(np.searchsorted(self.tokens, query), len(self.tokens) - 1)
+        inside = at[self.tokens[at] == query]
+        lengths = self.row[inside + 1] - self.row[inside]
+        ends = np.cumsum(lengths)
+        every = np.repeat(self.row[inside] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
+        return inside, np.bincount(self.group[every], minlength=self.groups)
+
+    def links(self, query: np.ndarray, percent: int, wanted):
+        """Members that link with the query, group by group; a group is opened
+        if its union overlaps enough of the query and ``wanted`` says so."""
+        inside, overlap = self.overlaps(query)
+        mark = None
+        for g in np.flatnonzero(100 * overlap >= percent * len(query)):
+            lo, hi = g * GROUP, min((g + 1) * GROUP, len(self.sizes))
+            if not wanted(lo, hi):
+                continue
+            if mark is None:
+                mark = np.zeros(len(self.tokens), dtype=np.int64)
+                mark[inside] = 1
+            first = self.starts[lo]
+            common = np.add.reduceat(mark[self.places[first:self.starts[hi]]], self.starts[lo:hi] - first)
+            yield lo + np.flatnonzero(100 * common >= percent * (self.sizes[lo:hi] + len(query) - common))
+
+
+class Trees:
+    """Union-find over 0..n-1 that keeps the links joining two trees."""
+
+    def __init__(self, n: int) -> None:
+        self.root, self.kept = list(range(n)), []
+
+    def find(self, x: int) -> int:
+        while self.root[x] != x:
+            self.root[x] = self.root[self.root[x]]
+            x = self.root[x]
+        return x
+
+    def join(self, a: int, b: int) -> None:
+        x, y = self.find(a), self.find(b)
+        if x != y:
+            self.root[max(x, y)] = min(x, y)
+            self.kept.append((a, b))
+
+
+def _compare(percent: int, own: bool):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def read(t: pa.Table):  # columns: g1, g2, rk, shingles
-        found = dict(zip(t.column(2).to_pylist(), t.column(3).to_pylist(), strict=True))
-        keys = sorted(found)
-        return keys, [np.frombuffer(found[k], dtype=np.uint64) for k in keys]
+    def read(t: pa.Table):  # columns: lane, part, first, rk, shingles
+        found = {k: (f, s) for f, k, s in zip(*[t.column(i).to_pylist() for i in (2, 3, 4)], strict=True)}
+        keys = sorted(found, key=lambda k: (found[k][0], k))
+        return keys, [np.frombuffer(found[k][1], dtype=np.uint64) for k in keys]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
+        if not right.num_rows:
             return schema.empty_table()
         (lk, ls), (rk, rs) = read(left), read(right)
-        group = Group(rs)
-        names = lk + rk
-        pairs = [(i, len(lk) + int(j)) for i, s in enumerate(ls) for j in group.links(s, percent) if lk[i] != rk[j]]
-        place = {k: i for i, k in enumerate(dict.fromkeys(names))}
-        kept = forest(len(place), [(place[names[a]], place[names[b]]) for a, b in pairs])
+        lane = Lane(rs)
+        place = {k: i for i, k in enumerate(dict.fromkeys(rk + lk))}
+        trees = Trees(len(place))
+
+        def meet(me: int, s: np.ndarray, after: int):
+            def wanted(lo: int, hi: int) -> bool:
+                mine = trees.find(me)
+                return hi > after and any(trees.find(j) != mine for j in range(max(lo, after), hi))
+            for found in lane.links(s, percent, wanted):
+                for j in found:
+                    trees.join(me, int(j))
+        if own and right.column(1)[0].as_py() == 0:  # the lane's own sets, each pair once
+            for i, s in enumerate(rs):
+                meet(i, s, i + 1)
+        for k, s in zip(lk, ls, strict=True):
+            meet(place[k], s, 0)
         keys = list(place)
-        return pa.table({"a": pa.array([keys[a] for a, _ in kept], pa.int64()),
-                         "b": pa.array([keys[b] for _, b in kept], pa.int64())})
+        return pa.table({"a": pa.array([keys[a] for a, _ in trees.kept], pa.int64()),
+                         "b": pa.array([keys[b] for _, b in trees.kept], pa.int64())})
     return run
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Spanning links (a, b) of group pairs (g1, g2)."""
-    def side(mine: str, prefix: str) -> DataFrame:
-        j = pairs.join(sets, F.col(mine) == F.col("g"))
-        return j.select(*[F.col(c).alias(prefix + c) for c in ("g1", "g2", "rk", "shingles")])
-    left, right = side("g1", "l_").groupBy("l_g1", "l_g2"), side("g2", "r_").groupBy("r_g1", "r_g2")
-    return left.cogroup(right).applyInArrow(_compare(percent), "a long, b long")
+def _linked(queries: DataFrame, members: DataFrame, percent: int, own: bool) -> DataFrame:
+    """Spanning links (a, b) of query sets (rk) with the members of lanes (g);
+    with ``own`` also of each lane's members among themselves."""
+    parts = materialize(queries.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / F.lit(QUERIES)).alias("_parts")))
+    parts = broadcast_up_to(parts, BROADCAST_ROWS)
+    q = materialize(queries.join(parts, "g").select(
+        F.col("g").alias("q_g"), F.pmod(F.xxhash64("rk"), F.col("_parts")).alias("q_part"), F.col("rk").alias("q_rk")))
+    left = members.join(broadcast_up_to(q, BROADCAST_ROWS), F.col("q_rk") == F.col("rk")).select(
+        "q_g", "q_part", F.col("first").alias("q_first"), "q_rk", F.col("shingles").alias("q_shingles"))
+    last = F.coalesce(F.col("_parts"), F.lit(1)) - 1
+    right = members.join(parts, "g", "left" if own else "inner").select(
+        "g", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("part"), "first", "rk", "shingles")
+    return left.groupBy("q_g", "q_part").cogroup(right.groupBy("g", "part")).applyInArrow(
+        _compare(percent, own), "a long, b long")
+
+
+def _families(posts: DataFrame, hops: int = 2) -> DataFrame:
+    """(k1, first, family): a set's least token, and the least that reaches it
+    over shared tokens in ``hops`` steps."""
+    least = materialize(posts.groupBy("k1").agg(F.min("token").alias("first")))
+    label = least.withColumn("family", F.col("first"))
+    for _ in range(hops):
+        passed = posts.join(label, "k1").groupBy("token").agg(F.min("family").alias("family"))
+        label = materialize(posts.join(passed, "token").groupBy("k1").agg(F.min("family").alias("family")))
+    return least.join(label.select("k1", "family"), "k1")
+
+
+def _lanes(shingles: str):
+    return F.ceil(F.col(shingles) / F.lit(LANE))
 
 
 def linked_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 5,
@@ -199,45 +278,48 @@ def linked_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc
                        F.col(text_col).alias("_text"))
     sets = write_once(slim.mapInArrow(
         _sets(shingle, percent), f"doc_id {kind}, rk long, n long, k1 long, k2 long, tokens array<long>"), "sets")
-    posts = sets.select("k1", "k2", F.explode("tokens").alias("token"))
-    shared = materialize(posts.groupBy("token").agg(F.min("k1").alias("_lo"), F.max("k1").alias("_hi"))
-                         .where("_lo < _hi").select("token"))
-    posts = materialize(posts.join(broadcast_up_to(shared, BROADCAST_ROWS), "token").distinct())
-
-    # one row per candidate set: a document that has it, and its group
-    least = posts.groupBy("k1", "k2").agg(F.min("token").alias("family"))
-    rows = sets.select("k1", "k2", "rk").where("k1 is not null").groupBy("k1", "k2").agg(F.min("rk").alias("rk"))
-    nodes = materialize(least.join(rows, ["k1", "k2"]))
-    family = nodes.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / F.lit(GROUP)).alias("_cells"))
-    nodes = materialize(nodes.join(family, "family").select(
-        "k1", "k2", "rk", F.xxhash64("family", F.pmod(F.xxhash64("rk"), F.col("_cells"))).alias("g")))
+    # One exchange by token serves both the test for a second set and the join
+    # back; here a set goes by the first half of its key.
+    posts = sets.select("k1", F.explode("tokens").alias("token")).repartition("token")
+    shared = (posts.groupBy("token").agg(F.min("k1").alias("_lo"), F.max("k1").alias("_hi"))
+              .where("_lo < _hi").select("token"))
+    posts = materialize(posts.join(shared, "token").distinct())
+
+    # One row per candidate set: a document that has it, and its lane. Sets
+    # with equal first tokens stay together unless they are too many.
+    rows = sets.where("k1 is not null").groupBy("k1").agg(
+        F.min("rk").alias("rk"), F.greatest(F.max("n"), F.lit(128)).alias("_n"))
+    nodes = materialize(_families(posts).join(rows, "k1"))
+    by_family = nodes.groupBy("family").agg(F.sum("_n").alias("_nf"))
+    by_first = nodes.groupBy("family", "first").agg(F.sum("_n").alias("_n1"))
+    lane = F.xxhash64("family", F.pmod(F.xxhash64("first"), _lanes("_nf")), F.pmod(F.xxhash64("rk"), _lanes("_n1")))
+    nodes = materialize(nodes.join(by_family, "family").join(by_first, ["family", "first"])
+                        .select("k1", "rk", "first", lane.alias("g")))
 
     wanted = broadcast_up_to(nodes.select("rk"), BROADCAST_ROWS)
     texts = slim.select("rk", "_text").join(wanted, "rk", "left_semi")
     shingled = texts.mapInArrow(_shingled(shingle), "rk long, shingles binary")
-    members = write_once(shingled.join(nodes.select("rk", "g"), "rk"), "members")
+    where = broadcast_up_to(nodes.select("rk", "first", "g"), BROADCAST_ROWS)
+    members = write_once(shingled.join(where, "rk"), "members")
 
-    matrix = materialize(posts.join(nodes, ["k1", "k2"]).select("token", "g", "rk"))
-    cells = matrix.select("token", "g").distinct()
-    heads = cells.groupBy("token").agg(F.min("g").alias("g1"), F.max("g").alias("_last")).where("g1 < _last")
-    first = cells.join(heads, "token").where("g1 <> g").select("g1", F.col("g").alias("g2")).distinct()
-    own = nodes.select(F.col("g").alias("g1"), F.col("g").alias("g2")).distinct()
-    first = materialize(first.unionByName(own))
-    links = materialize(_linked(first, members, percent))
+    matrix = materialize(posts.join(nodes, "k1").select("token", "g", "rk"))
+    heads = matrix.groupBy("token").agg(F.min("g").alias("_head"), F.max("g").alias("_last")).where("_head < _last")
+    first = materialize(matrix.join(heads, "token").where("g <> _head")
+                        .select("rk", F.col("_head").alias("g")).distinct())
+    links = materialize(_linked(first, members, percent, own=True))
 
     known = materialize(components(links, "a", "b"))
-    placed = (matrix.join(known, F.col("rk") == F.col("node"), "left")
-              .groupBy("token", "g").agg(F.min(F.coalesce("component", "rk")).alias("lo"),
-                                         F.max(F.coalesce("component", "rk")).alias("hi")))
-    placed = materialize(placed)
-    unsettled = placed.groupBy("token").agg(F.min("lo").alias("_lo"), F.max("hi").alias("_hi")).where("_lo < _hi")
-    placed = placed.join(unsettled.select("token"), "token", "left_semi")
-    x, y = placed.alias("x"), placed.alias("y")
-    settled = ((F.col("x.lo") == F.col("x.hi")) & (F.col("y.lo") == F.col("y.hi")) & (F.col("x.lo") == F.col("y.lo")))
-    rest = (x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.g") < F.col("y.g")) & ~settled)
-            .select(F.col("x.g").alias("g1"), F.col("y.g").alias("g2")).distinct())
-    rest = rest.join(first, ["g1", "g2"], "left_anti")
-    more = _linked(materialize(rest), members, percent)
+    sizes = known.groupBy("component").agg(F.count(F.lit(1)).alias("_n"))
+    weight = F.struct(F.coalesce("_n", F.lit(1)).alias("n"), F.coalesce("component", "rk").alias("c"))
+    placed = nodes.select("rk").join(known, F.col("rk") == F.col("node"), "left").join(
+        sizes, "component", "left").select("rk", weight.alias("of"))
+    placed = materialize(matrix.join(placed, "rk"))
+    tokens = placed.groupBy("token").agg(F.min("of").alias("_lo"), F.max("of").alias("_hi")).where("_lo < _hi")
+    open_ = placed.join(tokens, "token").where("of < _hi").select("token", F.col("g").alias("_own"), "rk", "of")
+    cells = placed.groupBy("token", F.col("g").alias("g")).agg(F.max("of").alias("_top"))
+    rest = (open_.join(cells, "token").where((F.col("of") < F.col("_top")) & (F.col("g") != F.col("_own")))
+            .select("rk", "g").distinct().join(first, ["rk", "g"], "left_anti"))
+    more = _linked(materialize(rest), members, percent, own=False)
     known = components(links.unionByName(more), "a", "b")
 
     # set -> its component and the smallest id in it -> documents
