@@ -7,8 +7,8 @@ batches: words of equal length advance together, one end position at a time;
 the hashes of the substrings ending there probe the sorted hashes of the
 pieces, and the best predecessor is a vectorised maximum stored as a
 backpointer. Equal scores take the longer last piece. A character that no piece
-covers is spelled in byte pieces; so is the mark itself where the text has it,
-which makes decoding exact.
+covers is spelled in byte pieces, at less than the least score; so is the mark
+itself where the text has it, which makes decoding exact.
 
 The model file is a parameter: only its pieces and scores are read. Scores are
 summed as given; for a merge-ranked model (scores 0, -1, -2, ...) the result is
@@ -35,9 +35,9 @@ from pyspark.sql import functions as F
 from seqwise.llm.words import mix64
 
 MARK = "▁"
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 BATCH_CELLS = 1 << 20
-UNKNOWN_BYTES = -1e6   # added for each character spelled in bytes
+_BAD = "\ufffd".encode()
 _WORD = re.compile(" *[^ ]+| +")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -62,7 +62,11 @@ class Vocabulary:
             raise ValueError("the model has no usable piece")
         self.bitmap = np.zeros(1 << 20, dtype=bool)
         self.bitmap[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
-        self.byte_of = {i: b for b, i in byte_ids.items()}
+        self.spelled = self.scores.min() - 10  # of a character in bytes
+        self.spelling = [b"" if i in control else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
+        for b, i in byte_ids.items():
+            self.spelling[i] = bytes([b])
+        self.encoder = None
 
     @staticmethod
     def _hash(codes: np.ndarray) -> np.uint64:
@@ -111,23 +115,30 @@ def viterbi(words: list[str], vocab: Vocabulary) -> list[np.ndarray]:
         total[length, word] = best[end - 1 - length, word] + vocab.scores[at[hit]]
         found[length, word] = vocab.ids[at[hit]]
         pick = top - 1 - np.argmax(total[::-1], axis=0)  # the longest of equal ones
-        score, spelled = total[pick, rows], best[end - 1] + UNKNOWN_BYTES
+        score, spelled = total[pick, rows], best[end - 1] + vocab.spelled
         use = score < spelled
         best[end] = np.where(use, spelled, score)
         back[end] = np.where(use, 1, pick + 1)
         piece[end] = np.where(use, -1, found[pick, rows])
-    out = []
-    for i, word in enumerate(words):
-        end, ids = size, []
-        while end:
-            p = piece[end, i]
+    # All words go back together, last piece first; -2 marks a spelled character.
+    end, steps, spelt = np.full(n, size), [], []
+    while end.any():
+        going = end > 0
+        steps.append(np.where(going, piece[end, rows], -3))
+        spelt.append(end - 1)
+        end = np.where(going, end - back[end, rows], 0)
+    ids, chars = np.array(steps[::-1], dtype=np.int32).T, np.array(spelt[::-1]).T
+    plain = ids[ids != -3]
+    cuts = np.concatenate([[0], np.cumsum((ids != -3).sum(axis=1))]).tolist()
+    out = [plain[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+    for i in np.flatnonzero((ids == -1).any(axis=1)):
+        flat = []
+        for p, c in zip(ids[i].tolist(), chars[i].tolist(), strict=True):
             if p >= 0:
-                ids.append(int(p))
-            else:
-                char = MARK if word[end - 1] == " " else word[end - 1]
-                ids.extend(vocab.byte_ids[b] for b in reversed(char.encode("utf-8", "surrogatepass")))
-            end -= int(back[end, i])
-        out.append(np.array(ids[::-1], dtype=np.int32))
+                flat.append(p)
+            elif p == -1:
+                flat.extend(vocab.byte_ids[x] for x in words[i][c].encode("utf-8", "surrogatepass"))
+        out[i] = np.array(flat, dtype=np.int32)
     return out
 
 
@@ -137,6 +148,13 @@ class Encoder:
     def __init__(self, vocab: Vocabulary) -> None:
         self.vocab, self.cache = vocab, {}
 
+    @classmethod
+    def of(cls, vocab: Vocabulary) -> Encoder:
+        """The worker's encoder of a vocabulary: its cache outlives a task."""
+        if vocab.encoder is None:
+            vocab.encoder = cls(vocab)
+        return vocab.encoder
+
     def learn(self, words: set[str]) -> None:
         """Segment words, equal lengths together."""
         by_size: dict[int, list[str]] = {}
@@ -148,40 +166,27 @@ class Encoder:
                 part = group[i:i + step]
                 self.cache.update((w, ids.tobytes()) for w, ids in zip(part, viterbi(part, self.vocab), strict=True))
 
-    def encode(self, text: str | None) -> np.ndarray | None:
-        if text is None:
-            return None
-        words = _WORD.findall(text)
-        missing = set(words) - self.cache.keys()
-        if missing:
-            if len(self.cache) + len(missing) > CACHE_WORDS:
-                self.cache.clear()
-                missing = set(words)
-            self.learn(missing)
-        return np.frombuffer(b"".join(map(self.cache.__getitem__, words)), dtype=np.int32)
-
-    def prepare(self, texts: list[str | None]) -> None:
-        """Segment what some texts need in larger batches than one text gives."""
-        need = {w for t in texts if t for w in _WORD.findall(t)}
-        if len(need) <= CACHE_WORDS:
-            missing = need - self.cache.keys()
-            if len(self.cache) + len(missing) > CACHE_WORDS:
-                self.cache.clear()
-                missing = need
-            self.learn(missing)
+    def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
+        """Ids of each text; what the texts need is segmented together, unless
+        that alone is more than the cache holds."""
+        split = [_WORD.findall(t) if t else [] for t in texts]
+        missing = {w for words in split for w in words if w not in self.cache}
+        if len(missing) > CACHE_WORDS and len(texts) > 1:
+            return [self.encode([t])[0] for t in texts]
+        if len(self.cache) + len(missing) > CACHE_WORDS:
+            self.cache.clear()
+            missing = {w for words in split for w in words}
+        self.learn(missing)
+        get = self.cache.__getitem__
+        return [None if t is None else np.frombuffer(b"".join(map(get, words)), dtype=np.int32)
+                for t, words in zip(texts, split, strict=True)]
 
 
 def decode_ids(ids, vocab: Vocabulary) -> str:
     """The text of a sequence of ids."""
-    raw = []
-    for i in ids:
-        if i is None or not 0 <= i < len(vocab.pieces):
-            raw.append("�".encode())
-        elif i in vocab.byte_of:
-            raw.append(bytes([vocab.byte_of[i]]))
-        elif i not in vocab.control:
-            raw.append(vocab.pieces[i].replace(MARK, " ").encode())
-    return b"".join(raw).decode("utf-8", "replace")
+    n = len(vocab.pieces)
+    return b"".join([vocab.spelling[i] if i is not None and 0 <= i < n else _BAD for i in ids]).decode(
+        "utf-8", "replace")
 
 
 def _model(spark, model_file: str):
@@ -189,19 +194,18 @@ def _model(spark, model_file: str):
     return spark.sparkContext.broadcast(Vocabulary.read(model_file))
 
 
-_TEXTS = 64  # texts prepared together
+_TEXTS = 256  # texts prepared together
 
 
 def _encode_batches(shared, verify: bool):
     def run(batches):
-        encoder = Encoder(shared.value)
+        encoder = Encoder.of(shared.value)
         for b in batches:
             names = [n for n in b.schema.names if n != "_text"]
             for i in range(0, b.num_rows, _TEXTS):
                 part = b.slice(i, _TEXTS)
                 texts = part.column("_text").to_pylist()
-                encoder.prepare(texts)
-                ids = [encoder.encode(t) for t in texts]
+                ids = encoder.encode(texts)
                 sizes = [0 if x is None else len(x) for x in ids]
                 flat = np.concatenate([x for x in ids if x is not None]) if any(sizes) else np.empty(0, np.int32)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
