@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqwise.llm.common import ascii_lower
+from seqwise.llm.common import ascii_lower, write_once
 
 SHINGLE = 5
 WIDTHS = (1, 4, 16, 64)
@@ -83,8 +83,16 @@ def template_shingles(templates: DataFrame) -> DataFrame:
 
 def _band_keys(h: Column) -> Column:
     """The minima of a window: one per band, marked with the band."""
-    return F.array(*[F.struct(F.lit(b).alias("band"), F.array_min(
-        F.transform(h, lambda x, b=b: F.xxhash64(x, F.lit(b)))).alias("low")) for b in range(BANDS)])
+    def low(band: int) -> Column:
+        return F.array_min(F.transform(h, lambda x: F.xxhash64(x, F.lit(band))))
+    return F.array(*[F.struct(F.lit(b).alias("band"), low(b).alias("low")) for b in range(BANDS)])
+
+
+def _window_starts(width: int, mine: Column) -> Column:
+    """Starts of the windows of ``h`` that hold a known shingle, a quarter apart."""
+    step = F.lit(max(1, width // 4))
+    return F.filter(F.sequence(F.lit(0), F.size("h") - 1, step),
+                    lambda p: F.arrays_overlap(F.slice("h", p + 1, F.lit(width)), mine))
 
 
 def template_bands(shingled: DataFrame) -> DataFrame:
@@ -112,15 +120,19 @@ def scan_licenses(docs: DataFrame, templates: DataFrame, text_col: str = "text",
     bands = bands.join(whole, "template")
     d = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("doc_id"),
                     _tokens(F.col(text_col)).alias("_w"))
+    sizes = sorted({k.words for k in known})
+    mine = {n: F.array(*[F.lit(k.x) for k in known if k.words == n]).cast("array<long>") for n in sizes}
+    # One pass over the texts; what goes on are documents with a known shingle.
+    some = F.lit(False)
+    for n in sizes:
+        some = some | F.arrays_overlap(f"h{n}", mine[n])
+    held = write_once(d.select("_row", "doc_id", *[_windows_of_words("_w", F.lit(n)).alias(f"h{n}") for n in sizes])
+                      .where(some), "licensed")
     hits = None
-    for n in sorted({k.words for k in known}):
-        mine = F.array(*[F.lit(k.x) for k in known if k.words == n]).cast("array<long>")
-        x = d.select("_row", "doc_id", _windows_of_words("_w", F.lit(n)).alias("h")).where(F.arrays_overlap("h", mine))
+    for n in sizes:
+        x = held.select("_row", "doc_id", F.col(f"h{n}").alias("h"))
         for width in WIDTHS:
-            step = max(1, width // 4)
-            starts = F.filter(F.sequence(F.lit(0), F.size("h") - 1, F.lit(step)),
-                              lambda p, width=width: F.arrays_overlap(F.slice("h", p + 1, F.lit(width)), mine))
-            w = x.select("_row", "doc_id", "h", F.explode(starts).alias("at"))
+            w = x.select("_row", "doc_id", "h", F.explode(_window_starts(width, mine[n])).alias("at"))
             w = w.withColumn("_k", F.explode(_band_keys(F.slice("h", F.col("at") + 1, F.lit(width)))))
             met = w.join(F.broadcast(bands.where((F.col("width") == width) & (F.col("words") == n))),
                          (F.col("_k.band") == F.col("band")) & (F.col("_k.low") == F.col("low")))
