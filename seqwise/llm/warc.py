@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from seqwise.llm.common import materialize, shared_folder, write_once
 
-ID_RANGES = 65_536          # equal ranges of page ids in the histogram
+ID_RANGES = 4_096           # equal ranges of page ids in the histogram
 SHARD_BYTES = 64 << 20      # payload bytes of a shard (one writer task)
 ROLL_BYTES = 16 << 20       # compressed bytes after which a file is closed
 MIN_REVISIT_BYTES = 0
