@@ -3,18 +3,21 @@
 Texts are sets of word shingles; two link when
 100 * |intersection| >= percent * |union|. Exact, in these steps:
 
-1. Sets. One pass over whole texts gives every document its set's size, a
-   key of the set (copies share it) and its *tokens*: the shingles'
-   hash range is cut into m parts and each part's content is one token. Linked
-   sets of at most M shingles differ in at most (1-t)/(1+t) * 2M shingles, so
-   with one part more than that some part is equal: linked sets share a token.
-   m is fixed per size class (ratio 1/t); a set has tokens of its own class and
-   of the next, which covers all sizes it can link with. A token holds some
-   nine shingles spread over the text, so frequent lines or words do not make
-   texts share one.
-2. Candidates. Tokens that two different sets share are kept (partial minimum
-   and maximum of set keys, so copies cost one row a task); sets without such a
-   token have no link. Only candidates' shingles are computed again and kept.
+1. Candidates. A set links with nothing if more than 1 - t of its shingles
+   occur in no other set. One pass over whole texts gives every document its
+   set's size, a key of the set (copies share it) and those of its shingles
+   that fall into a fixed share of the hash range (``RANGE`` times 1 - t);
+   minima and maxima of set keys per shingle tell the unique ones of these.
+   Most texts of a corpus are settled by that count alone; the rest are the
+   candidates, and only their shingles are computed again and kept.
+2. Tokens. The hash range is cut into m parts and the content of each part is
+   one token of a candidate. Linked sets of at most M shingles differ in at
+   most d = (1-t)/(1+t) * 2M shingles, hence in at most d parts. m is larger
+   than d, so they share a token; if a set has fewer than m - d empty parts it
+   even shares one with content, and gives only those. m is fixed per size
+   class (ratio 1/t); a set has tokens of its own class and of the next, which
+   covers all sizes it can link with. Frequent lines or words hardly make
+   texts share a token, as it holds several shingles from all over the text.
 3. Families. Candidates get the least of their shared tokens, passed on twice
    along shared tokens so that sets with common tokens meet, and families are
    dealt into lanes of at most about ``LANE`` shingles.
@@ -48,10 +51,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqwise.llm.common import broadcast_up_to, materialize, write_once
+from seqwise.llm.common import broadcast_up_to, materialize, small_batches, write_once
 from seqwise.llm.components import components
 from seqwise.llm.words import mix64, shingle_set
 
+RANGE = 1.6               # times 1 - t: share of the shingles tested for being unique
 GROUP = 64
 LANE = 1 << 19            # shingles of a lane; a set counts as 128 at least
 QUERIES = 2_048           # query sets that meet one lane in one task
@@ -79,71 +83,66 @@ def set_tokens(s: np.ndarray, percent: int) -> np.ndarray:
     own, out = size_class(len(s), t), []
     for c in (own, own + 1):
         limit = max(class_limit(c, t), len(s))
-        parts = 2 * limit * (100 - percent) // (100 + percent) + 1
+        differ = 2 * limit * (100 - percent) // (100 + percent)
+        parts = differ + 2 + differ // 10
         edges = (np.arange(1, parts, dtype=np.float64) * (2.0 ** 64 / parts)).astype(np.uint64)
         at = np.concatenate([[0], np.searchsorted(s, edges), [len(s)]])
-        place = mix64(np.arange(parts, dtype=np.uint64) + np.uint64(c << 32))
-        out.append(mix64(sums[at[1:]] - sums[at[:-1]] + place))
+        tokens = mix64(sums[at[1:]] - sums[at[:-1]] + mix64(np.arange(parts, dtype=np.uint64) + np.uint64(c << 32)))
+        full = at[1:] > at[:-1]
+        out.append(tokens[full] if (~full).sum() < parts - differ else tokens)
     return np.concatenate(out)
 
 
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays).view(np.int64), pa.int64()))
+
+
 def _sets(shingle: int, percent: int):
+    limit = np.uint64(int(min(RANGE * (100 - percent) / 100, 0.999) * 2.0 ** 64))
+    none = np.empty(0, np.uint64)
+
     def run(batches):
-        seen = set()  # copies within a task give their tokens once
+        seen = set()  # copies within a task give their shingles once
         for b in batches:
             for i in range(0, b.num_rows, 500):
                 part = b.slice(i, 500)
-                n, k1, k2, tokens = [], [], [], []
+                n, k1, k2, some = [], [], [], []
                 for text in part.column("_text"):
                     s = shingle_set(text.as_py(), shingle)
                     n.append(len(s))
                     k1.append(int(mix64(s).sum().view(np.int64)) if len(s) else None)
                     k2.append(int(mix64(s + np.uint64(77)).sum().view(np.int64)) if len(s) else None)
-                    fresh = len(s) > 0 and (k1[-1], k2[-1]) not in seen
+                    some.append(none if (k1[-1], k2[-1]) in seen else s[:np.searchsorted(s, limit)])
                     seen.add((k1[-1], k2[-1]))
-                    tokens.append(set_tokens(s, percent).view(np.int64) if fresh else np.empty(0, np.int64))
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in tokens])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("rk"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()),
-                     pa.array(k2, pa.int64()), pa.ListArray.from_arrays(
-                        pa.array(offsets), pa.array(np.concatenate(tokens), pa.int64()))],
-                    names=["doc_id", "rk", "n", "k1", "k2", "tokens"])
+                     pa.array(k2, pa.int64()), _lists(some)], names=["doc_id", "rk", "n", "k1", "k2", "some"])
     return run
 
 
-def _shingled(shingle: int):
+def _shingled(shingle: int, percent: int):
     def run(batches):
         seen = set()  # repeated rows of a task are wanted once
         for b in batches:
-            rk, sets = [], []
+            rk, sets, tokens = [], [], []
             for key, text in zip(b.column("rk").to_pylist(), b.column("_text"), strict=True):
                 if key not in seen:
                     seen.add(key)
+                    s = shingle_set(text.as_py(), shingle)
                     rk.append(key)
-                    sets.append(shingle_set(text.as_py(), shingle).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(rk, pa.int64()), pa.array(sets, pa.binary())],
-                                             names=["rk", "shingles"])
+                    sets.append(s.tobytes())
+                    tokens.append(set_tokens(s, percent))
+                if len(rk) == 500:
+                    yield pa.RecordBatch.from_arrays([pa.array(rk, pa.int64()), pa.array(sets, pa.binary()),
+                                                      _lists(tokens)], names=["rk", "shingles", "tokens"])
+                    rk, sets, tokens = [], [], []
+            if rk:
+                yield pa.RecordBatch.from_arrays([pa.array(rk, pa.int64()), pa.array(sets, pa.binary()),
+                                                  _lists(tokens)], names=["rk", "shingles", "tokens"])
     return run
 
 
-def forest(n: int, pairs) -> list[tuple[int, int]]:
-    """The pairs that join two trees, in order: a spanning forest."""
-    root = list(range(n))
-
-    def find(x):
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-    kept = []
-    for a, b in pairs:
-        x, y = find(a), find(b)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            kept.append((a, b))
-    return kept
-
-
 class Lane:
     """Sets in groups of ``GROUP``, with their token-group matrix."""
 
@@ -255,14 +254,14 @@ def _linked(queries: DataFrame, members: DataFrame, percent: int, own: bool) ->
 
 
 def _families(posts: DataFrame, hops: int = 2) -> DataFrame:
-    """(k1, first, family): a set's least token, and the least that reaches it
+    """(rk, first, family): a set's least token, and the least that reaches it
     over shared tokens in ``hops`` steps."""
-    least = materialize(posts.groupBy("k1").agg(F.min("token").alias("first")))
+    least = materialize(posts.groupBy("rk").agg(F.min("token").alias("first")))
     label = least.withColumn("family", F.col("first"))
     for _ in range(hops):
-        passed = posts.join(label, "k1").groupBy("token").agg(F.min("family").alias("family"))
-        label = materialize(posts.join(passed, "token").groupBy("k1").agg(F.min("family").alias("family")))
-    return least.join(label.select("k1", "family"), "k1")
+        passed = posts.join(label, "rk").groupBy("token").agg(F.min("family").alias("family"))
+        label = materialize(posts.join(passed, "token").groupBy("rk").agg(F.min("family").alias("family")))
+    return least.join(label.select("rk", "family"), "rk")
 
 
 def _lanes(shingles: str):
@@ -274,35 +273,40 @@ def linked_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc
     """Per document: doc_id, rk (hash of id and text), n (size of its set),
     component (a key; null for empty sets) and component_id (least id of it)."""
     kind = dict(docs.dtypes)[id_col]
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("rk"),
+    slim = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("rk"),
                        F.col(text_col).alias("_text"))
     sets = write_once(slim.mapInArrow(
-        _sets(shingle, percent), f"doc_id {kind}, rk long, n long, k1 long, k2 long, tokens array<long>"), "sets")
-    # One exchange by token serves both the test for a second set and the join
-    # back; here a set goes by the first half of its key.
-    posts = sets.select("k1", F.explode("tokens").alias("token")).repartition("token")
-    shared = (posts.groupBy("token").agg(F.min("k1").alias("_lo"), F.max("k1").alias("_hi"))
-              .where("_lo < _hi").select("token"))
+        _sets(shingle, percent), f"doc_id {kind}, rk long, n long, k1 long, k2 long, some array<long>"), "sets")
+
+    # One row per set, by a document that has it; those with few unique shingles
+    # are the candidates.
+    posts = sets.select("k1", F.explode("some").alias("x"))
+    unique = (posts.groupBy("x").agg(F.min("k1").alias("k1"), F.max("k1").alias("_hi")).where("k1 = _hi")
+              .groupBy("k1").agg(F.count(F.lit(1)).alias("_unique")))
+    every = sets.where("k1 is not null").groupBy("k1", "k2").agg(F.min("rk").alias("rk"), F.first("n").alias("n"))
+    nodes = materialize(every.join(unique, "k1", "left")
+                        .where(100 * F.coalesce("_unique", F.lit(0)) <= (100 - percent) * F.col("n")).select("rk", "n"))
+
+    wanted = broadcast_up_to(nodes.select("rk"), BROADCAST_ROWS)
+    texts = slim.select("rk", "_text").join(wanted, "rk", "left_semi")
+    shingled = write_once(texts.mapInArrow(
+        _shingled(shingle, percent), "rk long, shingles binary, tokens array<long>"), "candidates")
+    posts = shingled.select("rk", F.explode("tokens").alias("token"))
+    shared = (posts.groupBy("token").agg(F.min("rk").alias("_lo"), F.max("rk").alias("_hi")).where("_lo < _hi")
+              .select("token"))
     posts = materialize(posts.join(shared, "token").distinct())
 
-    # One row per candidate set: a document that has it, and its lane. Sets
-    # with equal first tokens stay together unless they are too many.
-    rows = sets.where("k1 is not null").groupBy("k1").agg(
-        F.min("rk").alias("rk"), F.greatest(F.max("n"), F.lit(128)).alias("_n"))
-    nodes = materialize(_families(posts).join(rows, "k1"))
+    # Lanes. Sets with equal first tokens stay together unless they are too many.
+    nodes = materialize(_families(posts).join(nodes.withColumn("_n", F.greatest("n", F.lit(128))), "rk"))
     by_family = nodes.groupBy("family").agg(F.sum("_n").alias("_nf"))
     by_first = nodes.groupBy("family", "first").agg(F.sum("_n").alias("_n1"))
     lane = F.xxhash64("family", F.pmod(F.xxhash64("first"), _lanes("_nf")), F.pmod(F.xxhash64("rk"), _lanes("_n1")))
     nodes = materialize(nodes.join(by_family, "family").join(by_first, ["family", "first"])
-                        .select("k1", "rk", "first", lane.alias("g")))
-
-    wanted = broadcast_up_to(nodes.select("rk"), BROADCAST_ROWS)
-    texts = slim.select("rk", "_text").join(wanted, "rk", "left_semi")
-    shingled = texts.mapInArrow(_shingled(shingle), "rk long, shingles binary")
+                        .select("rk", "first", lane.alias("g")))
     where = broadcast_up_to(nodes.select("rk", "first", "g"), BROADCAST_ROWS)
-    members = write_once(shingled.join(where, "rk"), "members")
+    members = write_once(shingled.select("rk", "shingles").join(where, "rk"), "members")
 
-    matrix = materialize(posts.join(nodes, "k1").select("token", "g", "rk"))
+    matrix = materialize(posts.join(nodes, "rk").select("token", "g", "rk"))
     heads = matrix.groupBy("token").agg(F.min("g").alias("_head"), F.max("g").alias("_last")).where("_head < _last")
     first = materialize(matrix.join(heads, "token").where("g <> _head")
                         .select("rk", F.col("_head").alias("g")).distinct())
@@ -348,6 +352,14 @@ def one_of_each(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rk")).alias("_best"))
     kept = best.select(F.col("_best.rk").alias("_rk")).unionByName(
         linked.where("n = 0").select(F.col("rk").alias("_rk")).distinct())
+    kept = broadcast_up_to(materialize(kept), BROADCAST_ROWS)
     keyed = docs.withColumn("_row_key", F.xxhash64(id_col, text_col))
     one = keyed.join(kept, F.col("_row_key") == F.col("_rk"), "left_semi")
-    return one.dropDuplicates(["_row_key"]).select(*docs.columns)
+    # only rows that repeat, id and text, need to be compared with each other
+    twice = materialize(linked.groupBy("rk").count().where("count > 1").select(F.col("rk").alias("_rk")))
+    if twice.isEmpty():
+        return one.select(*docs.columns)
+    twice = broadcast_up_to(twice, BROADCAST_ROWS)
+    single = one.join(twice, F.col("_row_key") == F.col("_rk"), "left_anti")
+    repeated = one.join(twice, F.col("_row_key") == F.col("_rk"), "left_semi").dropDuplicates(["_row_key"])
+    return single.unionByName(repeated).select(*docs.columns)
