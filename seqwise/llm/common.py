@@ -25,6 +25,20 @@ def words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SEPARATORS))
 
 
+TEXT_ROWS = 500  # rows of whole texts (or groups of them) in one Arrow batch
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after lowering the session's Arrow batch size to ``TEXT_ROWS``.
+
+    The default of 10,000 rows is made for numbers: as many whole texts, held
+    by the JVM and by the worker of every core, do not fit small executors."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > TEXT_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+    return df
+
+
 def word_count(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 

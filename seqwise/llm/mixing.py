@@ -25,11 +25,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqwise.llm.common import materialize, word_count
+from seqwise.llm.common import broadcast_up_to, materialize, word_count
 
 WEIGHTS = (5, 2, 1)      # by the sources' order, repeating
 BUDGET = 1.5             # words of the mix per word of input
 MAX_REPEATS = 2          # a source's target stops at this many times its size
+SOURCES = 10_000         # up to so many sources their table is broadcast, else joined
 RANGES = 4096            # hash ranges of a source, and ranges of virtual time
 
 
@@ -144,7 +145,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     last = plan.where("copies > 0").groupBy("source").agg(
         *[F.max(F.when(F.col("copies") > k, F.col("key"))).alias(f"_to{k}")
           for k in range(options.get("max_repeats", MAX_REPEATS))])
-    last = materialize(last).select(F.col("source").alias("_source"), *[c for c in last.columns if c != "source"])
+    last = broadcast_up_to(materialize(last), SOURCES).select(F.col("source").alias("_source"), *[c for c in last.columns if c != "source"])
     tos = [c for c in last.columns if c.startswith("_to")]
     id_col, source_col = options.get("id_col", "doc_id"), options.get("source_col", "source")
     j = docs.withColumn("_key", shuffle_key(F.col(id_col)))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqwise.llm.common import write_once
+from seqwise.llm.common import small_batches, write_once
 from seqwise.llm.words import shingles, word_hashes, word_spans
 
 WORD_SLOTS = 1 << 13
@@ -155,7 +155,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, text_col: str, id_col: str
                             order.alias("_order"))
               .where(F.col("_label").isin(0, 1) & F.col("_id").isNotNull() & ~held_out(F.col("_id")))
               .orderBy("_order", "_label").limit(max_rows))
-    texts = docs.select(F.col(id_col).alias("_key"), F.col(text_col).alias("_text"))
+    texts = small_batches(docs).select(F.col(id_col).alias("_key"), F.col(text_col).alias("_text"))
     rows = texts.join(F.broadcast(chosen), F.col("_key") == F.col("_id")).select(
         F.pmod(F.xxhash64("_order"), F.lit(SHARDS)).cast("int").alias("_shard"), "_order", "_label", "_text")
     return write_once(rows.mapInArrow(
@@ -208,7 +208,7 @@ def score_documents(docs: DataFrame, model: Model | None, text_col: str = "text"
     """``docs`` plus its score, in one pass over whole texts."""
     shared = docs.sparkSession.sparkContext.broadcast(model.flat) if model else None
     # carried under other names, so that no column of docs can clash
-    slim = docs.select(*[F.col(c).alias(f"_doc_{i}") for i, c in enumerate(docs.columns)],
+    slim = small_batches(docs).select(*[F.col(c).alias(f"_doc_{i}") for i, c in enumerate(docs.columns)],
                        F.col(text_col).alias("_text"))
     kept = ", ".join(f"{n} {t}" for n, t in slim.dtypes if n != "_text")
     out = slim.mapInArrow(_scorer(shared), f"{kept}, _score double")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqwise.llm.common import write_once
+from seqwise.llm.common import small_batches, write_once
 
 # The base rules, in order, and the least length of what they find.
 KINDS = ["assign", "access", "hex", "mixed"]
@@ -117,7 +117,7 @@ def candidates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     repo = F.coalesce(F.concat(F.lit("="), F.col(repo_col).cast("string")), F.lit(""))
     texts = ([F.col(c).alias(f"_doc_{i}") for i, c in enumerate(docs.columns)] if carry
              else [F.col(text_col).alias("_text")])
-    slim = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("doc_id"),
+    slim = small_batches(docs).select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("doc_id"),
                        owner.alias("_owner"), F.concat(owner, F.lit("/"), repo).alias("_repo"), *texts)
     text_name = f"_doc_{docs.columns.index(text_col)}" if carry else "_text"
     kept = ", ".join(f"{n} {t}" for n, t in slim.dtypes if carry or n != text_name)

@@ -39,7 +39,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqwise.llm.common import materialize, shared_folder, write_once
+from seqwise.llm.common import materialize, shared_folder, small_batches, write_once
 
 ID_RANGES = 4_096           # equal ranges of page ids in the histogram
 SHARD_BYTES = 64 << 20      # payload bytes of a shard (one writer task)
@@ -180,6 +180,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     """Write ``pages`` into ``folder`` (a URI that all executors reach) and
     return the manifest: shard, file, records, bytes, sha256."""
     folder = re.sub(r"^file:/+", "file:///", folder)
+    small_batches(pages)
     plan = materialize(plan_records(pages, id_col, payload_col, min_revisit_bytes))
     cuts, place = shard_cuts(plan, shard_bytes)
     shards = (cuts.agg(F.max(F.col("_first") + F.col("_pieces"))).first()[0] or 0) + 1
