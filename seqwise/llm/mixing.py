@@ -148,7 +148,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     last = broadcast_up_to(materialize(last), SOURCES).select(F.col("source").alias("_source"), *[c for c in last.columns if c != "source"])
     tos = [c for c in last.columns if c.startswith("_to")]
     id_col, source_col = options.get("id_col", "doc_id"), options.get("source_col", "source")
-    j = docs.withColumn("_key", shuffle_key(F.col(id_col)))
+    some = F.col(options.get("text_col", "text")).rlike("[^\\x20\\x09-\\x0D]")
+    j = docs.where(some).withColumn("_key", shuffle_key(F.col(id_col)))
     j = j.join(last, F.col(source_col).cast("string").eqNullSafe(F.col("_source")))
     times = sum(F.when(F.col("_key") <= F.col(c), 1).otherwise(0) for c in tos)
     return (j.withColumn("_times", times).where("_times > 0")

@@ -67,7 +67,6 @@ class Vocabulary:
         self.spelling = [b"" if i in control else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
         for b, i in byte_ids.items():
             self.spelling[i] = bytes([b])
-        self.encoder = None
 
     @staticmethod
     def _hash(codes: np.ndarray) -> np.uint64:
@@ -146,15 +145,18 @@ def viterbi(words: list[str], vocab: Vocabulary) -> list[np.ndarray]:
 class Encoder:
     """Encodes texts with one vocabulary, through a bounded cache of words."""
 
+    _latest: Encoder | None = None
+
     def __init__(self, vocab: Vocabulary) -> None:
         self.vocab, self.cache = vocab, {}
 
     @classmethod
     def of(cls, vocab: Vocabulary) -> Encoder:
-        """The worker's encoder of a vocabulary: its cache outlives a task."""
-        if vocab.encoder is None:
-            vocab.encoder = cls(vocab)
-        return vocab.encoder
+        """The worker's encoder of a vocabulary: its cache outlives a task, and
+        goes with the first task of another vocabulary."""
+        if cls._latest is None or cls._latest.vocab is not vocab:
+            cls._latest = cls(vocab)
+        return cls._latest
 
     def learn(self, words: set[str]) -> None:
         """Segment words, equal lengths together."""
