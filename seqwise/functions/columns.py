@@ -25,8 +25,10 @@ def epoch_us(df: DataFrame, name: str) -> Column:
 
 
 def norm_text(c) -> Column:
-    """null -> '', trim, lower (category and traffic_source only)."""
-    return F.lower(F.trim(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))))
+    """null -> '', strip all white space at both ends, lower (category and
+    traffic_source only)."""
+    text = F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
+    return F.lower(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""))
 
 
 def hour_enc(ts) -> Column:

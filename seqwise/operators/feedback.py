@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from seqwise.functions.columns import epoch_us
 from seqwise.functions.constants import CHURN_HOURS
-from seqwise.operators.frames import DEFAULT_ROWS_PER_SPLIT, assign_splits, hot_key_splits
+from seqwise.operators.frames import (DEFAULT_ROWS_PER_SPLIT, assign_splits, configured_rows_per_split,
+                                      hot_key_splits)
 
 US_PER_HOUR = 3_600_000_000
 
@@ -36,7 +37,7 @@ def next_event_after(preds: DataFrame, events: DataFrame, key: str = "user_id",
     order = ["_t", "_tag", "_oid"]
     if isinstance(hot, str):
         # the split plan covers every row that gets a split: events and predictions
-        hot = hot_key_splits(u.select("_k", "_t"), "_k", "_t", rows_per_split)
+        hot = hot_key_splits(u.select("_k", "_t"), "_k", "_t", configured_rows_per_split(u, rows_per_split))
     # "Nearest event after" is evaluated as a running frame over the reversed
     # order (last non-null over all preceding rows), which Spark computes
     # incrementally; a frame reaching to unbounded following would be

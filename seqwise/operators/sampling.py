@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqwise.operators.frames import DEFAULT_ROWS_PER_SPLIT, assign_splits, hot_key_splits
+from seqwise.operators.frames import (DEFAULT_ROWS_PER_SPLIT, assign_splits, configured_rows_per_split,
+                                      hot_key_splits)
 
 
 def md5_bucket(key, seed: int, buckets: int = 100):
@@ -54,13 +55,16 @@ def split_by_row(df: DataFrame, val_pct: int = 15, seed: int = 42, row_key: str
 
 def user_positions(events: DataFrame, key: str = "muid", order=("event_time", "event_id"),
                    t_col: str = "_t", rows_per_split: int = DEFAULT_ROWS_PER_SPLIT, hot="auto") -> DataFrame:
-    """1-based position of every event in its user's (time, id) order.
+    """1-based position of every event in its user's (time, id) order. Events
+    without user or time have none and are left out, whatever the users' sizes.
 
     Hot users are ranked per time split; split offsets come from a small
     per-(user, split) count table, so no task holds a whole hot user."""
     from seqwise.functions.columns import epoch_us
+    events = events.where(F.col(key).isNotNull() & F.col(order[0]).isNotNull())
     df = events.withColumn(t_col, epoch_us(events, order[0]))
     if isinstance(hot, str):
+        rows_per_split = configured_rows_per_split(df, rows_per_split)
         hot = hot_key_splits(df, key, t_col, rows_per_split)
     if hot is None:
         w = Window.partitionBy(key).orderBy(*order)
@@ -80,15 +84,20 @@ def paginate(df: DataFrame, order: str, limit: int, offset: int = 0) -> DataFram
     return df.orderBy(order).offset(offset).limit(limit)
 
 
-def merge_recent(history: DataFrame, recent: DataFrame, key: str = "event_id") -> DataFrame:
+def merge_recent(history: DataFrame, recent: DataFrame, key: str = "event_id",
+                 time_col: str = "event_time") -> DataFrame:
     """Union request-time events with stored history, one row per event id
-    (the request copy wins). The stored history is keyed already, so only the
+    (the request copy wins; of several the latest by ``time_col``, if there is
+    one). Events without an id are all kept. The stored history is keyed already, so only the
     recent rows are deduplicated (a small partial aggregate) and the history
     loses the ids they replace through an anti join against the recent ids,
     broadcast after a size check: the history itself is never shuffled."""
     from seqwise.operators.util import broadcast_checked
     cols = [c for c in history.columns if c != key]
-    rec = (recent.groupBy(key).agg(F.max_by(F.struct(*cols), F.col(cols[0])).alias("_r"))
+    first = [time_col] if time_col in cols else []
+    rec = (recent.where(F.col(key).isNotNull()).groupBy(key)
+           .agg(F.max(F.struct(*first, *[c for c in cols if c not in first])).alias("_r"))
            .select(key, *[F.col(f"_r.{c}").alias(c) for c in cols]))
     kept = history.join(broadcast_checked(rec.select(key)), key, "left_anti")
-    return kept.select(key, *cols).unionByName(rec)
+    nameless = recent.where(F.col(key).isNull())
+    return kept.select(key, *cols).unionByName(rec).unionByName(nameless.select(key, *cols))

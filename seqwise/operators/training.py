@@ -64,8 +64,8 @@ def fit_heads(train: DataFrame, max_iter: int = 50, reg: float = 1e-3) -> dict:
 def _fit_all(feat, t: DataFrame, max_iter: int, reg: float) -> dict:
     models = {"_features": feat}
     for out, target in BINARY_HEADS.items():
-        models[out] = LogisticRegression(featuresCol="features", labelCol=target, maxIter=max_iter,
-                                         regParam=reg, family="binomial").fit(t)
+        models[out] = LogisticRegression(featuresCol="features", labelCol=target, weightCol="_w", maxIter=max_iter,
+                                         regParam=reg, family="binomial").fit(_with_weight(t, target, 2, True, "_w"))
     for out, (target, classes, weighted) in CLASS_HEADS.items():
         tw = _with_weight(t, target, classes, weighted, "_w")
         models[out] = LogisticRegression(featuresCol="features", labelCol=target, weightCol="_w",

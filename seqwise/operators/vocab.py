@@ -7,6 +7,7 @@ non-null values in order of first appearance (by event_time, event_id).
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -92,7 +93,10 @@ def load_vocab(spark: SparkSession, path: str, features: list[str] = DYNAMIC_FEA
     try:
         saved = spark.read.schema(schema).json(path)
         saved.schema  # noqa: B018  (resolves the path now)
-    except Exception:  # no saved vocabulary: defaults only
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+        # nothing saved: defaults only
         saved = spark.createDataFrame([], schema)
     saved = saved.select("feature", "value", "id")
     have = saved.select("feature").distinct()

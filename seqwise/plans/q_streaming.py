@@ -23,10 +23,10 @@ AS_OF = "2024-02-01 00:00:00"
 def _feed(spark, sf_dir, chunks=6, extra=None):
     e = load_events(spark, sf_dir)
     folder = scratch_path(spark, "feed")
-    write_record_feed(e, folder, chunks)
+    files = write_record_feed(e, folder, chunks)
     if extra is not None:
         write_record_feed(extra(e), folder, 1)
-    return e.schema, read_record_stream(spark, folder)
+    return e.schema, read_record_stream(spark, folder, files_per_trigger=files)
 
 
 @query("STR-1")

@@ -46,7 +46,8 @@ def src_4(spark, sf_dir):
     path = scratch_path(spark, "events_appended")
     e = ev(spark, sf_dir)
     append_events(e.where(F.col("event_time") < F.lit("2024-01-15").cast("timestamp_ntz")), path)
-    append_events(e.where(F.col("event_time") >= F.lit("2024-01-15").cast("timestamp_ntz")), path)
+    later = F.col("event_time") >= F.lit("2024-01-15").cast("timestamp_ntz")
+    append_events(e.where(F.coalesce(later, F.lit(True))), path)  # events without a time too
     return spark.read.parquet(path).select(*EVENT_COLUMNS)
 
 
@@ -214,7 +215,7 @@ def voc_7(spark, sf_dir):
 def set_1(spark, sf_dir):
     e = ev(spark, sf_dir, ["event_id", "muid", "event_time"])
     cut = F.lit("2024-01-15").cast("timestamp_ntz")
-    return e.where(F.col("event_time") < cut).unionByName(e.where(F.col("event_time") >= cut)) \
+    return e.where(F.col("event_time") < cut).unionByName(e.where(F.coalesce(F.col("event_time") >= cut, F.lit(True)))) \
             .select("event_id", "muid")
 
 

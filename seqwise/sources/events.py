@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,7 +90,9 @@ def read_events(spark: SparkSession, path: str, columns: list[str] | None = None
     reader = spark.read.schema(schema) if schema is not None else spark.read
     try:
         df = reader.parquet(path)
-    except Exception as exc:  # AnalysisException: path does not exist / unable to infer
+    except AnalysisException as exc:
+        if exc.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         raise FileNotFoundError(f"No parquet files found in {path}") from exc
     return df.select(*columns) if columns else df
 

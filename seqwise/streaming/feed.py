@@ -1,9 +1,9 @@
 """Record feeds for streams.
 
 In production the records come from a message bus (Kafka source, keyed by
-user). Locally the same JSON records are written as files, one file per time
-chunk and in time order, and read with ``maxFilesPerTrigger=1`` so that every
-micro-batch is one chunk and chunks arrive in time order."""
+user). Locally the same JSON records are written as files, chunk by chunk in time
+order, each chunk as as many files as its rows need, and read with as many
+files a trigger, so that micro-batches follow the chunks."""
 
 from __future__ import annotations
 
@@ -14,23 +14,32 @@ from pyspark.sql import types as T
 from seqwise.functions.columns import epoch_us
 from seqwise.sources.sinks import EVENT_TOPIC, JSON_TIME_OPTIONS
 
+ROWS_PER_FILE = 500_000
+
 RECORD_SCHEMA = T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.StringType()),
                               T.StructField("topic", T.StringType())])
 
 
 def write_chunked(df: DataFrame, folder: str, time_col: str, chunks: int) -> int:
-    """Write ``df`` (minus ``time_col``) as ``chunks`` JSON files in time order.
-    Test feed only: each chunk is written by one task."""
-    t = epoch_us(df, time_col)
-    b = df.agg(F.min(t).alias("lo"), F.max(t).alias("hi")).first()
-    if b["lo"] is None:
-        return 0
-    width = (b["hi"] - b["lo"]) // chunks + 1
-    keyed = df.withColumn("_chunk", F.floor((t - F.lit(b["lo"])) / F.lit(width)).cast("int")).drop(time_col)
-    for i in range(chunks):
-        (keyed.where(F.col("_chunk") == i).drop("_chunk").coalesce(1)
-         .write.mode("append").options(**JSON_TIME_OPTIONS).json(folder))
-    return chunks
+    """Write ``df`` (minus ``time_col``) as ``chunks`` groups of JSON files in
+    time order, rows without a time with the last one; the files of a chunk
+    (one per ROWS_PER_FILE rows of the largest chunk) are written in parallel.
+    The source is read once. Returns the files of a chunk."""
+    df = df.persist()
+    try:
+        t = epoch_us(df, time_col)
+        lo, hi = df.agg(F.min(t), F.max(t)).first()
+        width = 1 if lo is None else (hi - lo) // chunks + 1
+        place = F.floor((t - F.lit(lo or 0)) / F.lit(width)).cast("int")
+        keyed = df.withColumn("_chunk", F.coalesce(place, F.lit(chunks - 1))).drop(time_col)
+        most = keyed.groupBy("_chunk").count().agg(F.max("count")).first()[0] or 0
+        files = max(1, -(-most // ROWS_PER_FILE))
+        for i in range(chunks):
+            (keyed.where(F.col("_chunk") == i).drop("_chunk").repartition(files)
+             .write.mode("append").options(**JSON_TIME_OPTIONS).json(folder))
+        return files
+    finally:
+        df.unpersist()
 
 
 def event_records(events: DataFrame, topic: str = EVENT_TOPIC) -> DataFrame:

@@ -10,6 +10,7 @@ from seqwise.operators.quality import split_valid
 from seqwise.sources.sinks import append_events, batch_folder, from_stream_records
 
 STREAM_TIME = "_stream_ts"
+DEDUP_KEY = "_dedup_key"
 
 
 def decode(records: DataFrame, event_schema: T.StructType) -> DataFrame:
@@ -29,8 +30,17 @@ def ingest_stream(spark: SparkSession, records: DataFrame, event_schema: T.Struc
     if dedup_delay:
         ev = (ev.withColumn(STREAM_TIME, F.col("event_time").cast("timestamp"))
               .withWatermark(STREAM_TIME, dedup_delay)
-              .dropDuplicatesWithinWatermark(["event_id"]).drop(STREAM_TIME))
+              # events without an id are no duplicates of each other
+              .withColumn(DEDUP_KEY, F.coalesce(F.col("event_id").cast("string"), F.expr("uuid()")))
+              .dropDuplicatesWithinWatermark([DEDUP_KEY]).drop(STREAM_TIME, DEDUP_KEY))
     stats = {"batches": 0}
+    late: dict[int, int] = {}
+    running: list = []
+
+    def note_late() -> None:
+        # progress is kept for the last 100 batches only: read it in time
+        for p in running[0].recentProgress:
+            late[p["batchId"]] = sum(op.get("numRowsDroppedByWatermark", 0) for op in p.get("stateOperators", []))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         # foreachBatch may re-run a batch after a failure: each batch owns one
@@ -43,12 +53,15 @@ def ingest_stream(spark: SparkSession, records: DataFrame, event_schema: T.Struc
         finally:
             batch.unpersist()
         stats["batches"] += 1
+        if running and stats["batches"] % 25 == 0:
+            note_late()
 
     q = (ev.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
+    running.append(q)
     q.awaitTermination()
-    stats["late_dropped"] = sum(op.get("numRowsDroppedByWatermark", 0)
-                                for p in q.recentProgress for op in p.get("stateOperators", []))
+    note_late()
+    stats["late_dropped"] = sum(late.values())
     return stats
 
 
