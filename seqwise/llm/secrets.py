@@ -24,7 +24,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -80,12 +82,16 @@ def scan(text: str | None) -> list[tuple[int, int, int, str]]:
         spans += [(1, m.start(), m.end(), m.group()) for m in ACCESS.finditer(text)
                   if m.end() - m.start() >= ACCESS_MIN]
     spans += [(2, m.start(), m.end(), m.group()) for m in HEX.finditer(text)]
-    taken = sorted((a, b) for _, a, b, _ in spans)
+    starts = sorted(a for _, a, _, _ in spans)
+    reach = list(accumulate((b for _, b in sorted((a, b) for _, a, b, _ in spans)), max))  # furthest end so far
+
+    def free(start: int, end: int) -> bool:
+        before = bisect_left(starts, end)
+        return not before or reach[before - 1] <= start
     for m in MIXED.finditer(text):
         v = m.group()
         if (re.search(r"[0-9]", v) and re.search(r"[A-Z]", v) and re.search(r"[a-z]", v)
-                and entropy(v) >= MIXED_ENTROPY
-                and not any(a < m.end() and m.start() < b for a, b in taken)):
+                and free(m.start(), m.end()) and entropy(v) >= MIXED_ENTROPY):
             spans.append((3, m.start(), m.end(), v))
     return sorted(spans, key=lambda s: (s[1], s[0]))
 
