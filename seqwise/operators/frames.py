@@ -41,16 +41,17 @@ MAX_FINE_BUCKETS = 1 << 20
 BUCKET_BROADCAST_MAX_ROWS = 1_000_000
 
 
-SUB_BUCKETS = 1024  # a heavy fine bucket is cut into this many sub-buckets
+SUB_BUCKETS = 1024  # a heavy bucket is cut into this many, until none is heavy
 
 
 @dataclass
 class HotSplits:
-    """Split plan of the hot keys. ``users`` (key, _t0, _fw, _nb); ``heavy``
-    (key, _f, _fw2): fine buckets cut into sub-buckets; ``buckets`` (key, _f,
-    _f2, _s, _start): (bucket, sub-bucket) -> split, count balanced."""
+    """Split plan of the hot keys. ``users`` (key, _t0, _fw, _nb); ``levels``:
+    per level the heavy buckets (key, _sb, _slo, _sw), by start, that are cut
+    from time _slo on into buckets of width _sw; ``buckets`` (key, _sb, _s):
+    start of an uncut bucket -> split, count balanced."""
     users: DataFrame
-    heavy: DataFrame
+    levels: list[DataFrame]
     buckets: DataFrame
     broadcast: bool
 
@@ -72,13 +73,14 @@ def _maybe_broadcast(df: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
-def _fine(key: str, t_col: str) -> Column:
-    return F.expr(f"(`{t_col}` - _t0) div _fw").alias("_f")
+def _bucket(t_col: str) -> Column:
+    """Start of a time's bucket at the first level."""
+    return F.expr(f"_t0 + ((`{t_col}` - _t0) div _fw) * _fw")
 
 
-def _sub(t_col: str) -> Column:
-    return F.when(F.col("_fw2").isNull(), F.lit(0).cast("long")).otherwise(
-        F.expr(f"(`{t_col}` - _t0 - _f * _fw) div _fw2")).alias("_f2")
+def _sub_bucket(t_col: str) -> Column:
+    """Start of its bucket one level further (unchanged where that is not cut)."""
+    return F.coalesce(F.expr(f"_slo + ((`{t_col}` - _slo) div _sw) * _sw"), F.col("_sb"))
 
 
 def hot_key_splits(df: DataFrame, key: str, t_col: str, rows_per_split: int,
@@ -87,12 +89,13 @@ def hot_key_splits(df: DataFrame, key: str, t_col: str, rows_per_split: int,
 
     1. Per key count and time range: a partial (map-side) aggregate, so a hot
        key costs no skew; one small action decides whether splitting is needed.
-    2. For hot keys only, a histogram over fine time buckets; buckets holding
-       more than a quarter of a split get a second histogram over sub-buckets.
-       Both are partial aggregates. A running count over (bucket, sub-bucket)
-       starts a new split every ``rows_per_split`` rows, so splits hold about
-       that many rows even when a key's events come in bursts (only rows with
-       the very same timestamp can never be separated)."""
+    2. For hot keys only, a histogram over fine time buckets. Buckets holding
+       more than a quarter of a split are cut over the times that really occur
+       in them, and again until none is that heavy (only rows with the very
+       same timestamp can never be separated); a burst, or a stray timestamp
+       years away, costs one more level. All are partial aggregates. A running
+       count over the buckets starts a new split every ``rows_per_split``
+       rows."""
     stats = (df.groupBy(key)
              .agg(F.count(F.lit(1)).alias("_n"), F.min(t_col).alias("_t0"), F.max(t_col).alias("_t1"))
              .where(F.col("_n") > rows_per_split))
@@ -104,36 +107,33 @@ def hot_key_splits(df: DataFrame, key: str, t_col: str, rows_per_split: int,
         stats.unpersist()
         return None
     hs = _maybe_broadcast(stats, n_hot <= broadcast_max_rows)
-    rows = df.select(key, t_col).join(hs, key).select(key, t_col, "_t0", "_fw", _fine(key, t_col))
-    # The histogram is small (at most one row per fine bucket); persisted, the
-    # heavy-bucket check and the split assignment read it without a rescan.
-    fine = rows.groupBy(key, "_f").agg(F.count(F.lit(1)).alias("_c")).persist()
-    heavy, n_heavy = _count_persisted(
-        fine.where(F.col("_c") > max(rows_per_split // 4, 1)).join(hs, key)
-        .select(key, "_f", (F.col("_fw") / F.lit(SUB_BUCKETS)).cast("long").alias("_q"))
-        .select(key, "_f", (F.col("_q") + 1).alias("_fw2")))
-    hv = _maybe_broadcast(heavy, n_heavy <= BUCKET_BROADCAST_MAX_ROWS)
-    if n_heavy == 0:  # no bursts: the fine histogram alone balances the splits
-        allb = fine.select(key, "_f", F.lit(0).cast("long").alias("_f2"), "_c").join(hs, key)
-    else:
-        light = fine.join(hv.select(key, "_f"), [key, "_f"], "left_anti").select(
-            key, "_f", F.lit(0).cast("long").alias("_f2"), "_c")
-        sub = (rows.join(hv, [key, "_f"]).select(key, "_f", _sub(t_col))
-               .groupBy(key, "_f", "_f2").agg(F.count(F.lit(1)).alias("_c")))
-        allb = light.unionByName(sub).join(hs, key)
-    w = Window.partitionBy(key).orderBy("_f", "_f2")
+    rows = df.select(key, t_col).join(hs, key).select(key, t_col, _bucket(t_col).alias("_sb"))
+    levels, leaves = [], None
+    while True:
+        # small (at most one row per bucket); persisted, the check for heavy
+        # buckets and the split assignment read it without a rescan
+        counts = rows.groupBy(key, "_sb").agg(
+            F.count(F.lit(1)).alias("_c"), F.min(t_col).alias("_slo"), F.max(t_col).alias("_shi")).persist()
+        heavy, n_heavy = _count_persisted(
+            counts.where((F.col("_c") > max(rows_per_split // 4, 1)) & (F.col("_shi") > F.col("_slo")))
+            .select(key, "_sb", "_slo", F.expr(f"(_shi - _slo) div {SUB_BUCKETS} + 1").alias("_sw")))
+        light = counts.select(key, "_sb", "_c") if n_heavy == 0 else counts.join(
+            heavy.select(key, "_sb"), [key, "_sb"], "left_anti").select(key, "_sb", "_c")
+        leaves = light if leaves is None else leaves.unionByName(light)
+        if n_heavy == 0:
+            break
+        levels.append(_maybe_broadcast(heavy, n_heavy <= BUCKET_BROADCAST_MAX_ROWS))
+        rows = rows.join(levels[-1], [key, "_sb"]).select(key, t_col, _sub_bucket(t_col).alias("_sb"))
+    w = Window.partitionBy(key).orderBy("_sb")
     before = F.coalesce(F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    b = allb.join(heavy.select(key, "_f", "_fw2"), [key, "_f"], "left").select(
-        key, "_t0", "_fw", "_f", "_f2", (before / F.lit(rows_per_split)).cast("long").alias("_s"),
-        (F.col("_t0") + F.col("_f") * F.col("_fw") + F.coalesce(F.col("_f2") * F.col("_fw2"), F.lit(0)))
-        .alias("_start"))
+    b = leaves.join(hs, key).select(key, "_t0", "_fw", "_sb", (before / F.lit(rows_per_split)).cast("long").alias("_s"))
     b = b.withColumn("_nb", F.max("_s").over(Window.partitionBy(key)) + 1)
     b, n_b = _count_persisted(b)
     small = n_b <= BUCKET_BROADCAST_MAX_ROWS
     # one row per hot user: broadcast on the hot-user count checked above, so
     # the join on the user key never sends a hot user's rows to one task
     users = _maybe_broadcast(b.select(key, "_t0", "_fw", "_nb").distinct(), n_hot <= broadcast_max_rows)
-    return HotSplits(users=users, heavy=hv, buckets=_maybe_broadcast(b.select(key, "_f", "_f2", "_s", "_start"), small),
+    return HotSplits(users=users, levels=levels, buckets=_maybe_broadcast(b.select(key, "_sb", "_s"), small),
                      broadcast=small)
 
 
@@ -146,9 +146,10 @@ def assign_splits(df: DataFrame, key: str, t_col: str, hot: HotSplits | None) ->
     j = df.join(hot.users, key, "left")
 
     def locate(x: DataFrame, how: str) -> DataFrame:
-        x = x.withColumn("_f", F.expr(f"(`{t_col}` - _t0) div _fw"))
-        x = x.join(hot.heavy, [key, "_f"], "left").withColumn("_f2", _sub(t_col))
-        return x.join(hot.buckets.select(key, "_f", "_f2", "_s"), [key, "_f", "_f2"], how)
+        x = x.withColumn("_sb", _bucket(t_col))
+        for heavy in hot.levels:
+            x = x.join(heavy, [key, "_sb"], "left").withColumn("_sb", _sub_bucket(t_col)).drop("_slo", "_sw")
+        return x.join(hot.buckets, [key, "_sb"], how)
 
     # A hot row must find its bucket: the plan has to be built from the same
     # rows. Fail loudly rather than put the row into a wrong split or drop it.
@@ -158,20 +159,20 @@ def assign_splits(df: DataFrame, key: str, t_col: str, hot: HotSplits | None) ->
         j = locate(j, "left").withColumn("_s", covered)
         return (j.withColumn("_s", F.coalesce(F.col("_s"), F.lit(0)).cast("long"))
                  .withColumn("_nb", F.coalesce(F.col("_nb"), F.lit(1)).cast("long"))
-                 .drop("_f", "_f2", "_fw2", "_t0", "_fw"))
+                 .drop("_sb", "_t0", "_fw"))
     # Large maps: only hot rows take the shuffled joins on (key, bucket), which
     # spread a hot key over many partitions.
     cold = (j.where(F.col("_t0").isNull()).drop("_t0", "_fw", "_nb")
             .withColumn("_s", F.lit(0).cast("long")).withColumn("_nb", F.lit(1).cast("long")))
     warm = (locate(j.where(F.col("_t0").isNotNull()), "left").withColumn("_s", covered)
-            .drop("_f", "_f2", "_fw2", "_t0", "_fw")
+            .drop("_sb", "_t0", "_fw")
             .withColumn("_s", F.col("_s").cast("long")).withColumn("_nb", F.col("_nb").cast("long")))
     return cold.unionByName(warm)
 
 
 def split_starts(hot: HotSplits, key: str) -> DataFrame:
     """Start time of every split after the first: (key, _b, _mt)."""
-    return (hot.buckets.where(F.col("_s") > 0).groupBy(key, "_s").agg(F.min("_start").alias("_mt"))
+    return (hot.buckets.where(F.col("_s") > 0).groupBy(key, "_s").agg(F.min("_sb").alias("_mt"))
             .select(key, F.col("_s").alias("_b"), "_mt"))
 
 

@@ -55,3 +55,17 @@ def test_unbroadcast_bucket_map_path(spark, monkeypatch):
     monkeypatch.setattr(FR, "BUCKET_BROADCAST_MAX_ROWS", 0)
     e = _skewed(spark)
     assert _same(sliding_windows(e, hot=None), sliding_windows(e, rows_per_split=500))
+
+
+def test_stray_timestamp_does_not_hide_a_burst(spark):
+    """One event in 2014, all others of the hot user within one second of 2024."""
+    from seqwise.operators.frames import assign_splits
+    far, sec = 1_400_000_000_000_000, 1_706_000_000_000_000
+    e = spark.range(10_001).select(F.lit(0).alias("muid"), F.when(F.col("id") == 0, F.lit(far)).otherwise(
+        F.lit(sec) + F.col("id") * 100).alias("_t"))
+    for target in (500, 7):
+        hot = hot_key_splits(e, "muid", "_t", target)
+        sizes = [r["count"] for r in assign_splits(e, "muid", "_t", hot).groupBy("_s").count().collect()]
+        assert max(sizes) <= 2 * target and sum(sizes) == 10_001
+    same = e.withColumn("_t", F.lit(sec))  # equal times cannot be separated, but must not loop
+    assert assign_splits(same, "muid", "_t", hot_key_splits(same, "muid", "_t", 500)).count() == 10_001
