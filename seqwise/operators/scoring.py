@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqwise.functions.columns import argmax0, epoch_us, sigmoid
@@ -68,12 +68,18 @@ def heuristic_score(serving: DataFrame) -> DataFrame:
     return serving.select("muid", *[c.alias(k) for k, c in cols.items()])
 
 
+def version_of(df: DataFrame, key: str = "muid") -> Column:
+    """Model version serving a user: 'v' || (id % 2), text ids by their crc32."""
+    number = F.crc32(F.col(key)) if dict(df.dtypes)[key] == "string" else F.col(key)
+    return F.concat(F.lit("v"), (number % 2).cast("string"))
+
+
 def prediction_log(events: DataFrame, size: int = 20, rows_per_split: int = DEFAULT_ROWS_PER_SPLIT,
                    hot="auto") -> DataFrame:
     """One rule-based prediction per arriving event over the newest ``size``
     events up to it (batch twin of the streaming buffer). prediction_id =
-    event_id of the triggering event, created_at = its time, model_version =
-    'v' || (muid % 2)."""
+    event_id of the triggering event, created_at = its time, model_version as
+    in ``version_of``."""
     events = events.where(F.col("muid").isNotNull() & F.col("event_time").isNotNull())
     df = events.withColumn("_t", epoch_us(events, "event_time"))
 
@@ -87,7 +93,7 @@ def prediction_log(events: DataFrame, size: int = 20, rows_per_split: int = DEFA
     cols = heuristic_columns(F.col("_n"), F.col("_cart") == 1, F.col("event_name") == "purchase")
     return win.select(
         F.col("event_id").alias("prediction_id"), F.col("muid").alias("user_id"),
-        F.concat(F.lit("v"), (F.col("muid") % 2).cast("string")).alias("model_version"),
+        version_of(win).alias("model_version"),
         F.col("event_time").alias("created_at"), F.col("_n").cast("int").alias("window_events"),
         *[c.alias(k) for k, c in cols.items()])
 
@@ -117,6 +123,22 @@ def feature_scorer() -> Callable[[pd.DataFrame], pd.DataFrame]:
     return score
 
 
+def score_features(windows: DataFrame) -> DataFrame:
+    """``windows`` plus the outputs of ``feature_scorer``, as column expressions
+    (no Python workers); for scorers that are not expressions see ``score_windows``."""
+    pr, ar, sr = F.col("purchase_ratio"), F.col("atc_ratio"), F.col("scroll_ratio")
+    ut, td, sc = F.col("unique_types"), F.col("avg_time_delta"), F.col("session_count_norm")
+    zero, tie = F.lit(0.0), F.lit(0.1)
+    nxt = [zero, sr, ar, ut, tie, tie, pr]
+    return windows.select(
+        *[c for c in windows.columns if c not in NUMERIC_FEATURES],
+        (pr * 10.0 - 1.0).alias("p_purchase"), (sr * 4.0 - 2.0).alias("p_churn"),
+        F.array(*nxt).alias("p_next_event"), F.array(zero, sc, F.lit(1.0) - sc).alias("p_channel"),
+        (F.lit(1.0) - sr).alias("p_engagement"), td.alias("p_inactivity"),
+        F.array(*nxt, *[zero] * 13).alias("p_action"),
+        F.array(td, F.lit(0.5), ut, F.lit(0.5)).alias("p_active_period"))
+
+
 def score_windows(windows: DataFrame, scorer_factory: Callable[[], Callable] = feature_scorer,
                   keep: list[str] | None = None) -> DataFrame:
     """Distributed batch scoring with a user-supplied scorer (Arrow batches via

@@ -267,6 +267,8 @@ ORACLE_SERVING: dict[str, str] = {
         round(avg(CASE WHEN (purchase_probability / 100 > 0.5) = (actual = 'purchase') THEN 1.0 ELSE 0.0 END) * 100, 9)
           AS purchase_acc, round(avg(reward), 9) AS mean_reward
         FROM rw WHERE actual IS NOT NULL GROUP BY model_version""",
+    "MET-8-windows": f"""{windows_sql()}, {SCORED}
+        {EVAL.replace("SELECT", "SELECT 'v' || CAST(muid % 2 AS VARCHAR) AS model_version,", 1)} GROUP BY 1""",
     "AGG-12": f"""WITH {EV}, {PL}, {OUTCOME} SELECT model_version, strftime(created_at, '%Y-%m-%d') AS day,
         count(*) AS predictions, count(actual) AS labelled,
         count(*) FILTER (WHERE predicted_next_event = actual) AS hits FROM rw GROUP BY 1, 2""",

@@ -35,9 +35,12 @@ def _serving(spark, sf_dir):
     return serving_windows(e, build_vocab(e))
 
 
+def _windows(spark, sf_dir):
+    return sliding_windows(ev(spark, sf_dir, TRAIN_COLUMNS + ["event_id"]))
+
+
 def _scored(spark, sf_dir):
-    w = sliding_windows(ev(spark, sf_dir, TRAIN_COLUMNS + ["event_id"]))
-    return SC.score_windows(w)
+    return SC.score_features(_windows(spark, sf_dir))
 
 
 def _log(spark, sf_dir):
@@ -208,19 +211,27 @@ def sto_3(spark, sf_dir):
 def sto_4(spark, sf_dir):
     """Log predictions by day, attach the actual outcome, and rewrite only the
     day partitions whose rows got an outcome (dynamic partition overwrite)."""
+    from seqwise.operators.util import broadcast_checked
+    from seqwise.session import ensure_checkpoint_dir
     from seqwise.sources.sinks import overwrite_partitions
     path = scratch_path(spark, "prediction_log_outcomes")
-    j = _log_with_outcome(spark, sf_dir).withColumn("day", F.date_format("created_at", "yyyy-MM-dd"))
-    base = j.select("prediction_id", "user_id", "model_version", "predicted_next_event", "day",
-                    F.lit(None).cast("struct<event_name:string,event_id:bigint>").alias("actual_outcome"))
-    base.write.mode("overwrite").partitionBy("day").parquet(path)
-    resolved = j.where(F.col("actual").isNotNull())
-    touched = resolved.select("day").distinct()
-    upd = j.join(touched, "day", "left_semi").select(
-        "prediction_id", "user_id", "model_version", "predicted_next_event", "day",
-        F.when(F.col("actual").isNotNull(), F.struct(
-            F.col("actual").alias("event_name"), F.col("actual_event_id").alias("event_id"))).alias("actual_outcome"))
-    overwrite_partitions(upd, path, "day")
+    e = ev(spark, sf_dir, ["event_id", "muid", "event_name", "event_time"])
+    (SC.prediction_log(e).select("prediction_id", "user_id", "model_version", "predicted_next_event", "created_at",
+                                 F.date_format("created_at", "yyyy-MM-dd").alias("day"),
+                                 F.lit(None).cast("struct<event_name:string,event_id:bigint>").alias("actual_outcome"))
+     .write.mode("overwrite").partitionBy("day").parquet(path))
+    # From here on only the stored log is read, as a later job would.
+    stored = spark.read.parquet(path).withColumn("day", F.col("day").cast("string"))
+    end = e.agg(F.max(epoch_us(e, "event_time")).alias("_data_end"))
+    j = A.with_stats_row(FB.next_event_after(stored, e), end)
+    found = F.struct(F.col("actual").alias("event_name"), F.col("actual_event_id").alias("event_id"))
+    j = (FB.actual_outcome(j, F.col("_data_end"))
+         .withColumn("actual_outcome", F.when(F.col("actual").isNotNull(), found)).select(*stored.columns))
+    # the partitions read are those rewritten: the new rows are settled first
+    ensure_checkpoint_dir(spark)
+    j = j.checkpoint()
+    touched = j.where(F.col("actual_outcome").isNotNull()).select("day").distinct()
+    overwrite_partitions(j.join(broadcast_checked(touched), "day", "left_semi").select(*stored.columns), path, "day")
     back = spark.read.parquet(path)
     return back.select("prediction_id", F.col("actual_outcome.event_name").alias("actual_event_name"),
                        F.col("actual_outcome.event_id").alias("actual_event_id"))
@@ -259,7 +270,8 @@ def sco_2(spark, sf_dir):
 
 @query("SCO-3")
 def sco_3(spark, sf_dir):
-    return _scalar_scores(_scored(spark, sf_dir))
+    """The same scores through the pluggable scorer (Arrow batches)."""
+    return _scalar_scores(SC.score_windows(_windows(spark, sf_dir)))
 
 
 @query("DQ-7")
@@ -324,6 +336,13 @@ def met_8(spark, sf_dir):
     return _r9_all(out)
 
 
+@query("MET-8-windows")
+def met_8_windows(spark, sf_dir):
+    """All eight metrics per model version over the scored windows."""
+    s = _scored(spark, sf_dir)
+    return _r9_all(M.evaluate(s.withColumn("model_version", SC.version_of(s)), ["model_version"]))
+
+
 @query("AGG-12")
 def agg_12(spark, sf_dir):
     j = _log_with_outcome(spark, sf_dir).withColumn("actual_event_name", F.col("actual"))

@@ -91,8 +91,8 @@ def str_6(spark, sf_dir):
                                       F.col("predicted_next_event").alias("name"),
                                       F.col("created_at").alias("event_time"))))
     folder = scratch_path(spark, "feedback_feed")
-    write_chunked(feed, folder, "event_time", 6)
-    stream = spark.readStream.schema(SS.FEEDBACK_INPUT).option("maxFilesPerTrigger", 1).json(folder)
+    files = write_chunked(feed, folder, "event_time", 6)
+    stream = spark.readStream.schema(SS.FEEDBACK_INPUT).option("maxFilesPerTrigger", files).json(folder)
     out = scratch_path(spark, "feedback")
     q = (SS.feedback_stream(stream).writeStream.format("parquet").option("path", out)
          .option("checkpointLocation", scratch_path(spark, "ckpt")).trigger(availableNow=True).start())

@@ -51,3 +51,32 @@ def test_unreadable_vocabulary_is_an_error(spark, tmp_path):
     assert load_vocab(spark, str(tmp_path / "none")).count() == 10
     with pytest.raises(Exception, match="nosuchscheme"):
         load_vocab(spark, "nosuchscheme://host/vocab").count()
+
+
+def test_predictions_with_text_ids_and_gaps(spark):
+    """Text ids on both paths; predictions without user or time keep their row."""
+    from seqwise.operators.feedback import next_event_after
+    from seqwise.operators.scoring import prediction_log
+    e = load_events(spark, SF001).select("event_id", "muid", "event_name", "event_time")
+    text = e.select(F.format_string("%08d-e", "event_id").alias("event_id"),
+                    F.format_string("%06d-u", "muid").alias("muid"), "event_name", "event_time")
+    numbers = next_event_after(prediction_log(e), e)
+    log = prediction_log(text)
+    for kw in ({"hot": None}, {"rows_per_split": 9}):
+        got = next_event_after(log, text, **kw)
+        assert _same(got.select("prediction_id", "actual_event_id", "actual_event_name"), numbers.select(
+            F.format_string("%08d-e", "prediction_id"), F.when(F.col("actual_event_id").isNotNull(), F.format_string(
+                "%08d-e", "actual_event_id")), "actual_event_name"))
+        holes = log.withColumn("user_id", F.when(F.col("prediction_id") > "00000500-e", F.col("user_id"))).withColumn(
+            "created_at", F.when(F.col("prediction_id") < "00000900-e", F.col("created_at")))
+        whole = next_event_after(holes, text, **kw)
+        assert whole.count() == log.count()
+        assert whole.where("(user_id is null or created_at is null) and actual_t is not null").count() == 0
+
+
+def test_expression_scorer_equals_the_pluggable_one(spark):
+    from seqwise.operators.scoring import OUTPUTS, score_features, score_windows
+    from seqwise.operators.windows import sliding_windows
+    from seqwise.sources import TRAIN_COLUMNS
+    w = sliding_windows(load_events(spark, SF001, TRAIN_COLUMNS + ["event_id"]))
+    assert _same(score_features(w).select("event_id", *OUTPUTS), score_windows(w).select("event_id", *OUTPUTS))

@@ -74,3 +74,17 @@ def test_shuffle_counts_of_core_queries(spark):
     q = queries()
     got = {n: sum(1 for x in tree(q[n](spark, SF01)) if x.strip().startswith("Exchange")) for n in expected}
     assert got == expected
+
+
+def test_asof_chain_has_no_join_back(spark):
+    """One exchange on the user, also where no side is small enough to broadcast."""
+    from __spark_entry__ import queries
+    from tools.plan_summary import tree
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = [x.strip() for x in tree(queries()["JOI-4"](spark, SF01))]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert [x for x in lines if x.startswith("Exchange")] == ["Exchange hashpartitioning(_k, _s, 8)"]
+    assert not any("Join" in x for x in lines)
