@@ -17,14 +17,14 @@ APPROX_RSD = 0.01
 
 
 def _distinct(approx: bool):
-    """Exact distinct count (Spark expands rows per distinct column) or a
-    HyperLogLog++ sketch (one pass, bounded memory, error per APPROX_RSD)."""
+    """Exact distinct count (of one column: grouped by the key and the value,
+    then by the key; Spark expands rows for several columns) or a HyperLogLog++ sketch (one pass, bounded memory, error per APPROX_RSD)."""
     return (lambda c: F.approx_count_distinct(c, APPROX_RSD)) if approx else (lambda c: F.count_distinct(c))
 
 
 def _set_size(c: str):
-    """Exact per-group distinct count as the size of the group's set (nulls
-    ignored, like count(distinct)): partial sets per task, one shuffle, no
+    """Exact per-group distinct count of a column with few values as the size
+    of the group's set (nulls ignored, like count(distinct)): partial sets per task, one shuffle, no
     row expansion (several count(distinct) make Spark expand every row and
     shuffle twice)."""
     return F.size(F.collect_set(c)).cast("long")
@@ -50,12 +50,14 @@ def user_features(events: DataFrame, as_of: str, approx: bool = False) -> DataFr
     ts_type = events.schema["event_time"].dataType.simpleString()
     as_of_col = F.lit(as_of).cast(ts_type)
     last = F.max("event_time")
-    d = _distinct(True) if approx else _set_size
+    # Categories are few, so their set is a bounded buffer. Sessions are not:
+    # their exact count groups by (user, session) first, then by user.
+    d, sessions = (_distinct(True), _distinct(True)) if approx else (_set_size, _distinct(False))
     agg = events.groupBy("muid").agg(
         F.count(F.lit(1)).alias("total_events"),
         F.count_if(F.col("event_name") == "purchase").alias("purchase_count"),
         d("category").alias("unique_categories"),
-        d("session_id").alias("session_count"),
+        sessions("session_id").alias("session_count"),
         last.alias("last_event_time"),
         F.mode("channel", True).alias("preferred_channel"),
     )
