@@ -140,12 +140,14 @@ def score_features(windows: DataFrame) -> DataFrame:
 
 
 def score_windows(windows: DataFrame, scorer_factory: Callable[[], Callable] = feature_scorer,
-                  keep: list[str] | None = None) -> DataFrame:
+                  keep: list[str] | None = None, inputs: list[str] | None = None) -> DataFrame:
     """Distributed batch scoring with a user-supplied scorer (Arrow batches via
     mapInPandas). The scorer is created once per partition, so an expensive
-    model session (e.g. ONNX) loads once per task, not per row."""
-    keep = keep or [c for c in windows.columns if c not in NUMERIC_FEATURES]
-    inp = windows.select(*keep, *NUMERIC_FEATURES)
+    model session (e.g. ONNX) loads once per task, not per row. It receives the
+    numeric features and the columns ``inputs`` (id sequences, padding mask)."""
+    inputs = [*(inputs or []), *NUMERIC_FEATURES]
+    keep = keep or [c for c in windows.columns if c not in inputs]
+    inp = windows.select(*keep, *[c for c in inputs if c not in keep])
     keep_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inp.schema.fields
                             if f.name in keep)
     schema = f"{keep_schema}, {OUTPUT_SCHEMA}"
@@ -153,7 +155,7 @@ def score_windows(windows: DataFrame, scorer_factory: Callable[[], Callable] = f
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = scorer_factory()
         for pdf in batches:
-            out = scorer(pdf[NUMERIC_FEATURES])
+            out = scorer(pdf[inputs])
             yield pd.concat([pdf[keep].reset_index(drop=True), out.reset_index(drop=True)], axis=1)
 
     return inp.mapInPandas(run, schema)
@@ -180,13 +182,14 @@ def predict_batch(history: DataFrame, recent: DataFrame, vocab: DataFrame, event
                   model_version: str = "v1") -> DataFrame:
     """Batch prediction for every user: request-time events merged with the
     stored history (one row per event id), the newest 20 as the serving
-    window, serving-side features, the scorer, decoded fields, one log row per
-    user."""
+    window, serving-side features, the scorer (which gets the id sequences and
+    the padding mask as well), decoded fields, one log row per user."""
     from seqwise.operators.sampling import merge_recent
-    from seqwise.operators.sequences import serving_features, serving_windows
+    from seqwise.operators.sequences import MODEL_INPUTS, serving_features, serving_windows
     merged = merge_recent(history, recent)
     sw = serving_windows(merged, vocab)
-    scored = score_windows(serving_features(sw), scorer_factory, keep=["muid", "n_events"])
+    scored = score_windows(serving_features(sw, MODEL_INPUTS), scorer_factory, keep=["muid", "n_events"],
+                           inputs=MODEL_INPUTS)
     d = decode_predictions(scored, event_names, channels)
     return d.select(F.col("muid").alias("user_id"), F.lit(model_version).alias("model_version"),
                     F.col("n_events").alias("window_events"), "purchase_probability", "churn_risk",

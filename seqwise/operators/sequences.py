@@ -86,9 +86,13 @@ FEATURES = ["purchase_ratio", "atc_ratio", "scroll_ratio", "unique_types", "avg_
             "session_count_norm"]
 
 
-def serving_features(sw: DataFrame) -> DataFrame:
-    """Serving-side window features per user (with ``n_events``)."""
-    return sw.select("muid", "n_events", *[e.alias(f) for e, f in zip(_serving_exprs(), FEATURES)])
+MODEL_INPUTS = [*[f"seq_{f}" for f in SERVING_FEATURES], "padding_mask"]
+
+
+def serving_features(sw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Serving-side window features per user (with ``n_events``); ``keep``
+    names columns of ``sw`` that stay, such as ``MODEL_INPUTS``."""
+    return sw.select("muid", "n_events", *keep, *[e.alias(f) for e, f in zip(_serving_exprs(), FEATURES)])
 
 
 def training_features_of_tail(sw: DataFrame, size: int = WINDOW_SIZE) -> DataFrame:

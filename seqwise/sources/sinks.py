@@ -84,13 +84,5 @@ def write_stream_records(records: DataFrame, path: str | None = None, kafka_serv
 
 def overwrite_partitions(df: DataFrame, path: str, partition_col: str) -> None:
     """Rewrite only the partitions present in ``df`` (dynamic partition overwrite)."""
-    spark = df.sparkSession
-    old = spark.conf.get("spark.sql.sources.partitionOverwriteMode", None)
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        df.write.mode("overwrite").partitionBy(partition_col).parquet(path)
-    finally:
-        if old is None:
-            spark.conf.unset("spark.sql.sources.partitionOverwriteMode")
-        else:
-            spark.conf.set("spark.sql.sources.partitionOverwriteMode", old)
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(partition_col).parquet(path))

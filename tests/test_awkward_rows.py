@@ -80,3 +80,29 @@ def test_expression_scorer_equals_the_pluggable_one(spark):
     from seqwise.sources import TRAIN_COLUMNS
     w = sliding_windows(load_events(spark, SF001, TRAIN_COLUMNS + ["event_id"]))
     assert _same(score_features(w).select("event_id", *OUTPUTS), score_windows(w).select("event_id", *OUTPUTS))
+
+
+def test_scorer_gets_sequences_and_mask(spark):
+    """A scorer that answers from the id sequence and the mask alone."""
+    from seqwise.operators.sampling import merge_recent
+    from seqwise.operators.scoring import feature_scorer, predict_batch
+    from seqwise.operators.sequences import serving_windows
+    from seqwise.operators.vocab import build_vocab
+    e = load_events(spark, SF001)
+
+    def factory():
+        base = feature_scorer()
+
+        def score(pdf):
+            out = base(pdf)
+            out["p_engagement"] = [float(s[-1]) for s in pdf["seq_event_name"]]
+            out["p_inactivity"] = [float(sum(m)) for m in pdf["padding_mask"]]
+            return out
+        return score
+    vocab = build_vocab(e)
+    recent = e.limit(0)
+    got = predict_batch(e, recent, vocab, ["<PAD>"], ["<PAD>"], factory)
+    want = serving_windows(merge_recent(e, recent), vocab).select(
+        "muid", F.element_at("seq_event_name", -1).cast("double"),
+        F.size(F.filter("padding_mask", lambda m: m)).cast("double"))
+    assert _same(got.select("user_id", "engagement_score", "inactivity_risk"), want)
