@@ -65,10 +65,11 @@ def to_stream_records(df: DataFrame, key_col: str = "muid", topic: str = EVENT_T
                      F.lit(topic).alias("topic"))
 
 
-def from_stream_records(records: DataFrame, schema: T.StructType) -> DataFrame:
-    """Decode JSON record values back into typed rows."""
-    parsed = records.select(F.from_json("value", schema, JSON_TIME_OPTIONS).alias("r"))
-    return parsed.select("r.*")
+def from_stream_records(records: DataFrame, schema: T.StructType, keep: list[str] | None = None) -> DataFrame:
+    """Decode JSON record values back into typed rows, with the columns ``keep``."""
+    keep = keep or []
+    parsed = records.select(F.from_json("value", schema, JSON_TIME_OPTIONS).alias("r"), *keep)
+    return parsed.select("r.*", *keep)
 
 
 def write_stream_records(records: DataFrame, path: str | None = None, kafka_servers: str | None = None,

@@ -11,22 +11,25 @@ from seqwise.sources.sinks import append_events, batch_folder, from_stream_recor
 
 STREAM_TIME = "_stream_ts"
 DEDUP_KEY = "_dedup_key"
+RAW = "raw_value"
 
 
-def decode(records: DataFrame, event_schema: T.StructType) -> DataFrame:
-    return from_stream_records(records, event_schema)
+def decode(records: DataFrame, event_schema: T.StructType, keep: list[str] | None = None) -> DataFrame:
+    return from_stream_records(records, event_schema, keep)
 
 
 def ingest_stream(spark: SparkSession, records: DataFrame, event_schema: T.StructType, table: str,
                   rejects: str, checkpoint: str, dedup_delay: str | None = None) -> dict:
     """Decode -> validate -> append valid rows to the month-partitioned table,
-    rejects (with reason) to a side table. Exactly-once per micro-batch through
+    rejects (with reason and the record as it came; a record without a single
+    readable field is 'malformed') to a side table. Exactly-once per micro-batch through
     the checkpoint; ``availableNow`` drains what is there and stops.
 
     With ``dedup_delay`` the stream is idempotent on event_id: duplicates within
     the watermark are dropped by state, rows older than the watermark are late
     and dropped (their number is reported)."""
-    ev = decode(records, event_schema)
+    ev = decode(records.withColumn(RAW, F.col("value")), event_schema, [RAW])
+    empty = F.coalesce(*[F.col(c).cast("string") for c in event_schema.names]).isNull()
     if dedup_delay:
         ev = (ev.withColumn(STREAM_TIME, F.col("event_time").cast("timestamp"))
               .withWatermark(STREAM_TIME, dedup_delay)
@@ -48,7 +51,8 @@ def ingest_stream(spark: SparkSession, records: DataFrame, event_schema: T.Struc
         batch = batch.persist()  # read the micro-batch once for both outputs
         try:
             valid, bad = split_valid(batch)
-            append_events(valid, batch_folder(table, batch_id), mode="overwrite")
+            append_events(valid.drop(RAW), batch_folder(table, batch_id), mode="overwrite")
+            bad = bad.withColumn("reject_reason", F.when(empty, "malformed").otherwise(F.col("reject_reason")))
             bad.write.mode("overwrite").parquet(batch_folder(rejects, batch_id))
         finally:
             batch.unpersist()

@@ -106,3 +106,20 @@ def test_scorer_gets_sequences_and_mask(spark):
         "muid", F.element_at("seq_event_name", -1).cast("double"),
         F.size(F.filter("padding_mask", lambda m: m)).cast("double"))
     assert _same(got.select("user_id", "engagement_score", "inactivity_risk"), want)
+
+
+def test_malformed_records_are_kept_as_they_came(spark):
+    import json
+    from seqwise.sources.sinks import scratch_path
+    from seqwise.streaming.feed import RECORD_SCHEMA
+    from seqwise.streaming.ingest import ingest_stream
+    e = load_events(spark, SF001).limit(3)
+    folder, table, rejects = (scratch_path(spark, n) for n in ("feed", "t", "r"))
+    good = [r.value for r in event_records(e).collect()]
+    lines = [json.dumps({"key": "k", "value": v, "topic": "t"}) for v in [*good, '{"event_id": 1, "mu', "no json"]]
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(folder)
+    stream = spark.readStream.schema(RECORD_SCHEMA).json(folder)
+    ingest_stream(spark, stream, e.schema, table, rejects, scratch_path(spark, "c"))
+    assert spark.read.parquet(table).count() == 3
+    bad = {(r.reject_reason, r.raw_value) for r in spark.read.parquet(rejects).collect()}
+    assert ("malformed", "no json") in bad and len(bad) == 2
