@@ -12,10 +12,23 @@ what single windows of a text with containment 0.8 have when the changes are
 spread evenly; a template of many windows has many chances.
 
 A window that meets a template is verified exactly: the share of the
-template's distinct shingles that occur in the text around the window. Windows
-without any template shingle have similarity 0 to all templates and are passed
-over before any minimum is taken. Work stays in place: windows meet the
-templates' bands in a broadcast join. The templates are a parameter of at most
+template's distinct shingles that occur in the text around the window (windows
+within one template length are verified together). Windows without any
+template shingle have similarity 0 to all templates and are passed over before
+any minimum is taken.
+
+Siblings: a text of one licence may contain 0.8 of another's template too (the
+GPL sentences differ in their last word; GPL and AGPL in a few paragraphs). A
+template is reported only if no verified template of another licence over the
+same text beats it: it is beaten if the text has none of the shingles that tell
+it from the rival, or less than half of them and a smaller share of them than
+of the rival's own. A text with nothing that tells two licences apart has
+neither; a template inside another licence's loses if the text has over half of
+the rest.
+
+Windows meet the templates' distinct bands in a broadcast join; what is
+shuffled is one narrow row per document, template and place, and the shingles
+of the documents met. The templates are a parameter of at most
 ``MAX_TEMPLATE_SHINGLES`` shingles (checked, else an error). Plain DataFrame
 operations.
 
@@ -29,12 +42,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqwise.llm.common import ascii_lower, write_once
+from seqwise.llm.common import ascii_lower, materialize, write_once
 
 SHINGLE = 5
 WIDTHS = (1, 4, 16, 64)
 BANDS = 6
 CONTAINMENT = 0.8
+SIBLING = 0.5              # a template with this share of another's shingles is its rival
 MAX_TEMPLATE_SHINGLES = 50_000
 
 # Statements by which texts declare public licences.
@@ -88,22 +102,60 @@ def _band_keys(h: Column) -> Column:
     return F.array(*[F.struct(F.lit(b).alias("band"), low(b).alias("low")) for b in range(BANDS)])
 
 
-def _window_starts(width: int, mine: Column) -> Column:
-    """Starts of the windows of ``h`` that hold a known shingle, a quarter apart."""
-    step = F.lit(max(1, width // 4))
-    return F.filter(F.sequence(F.lit(0), F.size("h") - 1, step),
-                    lambda p: F.arrays_overlap(F.slice("h", p + 1, F.lit(width)), mine))
+def _known(hashes: list[int]) -> str:
+    """SQL: whether the shingle ``x`` is one of ``hashes`` (a hash set look-up)."""
+    return f"x IN ({', '.join(f'{h}L' for h in hashes)})".replace("-9223372036854775808L", "cast('-9223372036854775808' AS bigint)")
+
+
+def _width(size: Column) -> Column:
+    """The widest window that fits into a template of ``size`` shingles."""
+    return F.element_at(F.filter(F.array(*[F.lit(w) for w in WIDTHS]), lambda w: (w == 1) | (w * 5 <= size * 4)), -1)
 
 
 def template_bands(shingled: DataFrame) -> DataFrame:
-    """Bands of each template's windows: template, words, width, offset, band, low."""
-    size = F.size("h")
-    width = F.element_at(F.filter(F.array(*[F.lit(w) for w in WIDTHS]), lambda w: (w == 1) | (w * 5 <= size * 4)), -1)
-    at = F.explode(F.sequence(F.lit(0), size - F.col("width")))
-    t = shingled.withColumn("width", width).select("*", at.alias("offset"))
-    keys = _band_keys(F.slice("h", F.col("offset") + 1, F.col("width")))
-    return (t.withColumn("_k", F.explode(keys))
-            .select("template", "words", "width", "offset", "_k.band", "_k.low"))
+    """Distinct bands of the templates' windows: template, words, t_n, width, band, low."""
+    t = shingled.select("template", "words", "h", F.size("h").alias("t_n"), _width(F.size("h")).alias("width"))
+    at = F.sequence(F.lit(0), F.col("t_n") - F.col("width"))
+    keys = F.explode(F.array_distinct(F.flatten(F.transform(
+        at, lambda i: _band_keys(F.slice("h", i + 1, F.col("width")))))))
+    return (t.select("template", "words", "t_n", "width", keys.alias("_k"))
+            .select("template", "words", "t_n", "width", "_k.band", "_k.low"))
+
+
+def template_rivals(shingled: DataFrame) -> DataFrame:
+    """template, license_id, t_n, t_set, rivals (templates of other licences
+    that hold at least ``SIBLING`` of its shingles: ``theirs`` is what only the
+    rival has, ``mine`` what only the template has) and ``reach``, the length
+    of the longest of them all."""
+    t = shingled.select("template", "license_id", "words", F.size("h").alias("t_n"), F.array_distinct("h").alias("t_set"))
+    a, b = t.alias("a"), t.alias("b")
+    shared = F.size(F.array_intersect("a.t_set", "b.t_set"))
+    pairs = a.join(b, (F.col("a.words") == F.col("b.words")) & (F.col("a.license_id") != F.col("b.license_id"))
+                   & (shared >= F.size("a.t_set") * SIBLING))
+    rivals = pairs.groupBy(F.col("a.template").alias("template")).agg(
+        F.collect_list(F.struct(F.col("b.t_set").alias("all"), F.array_except("a.t_set", "b.t_set").alias("mine"),
+                                F.array_except("b.t_set", "a.t_set").alias("theirs"))).alias("rivals"),
+        F.max("b.t_n").alias("_r"))
+    return (t.join(rivals, "template", "left")
+            .withColumn("reach", F.greatest("t_n", F.coalesce("_r", F.lit(0)))).drop("words", "_r"))
+
+
+def _share(part: Column, text: Column) -> Column:
+    """The share of the shingles ``part`` in ``text``; 0 of none."""
+    return F.coalesce(F.try_divide(F.size(F.array_intersect(part, text)), F.size(part)), F.lit(0.0))
+
+
+def _beaten(rival: Column, text: Column, containment: float) -> Column:
+    """Whether ``text`` is the rival's rather than the template's."""
+    theirs = _share(rival["theirs"], text)
+    mine = F.when(F.size(rival["mine"]) == 0, 1 - theirs).otherwise(_share(rival["mine"], text))
+    return (_share(rival["all"], text) >= containment) & ((mine == 0) | ((mine < theirs) & (mine < 0.5)))
+
+
+def _around(reach: Column, width: Column) -> Column:
+    """The shingles of ``h`` up to ``reach`` before and after the windows."""
+    begin = F.greatest(F.col("lo") - reach, F.lit(0))
+    return F.slice("h", begin + 1, F.col("hi") + reach + width - begin)
 
 
 def scan_licenses(docs: DataFrame, templates: DataFrame, text_col: str = "text", id_col: str = "doc_id",
@@ -111,42 +163,47 @@ def scan_licenses(docs: DataFrame, templates: DataFrame, text_col: str = "text",
     """Per document and licence found: doc_id, license_id, containment (the
     best of its templates) and n_templates (verified templates)."""
     shingled = template_shingles(templates)
-    known = shingled.select("words", F.explode("h").alias("x")).distinct().limit(MAX_TEMPLATE_SHINGLES + 1).collect()
+    known = (shingled.select("words", _width(F.size("h")).alias("width"), F.explode("h").alias("x")).distinct()
+             .limit(MAX_TEMPLATE_SHINGLES + 1).collect())
     if len(known) > MAX_TEMPLATE_SHINGLES:
         raise ValueError(f"the templates have more than {MAX_TEMPLATE_SHINGLES} shingles")
-    bands = template_bands(shingled)
-    whole = shingled.select("template", "license_id", F.col("h").alias("t_h"), F.size("h").alias("t_n"),
-                            F.array_distinct("h").alias("t_set"))
-    bands = bands.join(whole, "template")
+    bands, whole = materialize(template_bands(shingled)), materialize(template_rivals(shingled))
     d = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("doc_id"),
                     _tokens(F.col(text_col)).alias("_w"))
+    if not known:
+        return d.select("doc_id", F.lit("").alias("license_id"), F.lit(0.0).alias("containment"),
+                        F.lit(0).cast("long").alias("n_templates")).limit(0)
     sizes = sorted({k.words for k in known})
-    mine = {n: F.array(*[F.lit(k.x) for k in known if k.words == n]).cast("array<long>") for n in sizes}
     # One pass over the texts; what goes on are documents with a known shingle.
     some = F.lit(False)
     for n in sizes:
-        some = some | F.arrays_overlap(f"h{n}", mine[n])
+        some = some | F.expr(f"exists(h{n}, x -> {_known(sorted({k.x for k in known if k.words == n}))})")
     held = write_once(d.select("_row", "doc_id", *[_windows_of_words("_w", F.lit(n)).alias(f"h{n}") for n in sizes])
                       .where(some), "licensed")
-    hits = None
-    for n in sizes:
-        x = held.select("_row", "doc_id", F.col(f"h{n}").alias("h"))
-        for width in WIDTHS:
-            w = x.select("_row", "doc_id", "h", F.explode(_window_starts(width, mine[n])).alias("at"))
-            w = w.withColumn("_k", F.explode(_band_keys(F.slice("h", F.col("at") + 1, F.lit(width)))))
-            met = w.join(F.broadcast(bands.where((F.col("width") == width) & (F.col("words") == n))),
-                         (F.col("_k.band") == F.col("band")) & (F.col("_k.low") == F.col("low")))
-            # the template may begin up to its length before the window's end
-            # and reach as far beyond its start
-            begin = F.greatest(F.col("at") - F.col("t_n"), F.lit(0))
-            around = F.slice("h", begin + 1, F.col("t_n") * 2 + width)
-            found = met.select("_row", "doc_id", "template", "license_id", (
-                F.size(F.array_intersect("t_set", around)) / F.size("t_set")).alias("c")
-                ).where(F.col("c") >= containment)
-            hits = found if hits is None else hits.unionByName(found)
-    if hits is None:
-        return d.select("doc_id", F.lit("").alias("license_id"), F.lit(0.0).alias("containment"),
-                        F.lit(0).cast("long").alias("n_templates")).limit(0)
-    best = hits.groupBy("_row", "doc_id", "license_id", "template").agg(F.max("c").alias("c"))
+    met = None
+    for n, width in sorted({(k.words, k.width) for k in known}):
+        mine = sorted({k.x for k in known if (k.words, k.width) == (n, width)})
+        w = held.select("_row", F.col(f"h{n}").alias("h"),
+                        F.expr(f"transform(h{n}, x -> {_known(mine)})").alias("_mark")).where(F.exists("_mark", lambda m: m))
+        # windows that hold a known shingle, a quarter apart
+        starts = F.filter(F.sequence(F.lit(0), F.size("h") - 1, F.lit(max(1, width // 4))),
+                          lambda p: F.exists(F.slice("_mark", p + 1, F.lit(width)), lambda m: m))
+        keys = F.transform(starts, lambda p: F.struct(p.alias("at"), _band_keys(F.slice("h", p + 1, F.lit(width))).alias("k")))
+        w = w.select("_row", F.explode(keys).alias("_p")).select("_row", "_p.at", F.explode("_p.k").alias("_k"))
+        found = w.join(F.broadcast(bands.where((F.col("width") == width) & (F.col("words") == n))),
+                       (F.col("_k.band") == F.col("band")) & (F.col("_k.low") == F.col("low")))
+        # windows nearer to each other than the template is long are verified together
+        found = found.groupBy("_row", "template", F.floor(F.col("at") / F.col("t_n")).alias("_b")).agg(
+            F.min("at").alias("lo"), F.max("at").alias("hi"), F.first("words").alias("words"), F.first("width").alias("width"))
+        met = found if met is None else met.unionByName(found)
+    h = F.col(f"h{sizes[0]}")
+    for n in sizes[1:]:
+        h = F.when(F.col("words") == n, F.col(f"h{n}")).otherwise(h)
+    x = (met.drop("_b").join(held, "_row").select("_row", "doc_id", "template", "lo", "hi", "width", h.alias("h"))
+         .join(F.broadcast(whole), "template"))
+    x = x.withColumn("c", _share(F.col("t_set"), _around(F.col("t_n"), F.col("width")))).where(F.col("c") >= containment)
+    x = x.withColumn("_wide", F.when(F.col("rivals").isNotNull(), _around(F.col("reach"), F.col("width"))))
+    x = x.where(F.col("rivals").isNull() | ~F.exists("rivals", lambda r: _beaten(r, F.col("_wide"), containment)))
+    best = x.groupBy("_row", "doc_id", "license_id", "template").agg(F.max("c").alias("c"))
     return best.groupBy("_row", "doc_id", "license_id").agg(
         F.max("c").alias("containment"), F.count(F.lit(1)).alias("n_templates")).drop("_row")

@@ -176,6 +176,15 @@ def test_licences_are_found_and_verified(spark):
     assert got == {(80, "MIT"): 1.0, (81, "MIT"): 1.0, (82, "Apache-2.0"): 1.0}
 
 
+def test_sibling_licences_are_told_apart(spark):
+    say = "This work is licensed under the GNU General Public License, version {}."
+    rows = [(1, say.format(2)), (2, "x y " + say.format(3) + " tail"), (3, say.format(2) + " or: " + say.format(3)),
+            (4, say.format(4))]
+    got = {(r.doc_id, r.license_id) for r in licenses.scan_licenses(
+        frame(spark, rows), licenses.templates_table(spark)).collect()}
+    assert got == {(1, "GPL-2.0"), (2, "GPL-3.0"), (3, "GPL-2.0"), (3, "GPL-3.0")}
+
+
 def test_pieces_round_trip_and_best_score(spark):
     import itertools
     path = tokenizer_file(spark)
