@@ -39,6 +39,8 @@ rows each get their rows; empty tables give no rows.
 
 from __future__ import annotations
 
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,7 +72,17 @@ TEMPLATES = [
 ]
 
 
-def templates_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
+def license_texts() -> list[tuple[str, str]]:
+    """Whole licence texts and standard notices: the files of ``license_texts``,
+    named by licence, with ``__notice`` (a standard notice) or ``__grant`` (its
+    first paragraph) after it."""
+    names = sorted(f for f in resources.files("seqwise.llm").joinpath("license_texts").iterdir() if f.name.endswith(".txt"))
+    return [(f.name[:-4].split("__")[0], f.read_text(encoding="utf-8")) for f in names]
+
+
+def templates_table(spark: SparkSession, templates=None) -> DataFrame:
+    """The table of ``templates``; by default the statements and the texts."""
+    templates = TEMPLATES + license_texts() if templates is None else templates
     rows = [(i, license_id, text) for i, (license_id, text) in enumerate(templates)]
     return spark.createDataFrame(rows, "template long, license_id string, text string")
 
@@ -90,7 +102,8 @@ def _windows_of_words(tokens: str, n: Column) -> Column:
 
 def template_shingles(templates: DataFrame) -> DataFrame:
     """template, license_id, words (a shingle's), h (hashes in order)."""
-    t = templates.select("template", "license_id", _tokens(F.col("text")).alias("_w")).where(F.size("_w") > 0)
+    # materialized: else the plan puts the tokeniser inside the window expressions, once per word
+    t = materialize(templates.select("template", "license_id", _tokens(F.col("text")).alias("_w"))).where(F.size("_w") > 0)
     n = F.least(F.size("_w"), F.lit(SHINGLE))
     return t.select("template", "license_id", n.alias("words"), _windows_of_words("_w", n).alias("h"))
 
@@ -115,11 +128,10 @@ def _width(size: Column) -> Column:
 def template_bands(shingled: DataFrame) -> DataFrame:
     """Distinct bands of the templates' windows: template, words, t_n, width, band, low."""
     t = shingled.select("template", "words", "h", F.size("h").alias("t_n"), _width(F.size("h")).alias("width"))
-    at = F.sequence(F.lit(0), F.col("t_n") - F.col("width"))
-    keys = F.explode(F.array_distinct(F.flatten(F.transform(
-        at, lambda i: _band_keys(F.slice("h", i + 1, F.col("width")))))))
-    return (t.select("template", "words", "t_n", "width", keys.alias("_k"))
-            .select("template", "words", "t_n", "width", "_k.band", "_k.low"))
+    t = t.withColumn("_at", F.explode(F.sequence(F.lit(0), F.col("t_n") - F.col("width"))))
+    t = t.select("template", "words", "t_n", "width", F.slice("h", F.col("_at") + 1, F.col("width")).alias("h"))
+    return (t.select("template", "words", "t_n", "width", F.explode(_band_keys("h")).alias("_k"))
+            .select("template", "words", "t_n", "width", "_k.band", "_k.low").distinct())
 
 
 def template_rivals(shingled: DataFrame) -> DataFrame:
@@ -145,11 +157,12 @@ def _share(part: Column, text: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(part, text)), F.size(part)), F.lit(0.0))
 
 
-def _beaten(rival: Column, text: Column, containment: float) -> Column:
-    """Whether ``text`` is the rival's rather than the template's."""
-    theirs = _share(rival["theirs"], text)
-    mine = F.when(F.size(rival["mine"]) == 0, 1 - theirs).otherwise(_share(rival["mine"], text))
-    return (_share(rival["all"], text) >= containment) & ((mine == 0) | ((mine < theirs) & (mine < 0.5)))
+def _beaten(rival: Column, near: Column, wide: Column, containment: float) -> Column:
+    """Whether the text is the rival's rather than the template's: the text as
+    far as the template reaches, and as far as the longest rival does."""
+    theirs = _share(rival["theirs"], wide)
+    mine = F.when(F.size(rival["mine"]) == 0, 1 - theirs).otherwise(_share(rival["mine"], near))
+    return (_share(rival["all"], wide) >= containment) & ((mine == 0) | ((mine < theirs) & (mine < 0.5)))
 
 
 def _around(reach: Column, width: Column) -> Column:
@@ -162,7 +175,7 @@ def scan_licenses(docs: DataFrame, templates: DataFrame, text_col: str = "text",
                   containment: float = CONTAINMENT) -> DataFrame:
     """Per document and licence found: doc_id, license_id, containment (the
     best of its templates) and n_templates (verified templates)."""
-    shingled = template_shingles(templates)
+    shingled = materialize(template_shingles(templates))
     known = (shingled.select("words", _width(F.size("h")).alias("width"), F.explode("h").alias("x")).distinct()
              .limit(MAX_TEMPLATE_SHINGLES + 1).collect())
     if len(known) > MAX_TEMPLATE_SHINGLES:
@@ -183,13 +196,14 @@ def scan_licenses(docs: DataFrame, templates: DataFrame, text_col: str = "text",
     met = None
     for n, width in sorted({(k.words, k.width) for k in known}):
         mine = sorted({k.x for k in known if (k.words, k.width) == (n, width)})
-        w = held.select("_row", F.col(f"h{n}").alias("h"),
-                        F.expr(f"transform(h{n}, x -> {_known(mine)})").alias("_mark")).where(F.exists("_mark", lambda m: m))
+        at = F.expr(f"filter(transform(h{n}, (x, i) -> if({_known(mine)}, i, null)), i -> i is not null)")
         # windows that hold a known shingle, a quarter apart
-        starts = F.filter(F.sequence(F.lit(0), F.size("h") - 1, F.lit(max(1, width // 4))),
-                          lambda p: F.exists(F.slice("_mark", p + 1, F.lit(width)), lambda m: m))
-        keys = F.transform(starts, lambda p: F.struct(p.alias("at"), _band_keys(F.slice("h", p + 1, F.lit(width))).alias("k")))
-        w = w.select("_row", F.explode(keys).alias("_p")).select("_row", "_p.at", F.explode("_p.k").alias("_k"))
+        step = max(1, width // 4)
+        starts = F.array_distinct(F.flatten(F.transform(at, lambda i: F.filter(
+            F.array(*[i - i % step - k * step for k in range(width // step)]), lambda p: p >= 0))))
+        w = held.select("_row", F.col(f"h{n}").alias("h"), F.explode(starts).alias("at"))
+        w = w.select("_row", "at", F.slice("h", F.col("at") + 1, F.lit(width)).alias("h"))
+        w = w.select("_row", "at", F.explode(_band_keys("h")).alias("_k"))
         found = w.join(F.broadcast(bands.where((F.col("width") == width) & (F.col("words") == n))),
                        (F.col("_k.band") == F.col("band")) & (F.col("_k.low") == F.col("low")))
         # windows nearer to each other than the template is long are verified together
@@ -201,9 +215,10 @@ def scan_licenses(docs: DataFrame, templates: DataFrame, text_col: str = "text",
         h = F.when(F.col("words") == n, F.col(f"h{n}")).otherwise(h)
     x = (met.drop("_b").join(held, "_row").select("_row", "doc_id", "template", "lo", "hi", "width", h.alias("h"))
          .join(F.broadcast(whole), "template"))
-    x = x.withColumn("c", _share(F.col("t_set"), _around(F.col("t_n"), F.col("width")))).where(F.col("c") >= containment)
+    x = x.withColumn("_near", _around(F.col("t_n"), F.col("width")))
+    x = x.withColumn("c", _share(F.col("t_set"), F.col("_near"))).where(F.col("c") >= containment)
     x = x.withColumn("_wide", F.when(F.col("rivals").isNotNull(), _around(F.col("reach"), F.col("width"))))
-    x = x.where(F.col("rivals").isNull() | ~F.exists("rivals", lambda r: _beaten(r, F.col("_wide"), containment)))
+    x = x.where(F.col("rivals").isNull() | ~F.exists("rivals", lambda r: _beaten(r, F.col("_near"), F.col("_wide"), containment)))
     best = x.groupBy("_row", "doc_id", "license_id", "template").agg(F.max("c").alias("c"))
     return best.groupBy("_row", "doc_id", "license_id").agg(
         F.max("c").alias("containment"), F.count(F.lit(1)).alias("n_templates")).drop("_row")

@@ -185,6 +185,29 @@ def test_sibling_licences_are_told_apart(spark):
     assert got == {(1, "GPL-2.0"), (2, "GPL-3.0"), (3, "GPL-2.0"), (3, "GPL-3.0")}
 
 
+def test_whole_licences_and_notices_are_found(spark):
+    texts = licenses.license_texts()
+    wide = {name: text for name, text in texts if len(text.split()) > 84}      # width 64
+    rows, want = [], set()
+    for i, (name, text) in enumerate(texts):
+        words = text.split()
+        for j in range(50, len(words), 60):     # an edited word in every 60: 0.9 of the shingles stay
+            words[j] = f"edited{j}"
+        body = len(words) // 20 if name in wide else 0     # and no opening sentence
+        rows.append((i, "Copyright (c) 2020 Some Body\n" + " ".join(words[body:]) + "\nint main() {}"))
+        want.add((i, name))
+    gpl = [t for n, t in texts if n == "GPL-3.0" and len(t.split()) > 1000][0]
+    rows += [(900, gpl[:len(gpl) // 2]), (901, "This program is free software: you can redistribute it and/or modify")]
+    got = {(r.doc_id, r.license_id) for r in licenses.scan_licenses(
+        frame(spark, rows), licenses.templates_table(spark)).collect()}
+    own = {(i, n) for i, n in got if n == texts[i][0]} if not {i for i, _ in got} & {900, 901} else set()
+    assert own == want
+    # a text holds no other licence, but for the notices that it quotes
+    assert {(texts[i][0], n) for i, n in got - own} <= {("BSD-2-Clause", "BSD")}
+    widths = {r.width for r in licenses.template_bands(licenses.template_shingles(licenses.templates_table(spark))).collect()}
+    assert widths == {1, 4, 16, 64}
+
+
 def test_pieces_round_trip_and_best_score(spark):
     import itertools
     path = tokenizer_file(spark)
