@@ -1,15 +1,17 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-Every source is a queue of its documents in shuffled order (md5 of the id),
-followed by the same documents again up to ``max_repeats`` times. An entry's
+Every source is a queue of its documents in shuffled order (md5 of the id, rows
+of one id and those without by a hash of the whole row), followed by the same documents again up to ``max_repeats`` times. An entry's
 virtual finish time is the number of source words up to and including it,
 divided by the source's target. Serving entries by finish time and stopping at
 the total budget gives every source words in proportion to its target.
 
 At scale: all prefix sums are two-level. A source is cut into hash ranges, the
 sums of the ranges are added up over a table of at most ``RANGES`` rows a
-source, and each range is ordered in its own task, so a source with a third of
-all rows is spread over thousands of tasks. The global order by finish time is
+source (and as many for each id of over ``TIES`` rows, which gets ranges of its
+own by the row hash), and each range is ordered in its own task, so a source
+or an id with a third of all rows is spread over thousands of tasks; only rows
+equal in every column stay together. The global order by finish time is
 a range sort as well: sums per range of virtual time locate the range where the
 budget ends, and only that range is ordered. Plain DataFrame operations.
 
@@ -32,6 +34,7 @@ BUDGET = 1.5             # words of the mix per word of input
 MAX_REPEATS = 2          # a source's target stops at this many times its size
 SOURCES = 10_000         # up to so many sources their table is broadcast, else joined
 RANGES = 4096            # hash ranges of a source, and ranges of virtual time
+TIES = 100_000           # rows of one id from which they get ranges of their own
 
 
 def shuffle_key(doc_id: Column) -> Column:
@@ -40,6 +43,11 @@ def shuffle_key(doc_id: Column) -> Column:
     return F.conv(hexed, 16, 10).cast("long")
 
 
+def row_key(docs: DataFrame) -> Column:
+    """60 bits of a hash of the whole row: the order of rows with equal ids."""
+    return F.shiftrightunsigned(F.xxhash64(*[F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t]), 4)
+
+
 def targets(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET,
             max_repeats: int = MAX_REPEATS) -> DataFrame:
     """(source, source_size) -> plus ``weight`` and ``target``.
@@ -67,25 +75,44 @@ def targets(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET,
     return t.select("source", "source_size", "weight", target.alias("target"))
 
 
+def _tie_ranges(rows: DataFrame) -> DataFrame:
+    """``rows`` plus ``_q``: within a hash range, in the order of (key, tie),
+    the ranges of the ids with more than ``TIES`` rows and the rows between."""
+    heavy = materialize(rows.groupBy("_s", "_r", "key").count().where(F.col("count") > TIES))
+    lists = broadcast_up_to(materialize(heavy.groupBy("_s", "_r").agg(F.collect_list("key").alias("_heavy"))), SOURCES)
+    earlier = F.size(F.filter("_heavy", lambda k: k < F.col("key"))) * (2 * RANGES)
+    own = F.shiftright("tie", 60 - RANGES.bit_length() + 1).cast("int") + RANGES
+    q = earlier + F.when(F.array_contains("_heavy", F.col("key")), own).otherwise(0)
+    return rows.join(lists, ["_s", "_r"], "left").withColumn(
+        "_q", F.when(F.col("_heavy").isNull(), 0).otherwise(q)).drop("_heavy")
+
+
 def queue(sized: DataFrame, weights=WEIGHTS, budget: float = BUDGET,
           max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """(doc_id, source, size, key) -> plus source_size, target and ``served``,
-    the source's words up to and including the row, in the order of ``key``."""
+    """(doc_id, source, size, key, tie) -> plus source_size, target and
+    ``served``, the source's words up to and including the row, in the order
+    of ``key`` and ``tie``."""
     rows = sized.withColumn("_s", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).withColumn(
-        "_r", F.shiftright("key", 60 - RANGES.bit_length() + 1))
-    ranges = rows.groupBy("_s", "_r").agg(F.sum("size").alias("_n"), F.first("source").alias("source"))
-    ranges = materialize(ranges)
+        "_r", F.shiftright("key", 60 - RANGES.bit_length() + 1)).withColumn("_q", F.lit(0))
+
+    def sums(x: DataFrame) -> DataFrame:
+        return materialize(x.groupBy("_s", "_r", "_q").agg(
+            F.sum("size").alias("_n"), F.count(F.lit(1)).alias("_rows"), F.first("source").alias("source")))
+    ranges = sums(rows)
+    if not ranges.where(F.col("_rows") > TIES).isEmpty():
+        rows = _tie_ranges(rows.drop("_q"))
+        ranges = sums(rows)
     total = ranges.groupBy("_s").agg(F.sum("_n").alias("source_size"), F.first("source").alias("source"))
     t = targets(total.select("source", "source_size"), weights, budget, max_repeats)
     t = t.withColumn("_s", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).drop("source")
-    before = F.sum("_n").over(Window.partitionBy("_s").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = ranges.select("_s", "_r", F.coalesce(before, F.lit(0)).alias("_before")).join(t, "_s")
-    inside = (Window.partitionBy("_s", "_r").orderBy("key", "doc_id", "size")
+    before = F.sum("_n").over(Window.partitionBy("_s").orderBy("_r", "_q").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = ranges.select("_s", "_r", "_q", F.coalesce(before, F.lit(0)).alias("_before")).join(t, "_s")
+    inside = (Window.partitionBy("_s", "_r", "_q").orderBy("key", "tie", "doc_id", "size")
               .rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("_upto", F.sum("size").over(inside))
-    return (rows.join(offsets, ["_s", "_r"])
+    return (rows.join(offsets, ["_s", "_r", "_q"])
             .withColumn("served", F.col("_before") + F.col("_upto"))
-            .drop("_s", "_r", "_before", "_upto"))
+            .drop("_s", "_r", "_q", "_before", "_upto"))
 
 
 def _place(finish: Column) -> Column:
@@ -124,7 +151,8 @@ def mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_
     the document is in the mix) and taken (words of those copies)."""
     sized = materialize(docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
-        word_count(F.col(text_col)).alias("size"), shuffle_key(F.col(id_col)).alias("key")))
+        word_count(F.col(text_col)).alias("size"), shuffle_key(F.col(id_col)).alias("key"),
+        row_key(docs).alias("tie")))
     q = materialize(queue(sized, weights, budget, max_repeats))
     words_in = sized.agg(F.sum("size")).first()[0] or 0
     stop = cut_off(q, words_in * budget, max_repeats)
@@ -132,26 +160,48 @@ def mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_
                  .otherwise(0) for k in range(max_repeats))
     return (q.withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(0))
             .withColumn("taken", (F.col("size") * F.col("copies")).cast("long"))
-            .select("doc_id", "source", "key", "size", "source_size", "target", "copies", "taken"))
+            .select("doc_id", "source", "key", "tie", "size", "source_size", "target", "copies", "taken"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` in the mix, each as often as it is taken.
 
-    Within a source the mix takes the documents up to a place in the shuffled
-    order, so one row a source and round says what is taken and no text is
-    shuffled. Rows with equal ids are decided together."""
+    Within a source the mix takes the rows up to a place (key, tie) in the
+    shuffled order, so one row a source and round says what is taken and no
+    text is shuffled. Only rows equal in every column share a place; where the
+    mix ends among them, one of them stands for the copies taken."""
     plan = mix(docs, **options)
+    place = F.struct("key", "tie")
     last = plan.where("copies > 0").groupBy("source").agg(
-        *[F.max(F.when(F.col("copies") > k, F.col("key"))).alias(f"_to{k}")
+        *[F.max(F.when(F.col("copies") > k, place)).alias(f"_to{k}")
           for k in range(options.get("max_repeats", MAX_REPEATS))])
-    last = broadcast_up_to(materialize(last), SOURCES).select(F.col("source").alias("_source"), *[c for c in last.columns if c != "source"])
+    last = materialize(last)
+    last = broadcast_up_to(last, SOURCES).select(F.col("source").alias("_source"), *[c for c in last.columns if c != "source"])
     tos = [c for c in last.columns if c.startswith("_to")]
+    at_end = F.lit(False)
+    for c in tos:
+        at_end = at_end | F.coalesce(F.struct("key", "tie") == F.col(c), F.lit(False))
+    ends = plan.where("size > 0").join(last, F.col("source").eqNullSafe(F.col("_source"))).where(at_end)
+    cut = ends.groupBy("_source", "key", "tie").agg(
+        F.sum("copies").alias("n"), F.min("copies").alias("_lo"), F.max("copies").alias("_hi")).where("_lo < _hi")
+    cut = materialize(cut.groupBy("_source").agg(F.collect_list(F.struct("key", "tie", "n")).alias("_cut")))
     id_col, source_col = options.get("id_col", "doc_id"), options.get("source_col", "source")
     some = F.col(options.get("text_col", "text")).rlike("[^\\x20\\x09-\\x0D]")
-    j = docs.where(some).withColumn("_key", shuffle_key(F.col(id_col)))
+    j = docs.where(some).withColumn("_key", shuffle_key(F.col(id_col))).withColumn("_tie", row_key(docs))
     j = j.join(last, F.col(source_col).cast("string").eqNullSafe(F.col("_source")))
-    times = sum(F.when(F.col("_key") <= F.col(c), 1).otherwise(0) for c in tos)
-    return (j.withColumn("_times", times).where("_times > 0")
-            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-            .select(*docs.columns))
+    times = sum(F.when(F.struct(F.col("_key").alias("key"), F.col("_tie").alias("tie")) <= F.col(c), 1).otherwise(0) for c in tos)
+    j = j.withColumn("_times", times)
+
+    def copies(x: DataFrame) -> DataFrame:
+        return (x.where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
+                .select(*docs.columns))
+    if cut.isEmpty():
+        return copies(j)
+    j = j.join(broadcast_up_to(cut.withColumnRenamed("_source", "_with"), SOURCES),
+               F.col("_source").eqNullSafe(F.col("_with")), "left")
+    mine = F.filter(F.col("_cut"), lambda c: (c["key"] == F.col("_key")) & (c["tie"] == F.col("_tie")))
+    j = j.withColumn("_n", F.get(mine, F.lit(0))["n"])
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = (j.where("_n is not null").groupBy("_source", "_key", "_tie")
+           .agg(F.first(whole).alias("_one"), F.first("_n").alias("_times")).select("_one.*", "_times"))
+    return copies(j.where("_n is null")).unionByName(copies(one))

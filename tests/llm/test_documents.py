@@ -72,6 +72,28 @@ def test_mix_spends_the_budget(spark):
     assert {r.doc_id: r["count"] for r in rows_out} == {r.doc_id: r.copies for r in got if r.copies}
 
 
+@pytest.mark.parametrize("ties", [100_000, 4])
+def test_mix_cuts_inside_rows_of_one_id(spark, monkeypatch, ties):
+    monkeypatch.setattr(mixing, "TIES", ties)   # 4: rows of one id get ranges of their own
+    rows = [(i if i % 3 else None if i % 2 else 5, f"t{i} " + "w " * (i % 5), "en", "ab"[i % 4 == 0]) for i in range(300)]
+    rows += [(7, "same text", "de", "c")] * 40 + [(900 + i, "a b", "de", "d") for i in range(30)]
+    got = mixing.mix(frame(spark, rows)).collect()
+    taken, target = Counter(), {}
+    for r in got:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert all(abs(taken[s] - target[s]) <= 5 for s in target)
+    assert sum(taken.values()) <= 1.5 * sum(r.size for r in got)
+    out = Counter((r.doc_id, r.source, len(words_of(r.text))) for r in mixing.mixed_documents(frame(spark, rows)).collect())
+    want = Counter()
+    for r in got:
+        want[(r.doc_id, r.source, r.size)] += r.copies
+    assert out == +want
+    # rows of one id are shuffled, not served by size
+    tied = [r.size for r in sorted((r for r in got if r.doc_id is None and r.source == "a"), key=lambda r: r.tie)]
+    assert len(tied) > 20 and tied != sorted(tied)
+
+
 def test_mix_of_awkward_rows(spark):
     got = mixing.mix(frame(spark, awkward())).collect()
     assert Counter((r.doc_id, r.size) for r in got) == Counter((r[0], len(words_of(r[1]))) for r in awkward())
