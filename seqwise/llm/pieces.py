@@ -10,7 +10,11 @@ backpointer. Equal scores take the longer last piece. A character that no piece
 covers is spelled in byte pieces, at less than the least score; so is the mark
 itself where the text has it, which makes decoding exact.
 
-The model file is a parameter: only its pieces and scores are read. Scores are
+The model file is a parameter: its pieces, scores and normaliser settings are
+read. ``add_dummy_prefix`` puts a space before every text that is not empty
+(decoding takes one off again), ``remove_extra_whitespaces`` strips spaces and
+makes runs of them one; a model with any other normaliser rule, without
+``escape_whitespaces`` or with white space as a suffix is refused. Scores are
 summed as given; for a merge-ranked model (scores 0, -1, -2, ...) the result is
 the path of the largest sum, which need not be the one merging would give.
 
@@ -46,8 +50,10 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 class Vocabulary:
     """Pieces, scores and byte ids; sorted hashes of the pieces for probing."""
 
-    def __init__(self, pieces: list[str], scores: list[float], byte_ids: dict[int, int], control: set[int]) -> None:
+    def __init__(self, pieces: list[str], scores: list[float], byte_ids: dict[int, int], control: set[int],
+                 prefix: bool = False, squeeze: bool = False) -> None:
         self.pieces, self.byte_ids, self.control = pieces, byte_ids, control
+        self.prefix, self.squeeze = prefix, squeeze
         skip = set(byte_ids.values()) | control
         # A piece with a mark after another character would cross a word's start.
         usable = [i for i, p in enumerate(pieces) if i not in skip and p and MARK not in p.lstrip(MARK)]
@@ -75,14 +81,30 @@ class Vocabulary:
             h = mix64(h * _BASE + c + np.uint64(1))
         return h[0]
 
+    def normalise(self, text: str | None) -> str:
+        """The text as the model's normaliser hands it on."""
+        text = text or ""
+        if self.squeeze:
+            text = re.sub(" +", " ", text.strip(" "))
+        return " " + text if self.prefix and text else text
+
     @classmethod
     def read(cls, model_file: str) -> Vocabulary:
         import sentencepiece
+        from sentencepiece import sentencepiece_model_pb2
+        proto = sentencepiece_model_pb2.ModelProto()
+        with open(model_file, "rb") as f:
+            proto.ParseFromString(f.read())
+        rule = proto.normalizer_spec
+        if (rule.name not in ("", "identity") or rule.precompiled_charsmap or rule.normalization_rule_tsv
+                or not rule.escape_whitespaces or proto.trainer_spec.treat_whitespace_as_suffix):
+            raise ValueError(f"the model's normaliser ({rule.name or 'unnamed'}) is not handled")
         m = sentencepiece.SentencePieceProcessor(model_file=model_file)
         n = m.get_piece_size()
         return cls([m.id_to_piece(i) for i in range(n)], [m.get_score(i) for i in range(n)],
                    {int(m.id_to_piece(i)[3:5], 16): i for i in range(n) if m.is_byte(i)},
-                   {i for i in range(n) if m.is_control(i) or m.is_unknown(i) or m.is_unused(i)})
+                   {i for i in range(n) if m.is_control(i) or m.is_unknown(i) or m.is_unused(i)},
+                   rule.add_dummy_prefix, rule.remove_extra_whitespaces)
 
 
 def viterbi(words: list[str], vocab: Vocabulary) -> list[np.ndarray]:
@@ -172,7 +194,7 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """Ids of each text; what the texts need is segmented together, unless
         that alone is more than the cache holds."""
-        split = [_WORD.findall(t) if t else [] for t in texts]
+        split = [_WORD.findall(self.vocab.normalise(t)) for t in texts]
         missing = {w for words in split for w in words if w not in self.cache}
         if len(missing) > CACHE_WORDS and len(texts) > 1:
             return [self.encode([t])[0] for t in texts]
@@ -188,8 +210,8 @@ class Encoder:
 def decode_ids(ids, vocab: Vocabulary) -> str:
     """The text of a sequence of ids."""
     n = len(vocab.pieces)
-    return b"".join([vocab.spelling[i] if i is not None and 0 <= i < n else _BAD for i in ids]).decode(
-        "utf-8", "replace")
+    text = b"".join([vocab.spelling[i] if i is not None and 0 <= i < n else _BAD for i in ids])
+    return text.removeprefix(b" " if vocab.prefix else b"").decode("utf-8", "replace")
 
 
 def _model(spark, model_file: str):

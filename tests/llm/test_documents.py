@@ -257,3 +257,36 @@ def test_pieces_round_trip_and_best_score(spark):
         for group in {len(w): [x for x in words if len(x) == len(w)] for w in words}.values():
             for w, found in zip(group, pieces.viterbi(group, vocab), strict=True):
                 assert sum(score[vocab.pieces[i]] for i in found) == pytest.approx(best(w))
+
+
+def _small_model(tmp_path, **options):
+    import random
+
+    import sentencepiece
+    r = random.Random(5)
+    lines = [" ".join("".join(r.choice("abcde") for _ in range(r.randrange(1, 6))) for _ in range(8)) for _ in range(400)]
+    (tmp_path / "lines.txt").write_text("\n".join(lines))
+    sentencepiece.SentencePieceTrainer.train(
+        input=str(tmp_path / "lines.txt"), model_prefix=str(tmp_path / "m"), model_type="unigram", vocab_size=360,
+        byte_fallback=True, hard_vocab_limit=False, num_threads=1, minloglevel=2, **options)
+    return str(tmp_path / "m.model")
+
+
+@pytest.mark.parametrize("prefix,squeeze", [(True, False), (False, False), (True, True)])
+def test_pieces_follow_the_normaliser(spark, tmp_path, prefix, squeeze):
+    import sentencepiece
+    path = _small_model(tmp_path, normalization_rule_name="identity", add_dummy_prefix=prefix,
+                        remove_extra_whitespaces=squeeze)
+    texts = ["abc de", "cab", " abc", "  a  bc ", " ", "", "a\tb e", "zé abc"]
+    got = pieces.encode(frame(spark, list(enumerate(texts))), path, keep=["doc_id"], verify_col="same").collect()
+    m = sentencepiece.SentencePieceProcessor(model_file=path)
+    assert {r.doc_id: r.ids for r in got} == {i: m.encode(t) for i, t in enumerate(texts)}
+    assert squeeze or all(r.same for r in got)
+
+
+def test_pieces_first_words_and_unknown_normalisers(spark, tmp_path):
+    vocab = pieces.Vocabulary.read(tokenizer_file(spark))
+    ids = pieces.Encoder(vocab).encode(["the the", "the"])
+    assert vocab.pieces[ids[1][0]].startswith("\u2581") and ids[0].tolist() == ids[1].tolist() * 2
+    with pytest.raises(ValueError, match="not handled"):
+        pieces.Vocabulary.read(_small_model(tmp_path, normalization_rule_name="nmt_nfkc"))
