@@ -158,6 +158,57 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 """
 
 
+def _merkle(levels: int = 9) -> str:
+    """The trees level by level (groups of up to 8**levels leaves): every node
+    with the run that it belongs to, then every leaf's way up."""
+    def enc(c: str) -> str:
+        return f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(enc(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    def tree(name: str, first: str) -> list[str]:
+        out = [f"{name}0 AS ({first})"]
+        for k in range(levels + 1):
+            if k:
+                out.append(f"""{name}{k} AS (
+  SELECT g, i // 8 AS i, CASE WHEN n > 1 THEN sha256(array_to_string(run, '')) ELSE run[1] END AS node
+  FROM {name}{k - 1}r WHERE i % 8 = 0)""")
+            out.append(f"""{name}{k}r AS (
+  SELECT *, count(*) OVER (PARTITION BY g) AS n,
+    list(node) OVER (PARTITION BY g, i // 8 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS run
+  FROM {name}{k})""")
+        return out
+
+    def climb(name: str, over: str, first: str) -> list[str]:
+        out = [f"{name}0 AS ({first})"]
+        for k in range(levels):
+            before, after = "t.run[1:p.at % 8]", "t.run[p.at % 8 + 2:]"
+            out.append(f"""{name}{k + 1} AS (
+  SELECT p.doc_id, p.leaf, p.tg, p.at // 8 AS at,
+    p.proof || CASE WHEN t.n > 1 THEN array_to_string({before} || {after}, '') ELSE '' END AS proof,
+    CASE WHEN t.n > 1 THEN sha256(array_to_string({before} || [p.folded] || {after}, '')) ELSE p.folded END AS folded
+  FROM {name}{k} p JOIN {over}{k}r t ON t.g = p.tg AND t.i = p.at - p.at % 8)""")
+        return out
+    crc = """list_reduce([4294967295] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+    lambda c, x: list_reduce([xor(c, x)] || range(8), lambda a, _: xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END)))"""
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return "WITH " + ",\n".join(
+        [f"""d AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS g, {leaf('text')} AS leaf,
+    CASE WHEN xor({crc}, 4294967295) % 3 = 0 THEN {leaf(low)} END AS other FROM documents),
+q AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d)"""]
+        + tree("a", "SELECT g, i, leaf AS node FROM q")
+        + [f"s AS (SELECT g, node, row_number() OVER (ORDER BY g COLLATE C) - 1 AS i FROM a{levels})"]
+        + tree("b", "SELECT 0 AS g, i, node FROM s")
+        + climb("p", "a", "SELECT doc_id, leaf, g AS tg, i AS at, '' AS proof, coalesce(other, leaf) AS folded FROM q")
+        + climb("r", "b", f"""SELECT p.doc_id, p.leaf || s.node AS leaf, 0 AS tg, s.i AS at, p.proof, p.folded
+  FROM p{levels} p JOIN s ON s.g = p.tg""")) + f"""
+SELECT r.doc_id, r.leaf[1:64] AS leaf, r.leaf[65:] AS subroot, b.node AS root, sha256(r.proof) AS proof_sha256,
+  r.folded AS folded_root, r.folded = b.node AS verified FROM r{levels} r, b{levels} b
+"""
+
+
 def all_oracles() -> dict[str, str]:
     return {"op1_ngram_jaccard": OP1, "op2_mix_sources": OP2, "op5_url_rules": OP5, "op7_quality_rules": OP7,
-            "op9_warc": OP9, "op10_top_k": OP10}
+            "op9_warc": OP9, "op10_top_k": OP10, "op12_merkle": _merkle()}

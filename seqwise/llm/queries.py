@@ -79,8 +79,15 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_read(spark, sf_dir, "embeddings"))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqwise.llm.merkle import tampered_documents
+    rows = tampered_documents(_read(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"),
+                       "folded_root", "verified")
+
+
 def all_queries() -> dict:
     from corpus_pipeline import run
     ops = [op1_ngram_jaccard, op2_mix_sources, op3_quality, op4_secrets, op5_url_rules, op6_pieces,
-           op7_quality_rules, op8_licenses, op9_warc, op10_top_k]
+           op7_quality_rules, op8_licenses, op9_warc, op10_top_k, op12_merkle]
     return {f.__name__: f for f in ops} | {"pipeline": run}
