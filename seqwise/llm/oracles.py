@@ -157,6 +157,17 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
 """
 
+OP11 = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_words('text')} AS w FROM documents),
+s AS (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35),
+k AS (SELECT r, i, count(*) OVER (PARTITION BY array_to_string(w[i:i + 34], ' ')) AS c FROM s),
+g AS (SELECT DISTINCT r, i + o AS p FROM k, (SELECT unnest(range(0, 35)) AS o) WHERE c > 1),
+u AS (SELECT r, unnest(w) AS v, unnest(range(1, len(w) + 1)) AS p FROM d),
+t AS (SELECT r, string_agg(v, ' ' ORDER BY p) AS t, count(*) AS n FROM u ANTI JOIN g USING (r, p) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN t USING (r)
+"""
+
 
 def _merkle(levels: int = 9) -> str:
     """The trees level by level (groups of up to 8**levels leaves): every node
@@ -211,4 +222,4 @@ SELECT r.doc_id, r.leaf[1:64] AS leaf, r.leaf[65:] AS subroot, b.node AS root, s
 
 def all_oracles() -> dict[str, str]:
     return {"op1_ngram_jaccard": OP1, "op2_mix_sources": OP2, "op5_url_rules": OP5, "op7_quality_rules": OP7,
-            "op9_warc": OP9, "op10_top_k": OP10, "op12_merkle": _merkle()}
+            "op9_warc": OP9, "op10_top_k": OP10, "op11_substrings": OP11, "op12_merkle": _merkle()}

@@ -79,6 +79,12 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_read(spark, sf_dir, "embeddings"))
 
 
+def op11_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqwise.llm.substrings import remove_repeats
+    rows = remove_repeats(_read(spark, sf_dir, "documents"), width=35, keep=["doc_id"], digest=True)
+    return rows.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seqwise.llm.merkle import tampered_documents
     rows = tampered_documents(_read(spark, sf_dir, "documents"))
@@ -89,5 +95,5 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def all_queries() -> dict:
     from corpus_pipeline import run
     ops = [op1_ngram_jaccard, op2_mix_sources, op3_quality, op4_secrets, op5_url_rules, op6_pieces,
-           op7_quality_rules, op8_licenses, op9_warc, op10_top_k, op12_merkle]
+           op7_quality_rules, op8_licenses, op9_warc, op10_top_k, op11_substrings, op12_merkle]
     return {f.__name__: f for f in ops} | {"pipeline": run}

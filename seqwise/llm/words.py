@@ -9,12 +9,14 @@ few times the longest text, whatever the number of rows.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 # Spark regex of a word separator (the complement of the contract's word class).
 SEPARATORS = "[\\x20\\x09-\\x0D]+"
 
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15  # odd, so powers are invertible mod 2**64
+_NONE = np.empty(0, dtype=np.uint64)
 _STEP = 1 << 20             # power tables cover this many bytes
 
 
@@ -89,6 +91,15 @@ def word_hashes(text: bytes, lower: bool = True) -> np.ndarray:
     return mix64(out + (ends - starts).astype(np.uint64))
 
 
+def text_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of an Arrow column of texts, end to end, and where each text's
+    begin: those of text t are words[first[t]:first[t + 1]]. Nulls have none."""
+    parts = [word_hashes(t.as_buffer().to_pybytes(), lower) if t.is_valid else _NONE for t in texts]
+    first = np.zeros(len(parts) + 1, dtype=np.int64)
+    np.cumsum([len(p) for p in parts], out=first[1:])
+    return np.concatenate([_NONE, *parts]), first
+
+
 def shingles(words: np.ndarray, k: int) -> np.ndarray:
     """Hash of every k-word window in order; with fewer words the whole
     sequence is one shingle; empty without words."""
