@@ -168,6 +168,32 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) A
   sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN t USING (r)
 """
 
+OP13 = """
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[ \\t]+'), lambda x: x <> '') AS w FROM p),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (
+  SELECT lang, unnest(flatten(list_transform(range(1, 6), lambda k: list_transform(range(1, len(w) - k + 2),
+    lambda i: w[i:i + k - 1])))) AS g FROM w),
+f AS (SELECT lang, array_to_string(g, ' ') AS phrase, any_value(g) AS g, count(*) AS f FROM g GROUP BY 1, 2 HAVING f >= 100),
+c AS (SELECT lang, phrase, g, f AS a, unnest(range(1, len(g))) AS k FROM f WHERE len(g) > 1),
+s AS (
+  SELECT c.lang, c.phrase, c.g, c.a, x.f AS l, y.f AS r, n.n,
+    CAST(1000::HUGEINT * c.a * n.n // (x.f::HUGEINT * y.f) AS BIGINT) AS score, c.k
+  FROM c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.g[1:c.k], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.g[c.k + 1:], ' ') JOIN n ON n.lang = c.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (
+  SELECT lang, array_to_string(g[q[1]:q[2]], ' ') AS phrase, max(f) AS longer
+  FROM (SELECT lang, g, f, unnest(flatten(list_transform(range(2, len(g)), lambda k: list_transform(
+    range(1, len(g) - k + 2), lambda i: [i, i + k - 1])))) AS q FROM f WHERE len(g) > 2) GROUP BY 1, 2),
+k AS (SELECT b.* FROM b LEFT JOIN i USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a),
+t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase COLLATE C) AS rank FROM k)
+SELECT lang, rank, phrase, a, l, r, n, score FROM t WHERE rank <= 2000
+"""
+
 
 def _merkle(levels: int = 9) -> str:
     """The trees level by level (groups of up to 8**levels leaves): every node
@@ -222,4 +248,5 @@ SELECT r.doc_id, r.leaf[1:64] AS leaf, r.leaf[65:] AS subroot, b.node AS root, s
 
 def all_oracles() -> dict[str, str]:
     return {"op1_ngram_jaccard": OP1, "op2_mix_sources": OP2, "op5_url_rules": OP5, "op7_quality_rules": OP7,
-            "op9_warc": OP9, "op10_top_k": OP10, "op11_substrings": OP11, "op12_merkle": _merkle()}
+            "op9_warc": OP9, "op10_top_k": OP10, "op11_substrings": OP11, "op12_merkle": _merkle(),
+            "op13_phrases": OP13}

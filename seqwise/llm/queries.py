@@ -92,8 +92,14 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "folded_root", "verified")
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqwise.llm.phrases import collocations
+    return collocations(_read(spark, sf_dir, "documents"))
+
+
 def all_queries() -> dict:
     from corpus_pipeline import run
     ops = [op1_ngram_jaccard, op2_mix_sources, op3_quality, op4_secrets, op5_url_rules, op6_pieces,
-           op7_quality_rules, op8_licenses, op9_warc, op10_top_k, op11_substrings, op12_merkle]
+           op7_quality_rules, op8_licenses, op9_warc, op10_top_k, op11_substrings, op12_merkle,
+           op13_phrases]
     return {f.__name__: f for f in ops} | {"pipeline": run}

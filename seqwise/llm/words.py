@@ -69,7 +69,11 @@ def word_spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def word_hashes(text: bytes, lower: bool = True) -> np.ndarray:
     """64-bit hash of every word in order; A-Z count as a-z if ``lower``."""
     raw = np.frombuffer(text, dtype=np.uint8)
-    starts, ends = word_spans(raw)
+    return span_hashes(raw, *word_spans(raw), lower)
+
+
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
+    """64-bit hash of the bytes of every span; A-Z count as a-z if ``lower``."""
     if not len(starts):
         return np.empty(0, dtype=np.uint64)
     t = Tables.get()
