@@ -142,9 +142,10 @@ def plain_mix(rows):
 
 
 def plain_pieces(text, vocab, score):
-    """Best segmentation of each word by the plain recurrence."""
+    """Best segmentation of each word by the plain recurrence, behind the blank
+    that the model puts before every text."""
     out = []
-    for word in re.findall(" *[^ ]+| +", text):
+    for word in re.findall(" *[^ ]+| +", " " + text if text else ""):
         word, best = word.replace(" ", pieces.MARK), [(0.0, [])]
         for end in range(1, len(word) + 1):
             found = [(best[i][0] + score[word[i:end]][0], i, [score[word[i:end]][1]])
