@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqwise.llm.common import shared_folder
+from seqwise.llm.common import broadcast_up_to, shared_folder
 from seqwise.llm.words import mix64, span_hashes
 
 MIN_COUNT, MAX_WORDS, TOP = 100, 5, 2000
@@ -51,12 +51,28 @@ COVERED_PERCENT = 100      # of a phrase's occurrences inside one longer phrase:
 SHARD_BYTES = 8 << 20
 HELD_BYTES = 64 << 20      # of all languages in one task
 FILTER_ENTRIES = 1 << 19   # entries, over all shards, that meet in one merge
-ID_BUCKET = 100_000        # words numbered in one task
+LANGS = 100_000            # languages whose totals are broadcast
 
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
 _ROUNDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
+def _raw(ids: np.ndarray) -> bytes:
+    """Numbers as compressed byte planes, behind their width and how many."""
+    width = 4 if not len(ids) or ids.max() < 1 << 32 else 8
+    planes = ids.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
+    return struct.pack("<BQ", width, len(ids)) + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def _ids(raw: bytes) -> np.ndarray:
+    width, n = struct.unpack_from("<BQ", raw)
+    if not n:
+        return np.empty(0, dtype=np.uint64)
+    planes = pa.decompress(raw[9:], decompressed_size=n * width, codec="zstd", asbytes=True)
+    rows = np.frombuffer(planes, np.uint8).reshape(width, n).T.copy()
+    return rows.view(f"<u{width}").reshape(n).astype(np.uint64)
+
+
 # --- shards -----------------------------------------------------------------
 
 def shard_of(text: bytes) -> tuple[np.ndarray, list[bytes], np.ndarray]:
@@ -71,12 +87,16 @@ def shard_of(text: bytes) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     edge = np.diff(inside)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(starts):
-        return np.empty(0, dtype=np.uint32), [], np.empty(0, dtype=np.int64)
+        return np.empty(0, dtype=np.uint64), [], np.empty(0, dtype=np.int64)
     _, first, number, counts = np.unique(span_hashes(raw, starts, ends, lower=True), return_index=True,
                                          return_inverse=True, return_counts=True)
+    order = np.argsort(-counts, kind="stable")  # small numbers for frequent words pack better
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    first, number, counts = first[order], rank[number], counts[order]
     piece = np.cumsum(k == 2)[starts]
     new = np.diff(piece, prepend=piece[0]) > 0
-    out = np.zeros(len(starts) + int(new.sum()), dtype=np.uint32)
+    out = np.zeros(len(starts) + int(new.sum()), dtype=np.uint64)
     out[np.arange(len(starts)) + np.cumsum(new)] = number + 1
     words = [text[starts[i]:ends[i]].lower() for i in first.tolist()]  # bytes.lower: A-Z only
     return out, words, counts
@@ -104,9 +124,9 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, words, counts = shard_of(part)
             if len(ids):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang]), pa.array([int(counts.sum())], pa.int64()), pa.array([ids.tobytes()], pa.binary()),
-                     pa.array([words], pa.list_(pa.string())), pa.array([counts.astype(np.int64)], pa.list_(pa.int64()))],
-                    names=["lang", "n", "ids", "words", "counts"])
+                    [pa.array([lang]), pa.array([int(counts.sum())], pa.int64()), pa.array([len(words)], pa.int64()),
+                     *[pa.array([x], pa.binary()) for x in (_raw(ids), b"\n".join(words), _raw(counts))]],
+                    names=["lang", "n", "distinct", "ids", "words", "counts"])
         size.pop(lang)
     for batch in batches:
         for lang, text in zip(batch["lang"], batch["text"]):
@@ -216,16 +236,6 @@ def read_filter(raw: bytes, half: int, top: int, bucket: int) -> tuple[np.ndarra
 
 # --- levels -------------------------------------------------------------------
 
-def _ids(raw: bytes) -> np.ndarray:
-    """Ids of a shard: width in bytes, then the ids."""
-    return np.frombuffer(raw, f"<u{raw[0]}", -1, 1).astype(np.uint64)
-
-
-def _raw(ids: np.ndarray) -> bytes:
-    width = 4 if not len(ids) or ids.max() < 1 << 32 else 8
-    return bytes([width]) + ids.astype(f"<u{width}").tobytes()
-
-
 def _candidates(words: np.ndarray, grams: np.ndarray, m: int) -> np.ndarray:
     """Places whose phrases of m words and that of the next place are frequent."""
     return np.flatnonzero((grams[:-1] > 0) & (grams[1:] > 0)) if len(grams) > m else np.empty(0, dtype=np.int64)
@@ -250,7 +260,13 @@ def _state(shard, lang, words: np.ndarray, grams: np.ndarray, m: int) -> tuple:
     g = np.zeros(len(w), dtype=np.uint64)
     g[at], g[at + 1] = grams[at], grams[at + 1]
     w[~inside], g[~inside] = 0, 0
-    return shard, lang, _raw(w[kept]), _raw(g[kept]), len(at)
+    # One word is its own gram.
+    return shard, lang, _raw(w[kept]), _raw(g[kept]) if m > 1 else None, len(at)
+
+
+def _read_state(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
+    words = _ids(batch["words"][i].as_py())
+    return words, _ids(batch["grams"][i].as_py()) if batch["grams"][i].is_valid else words
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -259,17 +275,82 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
                                       names=["shard", "lang", "words", "grams", "n"])
 
 
-def _number_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """First state: local word numbers become the ids of frequent words, or 0."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            local = np.frombuffer(batch["ids"][i].as_py(), np.uint32)
-            to = np.zeros(int(local.max()) + 1 if len(local) else 1, dtype=np.uint64)
-            if batch["known"][i].is_valid:
-                known = batch["known"][i].values
-                to[known.field("at").to_numpy(zero_copy_only=False) + 1] = known.field("id").to_numpy(zero_copy_only=False)
-            ids = to[local]
-            yield _rows([_state(batch["shard"][i].as_py(), batch["lang"][i].as_py(), ids, ids, 1)])
+def _word_order(words: bytes, top: int) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Words of a shard, their order by hash, where in it each filter begins and
+    the filters' numbers (the first ``top`` bits of the hash)."""
+    raw = np.frombuffer(words + b"\n", dtype=np.uint8)
+    ends = np.flatnonzero(raw == 10)
+    hashes = span_hashes(raw, np.append(0, ends[:-1] + 1), ends, lower=False)
+    order = np.argsort(hashes)
+    bucket = (hashes[order] >> np.uint64(64 - top)).astype(np.int64) if top else np.zeros(len(order), dtype=np.int64)
+    edges = np.flatnonzero(np.diff(bucket, prepend=-1))
+    return words.split(b"\n"), order, edges, bucket[edges]
+
+
+class Words:
+    """The first level: as ``Level``, but what is counted are the words."""
+
+    def __init__(self, entries: int, min_count: int) -> None:
+        self.min_count = min_count
+        self.top = max(0, (-(-entries // FILTER_ENTRIES) - 1).bit_length())
+
+    def filters(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                counts = _ids(batch["counts"][i].as_py())
+                words, order, edges, buckets = _word_order(batch["words"][i].as_py(), self.top)
+                parts = np.split(order, edges[1:])
+                lang, shard = batch["lang"][i].as_py(), batch["shard"][i].as_py()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(parts)), pa.array(buckets), pa.array([shard] * len(parts), pa.int64()),
+                     pa.array([b"\n".join([words[j] for j in p.tolist()]) for p in parts], pa.binary()),
+                     pa.array([_raw(counts[p]) for p in parts], pa.binary())],
+                    names=["lang", "bucket", "shard", "words", "counts"])
+
+    MERGED = "lang string, word string, id long, f long, shard long, bucket long, ids binary"
+
+    def merge(self, table: pa.Table) -> pa.Table:
+        lang, bucket = table["lang"][0].as_py(), table["bucket"][0].as_py()
+        read = [raw.as_py().split(b"\n") for raw in table["words"]]
+        every = pa.array([w for words in read for w in words], pa.string()).dictionary_encode()
+        place, distinct_words = every.indices.to_numpy(), every.dictionary
+        total = np.zeros(len(distinct_words), dtype=np.int64)
+        np.add.at(total, place, np.concatenate([_ids(raw.as_py()) for raw in table["counts"]]).astype(np.int64))
+        frequent = np.flatnonzero(total >= self.min_count)
+        ids = np.zeros(len(total), dtype=np.uint64)
+        ids[frequent] = 1 + (np.arange(len(frequent)) << self.top) + bucket
+        answers = np.split(ids[place], np.cumsum([len(x) for x in read])[:-1])
+        return _merged(lang, bucket, {"word": distinct_words.take(pa.array(frequent)),
+                                      "id": pa.array(ids[frequent], pa.uint64()).cast(pa.int64()),
+                                      "f": pa.array(total[frequent], pa.int64())},
+                       table["shard"].to_pylist(), answers)
+
+    def number(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The first state: word numbers of the shard become ids, or 0."""
+        for batch in batches:
+            for i in range(batch.num_rows):
+                words, order, edges, buckets = _word_order(batch["words"][i].as_py(), self.top)
+                answers = {x["bucket"]: x["ids"] for x in batch["answers"][i].as_py()}
+                to = np.zeros(len(words) + 1, dtype=np.uint64)
+                for b, part in zip(buckets.tolist(), np.split(order, edges[1:])):
+                    if b in answers:
+                        to[part + 1] = _ids(answers[b])
+                ids = to[_ids(batch["ids"][i].as_py()).astype(np.int64)]
+                yield _rows([_state(batch["shard"][i].as_py(), batch["lang"][i].as_py(), ids, ids, 1)])
+
+
+def _merged(lang: str, bucket: int, found: dict[str, pa.Array], shards: list[int], answers: list) -> pa.Table:
+    """Rows of what is frequent, then for every shard that has some the new ids
+    of its entries, 0 for the others."""
+    told = [(s, _raw(a)) for s, a in zip(shards, answers) if a.any()]
+    n, k = len(found["id"]), len(told)
+    columns = {"lang": pa.array([lang] * (n + k), pa.string())}
+    for name, values in found.items():
+        columns[name] = pa.concat_arrays([values, pa.nulls(k, values.type)])
+    columns["shard"] = pa.array([None] * n + [s for s, _ in told], pa.int64())
+    columns["bucket"] = pa.array([bucket] * (n + k), pa.int64())
+    columns["ids"] = pa.array([None] * n + [a for _, a in told], pa.binary())
+    return pa.table(columns)
 
 
 class Level:
@@ -281,7 +362,7 @@ class Level:
         self.word_bits = int(word_max).bit_length()
         self.top = max(0, (-(-entries // FILTER_ENTRIES) - 1).bit_length())
         # Halves may be wider than needed, never narrower than the filters' numbers.
-        self.half = max(24, -(-(self.word_bits + int(gram_max).bit_length()) // 2), self.top + 1)
+        self.half = max(16, -(-(self.word_bits + int(gram_max).bit_length()) // 2), self.top + 1)
 
     def keys(self, words: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, ...]:
         at = _candidates(words, grams, self.m)
@@ -298,7 +379,7 @@ class Level:
     def filters(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                _, high, low, place = self.keys(_ids(batch["words"][i].as_py()), _ids(batch["grams"][i].as_py()))
+                _, high, low, place = self.keys(*_read_state(batch, i))
                 counts = np.bincount(place, minlength=len(high))
                 out = [(batch["lang"][i].as_py(), b, batch["shard"][i].as_py(),
                         write_filter(high[s], low[s], counts[s], self.half, self.top)) for b, s in self.parts(high)]
@@ -323,33 +404,33 @@ class Level:
         ids[frequent] = 1 + (np.arange(len(frequent)) << self.top) + bucket
         prefix, word = unpack(*restore(high[frequent], low[frequent], self.half), self.word_bits, self.half)
         answers = np.split(ids[place], np.cumsum([len(x[0]) for x in read])[:-1])
-        shards = table["shard"].to_pylist()
-        told = [(s, _raw(a)) for s, a in zip(shards, answers) if a.any()]
-        n, k = len(frequent), len(told)
-        longs = [[*x.tolist(), *[None] * k] for x in (prefix, word, ids[frequent], total[frequent])]
-        return pa.table([pa.array([lang] * (n + k), pa.string()), *[pa.array(x, pa.int64()) for x in longs],
-                         pa.array([None] * n + [s for s, _ in told], pa.int64()),
-                         pa.array([bucket] * (n + k), pa.int64()),
-                         pa.array([None] * n + [a for _, a in told], pa.binary())],
-                        names=["lang", "prefix", "word", "id", "f", "shard", "bucket", "ids"])
+        found = {k: pa.array(v.astype(np.int64)) for k, v in
+                 (("prefix", prefix), ("word", word), ("id", ids[frequent]), ("f", total[frequent]))}
+        return _merged(lang, bucket, found, table["shard"].to_pylist(), answers)
 
     def number(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The next state: phrases of m + 1 words by the ids that came back."""
         for batch in batches:
             for i in range(batch.num_rows):
-                words, grams = _ids(batch["words"][i].as_py()), _ids(batch["grams"][i].as_py())
+                words, grams = _read_state(batch, i)
                 at, high, _, place = self.keys(words, grams)
-                answers = {x["bucket"]: _ids(x["ids"]) for x in batch["answers"][i].as_py()}
+                answers = {x["bucket"]: x["ids"] for x in batch["answers"][i].as_py()}
                 ids = np.zeros(len(high), dtype=np.uint64)
                 for b, s in self.parts(high):
                     if b in answers:
-                        ids[s] = answers[b]
+                        ids[s] = _ids(answers[b])
                 new = np.zeros(len(grams), dtype=np.uint64)
                 new[at] = ids[place]
                 yield _rows([_state(batch["shard"][i].as_py(), batch["lang"][i].as_py(), words, new, self.m + 1)])
 
 
-def _merger(level: Level):
+def _answers(merged: DataFrame) -> DataFrame:
+    """What each shard gets back; without frequent entries, a shard ends here."""
+    return (merged.where("ids is not null").groupBy("shard")
+            .agg(F.collect_list(F.struct("bucket", "ids")).alias("answers")))
+
+
+def _merger(level: Level | Words):
     def merge(table: pa.Table) -> pa.Table:  # Spark counts the arguments, self among them
         return level.merge(table)
     return merge
@@ -366,22 +447,16 @@ def counted(docs: DataFrame, min_count: int, max_words: int, text_col: str, lang
     words with f >= ``min_count``, and (lang, n) with all word occurrences."""
     texts = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"),
                         F.col(f"`{text_col}`").alias("text"))
-    shards = texts.mapInArrow(_shards, "lang string, n long, ids binary, words array<string>, counts array<long>")
+    shards = texts.mapInArrow(_shards, "lang string, n long, distinct long, ids binary, words binary, counts binary")
     shards = _write(shards.withColumn("shard", F.monotonically_increasing_id()), "shards")
-    totals = shards.groupBy("lang").agg(F.sum("n").alias("n"))
-    local = (shards.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w"))
-             .select("shard", "lang", "at", F.col("w.words").alias("word"), F.col("w.counts").alias("c")))
-    words = local.groupBy("lang", "word").agg(F.sum("c").alias("f")).where(F.col("f") >= min_count)
-    words = _write(words, "frequent")
-    buckets = -(-max(words.count(), 1) // ID_BUCKET)
-    spread = words.withColumn("b", F.pmod(F.xxhash64("lang", "word"), F.lit(buckets)))
-    place = F.row_number().over(Window.partitionBy("b").orderBy("lang", "word"))
-    words = _write(spread.select("lang", "word", "f", ((place - 1) * buckets + F.col("b") + 1).cast("long").alias("id")),
-                   "words")
-    known = (local.join(words, ["lang", "word"]).groupBy("shard")
-             .agg(F.collect_list(F.struct(F.col("at").cast("long").alias("at"), "id")).alias("known")))
-    state = _write(shards.select("shard", "lang", "ids").join(known, "shard", "left")
-                   .mapInArrow(_number_words, _STATE), "state-1")
+    totals = _write(shards.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+    first = Words(shards.agg(F.sum("distinct")).first()[0] or 0, min_count)
+    filters = shards.select("shard", "lang", "words", "counts").mapInArrow(
+        first.filters, "lang string, bucket long, shard long, words binary, counts binary")
+    merged = _write(filters.groupBy("lang", "bucket").applyInArrow(_merger(first), Words.MERGED), "merged-1")
+    words = _write(merged.where("f is not null").select("lang", "word", "id", "f"), "words")
+    state = _write(shards.select("shard", "lang", "ids", "words").join(_answers(merged), "shard")
+                   .mapInArrow(first.number, _STATE), "state-1")
     lookup = words.select("lang", F.col("id").alias("word"), F.col("word").alias("last"))
     level = words.select("lang", "id", F.array("word").alias("words"), "f")
     phrases = level.select("lang", "words", "f")
@@ -404,9 +479,7 @@ def counted(docs: DataFrame, min_count: int, max_words: int, text_col: str, lang
         gram_max = level.agg(F.max("id")).first()[0] or 0
         if m + 1 == max_words or not gram_max:
             break
-        answers = (merged.where("ids is not null").groupBy("shard")
-                   .agg(F.collect_list(F.struct("bucket", "ids")).alias("answers")))
-        state = _write(state.join(answers, "shard").select("shard", "lang", "words", "grams", "answers")
+        state = _write(state.join(_answers(merged), "shard").select("shard", "lang", "words", "grams", "answers")
                        .mapInArrow(count.number, _STATE), f"state-{m + 1}")
     return phrases, totals
 
@@ -428,7 +501,7 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = M
     parts = every.select("lang", "phrase", "f")
     cuts = (cuts.join(parts.select("lang", F.col("phrase").alias("left"), F.col("f").alias("l")), ["lang", "left"])
             .join(parts.select("lang", F.col("phrase").alias("right"), F.col("f").alias("r")), ["lang", "right"])
-            .join(totals, "lang"))
+            .join(broadcast_up_to(totals, LANGS), "lang"))
     score = F.expr("(cast(1000 as decimal(4,0)) * cast(a as decimal(17,0)) * cast(n as decimal(17,0))) div "
                    "(cast(l as decimal(19,0)) * cast(r as decimal(19,0)))")
     best = (cuts.withColumn("score", score).groupBy("lang", "phrase")
