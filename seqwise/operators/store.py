@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from seqwise.functions.columns import epoch_us
 from seqwise.functions.constants import FEATURE_TTL_SECONDS
+from seqwise.operators.keyed import KeyedTable
 
 FEATURE_STRUCT = T.StructType([
     T.StructField("total_events", T.LongType()),
@@ -50,6 +51,16 @@ def upsert_features(store: DataFrame, incoming: DataFrame) -> DataFrame:
     return kept.select("user_id", *cols).unionByName(latest)
 
 
+STORE_KEY, STORE_ORDER = "user_id", ["computed_at", "feature_version"]
+
+
+def write_back(cache: KeyedTable, lookups: DataFrame, as_of: str) -> dict[str, int]:
+    """Write-through into a stored cache: the store hits of a lookup replace or
+    insert the rows of their users, stamped ``as_of``; only their buckets change."""
+    return cache.upsert(lookups.where(F.col("write_back")).select(
+        "user_id", "features", F.lit(as_of).cast("timestamp_ntz").alias("computed_at")))
+
+
 def get_features(store: DataFrame, requests: DataFrame, key: str = "user_id") -> DataFrame:
     return store.join(requests.select(key).distinct(), key, "left_semi")
 

@@ -223,6 +223,11 @@ ORACLE_SERVING: dict[str, str] = {
           CASE WHEN fresh THEN c_te ELSE s_te END AS total_events, (NOT fresh) AND has_store AS write_back FROM j""",
     "JOI-4": f"WITH {EV}, {PL}, {OUTCOME} SELECT prediction_id, actual_event_id, actual_event_name FROM nx",
     "JOI-5": f"""WITH {EV}, {PL} SELECT prediction_id, model_version, model_version = 'v1' AS is_active FROM pl""",
+    "PRJ-4-key": f"WITH {EV}, {STORE} SELECT * FROM store WHERE user_id = 7",
+    "PRJ-4-active": f"""WITH {EV}, {PL}, r AS (SELECT model_version AS version, count(*) AS n_logged,
+        model_version = 'v1' AS is_active FROM pl GROUP BY 1, 3) SELECT * FROM r WHERE is_active""",
+    "PRJ-4-version": f"""WITH {EV}, {PL}, r AS (SELECT model_version AS version, count(*) AS n_logged,
+        model_version = 'v1' AS is_active FROM pl GROUP BY 1, 3) SELECT * FROM r WHERE version = 'v0'""",
     "STO-1": f"WITH {EV}, {STORE} SELECT * FROM store",
     "STO-2": f"WITH {EV}, {STORE} SELECT * FROM store WHERE user_id IN (SELECT c_custkey FROM customer)",
     "STO-3": f"""WITH {EV}, {PL} SELECT prediction_id, user_id, model_version, predicted_next_event,
@@ -273,6 +278,8 @@ ORACLE_SERVING: dict[str, str] = {
         count(*) AS predictions, count(actual) AS labelled,
         count(*) FILTER (WHERE predicted_next_event = actual) AS hits FROM rw GROUP BY 1, 2""",
     "FBK-1": f"WITH {EV}, {PL}, {OUTCOME} SELECT prediction_id, predicted_next_event, actual, reward FROM rw",
+    "STR-6-resolved": f"""WITH {EV}, {PL}, {OUTCOME}
+        SELECT prediction_id, predicted_next_event, actual, reward FROM rw WHERE actual <> 'churn'""",
     "FBK-2": f"""WITH {EV}, {PL}, {OUTCOME} SELECT predicted_next_event AS predicted_action, count(*) AS n,
         round(sum(reward), 9) AS reward_sum, round(avg(reward), 9) AS reward_mean
         FROM rw WHERE reward IS NOT NULL GROUP BY 1""",

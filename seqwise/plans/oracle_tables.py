@@ -126,6 +126,8 @@ ORACLE_TABLES: dict[str, str] = {
         CAST(hour(event_time) + 1 AS INTEGER) AS hour_enc FROM ev""",
     "PRJ-3": f"WITH {EV} SELECT event_id, {PERIOD.format(h='hour(event_time)')} AS period FROM ev",
     "PRJ-4": f"WITH {EV} SELECT event_id, muid, event_name FROM ev WHERE muid = 7",
+    "PRJ-4-user": f"""WITH {USERS}, {EV} SELECT id, name, location,
+        (SELECT max(event_time) FROM ev WHERE muid = 7) AS last_active_at FROM users WHERE id = 7""",
     "PRJ-5": f"""WITH {EV} SELECT event_id, muid, event_name FROM ev
         WHERE event_time >= TIMESTAMP '2024-01-10 00:00:00' AND event_time < TIMESTAMP '2024-01-20 00:00:00'""",
     "VOC-1": f"""WITH {EV} SELECT event_id,

@@ -13,6 +13,7 @@ from seqwise.operators import metrics as M
 from seqwise.operators import quality as Q
 from seqwise.operators import scoring as SC
 from seqwise.operators import store as ST
+from seqwise.operators.keyed import KeyedTable
 from seqwise.operators.labels import future_labels
 from seqwise.operators.sequences import SERVING_FEATURES, serving_windows, skew_report
 from seqwise.operators.util import broadcast_checked
@@ -20,7 +21,7 @@ from seqwise.operators.vocab import build_vocab
 from seqwise.operators.windows import sliding_windows
 from seqwise.plans.registry import query
 from seqwise.sources import TRAIN_COLUMNS, load_events, read_users
-from seqwise.sources.sinks import scratch_path
+from seqwise.sources.sinks import scratch_path, write_clustered
 
 AS_OF = "2024-02-01 00:00:00"
 CUTOFF = "2024-01-20 00:00:00"
@@ -71,6 +72,13 @@ def _store_v2(spark, sf_dir):
     return ST.upsert_features(_store_v1(spark, sf_dir), _incoming_v2(spark, sf_dir))
 
 
+def _stored(spark, sf_dir):
+    """The feature store as a bucketed table: created, then upserted."""
+    table = KeyedTable.create(_store_v1(spark, sf_dir), scratch_path(spark, "features"), ST.STORE_KEY, ST.STORE_ORDER)
+    table.upsert(_incoming_v2(spark, sf_dir), ST.STORE_ORDER)
+    return table
+
+
 def _store_table(spark, sf_dir):
     """The store as a table: materialized once (reliable checkpoint in the
     shared checkpoint folder), as a feature store is, so the lookups, the cache
@@ -157,9 +165,11 @@ def joi_3_writeback(spark, sf_dir):
     cache = store.withColumn("computed_at", F.lit(AS_OF).cast("timestamp_ntz")
                              - F.make_interval(secs=(F.lit(3590) + F.col("user_id") % 20).cast("int")))
     requests = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("user_id"))
-    new_cache = ST.write_back_cache(cache, ST.lookup_features(requests, cache, store, AS_OF), AS_OF)
-    return new_cache.select("user_id", F.col("features.total_events").alias("total_events"),
-                            (F.col("computed_at") == F.lit(AS_OF).cast("timestamp_ntz")).alias("written_back"))
+    stored = KeyedTable.create(cache.select("user_id", "features", "computed_at"), scratch_path(spark, "cache"),
+                               ST.STORE_KEY)
+    ST.write_back(stored, ST.lookup_features(requests, stored.read(), store, AS_OF), AS_OF)
+    return stored.read().select("user_id", F.col("features.total_events").alias("total_events"),
+                                (F.col("computed_at") == F.lit(AS_OF).cast("timestamp_ntz")).alias("written_back"))
 
 
 @query("JOI-4")
@@ -181,13 +191,38 @@ def joi_5(spark, sf_dir):
 # ------------------------------------------------------------------ store
 @query("STO-1")
 def sto_1(spark, sf_dir):
-    return _flat_store(_store_v2(spark, sf_dir))
+    """A batch upserted into the bucketed store as deltas of its own buckets."""
+    return _flat_store(_stored(spark, sf_dir).read())
 
 
 @query("STO-2")
 def sto_2(spark, sf_dir):
     requests = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("user_id"))
-    return _flat_store(ST.get_features(_store_v2(spark, sf_dir), requests))
+    return _flat_store(_stored(spark, sf_dir).get_all(requests))
+
+
+@query("PRJ-4-key")
+def prj_4_key(spark, sf_dir):
+    """The stored features of one user by primary key: one bucket is opened."""
+    return _flat_store(_stored(spark, sf_dir).get(7))
+
+
+def _versions(spark, sf_dir):
+    """The registry of the versions in the log, clustered by version."""
+    log = _log(spark, sf_dir)
+    rows = (log.groupBy(F.col("model_version").alias("version")).agg(F.count(F.lit(1)).alias("n_logged"))
+            .withColumn("is_active", F.col("version") == F.lit("v1")))
+    return spark.read.schema(rows.schema).parquet(write_clustered(rows, scratch_path(spark, "versions"), "version"))
+
+
+@query("PRJ-4-active")
+def prj_4_active(spark, sf_dir):
+    return _versions(spark, sf_dir).where("is_active")
+
+
+@query("PRJ-4-version")
+def prj_4_version(spark, sf_dir):
+    return _versions(spark, sf_dir).where(F.col("version") == "v0")
 
 
 @query("STO-3")

@@ -49,12 +49,17 @@ def str_2(spark, sf_dir):
     return spark.read.parquet(table).select(*EVENT_COLUMNS)
 
 
+def _version(user) -> str:
+    """The version that the derived prediction log gives a user."""
+    return f"v{user % 2}"
+
+
 @query("STR-3")
 def str_3(spark, sf_dir):
     schema, rec = _feed(spark, sf_dir)
     events = SI.decode(rec, schema)
     out = scratch_path(spark, "buffer_predictions")
-    q = (SS.buffer_predictions(events).writeStream.format("parquet").option("path", out)
+    q = (SS.buffer_predictions(events, version=_version).writeStream.format("parquet").option("path", out)
          .option("checkpointLocation", scratch_path(spark, "ckpt")).trigger(availableNow=True).start())
     q.awaitTermination()
     p = spark.read.parquet(out)
@@ -92,7 +97,7 @@ def str_6(spark, sf_dir):
                                       F.col("created_at").alias("event_time"))))
     folder = scratch_path(spark, "feedback_feed")
     files = write_chunked(feed, folder, "event_time", 6)
-    stream = spark.readStream.schema(SS.FEEDBACK_INPUT).option("maxFilesPerTrigger", files).json(folder)
+    stream = spark.readStream.schema(SS.feedback_input()).option("maxFilesPerTrigger", files).json(folder)
     out = scratch_path(spark, "feedback")
     q = (SS.feedback_stream(stream).writeStream.format("parquet").option("path", out)
          .option("checkpointLocation", scratch_path(spark, "ckpt")).trigger(availableNow=True).start())
@@ -100,6 +105,13 @@ def str_6(spark, sf_dir):
     return spark.read.parquet(out)
 
 
+@query("STR-6-resolved")
+def str_6_resolved(spark, sf_dir):
+    """The feedback that an event of the user brought. What silence brings
+    depends on how far the watermark has come, and is left to STR-6."""
+    return str_6(spark, sf_dir).where(F.col("actual") != "churn")
+
+
 @query("STR-5-total")
 def str_5_total(spark, sf_dir):
     schema, rec = _feed(spark, sf_dir)

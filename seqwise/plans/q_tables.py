@@ -16,6 +16,7 @@ from seqwise.sources import TRAIN_COLUMNS, load_events, read_events, read_events
 from seqwise.sources.events import EVENT_COLUMNS, adapt_events, table_path
 from seqwise.sources.sinks import (
     append_events, append_rows, from_stream_records, scratch_path, to_stream_records, write_bounded,
+    write_clustered,
 )
 
 AS_OF = "2024-02-01 00:00:00"
@@ -149,6 +150,14 @@ def prj_4(spark, sf_dir):
     return ev(spark, sf_dir, ["event_id", "muid", "event_name"]).where(F.col("muid") == 7)
 
 
+@query("PRJ-4-user")
+def prj_4_user(spark, sf_dir):
+    """One user by primary key, from a table clustered by it."""
+    users = read_users(spark, sf_dir).select("id", "name", "location", "last_active_at")
+    path = write_clustered(users, scratch_path(spark, "users"), "id")
+    return spark.read.schema(users.schema).parquet(path).where(F.col("id") == 7)
+
+
 @query("PRJ-5")
 def prj_5(spark, sf_dir):
     path = scratch_path(spark, "events_by_month")

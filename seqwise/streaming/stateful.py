@@ -5,7 +5,7 @@ keeps only predictions still waiting for the user's next event."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,23 +25,39 @@ def use_rocksdb_state(spark) -> None:
     if spark.conf.get(key, None) != ROCKSDB_PROVIDER:
         spark.conf.set(key, ROCKSDB_PROVIDER)
 
-BUFFER_OUTPUT = ("prediction_id long, user_id long, model_version string, window_events int, "
+BUFFER_OUTPUT = ("prediction_id {event_id}, user_id {muid}, model_version string, window_events int, "
                  "purchase_probability double, churn_risk double, predicted_next_event string, "
                  "engagement_score double, inactivity_risk double, window_event_ids string")
 
 
+def id_type(df: DataFrame, column: str) -> str:
+    """Ids are whole numbers or text (UUIDs); the state keeps them as they are."""
+    kind = df.schema[column].dataType.simpleString()
+    if kind not in ("bigint", "int", "string"):
+        raise TypeError(f"{column} is {kind}; ids are int, long or string")
+    return kind
+
+
+def as_ids(values, kind: str) -> np.ndarray:
+    return values.to_numpy(dtype=object) if kind == "string" else values.astype("int64").to_numpy()
+
+
+def one_version(user) -> str:
+    return "v1"
+
+
 class LastEventsBuffer(StatefulProcessor):
     """Keeps the newest ``size`` events of a user; on every arriving event emits
     the rule-based prediction over the newest ``size`` events up to it. Rows of
     a micro-batch are applied in event-time order."""
 
-    def __init__(self, size: int = 20):
+    def __init__(self, size: int, user: str, event: str, version: Callable[[object], str]):
         from seqwise.functions.constants import EVENT_NAMES
-        self.size = size
+        self.size, self.user, self.event, self.version = size, user, event, version
         self.ids = {name: i for i, name in enumerate(EVENT_NAMES)}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.buf = handle.getListState("buf", "t long, event_id long, event_name string")
+        self.buf = handle.getListState("buf", f"t long, event_id {self.event}, event_name string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(rows), ignore_index=True)[["t_us", "event_id", "event_name"]]
@@ -57,7 +73,7 @@ class LastEventsBuffer(StatefulProcessor):
         purchase = np.where(lp, 2.0, np.minimum(95.0, n * 5.0 + np.where(cart, 40.0, 0.0)))
         churn = np.where(lp, 60.0, np.maximum(5.0, 80.0 - n * 10.0))
         nxt = np.where(lp, "pageview", np.where(cart, "purchase", np.where(n > 2, "add_to_cart", "viewcontent")))
-        muid = int(key[0])
+        muid = str(key[0]) if self.user == "string" else int(key[0])
         m = seq["_new"].to_numpy()
         # the padded window itself: static event ids of the newest `size`
         # events up to each new row, left-padded with 0
@@ -67,9 +83,9 @@ class LastEventsBuffer(StatefulProcessor):
             w = ids[max(0, i - self.size + 1):i + 1].tolist()
             windows.append(",".join(map(str, [0] * (self.size - len(w)) + w)))
         out = pd.DataFrame({
-            "prediction_id": seq["event_id"].to_numpy()[m].astype("int64"),
-            "user_id": np.full(m.sum(), muid, dtype="int64"),
-            "model_version": f"v{muid % 2}",
+            "prediction_id": as_ids(seq["event_id"][m], self.event),
+            "user_id": [muid] * int(m.sum()),
+            "model_version": self.version(muid),
             "window_events": n[m].astype("int32"),
             "purchase_probability": purchase[m], "churn_risk": churn[m],
             "predicted_next_event": nxt[m],
@@ -77,25 +93,29 @@ class LastEventsBuffer(StatefulProcessor):
             "window_event_ids": windows,
         })
         tail = seq.tail(self.size)
-        self.buf.put([(int(t), int(e), str(x)) for t, e, x in
-                      zip(tail["t_us"], tail["event_id"], tail["event_name"])])
+        self.buf.put([(int(t), e, str(x)) for t, e, x in
+                      zip(tail["t_us"], as_ids(tail["event_id"], self.event).tolist(), tail["event_name"])])
         yield out
 
     def close(self) -> None:
         pass
 
 
-def buffer_predictions(events: DataFrame, size: int = 20) -> DataFrame:
-    """Streaming events -> one prediction per event."""
+def buffer_predictions(events: DataFrame, size: int = 20,
+                       version: Callable[[object], str] = one_version) -> DataFrame:
+    """Streaming events -> one prediction per event; ``version`` names the model
+    version that serves a user."""
+    kinds = {c: id_type(events, c) for c in ("muid", "event_id")}
     use_rocksdb_state(events.sparkSession)
     # (input column names must not start with "_": such names reach pandas renamed)
     ev = events.select("muid", "event_id", "event_name", epoch_us(events, "event_time").alias("t_us"))
     return ev.groupBy("muid").transformWithStateInPandas(
-        statefulProcessor=LastEventsBuffer(size), outputStructType=BUFFER_OUTPUT,
+        statefulProcessor=LastEventsBuffer(size, kinds["muid"], kinds["event_id"], version),
+        outputStructType=BUFFER_OUTPUT.format(**kinds),
         outputMode="Append", timeMode="None")
 
 
-FEEDBACK_OUTPUT = "prediction_id long, predicted_next_event string, actual string, reward double"
+FEEDBACK_OUTPUT = "prediction_id {id}, predicted_next_event string, actual string, reward double"
 WEEK_US = 168 * 3_600_000_000
 
 
@@ -115,9 +135,12 @@ class FeedbackProcessor(StatefulProcessor):
     168 h later); an event-time timer at prediction + 168 h resolves a silent
     user as 'churn'. Predictions never resolved stay pending (unresolved)."""
 
+    def __init__(self, kind: str):
+        self.kind = kind
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getListState("pending", "t long, prediction_id long, predicted string")
+        self.pending = handle.getListState("pending", f"t long, prediction_id {self.kind}, predicted string")
 
     def _emit(self, rows):
         return pd.DataFrame(rows, columns=["prediction_id", "predicted_next_event", "actual", "reward"])
@@ -147,8 +170,8 @@ class FeedbackProcessor(StatefulProcessor):
         for pt in still.loc[~still["_old"], "t_us"]:
             self.handle.registerTimer((int(pt) + WEEK_US) // 1000 + 1)
         if len(still):
-            self.pending.put([(int(t), int(r), str(n)) for t, r, n in
-                              zip(still["t_us"], still["rid"], still["rname"])])
+            self.pending.put([(int(t), r, str(n)) for t, r, n in
+                              zip(still["t_us"], as_ids(still["rid"], self.kind).tolist(), still["rname"])])
         else:
             self.pending.clear()
         actual = np.where(done["et"].to_numpy() - done["t_us"].to_numpy() <= WEEK_US,
@@ -156,7 +179,7 @@ class FeedbackProcessor(StatefulProcessor):
         pred = done["rname"].to_numpy()
         reward = np.where(pred == actual, 1.0, np.where(actual == "churn", -2.0, np.where(
             np.isin(actual, ["purchase", "checkout"]), 0.5, -0.1)))
-        yield pd.DataFrame({"prediction_id": done["rid"].astype("int64").to_numpy(),
+        yield pd.DataFrame({"prediction_id": as_ids(done["rid"], self.kind),
                             "predicted_next_event": pred, "actual": actual, "reward": reward})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -178,16 +201,20 @@ class FeedbackProcessor(StatefulProcessor):
         pass
 
 
-FEEDBACK_INPUT = "kind string, muid long, t long, id long, name string"
+def feedback_input(users: str = "long", ids: str = "long") -> str:
+    """Schema of a feed with ids of these types."""
+    return f"kind string, muid {users}, t long, id {ids}, name string"
+
 
 
 def feedback_stream(feed: DataFrame, delay: str = "1 hour") -> DataFrame:
     """``feed``: rows (kind 'event'|'prediction', muid, t epoch us, id, name)."""
     use_rocksdb_state(feed.sparkSession)
+    kind = id_type(feed, "id")
     x = feed.select(F.col("muid"), F.col("t").alias("t_us"),
                     F.when(F.col("kind") == "event", 0).otherwise(1).alias("tag"),
                     F.col("id").alias("rid"), F.col("name").alias("rname"),
                     F.timestamp_micros("t").alias("ts"))
     return (x.withWatermark("ts", delay).groupBy("muid").transformWithStateInPandas(
-        statefulProcessor=FeedbackProcessor(), outputStructType=FEEDBACK_OUTPUT,
+        statefulProcessor=FeedbackProcessor(kind), outputStructType=FEEDBACK_OUTPUT.format(id=kind),
         outputMode="Append", timeMode="EventTime"))

@@ -42,10 +42,10 @@ def test_feature_upkeep_retry_is_idempotent(spark):
     e = load_events(spark, SF001)
     table = tempfile.mkdtemp(prefix="upkeep-", dir="/tmp") + "/log"
     cut = F.lit("2024-01-15").cast("timestamp_ntz")
-    first = SF.running_features(e.where(F.col("event_time") < cut))
-    upto_second = SF.running_features(e)  # state after batch 1: all events so far
-    for bid, rows in [(0, first), (1, upto_second), (1, upto_second)]:  # batch 1 retried
-        rows.write.mode("overwrite").parquet(batch_folder(table, bid, "batch_id"))
+    for part, rows in (("activity", SF.channel_activity), ("distinct", SF.distinct_values)):
+        # state after batch 1: all events so far
+        for bid, seen in [(0, e.where(F.col("event_time") < cut)), (1, e), (1, e)]:  # batch 1 retried
+            rows(seen).write.mode("overwrite").parquet(batch_folder(f"{table}/{part}", bid, "batch_id"))
     got = SF.read_features(spark, table, "2024-02-01 00:00:00")
     exp = user_features(e, "2024-02-01 00:00:00").drop("last_event_time").select(*got.columns)
     assert got.exceptAll(exp).count() == 0 and exp.exceptAll(got).count() == 0
@@ -68,3 +68,83 @@ def test_dedup_ingest_drops_and_counts_late_rows(spark):
     assert stats["late_dropped"] == n_redelivered > 0
     got = spark.read.parquet(table).select(*EVENT_COLUMNS)
     assert got.count() == e.count() and got.exceptAll(e.select(*EVENT_COLUMNS)).count() == 0
+
+
+def _text_ids(e):
+    """The events with UUID-like ids."""
+    return (e.withColumn("muid", F.concat(F.lit("user-"), F.col("muid").cast("string")))
+            .withColumn("event_id", F.format_string("e-%09d", "event_id")))
+
+
+def test_feature_upkeep_stream_equals_batch_on_text_ids(spark):
+    from seqwise.operators.aggregates import user_features
+    from seqwise.sources import load_events
+    from seqwise.sources.sinks import scratch_path
+    from seqwise.streaming import features as SF
+    from seqwise.streaming import ingest as SI
+    from seqwise.streaming.feed import read_record_stream, write_record_feed
+    e = _text_ids(load_events(spark, SF001))
+    folder, table = scratch_path(spark, "feed"), scratch_path(spark, "t")
+    files = write_record_feed(e, folder, 4)
+    events = SI.decode(read_record_stream(spark, folder, files_per_trigger=files), e.schema)
+    SF.feature_upkeep_stream(spark, events, table, scratch_path(spark, "c"))
+    got = SF.read_features(spark, table, "2024-02-01 00:00:00")
+    exp = user_features(e, "2024-02-01 00:00:00").select(*got.columns)
+    assert got.exceptAll(exp).count() == 0 and exp.exceptAll(got).count() == 0
+    batches = spark.read.parquet(f"{table}/activity").select("batch_id").distinct().count()
+    assert batches >= 4  # the state was carried across micro-batches
+
+
+def test_feature_state_rows_do_not_grow_with_sessions(spark):
+    """Nothing that the streams group by or aggregate collects values."""
+    from seqwise.streaming import features as SF
+    schema = "muid string, session_id string, category string, channel string, event_name string, event_time timestamp_ntz"
+    rate = spark.readStream.schema(schema).parquet("/root/testdata/sf0.001")
+    for rows in (SF.channel_activity(rate), SF.distinct_values(rate), SF.distinct_values(rate, "30 days")):
+        plan = rows._jdf.queryExecution().analyzed().toString()
+        assert "collect_" not in plan and "mode(" not in plan and "count(distinct" not in plan
+        kinds = {f.dataType.typeName() for f in rows.schema.fields}
+        assert not kinds & {"array", "map"}
+
+
+def test_stateful_processors_take_text_ids(spark):
+    from seqwise.operators.scoring import prediction_log
+    from seqwise.sources import load_events
+    from seqwise.sources.sinks import scratch_path
+    from seqwise.functions.columns import epoch_us
+    from seqwise.streaming import ingest as SI
+    from seqwise.streaming import stateful as SS
+    from seqwise.streaming.feed import read_record_stream, write_chunked, write_record_feed
+    from seqwise.operators import feedback as FB
+    e = load_events(spark, SF001, ["event_id", "muid", "event_name", "event_time"])
+    text = _text_ids(e)
+    folder, out = scratch_path(spark, "feed"), scratch_path(spark, "out")
+    files = write_record_feed(text, folder, 3)
+    events = SI.decode(read_record_stream(spark, folder, files_per_trigger=files), text.schema)
+    (SS.buffer_predictions(events).writeStream.format("parquet").option("path", out)
+     .option("checkpointLocation", scratch_path(spark, "c")).trigger(availableNow=True).start().awaitTermination())
+    cols = ["prediction_id", "user_id", "window_events", "predicted_next_event"]
+    log = prediction_log(e)
+    exp = log.select(F.format_string("e-%09d", "prediction_id").alias("prediction_id"),
+                     F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("user_id"), *cols[2:])
+    got = spark.read.parquet(out).select(*cols)
+    assert got.exceptAll(exp).count() == 0 and exp.exceptAll(got).count() == 0
+
+    feed = (text.select(F.lit("event").alias("kind"), "muid", epoch_us(text, "event_time").alias("t"),
+                        F.col("event_id").alias("id"), F.col("event_name").alias("name"), "event_time")
+            .unionByName(log.select(F.lit("prediction").alias("kind"),
+                                    F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("muid"),
+                                    epoch_us(log, "created_at").alias("t"),
+                                    F.format_string("e-%09d", "prediction_id").alias("id"),
+                                    F.col("predicted_next_event").alias("name"),
+                                    F.col("created_at").alias("event_time"))))
+    folder, out = scratch_path(spark, "feed"), scratch_path(spark, "out")
+    files = write_chunked(feed, folder, "event_time", 3)
+    stream = spark.readStream.schema(SS.feedback_input("string", "string")).option("maxFilesPerTrigger", files).json(folder)
+    (SS.feedback_stream(stream).writeStream.format("parquet").option("path", out)
+     .option("checkpointLocation", scratch_path(spark, "c")).trigger(availableNow=True).start().awaitTermination())
+    got = spark.read.parquet(out).where(F.col("actual") != "churn")
+    whole = FB.actual_outcome(FB.next_event_after(log, e), F.lit(10**18)).where("actual is not null and actual <> 'churn'")
+    assert got.count() == whole.count() > 0
+    want = whole.select(F.format_string("e-%09d", "prediction_id").alias("prediction_id"), "actual")
+    assert got.select("prediction_id", "actual").exceptAll(want).count() == 0
