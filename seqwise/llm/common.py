@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +44,15 @@ def word_count(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
+def own_names(docs: DataFrame) -> tuple[DataFrame, dict[str, str], Callable[[DataFrame], DataFrame]]:
+    """``docs`` with its columns as ``_doc_0``, ``_doc_1``, ..., so that none can
+    clash with an operator's own, whatever they are called (dots included); the
+    new name of each; and the way back for any table that has these columns."""
+    at = {c: f"_doc_{i}" for i, c in enumerate(docs.columns)}
+    safe = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in at.items()])
+    return safe, at, lambda df: df.select(*[F.col(n).alias(c) for c, n in at.items()])
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Compute ``df`` once into the shared checkpoint folder and cut its lineage.
 

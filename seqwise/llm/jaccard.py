@@ -51,7 +51,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqwise.llm.common import broadcast_up_to, materialize, small_batches, write_once
+from seqwise.llm.common import broadcast_up_to, materialize, own_names, small_batches, write_once
 from seqwise.llm.components import components
 from seqwise.llm.words import mix64, shingle_set
 
@@ -347,6 +347,8 @@ def one_of_each(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     """``docs`` without all but one document of each component: the one with
     the smallest id (nulls last). Documents without words all stay; repeated
     rows are one document."""
+    docs, at, back = own_names(docs)
+    text_col, id_col = at[text_col], at[id_col]
     linked = write_once(linked_documents(docs, text_col, id_col, **options), "linked")
     best = linked.where("n > 0").groupBy("component").agg(
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rk")).alias("_best"))
@@ -358,8 +360,8 @@ def one_of_each(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     # only rows that repeat, id and text, need to be compared with each other
     twice = materialize(linked.groupBy("rk").count().where("count > 1").select(F.col("rk").alias("_rk")))
     if twice.isEmpty():
-        return one.select(*docs.columns)
+        return back(one)
     twice = broadcast_up_to(twice, BROADCAST_ROWS)
     single = one.join(twice, F.col("_row_key") == F.col("_rk"), "left_anti")
     repeated = one.join(twice, F.col("_row_key") == F.col("_rk"), "left_semi").dropDuplicates(["_row_key"])
-    return single.unionByName(repeated).select(*docs.columns)
+    return back(single.unionByName(repeated))

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqwise.llm.common import broadcast_up_to, materialize, word_count
+from seqwise.llm.common import broadcast_up_to, materialize, own_names, word_count
 
 WEIGHTS = (5, 2, 1)      # by the sources' order, repeating
 BUDGET = 1.5             # words of the mix per word of input
@@ -170,6 +170,9 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     shuffled order, so one row a source and round says what is taken and no
     text is shuffled. Only rows equal in every column share a place; where the
     mix ends among them, one of them stands for the copies taken."""
+    docs, at, back = own_names(docs)
+    options = options | {c: at[options.get(c, d)] for c, d in
+                         (("text_col", "text"), ("id_col", "doc_id"), ("source_col", "source"))}
     plan = mix(docs, **options)
     place = F.struct("key", "tie")
     last = plan.where("copies > 0").groupBy("source").agg(
@@ -185,8 +188,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     cut = ends.groupBy("_source", "key", "tie").agg(
         F.sum("copies").alias("n"), F.min("copies").alias("_lo"), F.max("copies").alias("_hi")).where("_lo < _hi")
     cut = materialize(cut.groupBy("_source").agg(F.collect_list(F.struct("key", "tie", "n")).alias("_cut")))
-    id_col, source_col = options.get("id_col", "doc_id"), options.get("source_col", "source")
-    some = F.col(options.get("text_col", "text")).rlike("[^\\x20\\x09-\\x0D]")
+    id_col, source_col = options["id_col"], options["source_col"]
+    some = F.col(options["text_col"]).rlike("[^\\x20\\x09-\\x0D]")
     j = docs.where(some).withColumn("_key", shuffle_key(F.col(id_col))).withColumn("_tie", row_key(docs))
     j = j.join(last, F.col(source_col).cast("string").eqNullSafe(F.col("_source")))
     times = sum(F.when(F.struct(F.col("_key").alias("key"), F.col("_tie").alias("tie")) <= F.col(c), 1).otherwise(0) for c in tos)
@@ -196,7 +199,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         return (x.where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
                 .select(*docs.columns))
     if cut.isEmpty():
-        return copies(j)
+        return back(copies(j))
     j = j.join(broadcast_up_to(cut.withColumnRenamed("_source", "_with"), SOURCES),
                F.col("_source").eqNullSafe(F.col("_with")), "left")
     mine = F.filter(F.col("_cut"), lambda c: (c["key"] == F.col("_key")) & (c["tie"] == F.col("_tie")))
@@ -204,4 +207,4 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     one = (j.where("_n is not null").groupBy("_source", "_key", "_tie")
            .agg(F.first(whole).alias("_one"), F.first("_n").alias("_times")).select("_one.*", "_times"))
-    return copies(j.where("_n is null")).unionByName(copies(one))
+    return back(copies(j.where("_n is null")).unionByName(copies(one)))

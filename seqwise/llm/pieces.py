@@ -249,7 +249,7 @@ def encode(docs: DataFrame, model_file: str, text_col: str = "text", ids_col: st
     """The columns ``keep`` (default: all but the text) plus the ids of the
     text; with ``verify_col`` also whether decoding gives the text back."""
     keep = [c for c in docs.columns if c != text_col] if keep is None else keep
-    slim = small_batches(docs).select(*[F.col(c).alias(f"_doc_{i}") for i, c in enumerate(keep)], F.col(text_col).alias("_text"))
+    slim = small_batches(docs).select(*[F.col(f"`{c}`").alias(f"_doc_{i}") for i, c in enumerate(keep)], F.col(text_col).alias("_text"))
     kept = "".join(f"{n} {t}, " for n, t in slim.dtypes if n != "_text")
     same = ", _same boolean" if verify_col else ""
     out = slim.mapInArrow(_encode_batches(_model(docs.sparkSession, model_file), bool(verify_col)),
@@ -271,7 +271,7 @@ def _decode_batches(shared):
 def decode(df: DataFrame, model_file: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
     """``df`` with its ids replaced by the text they stand for."""
     keep = [c for c in df.columns if c != ids_col]
-    slim = small_batches(df).select(*[F.col(c).alias(f"_doc_{i}") for i, c in enumerate(keep)],
+    slim = small_batches(df).select(*[F.col(f"`{c}`").alias(f"_doc_{i}") for i, c in enumerate(keep)],
                      F.col(ids_col).cast("array<int>").alias("_ids"))
     kept = "".join(f"{n} {t}, " for n, t in slim.dtypes if n != "_ids")
     out = slim.mapInArrow(_decode_batches(_model(df.sparkSession, model_file)), f"{kept}_text string")

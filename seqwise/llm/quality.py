@@ -208,7 +208,7 @@ def score_documents(docs: DataFrame, model: Model | None, text_col: str = "text"
     """``docs`` plus its score, in one pass over whole texts."""
     shared = docs.sparkSession.sparkContext.broadcast(model.flat) if model else None
     # carried under other names, so that no column of docs can clash
-    slim = small_batches(docs).select(*[F.col(c).alias(f"_doc_{i}") for i, c in enumerate(docs.columns)],
+    slim = small_batches(docs).select(*[F.col(f"`{c}`").alias(f"_doc_{i}") for i, c in enumerate(docs.columns)],
                        F.col(text_col).alias("_text"))
     kept = ", ".join(f"{n} {t}" for n, t in slim.dtypes if n != "_text")
     out = slim.mapInArrow(_scorer(shared), f"{kept}, _score double")

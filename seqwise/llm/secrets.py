@@ -121,7 +121,7 @@ def candidates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     base_sha256; with ``carry`` also its columns, as _doc_0, _doc_1, ..."""
     owner = F.coalesce(F.concat(F.lit("="), F.col(owner_col).cast("string")), F.lit(""))
     repo = F.coalesce(F.concat(F.lit("="), F.col(repo_col).cast("string")), F.lit(""))
-    texts = ([F.col(c).alias(f"_doc_{i}") for i, c in enumerate(docs.columns)] if carry
+    texts = ([F.col(f"`{c}`").alias(f"_doc_{i}") for i, c in enumerate(docs.columns)] if carry
              else [F.col(text_col).alias("_text")])
     slim = small_batches(docs).select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("doc_id"),
                        owner.alias("_owner"), F.concat(owner, F.lit("/"), repo).alias("_repo"), *texts)
