@@ -54,6 +54,21 @@ def _version(user) -> str:
     return f"v{user % 2}"
 
 
+@query("STR-2-late")
+def str_2_late(spark, sf_dir):
+    """Half of the first days' records come weeks late, among re-deliveries of
+    the other half: compared with the stored table, each event is kept once."""
+    e = load_events(spark, sf_dir)
+    early = F.col("event_time") < F.lit("2024-01-05").cast("timestamp_ntz")
+    folder = scratch_path(spark, "feed")
+    files = write_record_feed(e.where(~(early & (F.col("event_id") % 2 == 1))), folder, 4)
+    write_record_feed(e.where(early), folder, 1)
+    table, rejects = scratch_path(spark, "ingested"), scratch_path(spark, "rejects")
+    SI.ingest_stream(spark, read_record_stream(spark, folder, files_per_trigger=files), e.schema, table, rejects,
+                     scratch_path(spark, "ckpt"), dedup_delay="2 days", index=scratch_path(spark, "seen"))
+    return spark.read.parquet(table).select(*EVENT_COLUMNS)
+
+
 @query("STR-3")
 def str_3(spark, sf_dir):
     schema, rec = _feed(spark, sf_dir)

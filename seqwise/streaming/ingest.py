@@ -8,10 +8,12 @@ from pyspark.sql import types as T
 
 from seqwise.operators.quality import split_valid
 from seqwise.sources.sinks import append_events, batch_folder, from_stream_records
+from seqwise.streaming.seen import unseen, write_index
 
 STREAM_TIME = "_stream_ts"
 DEDUP_KEY = "_dedup_key"
 RAW = "raw_value"
+THROUGH = "_through"
 
 
 def decode(records: DataFrame, event_schema: T.StructType, keep: list[str] | None = None) -> DataFrame:
@@ -19,7 +21,7 @@ def decode(records: DataFrame, event_schema: T.StructType, keep: list[str] | Non
 
 
 def ingest_stream(spark: SparkSession, records: DataFrame, event_schema: T.StructType, table: str,
-                  rejects: str, checkpoint: str, dedup_delay: str | None = None) -> dict:
+                  rejects: str, checkpoint: str, dedup_delay: str | None = None, index: str | None = None) -> dict:
     """Decode -> validate -> append valid rows to the month-partitioned table,
     rejects (with reason and the record as it came; a record without a single
     readable field is 'malformed') to a side table. Exactly-once per micro-batch through
@@ -27,16 +29,29 @@ def ingest_stream(spark: SparkSession, records: DataFrame, event_schema: T.Struc
 
     With ``dedup_delay`` the stream is idempotent on event_id: duplicates within
     the watermark are dropped by state, rows older than the watermark are late
-    and dropped (their number is reported)."""
+    and dropped (their number is reported).
+
+    With ``index`` too, a folder of Bloom filters beside the table (see
+    ``streaming.seen``), late rows are not dropped but compared with what is
+    stored: rows that the state did not let through are tested against the
+    filters of their month, and those that no batch has stored are kept
+    (``late_kept`` of them). Late events without an id stay dropped: nothing
+    tells them from events seen before."""
     ev = decode(records.withColumn(RAW, F.col("value")), event_schema, [RAW])
     empty = F.coalesce(*[F.col(c).cast("string") for c in event_schema.names]).isNull()
+    if index and not dedup_delay:
+        raise ValueError("index needs dedup_delay")
+    every = ev.where(F.col("event_id").isNotNull()).withColumn(THROUGH, F.lit(False))
     if dedup_delay:
         ev = (ev.withColumn(STREAM_TIME, F.col("event_time").cast("timestamp"))
               .withWatermark(STREAM_TIME, dedup_delay)
               # events without an id are no duplicates of each other
               .withColumn(DEDUP_KEY, F.coalesce(F.col("event_id").cast("string"), F.expr("uuid()")))
               .dropDuplicatesWithinWatermark([DEDUP_KEY]).drop(STREAM_TIME, DEDUP_KEY))
-    stats = {"batches": 0}
+    if index:
+        ev = ev.withColumn(THROUGH, F.lit(True)).unionByName(every)
+    stats = {"batches": 0, "late_kept": 0}
+    kept: dict[int, int] = {}
     late: dict[int, int] = {}
     running: list = []
 
@@ -50,7 +65,19 @@ def ingest_stream(spark: SparkSession, records: DataFrame, event_schema: T.Struc
         # folder and overwrites it, so a retry never duplicates rows.
         batch = batch.persist()  # read the micro-batch once for both outputs
         try:
-            valid, bad = split_valid(batch)
+            rows = batch
+            if index:
+                through = batch.where(THROUGH).drop(THROUGH)
+                held = (batch.where(~F.col(THROUGH)).drop(THROUGH)
+                        .join(through.select("event_id").where("event_id is not null").distinct(), "event_id", "left_anti"))
+                # only valid rows are stored, so only these can have been
+                late_rows, broken = split_valid(held.select(*through.columns))
+                late_rows = unseen(late_rows, table, index, batch_id)
+                kept[batch_id] = late_rows.count()
+                rows = through.unionByName(late_rows).unionByName(broken.select(*through.columns))
+            valid, bad = split_valid(rows)
+            if index:
+                write_index(valid, index, batch_id)
             append_events(valid.drop(RAW), batch_folder(table, batch_id), mode="overwrite")
             bad = bad.withColumn("reject_reason", F.when(empty, "malformed").otherwise(F.col("reject_reason")))
             bad.write.mode("overwrite").parquet(batch_folder(rejects, batch_id))
@@ -65,7 +92,8 @@ def ingest_stream(spark: SparkSession, records: DataFrame, event_schema: T.Struc
     running.append(q)
     q.awaitTermination()
     note_late()
-    stats["late_dropped"] = sum(late.values())
+    stats["late_kept"] = sum(kept.values())
+    stats["late_dropped"] = sum(late.values()) - stats["late_kept"]
     return stats
 
 
