@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from seqwise.functions.columns import epoch_us
 from seqwise.functions.constants import DYNAMIC_FEATURES, DYNAMIC_RESERVED, STATIC_VOCABS
+from seqwise.operators.ranking import RankedTable
 from seqwise.operators.util import broadcast_checked
 
 
@@ -22,7 +23,12 @@ def _long_form(events: DataFrame, features: list[str]) -> DataFrame:
                              f"stack({len(features)}, {stack}) AS (feature, value)")
 
 
-def build_vocab(events: DataFrame, features: list[str] = DYNAMIC_FEATURES) -> DataFrame:
+# Values, of all features, up to which one task a feature numbers them.
+RANK_IN_ONE_TASK = 100_000
+
+
+def build_vocab(events: DataFrame, features: list[str] = DYNAMIC_FEATURES,
+                rank_in_one_task: int = RANK_IN_ONE_TASK) -> DataFrame:
     """Dynamic vocabulary table.
 
     First appearance = smallest (event_time, event_id). A minimum over a struct
@@ -30,16 +36,45 @@ def build_vocab(events: DataFrame, features: list[str] = DYNAMIC_FEATURES) -> Da
     as two hash aggregates: the earliest time per (feature, value), then the
     smallest event id among only the rows at that time (joined against the
     distinct-value table, whose size is counted before it is broadcast)."""
+    first = _first_seen(events, features)
+    learned = _numbered(first, rank_in_one_task).select(
+        "feature", "value", (F.col("rank") + F.lit(len(DYNAMIC_RESERVED) - 1)).cast("int").alias("id"))
+    return learned.unionByName(reserved_rows(events.sparkSession, features))
+
+
+def extend_vocab(vocab: DataFrame, events: DataFrame, features: list[str] = DYNAMIC_FEATURES,
+                 rank_in_one_task: int = RANK_IN_ONE_TASK) -> DataFrame:
+    """``vocab`` with the values of ``events`` that it lacks: old ids stay, new
+    ones follow the feature's largest, in order of first appearance."""
+    vocab = vocab.unionByName(reserved_rows(events.sparkSession, features)).groupBy("feature", "value").agg(
+        F.min("id").alias("id"))  # features without rows yet begin with the reserved ones
+    new = _first_seen(events, features).join(vocab.select("feature", "value"), ["feature", "value"], "left_anti")
+    last = vocab.groupBy(F.col("feature").alias("f")).agg(F.max("id").alias("last"))  # a row a feature
+    added = _numbered(new, rank_in_one_task).join(F.broadcast(last), F.col("feature") == F.col("f")).select(
+        "feature", "value", (F.col("last") + F.col("rank")).cast("int").alias("id"))
+    return vocab.unionByName(added)
+
+
+def _numbered(first: DataFrame, rank_in_one_task: int) -> DataFrame:
+    """(feature, value, rank) in order of appearance: by a window where there are
+    few values, else range by range (see ``operators.ranking``)."""
+    order = ["_t", "_id", "value"]
+    first = first.persist()
+    if first.limit(rank_in_one_task + 1).count() <= rank_in_one_task:
+        w = Window.partitionBy("feature").orderBy(*order)
+        return first.select("feature", "value", F.row_number().over(w).alias("rank"))
+    return RankedTable(first, order, group="feature").ranks().select("feature", "value", "rank")
+
+
+def _first_seen(events: DataFrame, features: list[str]) -> DataFrame:
+    """(feature, value, _t, _id): every value with its first time and, there,
+    its least event id."""
     present = [c for c in features if c in events.columns]
     lf = _long_form(events, present).where(F.col("value").isNotNull())
     lf = lf.withColumn("_t", epoch_us(lf, "event_time")).select("feature", "value", "_t", "event_id")
     first_t = lf.groupBy("feature", "value").agg(F.min("_t").alias("_t"))
     at_first = lf.join(broadcast_checked(first_t), ["feature", "value", "_t"], "left_semi")
-    first = at_first.groupBy("feature", "value").agg(F.min("_t").alias("_t"), F.min("event_id").alias("_id"))
-    w = Window.partitionBy("feature").orderBy("_t", "_id", "value")
-    learned = first.select("feature", "value",
-                           (F.row_number().over(w) + F.lit(len(DYNAMIC_RESERVED) - 1)).cast("int").alias("id"))
-    return learned.unionByName(reserved_rows(events.sparkSession, features))
+    return at_first.groupBy("feature", "value").agg(F.min("_t").alias("_t"), F.min("event_id").alias("_id"))
 
 
 def reserved_rows(spark: SparkSession, features: list[str] = DYNAMIC_FEATURES) -> DataFrame:
@@ -83,8 +118,9 @@ def vocab_sizes(vocab: DataFrame) -> DataFrame:
 
 
 def save_vocab(vocab: DataFrame, path: str) -> None:
-    """One JSON folder per feature (partitioned by feature)."""
-    vocab.repartition("feature").write.mode("overwrite").partitionBy("feature").json(path)
+    """One JSON folder per feature (partitioned by feature); the values of a
+    large feature are written by many tasks."""
+    vocab.repartition("feature", F.expr("id div 1000000")).write.mode("overwrite").partitionBy("feature").json(path)
 
 
 def load_vocab(spark: SparkSession, path: str, features: list[str] = DYNAMIC_FEATURES) -> DataFrame:

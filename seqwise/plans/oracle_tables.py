@@ -137,6 +137,9 @@ ORACLE_TABLES: dict[str, str] = {
         {_static('category', _norm('category'))} AS category_id,
         {_static('traffic_source', _norm('traffic_source'))} AS traffic_source_id FROM ev""",
     "VOC-2": f"WITH {EV}, {vocab_ctes()} SELECT feature, value, id FROM vocab",
+    "VOC-2-append": f"WITH {EV}, {vocab_ctes()} SELECT feature, value, id FROM vocab",
+    "SRT-3-deep": f"""WITH {EV} SELECT event_id, muid, event_name FROM ev
+        ORDER BY event_time, event_id LIMIT 50 OFFSET (SELECT count(*) // 2 + 7 FROM events)""",
     "VOC-3": f"WITH {EV}, {vocab_ctes()} SELECT ev.event_id, {_C} FROM ev {_J}",
     "VOC-4": f"""{windows_sql()}, {vocab_ctes()}
         SELECT w.muid, w.event_id, w.target_next_event, COALESCE(v.value, 'unknown') AS decoded_name

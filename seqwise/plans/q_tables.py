@@ -10,6 +10,7 @@ from seqwise.operators import aggregates as A
 from seqwise.operators import quality as Q
 from seqwise.operators import sampling as S
 from seqwise.operators import vocab as V
+from seqwise.operators.ranking import RankedTable
 from seqwise.operators.windows import sliding_windows
 from seqwise.plans.registry import query
 from seqwise.sources import TRAIN_COLUMNS, load_events, read_events, read_events_range, read_users
@@ -206,6 +207,16 @@ def voc_5(spark, sf_dir):
     return V.vocab_sizes(V.build_vocab(ev(spark, sf_dir)))
 
 
+@query("VOC-2-append")
+def voc_2_append(spark, sf_dir):
+    """A vocabulary of the first half-month, extended by the other: ids of the
+    first part stay, so the whole is that of all events at once."""
+    e = ev(spark, sf_dir)
+    cut = F.lit("2024-01-15").cast("timestamp_ntz")
+    old = V.build_vocab(e.where(F.col("event_time") < cut), rank_in_one_task=0)
+    return V.extend_vocab(old, e.where(F.col("event_time") >= cut), rank_in_one_task=0)
+
+
 @query("VOC-6")
 def voc_6(spark, sf_dir):
     e = ev(spark, sf_dir)
@@ -261,6 +272,15 @@ def srt_3(spark, sf_dir):
     return S.paginate(read_users(spark, sf_dir).select("id", "name", "location"), "id", 100, 50)
 
 
+@query("SRT-3-deep")
+def srt_3_deep(spark, sf_dir):
+    """A page beyond the middle of all events, from the range that holds it."""
+    e = ev(spark, sf_dir, ["event_id", "muid", "event_name", "event_time"])
+    table = RankedTable(e, ["event_time", "event_id"])
+    n = table.starts.agg(F.sum("n")).first()[0]
+    return table.page(n // 2 + 7, 50).select("event_id", "muid", "event_name")
+
+
 @query("SMP-1")
 def smp_1(spark, sf_dir):
     """50 users chosen by md5 order (seed 42), all of their events."""
