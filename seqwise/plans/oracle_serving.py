@@ -51,6 +51,29 @@ store AS (SELECT muid AS user_id, feature_version, {FEATS} FROM inc
           UNION ALL SELECT muid, feature_version, {FEATS} FROM v1 WHERE muid NOT IN (SELECT muid FROM inc))"""
 
 D = "CAST({x} AS DOUBLE)"
+
+
+def _drift_sql(group: str, pairs: str) -> str:
+    def number(c: str, hi: float) -> str:
+        at = f"greatest(0, least(19, CAST(floor({c} * 20 / {hi}) AS INTEGER)))"
+        return f"SELECT {group} AS g, '{c}' AS metric, lpad(CAST({at} AS VARCHAR), 6, '0') AS bin FROM pl"
+    rows = " UNION ALL ".join([number("purchase_probability", 100.0), number("churn_risk", 100.0),
+                               number("engagement_score", 3.0),
+                               f"SELECT {group}, 'predicted_next_event', '=' || predicted_next_event FROM pl"])
+    return f"""bins AS ({rows}), cnt AS (SELECT g, metric, bin, count(*) AS n FROM bins GROUP BY 1, 2, 3),
+pairs AS ({pairs}),
+both_ AS (SELECT compared, reference, metric, bin, sum(a) AS a, sum(b) AS b FROM (
+    SELECT compared, reference, metric, bin, n AS a, 0 AS b FROM cnt JOIN pairs ON g = compared UNION ALL
+    SELECT compared, reference, metric, bin, 0, n FROM cnt JOIN pairs ON g = reference) GROUP BY 1, 2, 3, 4),
+sh AS (SELECT compared, reference, metric, a, b, sum(a) OVER o AS n, sum(b) OVER o AS m,
+    sum(a) OVER u AS ca, sum(b) OVER u AS cb FROM both_
+    WINDOW o AS (PARTITION BY compared, reference, metric), u AS (PARTITION BY compared, reference, metric
+      ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT compared, reference, metric, CAST(max(n) AS BIGINT) AS n, CAST(max(m) AS BIGINT) AS n_reference,
+  round(sum((greatest(a / n, 1e-4) - greatest(b / m, 1e-4)) * ln(greatest(a / n, 1e-4) / greatest(b / m, 1e-4))), 9) AS psi,
+  round(max(abs(ca / n - cb / m)), 9) AS distance FROM sh GROUP BY 1, 2, 3"""
+
+
 SCORED = """sc AS (
   SELECT muid, event_id, target_purchase, target_churn, target_next_event, target_channel,
     target_engagement, target_inactivity, target_recommended_action, target_active_period,
@@ -277,6 +300,11 @@ ORACLE_SERVING: dict[str, str] = {
     "AGG-12": f"""WITH {EV}, {PL}, {OUTCOME} SELECT model_version, strftime(created_at, '%Y-%m-%d') AS day,
         count(*) AS predictions, count(actual) AS labelled,
         count(*) FILTER (WHERE predicted_next_event = actual) AS hits FROM rw GROUP BY 1, 2""",
+    "AGG-12-drift": f"""WITH {EV}, {PL}, {_drift_sql("model_version",
+        "SELECT DISTINCT g AS compared, 'v0' AS reference FROM cnt WHERE g <> 'v0'")}""",
+    "AGG-12-drift-day": f"""WITH {EV}, {PL}, {_drift_sql("strftime(created_at, '%Y-%m-%d')",
+        "SELECT * FROM (SELECT g AS compared, lag(g) OVER (ORDER BY g) AS reference FROM (SELECT DISTINCT g FROM cnt)) "
+        "WHERE reference IS NOT NULL")}""",
     "FBK-1": f"WITH {EV}, {PL}, {OUTCOME} SELECT prediction_id, predicted_next_event, actual, reward FROM rw",
     "STR-6-resolved": f"""WITH {EV}, {PL}, {OUTCOME}
         SELECT prediction_id, predicted_next_event, actual, reward FROM rw WHERE actual <> 'churn'""",

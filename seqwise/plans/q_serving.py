@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from seqwise.functions.columns import argmax0, epoch_us, r9
 from seqwise.functions.constants import CHANNELS, EVENT_NAMES
 from seqwise.operators import aggregates as A
+from seqwise.operators import drift as DR
 from seqwise.operators import feedback as FB
 from seqwise.operators import metrics as M
 from seqwise.operators import quality as Q
@@ -384,6 +385,26 @@ def agg_12(spark, sf_dir):
     return A.log_counts(j).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
+def _drift(counts, pairs):
+    d = DR.drift(counts, pairs)
+    return d.select(F.col("group").alias("compared"), "reference", "metric", "n", "n_reference",
+                    r9("psi").alias("psi"), r9("distance").alias("distance"))
+
+
+@query("AGG-12-drift")
+def agg_12_drift(spark, sf_dir):
+    """How far the predictions of each model version lie from those of v0."""
+    counts = DR.binned_counts(_log(spark, sf_dir), F.col("model_version"))
+    return _drift(counts, DR.against(counts, "v0"))
+
+
+@query("AGG-12-drift-day")
+def agg_12_drift_day(spark, sf_dir):
+    """Each day's predictions against those of the day before."""
+    counts = DR.binned_counts(_log(spark, sf_dir), F.date_format("created_at", "yyyy-MM-dd"))
+    return _drift(counts, DR.against_previous(counts))
+
+
 # ------------------------------------------------------------------ feedback
 @query("FBK-1")
 def fbk_1(spark, sf_dir):
