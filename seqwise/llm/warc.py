@@ -1,8 +1,10 @@
 """A deterministic, sharded WARC writer, and its reader.
 
-Records are range-sorted by page id: a histogram of payload bytes over equal
-id ranges, added up in order, says which shard each range belongs to. A range
-heavier than a shard is cut further by a hash of its payloads' digests. Every
+Records are range-sorted by (page id, payload digest), across files too: the
+bytes before each record, summed range by range over narrow rows, say where every
+shard of ``shard_bytes`` begins, whatever the ids look like. The cuts, one a
+shard, go to the driver and back as a broadcast: total bytes / ``shard_bytes``
+rows of about 100 bytes. Only rows equal in id and payload are never parted. Every
 shard is written by one task that streams its sorted records into files and
 rolls to the next file when the compressed size passes ``roll_bytes``; each
 record is a gzip member of its own with headers and digests made anew.
@@ -33,7 +35,9 @@ import hashlib
 import re
 import uuid
 import zlib
+from bisect import bisect_right
 
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -41,7 +45,8 @@ from pyspark.sql import functions as F
 
 from seqwise.llm.common import materialize, shared_folder, small_batches, write_once
 
-ID_RANGES = 4_096           # equal ranges of page ids in the histogram
+_NO_ID = -(1 << 63) - 1     # records without an id come first
+WRITER_TASKS = 100_000      # beyond as many shards, a task writes several
 SHARD_BYTES = 64 << 20      # payload bytes of a shard (one writer task)
 ROLL_BYTES = 16 << 20       # compressed bytes after which a file is closed
 MIN_REVISIT_BYTES = 0
@@ -69,21 +74,32 @@ def plan_records(pages: DataFrame, id_col: str, payload_col: str, min_revisit_by
     return rows.join(kept, ["sha", "size"]).withColumn("free", F.col("size") < min_revisit_bytes)
 
 
-def shard_cuts(plan: DataFrame, shard_bytes: int) -> tuple[DataFrame, callable]:
-    """Table (_range, _first, _pieces) of at most ID_RANGES + 1 rows, and the
-    range of a page id."""
-    lo, hi = plan.agg(F.min("page_id"), F.max("page_id")).first()
-    lo, hi = (0, 0) if lo is None else (lo, hi)
-    width = (hi - lo) // ID_RANGES + 1
-
-    def place(page_id):
-        return F.coalesce(F.expr(f"(`{page_id}` - {lo}) div {width}"), F.lit(-1)).cast("long")
-    sums = plan.groupBy(place("page_id").alias("_range")).agg(F.sum((F.col("size") + 512) * F.col("n")).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(
-        Window.unboundedPreceding, -1)), F.lit(0))
-    return materialize(sums.select(
-        "_range", F.floor(before / F.lit(shard_bytes)).alias("_first"),
-        F.greatest(F.floor(F.col("_n") / F.lit(shard_bytes)), F.lit(1)).alias("_pieces"))), place
+def shard_cuts(plan: DataFrame, shard_bytes: int) -> list[tuple[int, str]]:
+    """Least (page id, sha) of every shard, in order: a new shard begins where the
+    bytes before a record pass a multiple of ``shard_bytes``. The running sum is
+    made range by range, so the cuts depend on the records only, not on how
+    the ranges fell. There are at most total bytes / ``shard_bytes`` + 1 cuts."""
+    parts = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["page_id", "sha"]
+    rows = plan.select(*keys, ((F.col("size") + 512) * F.col("n")).alias("w"))
+    rows = write_once(rows.repartitionByRange(parts, *keys).withColumn("part", F.spark_partition_id()), "warc-order")
+    until = (Window.unboundedPreceding, -1)
+    starts = rows.groupBy("part").agg(F.sum("w").alias("w")).select(  # a row a range
+        "part", F.coalesce(F.sum("w").over(Window.orderBy("part").rowsBetween(*until)), F.lit(0)).alias("start"))
+    inside = F.coalesce(F.sum("w").over(Window.partitionBy("part").orderBy(*keys).rowsBetween(*until)), F.lit(0))
+    placed = rows.withColumn("inside", inside).join(F.broadcast(starts), "part")
+    shard = F.expr(f"(start + inside) div {shard_bytes}")
+    first = placed.groupBy(shard.alias("shard")).agg(F.min(F.struct(*keys)).alias("k")).select("k.*")
+    return sorted((_NO_ID if r.page_id is None else r.page_id, r.sha) for r in first.collect())
+
+
+def _shard_of(cuts):
+    """The shard of (page id as text, sha); the cuts are broadcast."""
+    @F.pandas_udf("long")
+    def shard(page_id: pd.Series, sha: pd.Series) -> pd.Series:
+        ids = [_NO_ID if i is None else int(i) for i in page_id]
+        return pd.Series([bisect_right(cuts.value, k) - 1 for k in zip(ids, sha)], dtype="int64")
+    return shard
 
 
 def record_bytes(page_id, url, payload: bytes, digest: str, size: int, kind: str, refers_to) -> bytes:
@@ -166,10 +182,13 @@ def _committer(folder_uri: str):
     def run(batches):
         store, folder = fs.FileSystem.from_uri(folder_uri)
         for b in batches:
-            for name, temporary in zip(b.column("file").to_pylist(), b.column("temporary").to_pylist(), strict=True):
+            for name, temporary, size in zip(*[b.column(c).to_pylist() for c in ("file", "temporary", "bytes")], strict=True):
                 here = store.get_file_info(f"{folder}/{temporary}")
                 if here.type == fs.FileType.File:  # else an earlier attempt has moved it
                     store.move(f"{folder}/{temporary}", f"{folder}/{name}")
+                there = store.get_file_info(f"{folder}/{name}")
+                if there.type != fs.FileType.File or there.size != size:
+                    raise OSError(f"{name} was lost or is not the file that was written")
             yield b
     return run
 
@@ -182,20 +201,21 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     folder = re.sub(r"^file:/+", "file:///", folder)
     small_batches(pages)
     plan = materialize(plan_records(pages, id_col, payload_col, min_revisit_bytes))
-    cuts, place = shard_cuts(plan, shard_bytes)
-    shards = (cuts.agg(F.max(F.col("_first") + F.col("_pieces"))).first()[0] or 0) + 1
-    piece = F.pmod(F.xxhash64("page_id", "sha"), F.col("_pieces"))
+    spark = pages.sparkSession
+    cuts = shard_cuts(plan, shard_bytes)
+    shard_of = _shard_of(spark.sparkContext.broadcast(cuts))
+    shards = max(len(cuts), 1)
+    tasks = min(shards, WRITER_TASKS)
     records = pages.select(
         F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"),
         _payload(payload_col).alias("_payload")).select(
         "*", F.sha1("_payload").alias("sha"), F.length("_payload").cast("long").alias("size"),
         F.lit(False).alias("_decision"))
     rows = records.unionByName(plan.drop("n").withColumn("_decision", F.lit(True)), allowMissingColumns=True)
-    rows = (rows.withColumn("_range", place("page_id")).join(F.broadcast(cuts), "_range")
-            .withColumn("_shard", (F.col("_first") + piece).cast("long")).drop("_range", "_first", "_pieces")
-            .repartition(shards, "_shard")
+    # Neighbouring shards share a task, and no task is left without one.
+    rows = (rows.withColumn("_shard", shard_of(F.col("page_id").cast("string"), F.col("sha")))
+            .repartitionById(tasks, F.expr(f"cast(_shard * {tasks} div {shards} as int)"))
             .sortWithinPartitions("_shard", "page_id", "sha", F.col("_decision").desc(), "url"))
-    spark = pages.sparkSession
     written = write_once(rows.mapInArrow(_writer(folder, roll_bytes), _MANIFEST), "warc-manifest")
     manifest = written.repartition(spark.sparkContext.defaultParallelism, "file").mapInArrow(
         _committer(folder), _MANIFEST).drop("temporary")

@@ -4,6 +4,9 @@ import base64
 import hashlib
 import math
 
+import pyarrow as pa
+import pytest
+
 from seqwise.llm import topk, urls, warc
 
 PAGES = "page_id long, url string, html string, _row long, host string, key string, sha string"
@@ -88,3 +91,30 @@ def test_top_k_equals_brute_force(spark):
         got = topk.top_k(small, cell_vectors=cells[0], cell_queries=cells[1]).collect()
         assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     assert topk.top_k(df.limit(0)).count() == 0
+
+
+def test_files_are_in_global_order_at_any_size(spark, tmp_path):
+    """An outlier id, a run of neighbours and one id with many payloads."""
+    rows = [(i, f"u{i}", "x" * 300 + str(i)) for i in range(200)]
+    rows += [(7, f"u{k}", f"payload {k} " * 40) for k in range(120)] + [(10**17, "far", "y"), (None, "none", "z"), (-5, "", "w")]
+    seen = []
+    for shard_bytes, order in ((2_000, 1), (2_000, 5), (10**9, 2)):
+        folder = f"file://{tmp_path}/{shard_bytes}-{order}"
+        manifest = warc.write_archives(pages(spark, rows).repartition(order), folder, shard_bytes=shard_bytes)
+        files = sorted(manifest.collect(), key=lambda r: r.file)
+        ids = []
+        for f in files:
+            with open(f"{tmp_path}/{shard_bytes}-{order}/{f.file}", "rb") as stream:
+                records = [warc.parse_record(raw) for raw in warc.members(stream)]
+            assert len(records) == f.records
+            ids += [(r[0] is not None, r[0] or 0) for r in records]
+        assert ids == sorted(ids) and len(ids) == len(rows)
+        seen.append([(f.shard, f.file, f.sha256) for f in files])
+    assert seen[0] == seen[1] and len({f.shard for f in manifest.collect()}) == 1
+    assert len({shard for shard, _, _ in seen[0]}) > 40  # also the id with many payloads is cut
+
+
+def test_a_lost_file_fails_the_commit(spark, tmp_path):
+    row = {"shard": 0, "file": "part-0.warc.gz", "temporary": "_temporary/gone", "records": 1, "bytes": 9, "sha256": ""}
+    with pytest.raises(OSError, match="lost"):
+        list(warc._committer(f"file://{tmp_path}")([pa.RecordBatch.from_pylist([row])]))
