@@ -28,9 +28,11 @@ the rest.
 
 Windows meet the templates' distinct bands in a broadcast join; what is
 shuffled is one narrow row per document, template and place, and the shingles
-of the documents met. The templates are a parameter of at most
-``MAX_TEMPLATE_SHINGLES`` shingles (checked, else an error). Plain DataFrame
-operations.
+of the documents met. What a pass looks for is written into its plan, so
+templates are taken in groups of ``GROUP_SHINGLES`` shingles, a pass over the
+tokens each (written once, if there are several groups): any number of templates
+is scanned for exactly. Rivals are found by joining templates on the shingles
+they share, over all groups. Plain DataFrame operations.
 
 Defined results: null and empty texts have no licence; a template without
 words is never found; templates with equal words are each reported; repeated
@@ -51,7 +53,7 @@ WIDTHS = (1, 4, 16, 64)
 BANDS = 6
 CONTAINMENT = 0.8
 SIBLING = 0.5              # a template with this share of another's shingles is its rival
-MAX_TEMPLATE_SHINGLES = 50_000
+GROUP_SHINGLES = 50_000    # shingles of the templates that one pass looks for
 
 # Statements by which texts declare public licences.
 TEMPLATES = [
@@ -140,10 +142,15 @@ def template_rivals(shingled: DataFrame) -> DataFrame:
     rival has, ``mine`` what only the template has) and ``reach``, the length
     of the longest of them all."""
     t = shingled.select("template", "license_id", "words", F.size("h").alias("t_n"), F.array_distinct("h").alias("t_set"))
+    each = t.select("template", "license_id", "words", F.explode("t_set").alias("x"))
+    a, b = each.alias("a"), each.alias("b")
+    shared = (a.join(b, (F.col("a.x") == F.col("b.x")) & (F.col("a.words") == F.col("b.words"))
+                     & (F.col("a.license_id") != F.col("b.license_id")))
+              .groupBy(F.col("a.template").alias("mine"), F.col("b.template").alias("theirs"))
+              .agg(F.count(F.lit(1)).alias("shared")))
     a, b = t.alias("a"), t.alias("b")
-    shared = F.size(F.array_intersect("a.t_set", "b.t_set"))
-    pairs = a.join(b, (F.col("a.words") == F.col("b.words")) & (F.col("a.license_id") != F.col("b.license_id"))
-                   & (shared >= F.size("a.t_set") * SIBLING))
+    pairs = (shared.join(a, F.col("mine") == F.col("a.template")).where(F.col("shared") >= F.size("a.t_set") * SIBLING)
+             .join(b, F.col("theirs") == F.col("b.template")))
     rivals = pairs.groupBy(F.col("a.template").alias("template")).agg(
         F.collect_list(F.struct(F.col("b.t_set").alias("all"), F.array_except("a.t_set", "b.t_set").alias("mine"),
                                 F.array_except("b.t_set", "a.t_set").alias("theirs"))).alias("rivals"),
@@ -176,16 +183,41 @@ def scan_licenses(docs: DataFrame, templates: DataFrame, text_col: str = "text",
     """Per document and licence found: doc_id, license_id, containment (the
     best of its templates) and n_templates (verified templates)."""
     shingled = materialize(template_shingles(templates))
-    known = (shingled.select("words", _width(F.size("h")).alias("width"), F.explode("h").alias("x")).distinct()
-             .limit(MAX_TEMPLATE_SHINGLES + 1).collect())
-    if len(known) > MAX_TEMPLATE_SHINGLES:
-        raise ValueError(f"the templates have more than {MAX_TEMPLATE_SHINGLES} shingles")
-    bands, whole = materialize(template_bands(shingled)), materialize(template_rivals(shingled))
-    d = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("doc_id"),
-                    _tokens(F.col(text_col)).alias("_w"))
-    if not known:
+    whole = materialize(template_rivals(shingled))
+    d = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(f"`{id_col}`").alias("doc_id"),
+                    _tokens(F.col(f"`{text_col}`")).alias("_w"))
+    found, groups = None, _groups(shingled)
+    if len(groups) > 1:  # tokenised and numbered once
+        d = write_once(d, "licence-tokens")
+    for i, group in enumerate(groups):
+        x = write_once(_matches(d, shingled.where(F.col("template").isin(group)), whole, containment), f"licences-{i}")
+        found = x if found is None else found.unionByName(x)
+    if found is None:
         return d.select("doc_id", F.lit("").alias("license_id"), F.lit(0.0).alias("containment"),
                         F.lit(0).cast("long").alias("n_templates")).limit(0)
+    best = found.groupBy("_row", "doc_id", "license_id", "template").agg(F.max("c").alias("c"))
+    return best.groupBy("_row", "doc_id", "license_id").agg(
+        F.max("c").alias("containment"), F.count(F.lit(1)).alias("n_templates")).drop("_row")
+
+
+def _groups(shingled: DataFrame) -> list[list[int]]:
+    """Templates in groups of ``GROUP_SHINGLES`` shingles; one that has more is
+    a group of its own. The driver holds a number a template."""
+    out, held = [], 0
+    for r in shingled.select("template", F.size("h").alias("n")).orderBy("template").collect():
+        if not out or held + r.n > GROUP_SHINGLES:
+            out, held = [*out, []], 0
+        out[-1].append(r.template)
+        held += r.n
+    return out
+
+
+def _matches(d: DataFrame, shingled: DataFrame, whole: DataFrame, containment: float) -> DataFrame:
+    """_row, doc_id, license_id, template and c of the places where templates of
+    one group are verified; rivals are those of all groups. Every group reads the
+    texts once: what it looks for is part of the plan."""
+    known = (shingled.select("words", _width(F.size("h")).alias("width"), F.explode("h").alias("x")).distinct().collect())
+    bands = materialize(template_bands(shingled))
     sizes = sorted({k.words for k in known})
     # One pass over the texts; what goes on are documents with a known shingle.
     some = F.lit(False)
@@ -219,6 +251,4 @@ def scan_licenses(docs: DataFrame, templates: DataFrame, text_col: str = "text",
     x = x.withColumn("c", _share(F.col("t_set"), F.col("_near"))).where(F.col("c") >= containment)
     x = x.withColumn("_wide", F.when(F.col("rivals").isNotNull(), _around(F.col("reach"), F.col("width"))))
     x = x.where(F.col("rivals").isNull() | ~F.exists("rivals", lambda r: _beaten(r, F.col("_near"), F.col("_wide"), containment)))
-    best = x.groupBy("_row", "doc_id", "license_id", "template").agg(F.max("c").alias("c"))
-    return best.groupBy("_row", "doc_id", "license_id").agg(
-        F.max("c").alias("containment"), F.count(F.lit(1)).alias("n_templates")).drop("_row")
+    return x.groupBy("_row", "doc_id", "license_id", "template").agg(F.max("c").alias("c"))
