@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqwise.functions.columns import epoch_us, floor_days
+from seqwise.operators.quantiles import exact_quantiles, stored_column
 
 
 # Relative standard deviation of the HyperLogLog++ sketch used by ``approx``.
@@ -96,17 +97,20 @@ def session_depth(events: DataFrame) -> DataFrame:
 def describe(df: DataFrame, col: str, approx: bool = False, accuracy: int = 10000) -> DataFrame:
     """count, mean, sample std, min, p25, p50, p75, max (linear interpolation).
 
-    The exact percentile keeps a value->count map, so it is cheap for low
-    cardinality values (depths); ``approx`` switches to a bounded sketch."""
-    qs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    pct = (F.percentile_approx(col, qs, accuracy) if approx else F.percentile(col, qs))
-    s = df.agg(F.count(col).alias("count"), F.avg(col).alias("mean"),
-               F.stddev_samp(col).alias("std"), F.min(col).cast("double").alias("min"),
-               pct.alias("_q"), F.max(col).cast("double").alias("max"))
-    return s.select("count", "mean", "std", "min",
-                    F.col("_q")[0].cast("double").alias("p25"),
-                    F.col("_q")[1].cast("double").alias("p50"),
-                    F.col("_q")[2].cast("double").alias("p75"), "max")
+    The quantiles are exact at any number of distinct values (see
+    ``operators.quantiles``; the column is written once and read a few times
+    when this is called); ``approx`` takes them from a sketch in one pass."""
+    probabilities = [0.25, 0.5, 0.75]
+    if approx:
+        sketch = F.percentile_approx(f"`{col}`", probabilities, accuracy)
+        q = [sketch[i].cast("double") for i in range(3)]
+    else:
+        df, col = stored_column(df, col), "v"
+        q = [F.lit(x).cast("double") for x in exact_quantiles(df, probabilities)]
+    c = F.col(f"`{col}`")
+    return df.agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
+                  F.min(c).cast("double").alias("min"), q[0].alias("p25"), q[1].alias("p50"), q[2].alias("p75"),
+                  F.max(c).cast("double").alias("max"))
 
 
 def with_stats_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -122,10 +126,12 @@ def histogram(df: DataFrame, col: str, bins: int = 50, crop_q: float = 0.99, app
               accuracy: int = 10000) -> DataFrame:
     """Equal-width histogram over [min, max] with the crop quantile alongside.
 
-    The exact quantile keeps a value->count map (fine for depths and counts);
-    ``approx`` uses a bounded sketch for high-cardinality columns."""
-    crop = (F.percentile_approx(col, crop_q, accuracy).cast("double") if approx
-            else F.percentile(col, F.lit(crop_q)))
+    The quantile is exact at any number of distinct values (see
+    ``operators.quantiles``); ``approx`` takes it from a sketch."""
+    if approx:
+        crop = F.percentile_approx(col, crop_q, accuracy).cast("double")
+    else:
+        crop = F.lit(exact_quantiles(stored_column(df, col), [crop_q])[0]).cast("double")
     stats = df.agg(F.min(col).cast("double").alias("_lo"), F.max(col).cast("double").alias("_hi"),
                    crop.alias("crop_value"))
     j = with_stats_row(df.select(col), stats)

@@ -181,6 +181,11 @@ ORACLE_TABLES: dict[str, str] = {
         round(stddev_samp(depth), 9) AS std, round(CAST(min(depth) AS DOUBLE), 9) AS min,
         round(quantile_cont(depth, 0.25), 9) AS p25, round(quantile_cont(depth, 0.5), 9) AS p50,
         round(quantile_cont(depth, 0.75), 9) AS p75, round(CAST(max(depth) AS DOUBLE), 9) AS max FROM depth""",
+    "AGG-7-times": f"""WITH {EV}, t AS (
+        SELECT epoch_us(event_time) AS event_us, row_number() OVER (ORDER BY event_time) - 1 AS rank,
+               count(*) OVER () AS n FROM ev WHERE event_time IS NOT NULL)
+        SELECT rank, event_us FROM t WHERE rank IN (0, (n - 1) // 100, 10 * (n - 1) // 100, 25 * (n - 1) // 100,
+          50 * (n - 1) // 100, 75 * (n - 1) // 100, 90 * (n - 1) // 100, 99 * (n - 1) // 100, n - 1)""",
     "AGG-8": f"""WITH {EV}, {DEPTH},
         st AS (SELECT CAST(min(depth) AS DOUBLE) AS lo, CAST(max(depth) AS DOUBLE) AS hi,
                quantile_cont(depth, 0.99) AS crop FROM depth),

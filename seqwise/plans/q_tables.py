@@ -10,6 +10,7 @@ from seqwise.operators import aggregates as A
 from seqwise.operators import quality as Q
 from seqwise.operators import sampling as S
 from seqwise.operators import vocab as V
+from seqwise.operators.quantiles import order_statistics, stored_column
 from seqwise.operators.ranking import RankedTable
 from seqwise.operators.windows import sliding_windows
 from seqwise.plans.registry import query
@@ -353,6 +354,18 @@ def agg_8(spark, sf_dir):
                     r9("crop_value").alias("crop_value"))
 
 
+@query("AGG-7-times")
+def agg_7_times(spark, sf_dir):
+    """Exact order statistics of a column of nearly all-distinct values: the
+    event times in microseconds at the ends, tenths and quarters."""
+    e = ev(spark, sf_dir, ["event_time"])
+    times = stored_column(e.select(epoch_us(e, "event_time").alias("t")), "t")
+    n = times.count()
+    ranks = sorted({int(p * (n - 1) // 100) for p in (0, 1, 10, 25, 50, 75, 90, 99, 100)}) if n else []
+    rows = list(zip(ranks, order_statistics(times, ranks))) if n else []
+    return spark.createDataFrame(rows, "rank long, event_us long")
+
+
 def _class_weight_rows(spark, sf_dir):
     w = sliding_windows(ev(spark, sf_dir, TRAIN_COLUMNS + ["event_id"]))
     out = A.class_weights_many(w, {"next_event": ("target_next_event", 7), "channel": ("target_channel", 3),
