@@ -313,6 +313,8 @@ ORACLE_SERVING: dict[str, str] = {
         FROM rw WHERE reward IS NOT NULL GROUP BY 1""",
     "STR-1": f"WITH {EV} SELECT event_id, muid, session_id, event_name, event_time, device_os, channel, "
              "traffic_source, category, product_id, page_url FROM ev",
+    "STR-1-compacted": f"WITH {EV} SELECT event_id, muid, session_id, event_name, event_time, device_os, channel, "
+             "traffic_source, category, product_id, page_url FROM ev",
     "STR-2-late": f"WITH {EV} SELECT event_id, muid, session_id, event_name, event_time, device_os, channel, "
              "traffic_source, category, product_id, page_url FROM ev",
     "STR-2": f"WITH {EV} SELECT event_id, muid, session_id, event_name, event_time, device_os, channel, "

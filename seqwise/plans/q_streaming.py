@@ -10,6 +10,7 @@ from seqwise.functions.columns import epoch_us, r9
 from seqwise.operators.scoring import prediction_log
 from seqwise.plans.registry import query
 from seqwise.sources import load_events
+from seqwise.sources.compaction import BatchTable, committed_through
 from seqwise.sources.events import EVENT_COLUMNS
 from seqwise.sources.sinks import scratch_path
 from seqwise.streaming import features as SF
@@ -37,6 +38,24 @@ def str_1(spark, sf_dir):
     return spark.read.parquet(table).select(*EVENT_COLUMNS)
 
 
+@query("STR-1-compacted")
+def str_1_compacted(spark, sf_dir):
+    """The table between two compactions: the first half of the stream compacted
+    and its batch folders deleted, the second half in batch folders."""
+    e = load_events(spark, sf_dir)
+    half = F.col("event_time") < F.lit("2024-01-16").cast("timestamp_ntz")
+    folder, table, ckpt = (scratch_path(spark, n) for n in ("feed", "ingested", "ckpt"))
+    for part in (half, F.coalesce(~half, F.lit(True))):
+        files = write_record_feed(e.where(part), folder, 3)
+        SI.ingest_stream(spark, read_record_stream(spark, folder, files_per_trigger=files), e.schema, table,
+                         scratch_path(spark, "rejects"), ckpt)
+        if part is half:
+            batches = BatchTable(spark, table, e.schema)
+            batches.compact(committed_through(spark, ckpt))
+            batches.vacuum(keep=1)
+    return BatchTable(spark, table, e.schema).read().select(*EVENT_COLUMNS)
+
+
 @query("STR-2")
 def str_2(spark, sf_dir):
     """Re-delivered records (the newest 3 days again) are dropped: duplicates

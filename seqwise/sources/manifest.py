@@ -22,17 +22,20 @@ class Manifests:
     def _path(self, name: str = ""):
         return self.jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
 
-    def newest(self) -> tuple[int, dict] | None:
+    def numbers(self) -> list[int]:
         fs = self._path().getFileSystem(self.conf)
         if not fs.exists(self._path()):
-            return None
+            return []
         names = [s.getPath().getName() for s in fs.listStatus(self._path())]
-        numbers = [int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()]
-        if not numbers:
-            return None
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
+
+    def read(self, number: int) -> dict:
         # wholetext: a manifest is one row
-        text = self.spark.read.text(f"{self.folder}/{max(numbers):012d}.json", wholetext=True).first()[0]
-        return max(numbers), json.loads(text)
+        return json.loads(self.spark.read.text(f"{self.folder}/{number:012d}.json", wholetext=True).first()[0])
+
+    def newest(self) -> tuple[int, dict] | None:
+        numbers = self.numbers()
+        return (numbers[-1], self.read(numbers[-1])) if numbers else None
 
     def commit(self, number: int, state: dict) -> None:
         """Publish ``state`` as ``number``; fails if that number is taken."""

@@ -17,8 +17,10 @@ import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seqwise.operators.util import broadcast_checked
+from seqwise.sources.compaction import BatchTable
 from seqwise.sources.events import month_of
 from seqwise.sources.sinks import batch_folder
 
@@ -96,9 +98,9 @@ def unseen(rows: DataFrame, table: str, index: str, before_batch: int, id_col: s
         try:
             if maybe.isEmpty():
                 return _settled(keyed, columns)
-            stored = (spark.read.parquet(table).where(F.col("ingest_batch") < before_batch)
-                      .where(F.col("event_month").cast("string").isin(months)))
-            stored = _keyed(stored.drop("event_month").select(id_col, time_col), id_col, time_col)
+            kept = T.StructType([rows.schema[id_col], rows.schema[time_col]])
+            stored = BatchTable(spark, table, kept, time_col, id_col).read(months, before=before_batch)
+            stored = _keyed(stored.select(id_col, time_col), id_col, time_col)
             hits = stored.join(broadcast_checked(maybe.select("event_month", "id_hash")), ["event_month", "id_hash"],
                                "left_semi").select("event_month", id_col).distinct()
             return _settled(keyed.join(broadcast_checked(hits), ["event_month", id_col], "left_anti"), columns)
