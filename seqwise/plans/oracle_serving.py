@@ -244,6 +244,17 @@ ORACLE_SERVING: dict[str, str] = {
               FROM req LEFT JOIN cache ON cache.user_id = req.user_id LEFT JOIN store ON store.user_id = req.user_id)
         SELECT user_id, CASE WHEN fresh THEN 'cache' WHEN has_store THEN 'store' END AS source,
           CASE WHEN fresh THEN c_te ELSE s_te END AS total_events, (NOT fresh) AND has_store AS write_back FROM j""",
+    "JOI-3-stream": f"""WITH RECURSIVE {EV}, {STORE},
+        req AS (SELECT event_id, muid, epoch_us(event_time) AS t FROM ev WHERE muid IS NOT NULL AND event_time IS NOT NULL),
+        filled AS (SELECT muid, min(t) AS t FROM req WHERE muid IN (SELECT user_id FROM store) GROUP BY muid
+          UNION ALL SELECT req.muid, min(req.t) FROM filled JOIN req ON req.muid = filled.muid
+            AND req.t >= filled.t + 3600000000 GROUP BY req.muid),
+        r AS (SELECT req.*, row_number() OVER (PARTITION BY req.muid, req.t ORDER BY event_id) = 1
+                AND filled.t IS NOT NULL AS write_back
+              FROM req LEFT JOIN filled ON filled.muid = req.muid AND filled.t = req.t)
+        SELECT event_id AS request_id, muid AS user_id, CASE WHEN write_back THEN 'store'
+          WHEN store.user_id IS NOT NULL THEN 'cache' END AS source, total_events, write_back
+        FROM r LEFT JOIN store ON store.user_id = r.muid""",
     "JOI-4": f"WITH {EV}, {PL}, {OUTCOME} SELECT prediction_id, actual_event_id, actual_event_name FROM nx",
     "JOI-5": f"""WITH {EV}, {PL} SELECT prediction_id, model_version, model_version = 'v1' AS is_active FROM pl""",
     "PRJ-4-key": f"WITH {EV}, {STORE} SELECT * FROM store WHERE user_id = 7",

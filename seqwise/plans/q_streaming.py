@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from seqwise.functions.columns import epoch_us, r9
 from seqwise.operators.scoring import prediction_log
+from seqwise.operators.store import features_to_json
+from seqwise.plans.q_serving import _store_table
 from seqwise.plans.registry import query
 from seqwise.sources import load_events
 from seqwise.sources.compaction import BatchTable, committed_through
@@ -17,6 +19,7 @@ from seqwise.streaming import features as SF
 from seqwise.streaming import ingest as SI
 from seqwise.streaming import stateful as SS
 from seqwise.streaming.feed import read_record_stream, write_chunked, write_record_feed
+from seqwise.streaming.lookup import lookup_stream
 
 AS_OF = "2024-02-01 00:00:00"
 
@@ -102,6 +105,23 @@ def str_3(spark, sf_dir):
                     "inactivity_risk", "window_event_ids")
 
 
+@query("JOI-3-stream")
+def joi_3_stream(spark, sf_dir):
+    """Every event asks for its user's features: from the cache state for an hour
+    after a store hit, else from the store."""
+    schema, rec = _feed(spark, sf_dir)
+    store = features_to_json(_store_table(spark, sf_dir))
+    e = SI.decode(rec, schema)
+    asked = e.select(F.col("event_id").alias("request_id"), F.col("muid").alias("user_id"),
+                     F.col("event_time").alias("requested_at"))
+    out = scratch_path(spark, "lookups")
+    q = (lookup_stream(asked, store).writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", scratch_path(spark, "ckpt")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    total = F.get_json_object("features", "$.total_events").cast("long").alias("total_events")
+    return spark.read.parquet(out).select("request_id", "user_id", "source", total, "write_back")
+
+
 @query("STR-4")
 def str_4(spark, sf_dir):
     schema, rec = _feed(spark, sf_dir)
