@@ -181,6 +181,9 @@ ORACLE_TABLES: dict[str, str] = {
         round(stddev_samp(depth), 9) AS std, round(CAST(min(depth) AS DOUBLE), 9) AS min,
         round(quantile_cont(depth, 0.25), 9) AS p25, round(quantile_cont(depth, 0.5), 9) AS p50,
         round(quantile_cont(depth, 0.75), 9) AS p75, round(CAST(max(depth) AS DOUBLE), 9) AS max FROM depth""",
+    "VOC-7-sketch": f"WITH {EV} " + " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, count(DISTINCT {c}) AS distinct_values, true AS estimate_fits FROM ev"
+        for c in ("muid", "session_id", "event_name", "category", "channel", "device_os")),
     "AGG-7-times": f"""WITH {EV}, t AS (
         SELECT epoch_us(event_time) AS event_us, row_number() OVER (ORDER BY event_time) - 1 AS rank,
                count(*) OVER () AS n FROM ev WHERE event_time IS NOT NULL)

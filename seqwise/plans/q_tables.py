@@ -12,6 +12,7 @@ from seqwise.operators import sampling as S
 from seqwise.operators import vocab as V
 from seqwise.operators.quantiles import order_statistics, stored_column
 from seqwise.operators.ranking import RankedTable
+from seqwise.operators.sketches import distinct_counts, write_sketches
 from seqwise.operators.windows import sliding_windows
 from seqwise.plans.registry import query
 from seqwise.sources import TRAIN_COLUMNS, load_events, read_events, read_events_range, read_users
@@ -354,6 +355,26 @@ def agg_8(spark, sf_dir):
                     r9("crop_value").alias("crop_value"))
 
 
+SKETCHED = ["muid", "session_id", "event_name", "category", "channel", "device_os"]
+
+
+@query("VOC-7-sketch")
+def voc_7_sketch(spark, sf_dir):
+    """Distinct values from sketches of two batches, merged: whether the estimate
+    lies within 3 % of the exact count beside it."""
+    e = ev(spark, sf_dir, [*SKETCHED, "event_id", "event_time"])
+    path = scratch_path(spark, "sketches")
+    for b in (0, 1):
+        write_sketches(e.where(F.pmod(F.xxhash64("event_id"), F.lit(2)) == b), path, b, SKETCHED)
+    estimates = distinct_counts(spark, path, SKETCHED)
+    exact = e.agg(*[F.count_distinct(c).alias(f"n_{c}") for c in SKETCHED])
+    one = A.with_stats_row(estimates, exact)
+    rows = [F.struct(F.lit(c).alias("feature"), F.col(f"n_{c}").alias("distinct_values"),
+                     (F.abs(F.col(c) - F.col(f"n_{c}")) <= 0.03 * F.col(f"n_{c}")).alias("estimate_fits"))
+            for c in SKETCHED]
+    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
 @query("AGG-7-times")
 def agg_7_times(spark, sf_dir):
     """Exact order statistics of a column of nearly all-distinct values: the
