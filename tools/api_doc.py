@@ -17,7 +17,9 @@ MODULES = ["seqwise.sources.events", "seqwise.sources.sinks", "seqwise.functions
            "seqwise.operators.vocab", "seqwise.operators.sampling", "seqwise.operators.store",
            "seqwise.operators.scoring", "seqwise.operators.metrics", "seqwise.operators.feedback",
            "seqwise.operators.training", "seqwise.streaming.feed", "seqwise.streaming.ingest",
-           "seqwise.streaming.features", "seqwise.streaming.stateful", "seqwise.session"]
+           "seqwise.streaming.features", "seqwise.streaming.stateful", "seqwise.streaming.lookup",
+           "seqwise.sources.compaction", "seqwise.operators.quantiles", "seqwise.operators.sketches",
+           "seqwise.session"]
 
 
 def main() -> None:
