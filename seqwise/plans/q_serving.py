@@ -445,6 +445,21 @@ def trn_1_eval(spark, sf_dir):
     return M.evaluate(val)
 
 
+@query("TRN-1-joint")
+def trn_1_joint(spark, sf_dir):
+    """Fit the 8 heads together on the weighted total loss, stopped early on the
+    validation split; output that split's decoded predictions with their targets."""
+    from seqwise.operators.joint import fit_jointly, predict_jointly
+    from seqwise.operators.sampling import split_by_user
+    from seqwise.operators.windows import TARGETS
+    w = split_by_user(sliding_windows(ev(spark, sf_dir, TRAIN_COLUMNS + ["event_id"])), 15, seed=42)
+    model = fit_jointly(w, F.col("split") == "val", steps=15)
+    val = predict_jointly(model, w.where(F.col("split") == "val"), ["muid", "event_id", *TARGETS])
+    return SC.decode_predictions(val, EVENT_NAMES, CHANNELS).select(
+        "muid", "event_id", *TARGETS, "purchase_probability", "churn_risk", "next_event", "preferred_channel",
+        "engagement_score", "inactivity_risk", "recommended_action", "active_time")
+
+
 @query("SRT-4")
 def srt_4(spark, sf_dir):
     """Newest 5 prediction logs of every user."""
