@@ -2,8 +2,11 @@
 
 Spaces become the mark U+2581; a word is a run of marks and the characters
 after it, and no piece crosses a word's start, so the best segmentation of a
-text is that of its words. Words that a worker has not met yet are segmented in
-batches: words of equal length advance together, one end position at a time;
+text is that of its words. Long words (texts without spaces are one) are cut
+first wherever no piece of the vocabulary spans two neighbouring characters: every
+segmentation ends a piece there, so the parts' best segmentations are the
+word's. A part that is still long (a run of one letter) has no partners of its
+length and advances alone, over the pieces found in it. Words and parts that a worker has not met yet are segmented in batches: words of equal length advance together, one end position at a time;
 the hashes of the substrings ending there probe the sorted hashes of the
 pieces, and the best predecessor is a vectorised maximum stored as a
 backpointer. Equal scores take the longer last piece. A character that no piece
@@ -41,6 +44,9 @@ from seqwise.llm.words import mix64
 
 MARK = "▁"
 CACHE_WORDS = 300_000
+LONG_WORD = 24      # characters from which a word is cut
+ALONE = 512         # characters from which a word advances alone
+BLOCK = 1 << 16     # of its characters, looked up together
 BATCH_CELLS = 1 << 20
 _BAD = "\ufffd".encode()
 _WORD = re.compile(" *[^ ]+| +")
@@ -107,14 +113,53 @@ class Vocabulary:
                    rule.add_dummy_prefix, rule.remove_extra_whitespaces)
 
 
+def _codes(text: str) -> np.ndarray:
+    """Code points, spaces as the mark."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    codes[codes == ord(MARK)] = 0x110000   # the mark in the text itself: no piece has it
+    codes[codes == 0x20] = ord(MARK)
+    return codes
+
+
+def _find(hashes: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the hashes that are a piece's, and the pieces' places."""
+    # most substrings are no piece: a bitmap of hash prefixes spares their search
+    maybe = np.flatnonzero(vocab.bitmap[(hashes >> np.uint64(44)).astype(np.int64)])
+    at = np.minimum(np.searchsorted(vocab.hashes, hashes[maybe]), len(vocab.hashes) - 1)
+    hit = vocab.hashes[at] == hashes[maybe]
+    return maybe[hit], at[hit]
+
+
+def cut_word(word: str, vocab: Vocabulary) -> list[str]:
+    """The word in parts, cut between characters that no piece spans: the
+    substrings of each length are looked up together."""
+    codes = _codes(word)
+    n = len(codes)
+    spans = np.zeros(n + 1, dtype=np.int32)   # +1 where a found piece begins, -1 at its last character
+    hashes = mix64(codes + np.uint64(1))      # of one character
+    for size in range(2, min(vocab.longest, n) + 1):
+        hashes = mix64(hashes[:-1] * _BASE + codes[size - 1:] + np.uint64(1))
+        begin, _ = _find(hashes, vocab)
+        spans[begin] += 1                     # begins are distinct, and so are their ends
+        spans[begin + size - 1] -= 1
+    # after character i a cut is safe if no piece that began by i goes on
+    safe = np.flatnonzero(np.cumsum(spans[:n - 1]) == 0) + 1
+    ends = [0, *safe.tolist(), n]
+    return [word[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def split_text(text: str, vocab: Vocabulary) -> list[str]:
+    """The words of a normalised text, long ones in their parts."""
+    words = _WORD.findall(text)
+    if all(len(w) < LONG_WORD for w in words):
+        return words
+    return [p for w in words for p in (cut_word(w, vocab) if len(w) >= LONG_WORD else (w,))]
+
+
 def viterbi(words: list[str], vocab: Vocabulary) -> list[np.ndarray]:
     """Best segmentation of words of one length, as ids."""
     n, size = len(words), len(words[0])
-    codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    codes = codes.reshape(n, size).astype(np.uint64)
-    literal = codes == ord(MARK)     # the mark in the text itself: no piece has it
-    codes[literal] = 0x110000
-    codes[codes == 0x20] = ord(MARK)
+    codes = _codes("".join(words)).reshape(n, size)
     best = np.full((size + 1, n), -np.inf)
     best[0] = 0
     back = np.zeros((size + 1, n), dtype=np.int32)
@@ -164,6 +209,47 @@ def viterbi(words: list[str], vocab: Vocabulary) -> list[np.ndarray]:
     return out
 
 
+def viterbi_alone(word: str, vocab: Vocabulary) -> np.ndarray:
+    """Best segmentation of one very long word: the pieces in it are looked up
+    block by block, all lengths together; then only those found are walked."""
+    codes = _codes(word)
+    n = len(codes)
+    best = [-np.inf] * (n + 1)
+    best[0] = 0.0
+    back, piece = np.zeros(n + 1, dtype=np.int32), np.full(n + 1, -1, dtype=np.int32)
+    for lo in range(0, n, BLOCK):
+        part = codes[lo:lo + BLOCK + vocab.longest - 1]
+        starts = min(BLOCK, n - lo)
+        hashes, found = mix64(part + np.uint64(1)), []
+        for size in range(1, min(vocab.longest, len(part)) + 1):
+            if size > 1:
+                hashes = mix64(hashes[:-1] * _BASE + part[size - 1:] + np.uint64(1))
+            begin, at = _find(hashes[:starts], vocab)
+            found.append((begin, np.full(len(begin), size), at))
+        begin, size, at = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(begin, kind="stable")
+        upto = np.searchsorted(begin[order], np.arange(1, starts + 1)).tolist()
+        size, score, ids = size[order].tolist(), vocab.scores[at[order]].tolist(), vocab.ids[at[order]].tolist()
+        j = 0
+        for i in range(starts):        # of equal scores the first start, the longest piece, stays
+            here = best[lo + i]
+            while j < upto[i]:
+                end = lo + i + size[j]
+                if here + score[j] > best[end]:
+                    best[end], back[end], piece[end] = here + score[j], size[j], ids[j]
+                j += 1
+            if here + vocab.spelled > best[lo + i + 1]:
+                best[lo + i + 1], back[lo + i + 1], piece[lo + i + 1] = here + vocab.spelled, 1, -1
+    out, end = [], n
+    while end:
+        if piece[end] >= 0:
+            out.append(int(piece[end]))
+        else:
+            out.extend(vocab.byte_ids[x] for x in reversed(word[end - 1].encode("utf-8", "surrogatepass")))
+        end -= int(back[end])
+    return np.array(out[::-1], dtype=np.int32)
+
+
 class Encoder:
     """Encodes texts with one vocabulary, through a bounded cache of words."""
 
@@ -186,6 +272,9 @@ class Encoder:
         for w in words:
             by_size.setdefault(len(w), []).append(w)
         for size, group in by_size.items():
+            if size >= ALONE:
+                self.cache.update((w, viterbi_alone(w, self.vocab).tobytes()) for w in group)
+                continue
             step = max(1, BATCH_CELLS // (size + 8 * self.vocab.longest))
             for i in range(0, len(group), step):
                 part = group[i:i + step]
@@ -194,7 +283,7 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """Ids of each text; what the texts need is segmented together, unless
         that alone is more than the cache holds."""
-        split = [_WORD.findall(self.vocab.normalise(t)) for t in texts]
+        split = [split_text(self.vocab.normalise(t), self.vocab) for t in texts]
         missing = {w for words in split for w in words if w not in self.cache}
         if len(missing) > CACHE_WORDS and len(texts) > 1:
             return [self.encode([t])[0] for t in texts]

@@ -259,6 +259,27 @@ def test_pieces_round_trip_and_best_score(spark):
                 assert sum(score[vocab.pieces[i]] for i in found) == pytest.approx(best(w))
 
 
+def test_long_words_are_cut_without_loss(spark, monkeypatch):
+    """Parts and long words walked alone give what the word as a whole gives."""
+    import random
+    r = random.Random(8)
+    vocab = pieces.Vocabulary.read(tokenizer_file(spark))
+    texts = ["".join(chr(r.randrange(0x4e00, 0x9fa5)) for _ in range(1_500)), "z" * 3_000, "=" * 700 + "\u2581" * 600,
+             "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(2_000)), "the" * 900 + "\U0001F600" * 30,
+             "".join(r.choice("ABCdef0123456789+/\xe9") for _ in range(2_000)), "\n" * 600, "x" * 24, "y" * 23, "a" * 511, "b" * 512]
+    whole = [pieces.viterbi([t], vocab)[0].tolist() for t in texts]
+    assert [pieces.viterbi_alone(t, vocab).tolist() for t in texts] == whole
+    for t, w in zip(texts, whole, strict=True):
+        parts = pieces.cut_word(t, vocab)
+        assert "".join(parts) == t and [i for p in parts for i in pieces.viterbi([p], vocab)[0].tolist()] == w
+    assert len(pieces.cut_word(texts[0], vocab)) > 1_000
+    monkeypatch.setattr(pieces, "BLOCK", 100)
+    assert [pieces.viterbi_alone(t, vocab).tolist() for t in texts] == whole
+    bare = pieces.Vocabulary(vocab.pieces, [0.0] * len(vocab.pieces), vocab.byte_ids, vocab.control)
+    got = pieces.Encoder(bare).encode(texts)
+    assert [x.tolist() for x in got] == [pieces.viterbi([t], bare)[0].tolist() for t in texts]
+
+
 def _small_model(tmp_path, **options):
     import random
 
