@@ -41,6 +41,31 @@ def test_url_rules_nested(spark):
     assert urls.judge_urls(pages(spark, []), table).count() == 0
 
 
+def test_url_rules_with_many_paths_on_one_host(spark):
+    """Nested, neighbouring and odd paths, beside the same paths on hosts around."""
+    import itertools
+    import random
+    r = random.Random(3)
+    some = ["".join(x) for n in range(6) for x in itertools.product("/ab", repeat=n)]
+    odd = ["/\U0010FFFF", "/\U0010FFFFa", "/\xff", "/\xe9/", "/a\U0001F600"]
+    rules = [("big.org", p, r.choice(["allow", "block"])) for p in r.sample(some, 150) + odd]
+    rules += [("org", p, "block") for p in r.sample(some, 40)] + [("x.big.org", p, "allow") for p in r.sample(some, 40)]
+    tails = ["/" + p for p in r.sample(some, 200)] + [o + t for o in odd for t in ("", "/", "a", "\U0010FFFF", "\x7f")] + [""]
+    links = [f"http://{h}{t}" for t in tails for h in ("big.org", "y.big.org", "x.big.org", "z.x.big.org", "other.org", "big.net")]
+    links = [x.replace("//x.big", "//X.big") for x in links]
+    got = {r.page_id: (r.rule, r.verdict) for sweep in (97,) for r in urls.judge_urls(
+        pages(spark, [(i, u, None) for i, u in enumerate(links)]), urls.rules_table(spark, rules), rows_per_sweep=sweep).collect()}
+    by = {}
+    for h, p, a in rules:
+        by[h, p] = max(a, by.get((h, p), ""))
+    for i, u in enumerate(links):
+        host, _, path = u[7:].lower().partition("/")
+        path = u[7 + len(host):]
+        fits = [(len(h + p), len(h), h + p, a) for (h, p), a in by.items()
+                if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        assert got[i] == (max(fits)[2:] if fits else (None, "allow")), u
+
+
 def test_archives_round_trip(spark, tmp_path):
     long = "é" * 300_000
     rows = [(1, "http://a/", "same"), (2, None, "same"), (9, "http://c\r\n/", "same"), (3, "u", None), (4, "u", ""),
