@@ -183,3 +183,93 @@ def test_bloom_filters_know_every_id_and_few_others():
     raw = bloom_bits(ids)
     assert in_bloom(ids, raw).all() and in_bloom(others, raw).mean() < 0.02
     assert in_bloom(ids[:1], bloom_bits(ids[:1])).all()
+
+
+def _started(processor):
+    """A state value and the timers of a processor outside of Spark."""
+    from types import SimpleNamespace
+
+    class Value:
+        held, writes = None, 0
+
+        def get(self):
+            return self.held
+
+        def update(self, value):
+            self.held, self.writes = value, self.writes + 1
+
+        def clear(self):
+            self.held = None
+    timers, state = set(), Value()
+    handle = SimpleNamespace(getValueState=lambda *_: state, registerTimer=timers.add, deleteTimer=timers.remove)
+    processor.init(handle)
+    return state, timers
+
+
+def test_many_users_share_a_call_and_a_state_value(spark):
+    """The state's keys are buckets: their number does not grow with the users,
+    and each user's answers are those of the user alone."""
+    import pandas as pd
+    from seqwise.streaming import stateful as SS
+    rows = spark.range(5_000).select(F.col("id").alias("muid"))
+    assert rows.select(SS.user_bucket("muid", 64)).distinct().count() == 64
+
+    def frame(t0):
+        return pd.DataFrame([(u, t0 + 10 * k + u % 3, 1_000 * t0 + 100 * u + k, name) for u in range(50) for k, name in
+                             enumerate(["pageview", "add_to_cart", None, "purchase"][u % 4:] + ["scroll"] * (u % 5))],
+                            columns=["muid", "t_us", "event_id", "event_name"])
+    batches = [frame(1_000), frame(500), frame(2_000)]  # the second: older than what is stored
+
+    def run(users):
+        p = SS.LastEventsBuffer(3, "bigint", lambda u: f"v{u % 2}")
+        p.SLICE = 7
+        state, _ = _started(p)
+        out = [o for b in batches for o in p.handleInputRows((0,), iter([b[b["muid"].isin(users)]]), None)]
+        return pd.concat(out), state
+    together, state = run(range(50))
+    alone = pd.concat([run([u])[0] for u in range(50)])
+    key = ["prediction_id"]
+    pd.testing.assert_frame_equal(together.sort_values(key).reset_index(drop=True),
+                                  alone.sort_values(key).reset_index(drop=True))
+    assert len(together) == sum(map(len, batches)) and state.writes == 3
+    assert SS.read_rows(state).groupby("muid").size().max() == 3
+
+
+def test_feedback_bucket_keeps_one_timer_and_null_users_apart():
+    import pandas as pd
+    from types import SimpleNamespace
+    from seqwise.streaming import stateful as SS
+    p = SS.FeedbackProcessor("bigint")
+    state, timers = _started(p)
+
+    def feed(*rows):
+        df = pd.DataFrame(rows, columns=["person", "t_us", "tag", "rid", "rname"])
+        got = pd.concat(list(p.handleInputRows((0,), iter([df]), None)))
+        return {r.prediction_id: (r.actual, r.reward) for r in got.itertuples()}
+    week = SS.WEEK_US
+    assert feed(("1", 10, 1, 1, "scroll"), ("2", 20_000, 1, 2, "purchase"), (None, 10, 1, 3, "scroll"),
+                ("2", 20_000, 0, 9, "scroll")) == {}  # an event at the same time is not after
+    assert timers == {(10 + week) // 1000 + 1}
+    assert feed(("2", 30_000, 0, 12, "scroll"), ("2", 30_000, 0, 11, "checkout")) == {2: ("checkout", 0.5)}
+    assert feed((None, 10 + week + 1, 0, 13, "scroll")) == {3: ("churn", -2.0)}
+    assert feed(("4", 40_000_000, 1, 4, "scroll")) == {} and len(timers) == 1
+    late = SimpleNamespace(getCurrentWatermarkInMs=lambda: (10 + week) // 1000 + 2)
+    [out] = p.handleExpiredTimer((0,), late, None)
+    assert out["prediction_id"].tolist() == [1] and out["actual"].tolist() == ["churn"]
+    assert timers == {(40_000_000 + week) // 1000 + 1}
+    assert feed(("4", 50_000_000, 0, 14, "scroll")) == {4: ("scroll", 1.0)}
+    assert not timers and state.held is None
+
+
+def test_events_without_user_or_time_bring_no_prediction(spark):
+    import datetime as dt
+    from seqwise.sources.sinks import scratch_path
+    from seqwise.streaming import stateful as SS
+    t = dt.datetime(2024, 1, 1)
+    schema = "event_id long, muid long, event_name string, event_time timestamp_ntz"
+    folder, out = scratch_path(spark, "feed"), scratch_path(spark, "out")
+    spark.createDataFrame([(1, 1, "scroll", t), (2, None, "scroll", t), (3, 1, "scroll", None)], schema).write.parquet(folder)
+    stream = spark.readStream.schema(schema).parquet(folder)
+    (SS.buffer_predictions(stream).writeStream.format("parquet").option("path", out)
+     .option("checkpointLocation", scratch_path(spark, "c")).trigger(availableNow=True).start().awaitTermination())
+    assert [tuple(r) for r in spark.read.parquet(out).select("prediction_id", "window_events").collect()] == [(1, 1)]
