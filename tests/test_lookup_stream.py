@@ -60,3 +60,37 @@ def test_stream_equals_the_plain_cache(spark):
     left = (spark.read.format("statestore").option("path", ckpt).option("stateVarName", "entry").load()
             .select(F.col("key.*")).collect())
     assert len(left) <= 1
+
+
+def test_a_bucket_of_users_is_answered_as_each_alone():
+    import pandas as pd
+    from types import SimpleNamespace
+    from seqwise.streaming.lookup import CacheEntries
+
+    class Value:
+        held = None
+
+        def get(self):
+            return self.held
+
+        def update(self, value):
+            self.held = value
+
+        def clear(self):
+            self.held = None
+    timers, state = set(), Value()
+    p = CacheEntries(1_000, "string", "bigint")
+    p.init(SimpleNamespace(getValueState=lambda *_: state, registerTimer=timers.add, deleteTimer=timers.remove))
+
+    def ask(*rows):
+        df = pd.DataFrame(rows, columns=["request_id", "user_key", "t_us", "stored"])
+        [got] = p.handleInputRows((0,), iter([df]), None)
+        return {r.request_id: (r.source, r.features) for r in got.itertuples()}
+    assert ask((1, "a", 0, "A"), (2, "b", 500, "B"), (3, "a", 999, "A"), (4, "c", 0, None)) == {
+        1: ("store", "A"), 2: ("store", "B"), 3: ("cache", "A"), 4: (None, None)}
+    assert timers == {2}  # of the oldest entry
+    assert ask((5, "b", 1_499, "B2"), (6, "a", 1_000, "A2")) == {5: ("cache", "B"), 6: ("store", "A2")}
+    list(p.handleExpiredTimer((0,), SimpleNamespace(getCurrentWatermarkInMs=lambda: 2), None))
+    assert ask((7, "a", 1_500, "A3"), (8, "b", 1_500, None)) == {7: ("cache", "A2"), 8: (None, None)}
+    list(p.handleExpiredTimer((0,), SimpleNamespace(getCurrentWatermarkInMs=lambda: 9), None))
+    assert not timers and state.held is None
