@@ -3,7 +3,7 @@
 A stream appends a folder a micro-batch and month (``ingest_batch=<n>/event_month=<m>``):
 many small files. ``compact`` rewrites the batches that are final, as one generation:
 ``_compact/rows/generation=<n>/event_month=<m>``, range-partitioned and sorted by month, time
-and id, so files hold about ``ROWS_PER_FILE`` rows and a stretch of time each (a
+and id, so files hold about ``ROWS_PER_TASK`` rows and a stretch of time each (a
 filter on the time skips files by their statistics). Then it commits a manifest
 that names the generations of every month and the last batch in them. So
 
@@ -20,7 +20,8 @@ that names the generations of every month and the last batch in them. So
 Folders with a leading underscore are unseen by plain readers of the table, which
 see the batch folders as long as they are there. Rows that are equal in month,
 time and id lie in one task, which sorts and writes them with bounded memory; files
-hold at most ``ROWS_PER_FILE`` rows in any case. The driver holds the manifest: some
+hold at most ``ROWS_PER_FILE`` rows in any case. A task sorts about ``ROWS_PER_TASK``
+rows, however many a compaction has. The driver holds the manifest: some
 numbers a month, and the numbers of the batches not yet compacted."""
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ from seqwise.sources.manifest import Manifests
 from seqwise.sources.sinks import batch_folder
 
 ROWS_PER_FILE = 5_000_000
+ROWS_PER_TASK = 1_000_000  # a row of events takes about 240 bytes in a task's sort
 MAX_GENERATIONS = 8
 BATCH, MONTH, GENERATION = "ingest_batch", "event_month", "generation"
 
@@ -107,7 +109,7 @@ class BatchTable:
     def _write(self, rows: DataFrame, number: int) -> str:
         """Write a generation under a name of its own: nobody else's attempt."""
         generation = f"{number:012d}-{uuid.uuid4().hex[:8]}"
-        files = max(1, -(-rows.count() // ROWS_PER_FILE))
+        files = max(1, -(-rows.count() // min(ROWS_PER_FILE, ROWS_PER_TASK)))
         order = [F.col(c) for c in (MONTH, self.time_col, self.id_col)]
         (rows.repartitionByRange(files, *order).sortWithinPartitions(*order)
          .write.option("maxRecordsPerFile", ROWS_PER_FILE).partitionBy(MONTH).parquet(f"{self.rows}/{GENERATION}={generation}"))

@@ -128,3 +128,16 @@ def test_a_streams_batches_after_its_checkpoint_says_so(spark):
     got = C.BatchTable(spark, path, e.schema).read().select(*EVENT_COLUMNS)
     want = e.unionByName(new).select(*EVENT_COLUMNS)
     assert got.count() == want.count() and got.exceptAll(want).count() == 0
+
+
+def test_a_task_sorts_a_bounded_number_of_rows(spark, monkeypatch):
+    """Files are as many as the rows need, though each would fit one file."""
+    monkeypatch.setattr(C, "ROWS_PER_TASK", 100, raising=False)
+    path, want = scratch_path(spark, "t"), []
+    for b in range(3):
+        want += _batch(spark, path, b, range(b * 400, b * 400 + 400))
+    table = _open(spark, path)
+    assert table.compact(2)["batches"] == 3 and table._batches() == [0, 1, 2]
+    sizes = [r["count"] for r in table.read().groupBy(F.input_file_name()).count().collect()]
+    assert max(sizes) <= 200 and sum(sizes) == len(want)
+    assert _rows(table) == sorted(want, key=lambda r: r[0])
