@@ -47,7 +47,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqwise.llm.common import write_once
+from seqwise.llm.common import small_batches, write_once
 from seqwise.llm.words import Tables, mix64, text_words
 
 HEAVY_ROWS = 2_000    # a key with fewer rows is never heavy
@@ -163,7 +163,7 @@ class Repeats:
         self.start = start or -(-width // 4)
         if not 1 <= self.start <= width:
             raise ValueError("start must lie between one word and the width")
-        self.id_col, self.text_col, self.docs = id_col, text_col, docs
+        self.id_col, self.text_col, self.docs = id_col, text_col, small_batches(docs)
 
     def first_level(self) -> DataFrame:
         width, start = self.width, self.start

@@ -201,3 +201,14 @@ def test_filters_are_lossless():
             raw = phrases.write_filter(h[s], l[s], counts[s], half, top)
             x, y, c = phrases.read_filter(raw, half, top, b)
             assert (x == h[s]).all() and (y == l[s]).all() and (c == counts[s]).all()
+
+
+def test_repeats_take_whole_texts_in_small_batches(spark):
+    """A worker holds the hashes of few texts at a time, not of 10,000."""
+    from seqwise.llm.common import TEXT_ROWS
+    from seqwise.llm.substrings import remove_repeats
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    docs = spark.range(3 * TEXT_ROWS).selectExpr("id as doc_id", "concat('a b c d ', id % 7, ' e ', id) as text")
+    out = remove_repeats(docs.coalesce(1), width=5)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= TEXT_ROWS
+    assert {(r.n_words, r.n_removed) for r in out.collect()} == {(7, 6)} and out.count() == 3 * TEXT_ROWS
