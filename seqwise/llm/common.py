@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,12 +54,34 @@ def own_names(docs: DataFrame) -> tuple[DataFrame, dict[str, str], Callable[[Dat
     return safe, at, lambda df: df.select(*[F.col(n).alias(c) for c, n in at.items()])
 
 
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Queries planned and run inside leave no shuffle files behind.
+
+    Otherwise the files stay until the driver's JVM happens to collect what
+    refers to them, so a job of many written steps holds those of most steps
+    at once. Lost files of a running query are made again as usual."""
+    before = spark.conf.get(DROP_SHUFFLES, None)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(DROP_SHUFFLES)
+        else:
+            spark.conf.set(DROP_SHUFFLES, before)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Compute ``df`` once into the shared checkpoint folder and cut its lineage.
 
     Reliable: the rows survive lost executors. Meant for narrow tables."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    with shuffles_dropped(df.sparkSession):
+        return df.select("*").checkpoint()  # a plan of its own: the caller may run df again
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -69,7 +92,8 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 def write_once(df: DataFrame, name: str) -> DataFrame:
     """Like ``materialize``, as a compressed Parquet table (for wide rows)."""
     path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    with shuffles_dropped(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
